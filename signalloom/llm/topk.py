@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a block of candidates and of queries, depths at which a list's reading pauses.
-CANDIDATES, QUERIES, STEPS = 16384, 1024, 8
+#: Vectors in a block of candidates and of queries, depths at which a list's reading pauses, queries that read together.
+CANDIDATES, QUERIES, STEPS, TOGETHER = 16384, 1024, 8, 128
 SCALE = 1024
 
 
@@ -35,55 +35,63 @@ def scaled(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 class Lists:
-    """The sorted lists of one block."""
+    """The sorted lists of one block of candidates."""
 
     def __init__(self, ids: np.ndarray, block: np.ndarray):
         order = np.argsort(ids)
         self.ids, self.block = ids[order], block[order]
-        self.places = np.argsort(self.block, axis=0, kind="stable")
-        self.values = np.take_along_axis(self.block, self.places, axis=0)
-        self.read = 0
-
-    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best candidates, by score and id."""
-        n = len(self.ids)
-        used = np.flatnonzero(query)
-        left = np.arange(n)
-        left = left[self.ids != own]
-        if n > 4 * k and len(used):
-            left = self._survivors(query[used].astype(np.float64), used, own, k)
-        scores = self.block[left] @ query
-        first = np.lexsort((self.ids[left], -scores))[:k]
-        return self.ids[left[first]], scores[first]
-
-    def _survivors(self, query: np.ndarray, used: np.ndarray, own: int, k: int) -> np.ndarray:
+        self.lists = np.sort(self.block, axis=0).astype(np.float32)
+        self.short = self.block.astype(np.float32)
+        self.depths = []  # at which queries stopped
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (ids, scores) of its k best candidates, by score and id."""
+        out = []
+        wide = self.block.astype(np.float64)
+        largest = np.abs(self.block).max(initial=0)
+        for query, name, left in zip(queries, own.tolist(), self._survivors(queries, own, k), strict=True):
+            left = left[self.ids[left] != name]
+            if float(largest) * float(np.abs(query).max(initial=0)) * len(query) < 2.0**53:
+                scores = (wide[left] @ query.astype(np.float64)).astype(np.int64)
+            else:
+                scores = self.block[left] @ query
+            first = np.lexsort((self.ids[left], -scores))[:k]
+            out.append((self.ids[left[first]], scores[first]))
+        return out
+
+    def _survivors(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query the candidates that can still qualify when its reading stops. All queries read on together:
+        at a depth, the upper ends of the lists (for positive components) and the lower ends (for negative ones) are
+        known to their frontiers, ties included."""
         n = len(self.ids)
-        down = query > 0
-        places, values = self.places[:, used], self.values[:, used]
-        worst = query * np.where(down, values[0], values[-1])
-        partial, seen = np.zeros(n), np.zeros((n, len(used)), np.float32)
-        others = self.ids != own
-        step, depth = -(-n // STEPS), 0
-        lists = np.arange(len(used))
-        while depth < n:
-            stop = min(n, depth + step)
-            for sign, cols in ((True, lists[down]), (False, lists[~down])):
-                rows = slice(n - stop, n - depth) if sign else slice(depth, stop)
-                at, got = places[rows][:, cols], values[rows][:, cols] * query[cols]
-                partial += np.bincount(at.ravel(), weights=got.ravel(), minlength=n)
-                seen[at, np.broadcast_to(cols, at.shape)] = 1
-                self.read += at.size
-            depth = stop
-            frontier = query * np.where(down, values[n - depth], values[depth - 1])
-            # float32 products of small integers; the margin covers their rounding
-            upper = partial + frontier.sum() - seen @ frontier.astype(np.float32)
-            lower = partial + worst.sum() - seen @ worst.astype(np.float32)
-            margin = 1 + 1e-4 * max(np.abs(frontier).sum(), np.abs(worst).sum())
-            kth = np.partition(lower[others], -k)[-k] if others.sum() >= k else -np.inf
-            left = np.flatnonzero(others & (upper + margin >= kth - margin))
-            if len(left) <= max(4 * k, n // 16):
-                return left
-        return left
+        found = [np.arange(n)] * len(queries)
+        if n <= 4 * k:
+            return found
+        up, down = np.maximum(queries, 0).astype(np.float32), np.minimum(queries, 0).astype(np.float32)
+        # float32 sums are off by far less than this
+        margin = 2e-5 * (np.abs(queries).astype(np.float64) @ np.abs(self.block).max(axis=0).astype(np.float64)) + 1
+        at = np.searchsorted(self.ids, own)
+        here = (at < n) & (self.ids[np.minimum(at, n - 1)] == own)
+        active, x, lists = np.arange(len(queries)), self.short, self.lists
+        step = -(-n // STEPS)
+        for depth in range(step, n, step):
+            top, bottom = lists[n - depth], lists[depth - 1]
+            upper = up[active] @ np.maximum(x, top).T
+            upper += down[active] @ np.minimum(x, bottom).T
+            lower = up[active] @ np.where(x >= top, x, lists[0]).T
+            lower += down[active] @ np.where(x <= bottom, x, lists[-1]).T
+            mine = np.flatnonzero(here[active])
+            upper[mine, at[active[mine]]] = lower[mine, at[active[mine]]] = -np.inf
+            kth = np.partition(lower, n - k, axis=1)[:, n - k]
+            can = upper >= (kth - 2 * margin[active])[:, None].astype(np.float32)
+            stop = can.sum(axis=1) <= max(4 * k, n // 16)
+            for row in np.flatnonzero(stop).tolist():
+                found[active[row]] = np.flatnonzero(can[row])
+            self.depths += [depth] * int(stop.sum())
+            active = active[~stop]
+            if not len(active):
+                break
+        return found
 
 
 def search(vectors: DataFrame, queries=None, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", candidates: int = CANDIDATES, query_rows: int = QUERIES) -> DataFrame:
@@ -112,9 +120,9 @@ def search(vectors: DataFrame, queries=None, k: int = 10, vec_id: str = "vec_id"
                 ids, own = (np.frombuffer(r[x], np.int64) for x in ("c_ids", "q_ids"))
                 lists = Lists(ids, np.frombuffer(r["c_v"], np.int64).reshape(len(ids), r["dim"]))
                 block = np.frombuffer(r["q_v"], np.int64).reshape(len(own), r["dim"])
-                out = [(q, *lists.best(v, q, k)) for q, v in zip(own.tolist(), block, strict=True)]
-                sizes = [len(i) for _, i, _ in out]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes)), pa.array(np.concatenate([i for _, i, _ in out])), pa.array(np.concatenate([s for _, _, s in out]))], ["query_id", "vec_id", "score"])
+                out = [x for s in range(0, len(own), TOGETHER) for x in lists.best(block[s : s + TOGETHER], own[s : s + TOGETHER], k)]
+                names = np.repeat(own, [len(i) for i, _ in out])
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([i for i, _ in out])), pa.array(np.concatenate([s for _, s in out]))], ["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
