@@ -41,7 +41,7 @@ def write_metadata(spark: SparkSession, metadata: dict, path: str) -> None:
 
 def report(results: DataFrame, label: str, *columns: str) -> DataFrame:
     """A text line for each row: the label and its numbers with four places."""
-    line = F.format_string("%s: " + ", ".join(f"{c}=%.4f" for c in columns), label, *[F.col(c).cast("double") for c in columns])
+    line = F.format_string("%s: " + ", ".join(f"{c}=%.4f" for c in columns), F.lit(label), *[F.col(c).cast("double") for c in columns])
     return results.select(line.alias("value"))
 
 
