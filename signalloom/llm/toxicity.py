@@ -1,11 +1,14 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-Both classes have interpolated Kneser-Ney bigram models whose last back-off is one shared, pooled distribution of
-continuation counts. An expression (word or word pair) seen in fewer than ``LEAST_DOCS`` learning documents is rare:
-both classes then use the shared back-off alone, so it says nothing either way. The difference of the two
-log-likelihoods is summed over a document, each expression's part less a dead zone of ``DEAD`` nats (differences
-that sampling explains), normalised by length, and turned to a score by a logistic fit on the learning documents.
-Terms both models share cancel in the difference and aren't kept; what is kept are the expressions that tell.
+The models predict a word letter by letter from all of it that came before, up to ``LONGEST`` letters, and then its
+end: P_c(u | v) = (max(n_c(u) - D, 0) + D k_c(v) P(u | v)) / n_c(v) for a beginning u = v + letter, k_c(v) being the
+number of letters that follow v in class c. The back-off P(u | v) is shared: it has the pooled counts of both classes.
+A beginning in fewer than ``LEAST_DOCS`` learning documents is rare, and from there on both classes use the shared
+counts alone; so a rare inflection of a telling stem is judged by the stem. The difference of the two log-likelihoods
+is summed over a document, each word's part less a dead zone: ``DEAD`` nats, and ``ERRORS`` standard errors of the
+log-ratio of the two counts (what sampling explains). The sum is normalised by length, and turned to a score by a
+logistic fit on learning documents that the counts for it left out. Terms that both models share cancel in the
+difference; only beginnings at which it changes are kept.
 
 The models are fitted on at most ``SAMPLE`` labelled documents in expectation (by a hash of the id, texts whole);
 that bound is the only one. Edge cases: null or empty texts score as length 0; conflicting labels of an id count as
@@ -16,65 +19,104 @@ are scored each; extra columns are ignored by ``score`` and kept by ``drop_toxic
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import cut, held_out, small_batches
 
-SAMPLE, DISCOUNT, LEAST_DOCS, DEAD, PAD = 16_000, 0.75, 3, 1.0, 20.0
+SAMPLE, DISCOUNT, LEAST_DOCS, DEAD, ERRORS, PAD, LONGEST = 12_000, 0.75, 5, 1.0, 2.0, 20.0, 10
+#: Ends a word; no word holds it.
+END = "\0"
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() or c == 39 else 32 for c in range(256))
-#: Expressions in a worker's table before it is sent on.
-HELD = 400_000
+#: Beginnings in a worker's table before it is sent on, and words whose difference a worker remembers.
+HELD, KNOWN = 300_000, 300_000
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_BLANK).split()
+def words(text: str | None) -> list[str]:
+    return (text or "").lower().encode("utf-8", "replace").translate(_BLANK).decode().split()
+
+
+class _Differences(dict):
+    """Word to the difference of its log-likelihoods, by its longest beginning that the models tell apart."""
+
+    def __init__(self, begun: dict[str, float]):
+        super().__init__()
+        self.begun = begun
+
+    def __missing__(self, word: str) -> float:
+        begun = self.begun
+        found = begun.get(word + END) if len(word) <= LONGEST else None
+        if found is None:
+            found = next((begun[word[:k]] for k in range(min(len(word), LONGEST), 0, -1) if word[:k] in begun), 0.0)
+        if len(self) >= KNOWN:
+            self.clear()
+        self[word] = found
+        return found
 
 
 @dataclass
 class Model:
-    single: dict[bytes, float] = field(default_factory=dict)  # word: difference of log-likelihoods
-    pair: dict[bytes, float] = field(default_factory=dict)  # "v w": what the pair adds to w's difference
+    begun: dict[str, float] = field(default_factory=dict)  # beginning of a word: difference of log-likelihoods
     slope: float = 0.0
     offset: float = -50.0
 
-    def difference(self, text: str | None) -> float:
-        """Toxic minus ordinary log-likelihood, normalised by length."""
-        found = words(text)
-        total = sum(map(self.single.get, found, repeat(0.0)))
-        if self.pair:
-            total += sum(map(self.pair.get, map(b" ".join, zip(found, found[1:])), repeat(0.0)))  # noqa: B905
-        return total / (len(found) + PAD)
+    def differences(self, texts: list[str | None]) -> list[float]:
+        """Toxic minus ordinary log-likelihood of each text, normalised by length."""
+        known, out = _Differences(self.begun), []
+        for text in texts:
+            found = words(text)
+            out.append(sum(map(known.__getitem__, found)) / (len(found) + PAD))
+        return out
+
+    def scorer(self):
+        """texts -> scores, with one memory of words for all calls."""
+        known = _Differences(self.begun)
 
-    def scores(self, texts: list[str | None]) -> list[float]:
-        return [1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * self.difference(t) + self.offset)))) for t in texts]
+        def run(texts: list[str | None]) -> list[float]:
+            out = []
+            for text in texts:
+                found = words(text)
+                x = sum(map(known.__getitem__, found)) / (len(found) + PAD)
+                out.append(1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * x + self.offset)))))
+            return out
+
+        return run
+
+
+COUNTS = ("t", "o", "docs", "t1", "o1", "docs1")  # of all learning documents, and of those that the logistic fit leaves
 
 
 def _counted(batches):
-    """(expression, number of words, in toxic, in ordinary, documents)."""
-    held: dict[bytes, list] = {}
+    """Beginnings with their counts in toxic and ordinary documents, and the number of documents."""
+    held: dict[str, list] = {}
 
     def rows():
-        keys = list(held)
-        got = np.array([held[k] for k in keys], np.int64).reshape(-1, 3)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([1 + (b" " in k) for k in keys], pa.int32()), *(pa.array(got[:, c]) for c in range(3))], ["gram", "n", "t", "o", "docs"])
+        got = np.array(list(held.values()), np.int64).reshape(-1, 6)
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), *(pa.array(got[:, c]) for c in range(6))], ["node", *COUNTS])
 
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = words(text)
-            for grams in (found, list(map(b" ".join, zip(found, found[1:])))):  # noqa: B905
-                for g, c in Counter(grams).items():
-                    r = held.get(g)
-                    if r is None:
-                        held[g] = r = [0, 0, 0]
-                    r[0 if toxic else 1] += c
-                    r[2] += 1
+        for text, toxic, kept in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            nodes: dict[str, int] = defaultdict(int)
+            for w, c in Counter(words(text)).items():
+                for k in range(1, min(len(w), LONGEST) + 1):
+                    nodes[w[:k]] += c
+                if len(w) <= LONGEST:
+                    nodes[w + END] += c
+            for g, c in nodes.items():
+                r = held.get(g)
+                if r is None:
+                    held[g] = r = [0] * 6
+                at = 0 if toxic else 1
+                r[at] += c
+                r[2] += 1
+                if kept:
+                    r[3 + at] += c
+                    r[5] += 1
             if len(held) > HELD:
                 yield rows()
                 held.clear()
@@ -82,33 +124,35 @@ def _counted(batches):
         yield rows()
 
 
-def _tables(learn: DataFrame) -> tuple[dict, dict]:
-    """The expressions that tell, with their differences."""
-    counts = learn.mapInArrow(_counted, "gram binary, n int, t long, o long, docs long").groupBy("gram", "n").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum("docs").alias("docs"))
-    counts = counts.persist()
-    try:
-        gap = F.locate(" ", F.col("gram").cast("string"))
-        pairs = counts.where("n = 2").withColumn("text", F.col("gram").cast("string")).withColumns({"v": F.substring_index("text", " ", 1), "w": F.substring_index("text", " ", -1)}).drop("n").where(gap > 0)
-        cont = pairs.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("ct"), F.count_if(F.col("o") > 0).alias("co"))
-        all_t, all_o, kinds_t, kinds_o = (float(x or 0) for x in cont.agg(F.sum("ct"), F.sum("co"), F.count_if(F.col("ct") > 0), F.count_if(F.col("co") > 0)).first())
-        if not all_t or not all_o:
-            return {}, {}
-        d = DISCOUNT
-        shared = (F.col("ct") + F.col("co")) / F.lit(all_t + all_o)
-        lower = lambda c, n, kinds: F.greatest(F.col(c) - d, F.lit(0.0)) / n + F.lit(d * kinds / n) * shared
-        seen = counts.where((F.col("n") == 1) & (F.col("docs") >= LEAST_DOCS)).select(F.col("gram").cast("string").alias("w"), F.lit(True).alias("common"))
-        single = cont.join(seen, "w", "left").select("w", lower("ct", all_t, kinds_t).alias("pt"), lower("co", all_o, kinds_o).alias("po"), shared.alias("ps"), F.coalesce("common", F.lit(False)).alias("common"))
-        single = single.select("w", F.when(F.col("common"), F.col("pt")).otherwise(F.col("ps")).alias("pt"), F.when(F.col("common"), F.col("po")).otherwise(F.col("ps")).alias("po"))
-        dead = lambda x: F.signum(x) * F.greatest(F.abs(x) - DEAD, F.lit(0.0))
-        single = single.withColumn("s", dead(F.log(F.col("pt") / F.col("po"))))
-        context = pairs.groupBy("v").agg(F.sum("t").alias("vt"), F.sum("o").alias("vo"), F.count_if(F.col("t") > 0).alias("kt"), F.count_if(F.col("o") > 0).alias("ko"))
-        upper = lambda c, n, k, p: F.when(F.col(n) > 0, (F.greatest(F.col(c) - d, F.lit(0.0)) + d * F.col(k) * F.col(p)) / F.col(n)).otherwise(F.col(p))
-        pair = pairs.where(F.col("docs") >= LEAST_DOCS).join(context, "v").join(single, "w").select("text", "s", dead(F.log(upper("t", "vt", "kt", "pt") / upper("o", "vo", "ko", "po"))).alias("p"))
-        one = {r[0].encode(): r[1] for r in single.where("s <> 0").select("w", "s").collect()}
-        two = {r[0].encode(): r[1] for r in pair.where("p <> s").select("text", F.col("p") - F.col("s")).collect()}
-        return one, two
-    finally:
-        counts.unpersist()
+def _begun(nodes: dict[str, tuple], kinds: dict[str, tuple], at: int) -> dict[str, float]:
+    """Differences of the beginnings that aren't rare, where they differ from their own beginning's."""
+    whole: dict[str, float] = {"": 0.0}
+    nodes = nodes | {"": tuple(sum(n[c] for g, n in nodes.items() if len(g) == 1) for c in range(6))}
+    for node in sorted(nodes, key=len)[1:]:
+        t, o, docs = nodes[node][at : at + 3]
+        parent = node[:-1]
+        if docs < LEAST_DOCS or parent not in whole:
+            continue
+        (all_t, all_o), (kinds_t, kinds_o) = nodes[parent][at : at + 2], kinds.get(parent, (0,) * 4)[at // 3 * 2 : at // 3 * 2 + 2]
+        shared = (t + o) / (all_t + all_o)
+        p, q = ((max(c - DISCOUNT, 0) + DISCOUNT * k * shared) / n if n else shared for c, k, n in ((t, kinds_t, all_t), (o, kinds_o, all_o)))
+        whole[node] = whole[parent] + (math.log(p / q) if p > 0 and q > 0 else 0.0)
+    error = lambda g: math.sqrt(1 / (nodes[g][at] + 0.5) + 1 / (nodes[g][at + 1] + 0.5))
+    dead = {g: math.copysign(max(abs(d) - DEAD - ERRORS * error(g), 0.0), d) for g, d in whole.items()}
+    return {g: d for g, d in dead.items() if g and d != dead[g[:-1]]}
+
+
+def _tables(learn: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """The models' differences from all learning documents, and from those that the logistic fit leaves."""
+    counts = learn.mapInArrow(_counted, "node string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("node").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    counts = cut(counts)
+    parent = F.substring("node", F.lit(1), F.length("node") - 1)
+    kinds = counts.groupBy(parent.alias("node")).agg(*[F.count_if(F.col(c) > 0).alias(f"k_{c}") for c in ("t", "o", "t1", "o1")])
+    common = counts.where(F.col("docs") >= LEAST_DOCS)
+    got = common.collect()
+    nodes = {r[0]: tuple(r[1:]) for r in got}
+    of = {r[0]: tuple(r[1:]) for r in kinds.join(common.select("node").unionByName(counts.sparkSession.createDataFrame([("",)], "node string")), "node", "left_semi").collect()}
+    return _begun(nodes, of, 0), _begun(nodes, of, 3)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -131,20 +175,22 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rate = min(1.0, sample / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) < rate * 1_000_003)
     # at most about ``sample`` rows of 12 bytes
-    learn = docs.join(F.broadcast(chosen), F.col(doc_id).cast("long") == F.col("_id")).select(F.col(text).alias("text"), (F.col("_toxic") > 0).alias("toxic"))
-    single, pair = _tables(learn)
-    if not single and not pair:
+    kept = F.pmod(F.xxhash64("_id", F.lit("fit")), F.lit(4)) > 0
+    learn = docs.join(F.broadcast(chosen), F.col(doc_id).cast("long") == F.col("_id")).select(F.col(text).alias("text"), (F.col("_toxic") > 0).alias("toxic"), kept.alias("kept"))
+    begun, partial = _tables(learn)
+    if not partial:
         return Model()
-    model = Model(single, pair)
+    model = Model(partial)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([model.difference(t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(model.differences(batch.column(0).to_pylist()), pa.float64()), batch.column(1)], ["x", "y"])
 
-    got = learn.mapInArrow(run, "x double, y boolean").orderBy("x", "y").collect()
+    got = learn.where("not kept").select("text", "toxic").mapInArrow(run, "x double, y boolean").orderBy("x", "y").collect()
     x, y = np.array([r[0] for r in got]), np.array([float(r[1]) for r in got])
-    model.slope, model.offset = _logistic(x, y)
-    return model
+    if not len(y) or y.min() == y.max():
+        return Model()
+    return Model(begun, *_logistic(x, y))
 
 
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -153,8 +199,9 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
+        scores = model.scorer()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column(at).to_pylist()), pa.float64())], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(batch.column(at).to_pylist()), pa.float64())], [*names, "_score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
