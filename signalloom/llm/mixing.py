@@ -35,15 +35,17 @@ def tokens_of(text) -> F.Column:
     return F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4).cast("long")
 
 
-def with_cells(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumns({"_source": F.coalesce("source", F.lit(NONE)), "_lang": F.coalesce("lang", F.lit(NONE)), "_topic": topic_of(F.col(text)), "_tokens": tokens_of(F.col(text))})
+MARGINALS = ("source", "lang", "topic")
 
 
-MARGINALS = ("_source", "_lang", "_topic")
+def with_cells(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(row, source, lang, topic, tokens): documents with their cell; row holds all their columns."""
+    own = [F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"), topic_of(F.col(text)).alias("topic"), tokens_of(F.col(text)).alias("tokens")]
+    return docs.select(F.struct(*docs.columns).alias("row"), *own)
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, sweeps: int = SWEEPS) -> DataFrame:
-    """cells (_source, _lang, _topic, tokens) with ``weight``: raked shares of the total. targets: for a marginal a
+    """cells (source, lang, topic, tokens) with ``weight``: raked shares of the total. targets: for a marginal a
     DataFrame (value, share); where one is missing, tempered shares."""
     cells = cells.where("tokens > 0")
     for name in MARGINALS:
@@ -52,13 +54,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: f
             given = cells.groupBy(F.col(name).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(alpha)).alias("share"))
         present = given.join(cells.select(F.col(name).alias("value")).distinct(), "value", "left_semi")
         total = present.agg(F.sum("share").alias("all"))
-        share = present.join(F.broadcast(total)).select(F.col("value").alias(name), (F.col("share") / F.col("all")).alias(f"to{name}"))
-        cells = cells.join(share, name, "left").withColumn(f"to{name}", F.coalesce(f"to{name}", F.lit(0.0)))
+        share = present.join(F.broadcast(total)).select(F.col("value").alias(name), (F.col("share") / F.col("all")).alias(f"to_{name}"))
+        cells = cells.join(share, name, "left").withColumn(f"to_{name}", F.coalesce(f"to_{name}", F.lit(0.0)))
     cells = cut(cells.withColumn("weight", F.col("tokens").cast("double")))
     for sweep in range(sweeps):
         for name in MARGINALS:
             have = F.sum("weight").over(Window.partitionBy(name))
-            cells = cells.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"to{name}") / have).otherwise(F.lit(0.0)))
+            cells = cells.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"to_{name}") / have).otherwise(F.lit(0.0)))
         if sweep % CUT == CUT - 1 or sweep == sweeps - 1:
             cells = cut(cells)
     return cells.select(*MARGINALS, "tokens", "weight")
@@ -70,16 +72,16 @@ def uniform(doc_id, salt: str = "mix") -> F.Column:
 
 
 def mix(docs: DataFrame, keep: float = 0.5, repeats: bool = True, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, sweeps: int = SWEEPS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents taken, with _source, _lang, _topic, _tokens, _weight (raked share of the cell), _rate and _copies.
-    keep: the budget as a share of all tokens. Without repeats a document is taken once at most."""
+    """The documents taken: row (all their columns), source, lang, topic, tokens, weight (raked share of the cell), rate
+    and copies. keep: the budget as a share of all tokens. Without repeats a document is taken once at most."""
     own = with_cells(docs, text)
-    cells = cut(rake(own.groupBy(*MARGINALS).agg(F.sum("_tokens").alias("tokens")), targets, alpha, sweeps))
+    cells = cut(rake(own.groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")), targets, alpha, sweeps))
     total = cells.agg(F.sum("tokens").alias("all"))
-    rates = cells.join(F.broadcast(total)).select(*MARGINALS, F.col("weight").alias("_weight"), (F.col("weight") * keep * F.col("all") / F.col("tokens")).alias("_rate"))
+    rates = cells.join(F.broadcast(total)).select(*MARGINALS, "weight", (F.col("weight") * keep * F.col("all") / F.col("tokens")).alias("rate"))
     if not repeats:
-        rates = rates.withColumn("_rate", F.least("_rate", F.lit(1.0)))
-    # a marginal's window or shuffle would move the texts: cells go to the documents, after their size is checked
+        rates = rates.withColumn("rate", F.least("rate", F.lit(1.0)))
+    # a shuffle would move the texts: cells go to the documents, after their number is checked
     joined = own.join(F.broadcast(rates) if cells.count() <= 100_000 else rates, list(MARGINALS))
-    whole = F.floor("_rate")
-    copies = (whole + (uniform(F.col(doc_id)) < F.col("_rate") - whole).cast("long")).cast("int")
-    return joined.withColumn("_copies", copies).where("_copies > 0 and _tokens > 0")
+    whole = F.floor("rate")
+    copies = (whole + (uniform(F.col("row")[doc_id]) < F.col("rate") - whole).cast("long")).cast("int")
+    return joined.withColumn("copies", copies).where("copies > 0 and tokens > 0").select("row", *MARGINALS, "tokens", "weight", "rate", "copies")

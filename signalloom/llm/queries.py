@@ -39,7 +39,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mix(table(spark, sf_dir, "documents"))
-    return taken.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_weight", 9).alias("weight"), F.round("_rate", 6).alias("rate"), F.col("_copies").alias("copies"))
+    return taken.select("row.doc_id", "source", "lang", "topic", F.col("tokens").alias("n_tokens"), F.round("weight", 9).alias("weight"), F.round("rate", 6).alias("rate"), "copies")
 
 
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,10 +154,10 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents whose id is their component's smallest; of repeated rows of one id, one row; a null id stays."""
     linked = cut(link(docs, doc_id, text))
-    kept = linked.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    own = F.col(doc_id).cast("long")
-    out = docs.join(kept, own == F.col("_kept"), "left_semi")
-    again = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_kept"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
+    kept = linked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    again = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    out = rows.join(kept, "doc_id", "left_semi")
     if again.first():
-        out = out.join(again, own == F.col("_kept"), "left_anti").unionByName(out.join(again, own == F.col("_kept"), "left_semi").dropDuplicates([doc_id]))
-    return out.unionByName(docs.where(F.col(doc_id).isNull()))
+        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.unionByName(rows.where("doc_id is null")).select("row.*")

@@ -170,17 +170,21 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     return slim.groupBy("_block").cogroup(_answered(suffixes, windows).groupBy("_block")).applyInArrow(report, ", ".join(f"{n} long" for n in schema.names))
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """docs (doc_id, text and any other columns) without removable spans; n_chars follows the text if it is there.
-    Documents of which nothing but white space stays go; documents without repeats stay as they are."""
+def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """docs without removable spans; n_chars follows the text if it is there. Documents of which nothing but white
+    space stays go; documents without repeats stay as they are."""
     small_batches(docs.sparkSession)
-    schema = docs.schema
-    blocked, suffixes, windows, buckets = _exchange(docs, length, anchor)
+    names = docs.columns
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*names).alias("row"))
+    blocked, suffixes, windows, buckets = _exchange(rows, length, anchor)
 
     def rewrite(key, rows, back):
-        block = Block(rows, length, anchor)
+        held = rows.column("row").combine_chunks().flatten()
+        whole = pa.table([rows.column("_order"), held[names.index(doc_id)].cast(pa.int64()), held[names.index(text)], pa.array(range(rows.num_rows), pa.int64())], ["_order", "doc_id", "text", "at"])
+        block = Block(whole, length, anchor)
         _, away = _judged(block, back, buckets, length)
-        rows, gone, texts = block.rows, [], block.rows.column("text").to_pylist()
+        before = block.rows.column("text").to_pylist()
+        texts, gone = list(before), []
         for k in np.unique(np.repeat(np.arange(len(block.lengths)), block.lengths)[away]).tolist():
             own = away[block.starts[k] : block.starts[k] + block.lengths[k]]
             places = [m.span() for m in WORD.finditer(texts[k])]
@@ -191,13 +195,14 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
             texts[k] = "".join([*kept, texts[k][at:]])
             if not texts[k].strip():
                 gone.append(k)
-        out = rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(texts, rows.schema.field("text").type))
-        if "n_chars" in out.schema.names:
-            kind = out.schema.field("n_chars").type
-            changed = pa.array([len(t) if t is not None and t != was else n for t, was, n in zip(texts, rows.column("text").to_pylist(), rows.column("n_chars").to_pylist(), strict=True)], kind)
-            out = out.set_column(out.schema.get_field_index("n_chars"), "n_chars", changed)
-        stay = np.ones(out.num_rows, bool)
+        out = [h.take(block.rows.column("at").combine_chunks()) for h in held]
+        out[names.index(text)] = pa.array(texts, held[names.index(text)].type)
+        if n_chars in names:
+            at = names.index(n_chars)
+            out[at] = pa.array([len(t) if t is not None and t != was else n for t, was, n in zip(texts, before, out[at].to_pylist(), strict=True)], held[at].type)
+        stay = np.ones(len(texts), bool)
         stay[gone] = False
-        return out.filter(pa.array(stay)).select(schema.names)
+        return pa.table(out, names).filter(pa.array(stay))
 
-    return blocked.groupBy("_block").cogroup(_answered(suffixes, windows).groupBy("_block")).applyInArrow(rewrite, schema)
+    slim = blocked.select("_block", "_order", "row")
+    return slim.groupBy("_block").cogroup(_answered(suffixes, windows).groupBy("_block")).applyInArrow(rewrite, docs.schema)

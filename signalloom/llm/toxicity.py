@@ -176,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) < rate * 1_000_003)
     # at most about ``sample`` rows of 12 bytes
     kept = F.pmod(F.xxhash64("_id", F.lit("fit")), F.lit(4)) > 0
-    learn = docs.join(F.broadcast(chosen), F.col(doc_id).cast("long") == F.col("_id")).select(F.col(text).alias("text"), (F.col("_toxic") > 0).alias("toxic"), kept.alias("kept"))
+    slim = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text"))
+    learn = slim.join(F.broadcast(chosen), "_id").select("text", (F.col("_toxic") > 0).alias("toxic"), kept.alias("kept"))
     begun, partial = _tables(learn)
     if not partial:
         return Model()
@@ -193,29 +194,26 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return Model(begun, *_logistic(x, y))
 
 
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _score, every other column as it is."""
-    names = docs.columns
-    at = names.index("text")
+def _scored(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """(row, score) of rows (row struct), by the struct's text."""
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
     def run(batches):
         scores = model.scorer()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(batch.column(at).to_pylist()), pa.float64())], [*names, "_score"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(0).field(text).to_pylist()), pa.float64())], ["row", "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
-    return _scored(slim, model).select("doc_id", "held_out", F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    slim = docs.select(F.struct(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text")).alias("row"))
+    return _scored(slim, model).select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (with a column text) without those predicted toxic."""
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs without those predicted toxic."""
     small_batches(docs.sparkSession)
-    return _scored(docs, model).where("_score < 0.5").drop("_score")
+    return _scored(docs.select(F.struct(*docs.columns).alias("row")), model, text).where("score < 0.5").select("row.*")
