@@ -147,7 +147,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     classes = roots.join(uniq, roots.node == uniq.fp)
     least = classes.groupBy("root").agg(F.min("first").alias("least"))
     mapped = classes.join(least, "root").select("fp", "least")
-    full = uniq.join(mapped, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # written, so that both sides of the last join are shuffled for it alone and a hot fingerprint can be split
+    full = cut(uniq.join(mapped, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return prints.join(full, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
