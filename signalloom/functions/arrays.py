@@ -148,3 +148,26 @@ def repeat_blocks(x, times: int) -> Column:
 def display_rescaled(x, like) -> Column:
     """x brought to the mean and deviation of another series."""
     return let(F.struct(mean(like).alias("m"), deviation(like).alias("d")), lambda s: F.transform(zscore(x), lambda v: v * s["d"] + s["m"]))
+
+
+def constant_padded(x, n: int, value: float) -> Column:
+    """x in the middle of n values, the smaller half of the constant before it; longer ones stay as they are."""
+    missing = F.greatest(F.lit(n) - F.size(x), F.lit(0))
+    left = F.floor(missing / 2).cast("int")
+    return F.concat(F.array_repeat(F.lit(value), left), x, F.array_repeat(F.lit(value), missing - left))
+
+
+def replicated(m, channels: int = 3) -> Column:
+    return F.array_repeat(m, channels)
+
+
+def repetition_time(tr, default: float = 2.0) -> Column:
+    """The repetition time, or the default where it is missing, 0 or over 10 seconds."""
+    return F.when(tr.isNull() | (tr <= 0) | (tr > 10), default).otherwise(tr)
+
+
+def same_shape(a, b) -> Column:
+    """True where two matrices have the same shape; an error where they don't."""
+    wide = lambda m: F.coalesce(F.size(F.get(m, F.lit(0))), F.lit(0))
+    equal = (F.size(a) == F.size(b)) & (wide(a) == wide(b))
+    return F.when(equal, True).otherwise(F.raise_error(F.lit("shapes differ")).cast("boolean"))

@@ -97,3 +97,31 @@ def preprocessed(series: DataFrame, n: int, stats: DataFrame | None = None, detr
     if stats is not None or fallback:
         series = robust_scaled(series, stats)
     return windowed(series, n, method, pad)
+
+
+def bandpassed(series: DataFrame, low: float = 0.01, high: float = 0.1, tr: float | None = None) -> DataFrame:
+    """Series detrended and restricted to frequencies from low to high (Hz) by their spectrum. tr: seconds between values, or
+    a column ``tr``; a missing or implausible one is 2 seconds."""
+    frame = series if tr is None else series.withColumn("tr", F.lit(float(tr)))
+    frame = frame.withColumn("tr", arrays.repetition_time(F.col("tr").cast("double"))).withColumn("x", arrays.detrended(F.col("x")))
+    names = frame.columns
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for x, step in zip(batch.column(names.index("x")).to_pylist(), batch.column(names.index("tr")).to_pylist(), strict=True):
+                if not x:
+                    out.append(x)
+                    continue
+                spectrum = np.fft.rfft(x)
+                tone = np.fft.rfftfreq(len(x), step)
+                out.append(np.fft.irfft(np.where((tone >= low) & (tone <= high), spectrum, 0), len(x)).tolist())
+            at = names.index("x")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return frame.mapInArrow(run, frame.schema).drop(*([] if tr is None else ["tr"]))
+
+
+def denoised(series: DataFrame) -> DataFrame:
+    """Detrended, then z-scored."""
+    return zscored(series.withColumn("x", arrays.detrended(F.col("x"))))

@@ -552,3 +552,46 @@ def added_set_operations(spark, sf_dir):
     there = views.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nationkey"))
     away = views.table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("nationkey"))
     return rich.intersect(there).exceptAll(away)
+
+
+# ---- around encoders ------------------------------------------------------------------------------------------------
+
+
+@query("select subject, (i - 1)::int as pos, round(case when i <= 3 then -1 when i <= 8 then list_avg(x) else -1 end, 6) + 0.0 as v from (select subject, list(v order by parcel) as y from (select subject, parcel, list_avg(list(v order by t)[6:25]) as v from signal group by subject, parcel) group by subject) s(subject, y), range(1, 12) t(i), (select 1) d, lateral (select case when i between 4 and 8 then [y[i - 3]] else [-1.0] end as x)", "signal")
+def encoder_input(spark, sf_dir):
+    """Mean of each row of the prepared input: 5 rows of 20 values, padded with -1 to 11 rows."""
+    from ..operators import encoders
+
+    ready = encoders.prepared(signals.matrices(views.series(spark, sf_dir)), 20, rows=5, height=11)
+    return ready.select("subject", F.posexplode(F.transform("m", lambda row: arrays.mean(row))).alias("pos", "v")).withColumn("v", r6("v"))
+
+
+@query("select subject, round(x[1], 6) + 0.0 as cls, round(list_avg([x[k * 8 + 1] for k in range(1, 8)]), 6) + 0.0 as patch_mean from features", "features")
+def encoder_tokens(spark, sf_dir):
+    """First value of the class token, and the mean first value of the patch tokens."""
+    from ..operators import encoders
+
+    tokens = F.col("m")
+    got = views.patches(spark, sf_dir).select("subject", encoders.first_token(tokens).alias("c"), encoders.pooled_tokens(encoders.patch_tokens(tokens)).alias("p"))
+    return got.select("subject", r6(F.get("c", F.lit(0))).alias("cls"), r6(F.get("p", F.lit(0))).alias("patch_mean"))
+
+
+def _inverse_means(batch: list) -> list:
+    for m in batch:
+        if m[0][0] < -0.2:
+            raise ValueError("below limit")
+    return [[sum(row) / len(row) for row in m] for m in batch]
+
+
+@query("select subject, case when x[1] < -0.2 then 'ValueError: below limit' end as error, case when x[1] >= -0.2 then round(list_avg(x[1:8]), 6) + 0.0 end as first from features", "features")
+def isolated_errors(spark, sf_dir):
+    """A per-entity function that fails for some: they have an error, the others a result."""
+    from ..operators import encoders
+
+    got = encoders.applied(views.patches(spark, sf_dir), _inverse_means)
+    return got.select("subject", "error", r6(F.get("result", F.lit(0))).alias("first"))
+
+
+@query()
+def bandpass(spark, sf_dir):
+    return _cells(signals.bandpassed(views.series(spark, sf_dir), tr=2.0))

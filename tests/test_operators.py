@@ -213,3 +213,45 @@ def test_flows(spark, people):
     results = spark.createDataFrame([("a", 1.0, 2.0), ("b", 2.0, 1.0), ("c", 3.0, 5.0), ("mean", 2.0, 2.0)], "subject string, mse double, mae double")
     tables = flows.analyse(results, ["mse", "mae"])
     assert {r.metric for r in tables["summary"].collect()} == {"mse", "mae"} and tables["zscores"].count() == 6 and tables["correlations"].first().marks == ""
+
+
+def test_bandpass_keeps_its_band(spark):
+    t = np.arange(200) * 2.0
+    x = np.sin(2 * np.pi * 0.05 * t) + np.sin(2 * np.pi * 0.2 * t)
+    series = spark.createDataFrame([("s", 0, x.tolist(), 99.0)], "subject string, parcel int, x array<double>, tr double")
+    got = np.array(signals.bandpassed(series).first().x)
+    assert np.abs(got - np.sin(2 * np.pi * 0.05 * t)).max() < 0.1
+    z = np.array(signals.denoised(series).first().x)
+    assert abs(z.mean()) < 1e-9 and abs(z.std() - 1) < 1e-6
+
+
+def test_encoder_helpers(spark):
+    from signalloom.operators import encoders
+
+    frame = spark.createDataFrame([("a", [[1.0, 2.0, 3.0, 4.0]]), ("b", [[5.0]])], "subject string, m array<array<double>>")
+    got = {r.subject: r.m for r in encoders.prepared(frame, 2, height=3, channels=2).collect()}
+    assert got["a"] == [[[-1, -1], [2, 3], [-1, -1]]] * 2 and got["b"][0][1] == [5, 5]
+    with pytest.raises(Exception, match="expected 9 rows"):
+        encoders.prepared(frame, 2, rows=9).collect()
+    tokens = frame.select(encoders.split_patches(F.get("m", F.lit(0)), 2).alias("t")).first().t
+    assert tokens == [[1, 2], [3, 4]]
+
+    def compute(batch):
+        if any(len(m[0]) == 1 for m in batch):
+            raise ValueError("too short")
+        return [m[0] for m in batch]
+
+    got = {r.subject: (r.result, r.error) for r in encoders.applied(frame, compute).collect()}
+    assert got == {"a": ([1.0, 2.0, 3.0, 4.0], None), "b": (None, "ValueError: too short")}
+    assert [r.subject for r in encoders.ordered(frame).collect()] == ["a", "b"]
+
+
+def test_shape_helpers(spark):
+    from signalloom.functions import arrays
+
+    frame = spark.createDataFrame([([[1.0]], [[2.0]], 0.0), ([[1.0]], [[2.0]], 1.5)], "a array<array<double>>, b array<array<double>>, tr double")
+    assert [r[0] for r in frame.select(arrays.repetition_time(F.col("tr"))).collect()] == [2.0, 1.5]
+    assert all(r[0] for r in frame.select(arrays.same_shape(F.col("a"), F.col("b"))).collect())
+    with pytest.raises(Exception, match="shapes differ"):
+        frame.select(arrays.same_shape(F.col("a"), F.array(F.array(F.lit(1.0), F.lit(2.0))))).collect()
+    assert frame.select(arrays.constant_padded(F.get("a", F.lit(0)), 4, -1.0)).first()[0] == [-1, 1, -1, -1]
