@@ -10,6 +10,7 @@ documents again in a cogroup. A key occurs once per block however hot it is, so
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, or one of our own where none is set."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")).rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet and read again: smaller than a checkpoint, for wider tables."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there; a folder of our own only where none is set."""
     spark = df.sparkSession
