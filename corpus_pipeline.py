@@ -7,13 +7,10 @@ encodes what is left. ``ORACLE_SQL`` is None: trained models, XXH64 and the toke
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from signalloom.llm import mixing, pieces, queries, simhash, suffix, toxicity
-from signalloom.llm.common import table
+from signalloom.llm.common import stored, table
 
 #: Share of all tokens that mixing aims at, without repeating a document.
 KEEP = 0.9
@@ -46,12 +43,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; between stages rows are written to the shared folder of spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        docs = stored(docs) if k < len(STAGES) - 1 else docs
     return docs
