@@ -21,7 +21,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subject, parcel, x): a user's daily sums of each event type, the types numbered in order."""
     events = table(spark, sf_dir, "events")
     kinds = events.select("event_type").distinct().withColumn("parcel", F.row_number().over(Window.orderBy("event_type")) - 1)
-    cells = events.join(F.broadcast(kinds), "event_type").select(F.col("user_id").alias("subject"), "parcel", F.datediff("ts", F.lit(START).cast("date")).alias("t"), F.col("value").alias("v"))
+    cells = events.join(kinds, "event_type").select(F.col("user_id").alias("subject"), "parcel", F.datediff("ts", F.lit(START).cast("date")).alias("t"), F.col("value").alias("v"))
     return signals.dense_series(cells, DAYS, kinds)
 
 
