@@ -124,35 +124,42 @@ def _counted(batches):
         yield rows()
 
 
-def _begun(nodes: dict[str, tuple], kinds: dict[str, tuple], at: int) -> dict[str, float]:
-    """Differences of the beginnings that aren't rare, where they differ from their own beginning's."""
-    whole: dict[str, float] = {"": 0.0}
-    nodes = nodes | {"": tuple(sum(n[c] for g, n in nodes.items() if len(g) == 1) for c in range(6))}
-    for node in sorted(nodes, key=len)[1:]:
-        t, o, docs = nodes[node][at : at + 3]
-        parent = node[:-1]
-        if docs < LEAST_DOCS or parent not in whole:
-            continue
-        (all_t, all_o), (kinds_t, kinds_o) = nodes[parent][at : at + 2], kinds.get(parent, (0,) * 4)[at // 3 * 2 : at // 3 * 2 + 2]
+def _begun(nodes: list[str], counts: np.ndarray, kinds: np.ndarray, at: int) -> dict[str, float]:
+    """Differences of the beginnings that aren't rare, where they differ from their own beginning's. counts: COUNTS of each
+    node; kinds: the letters that follow its parent, as t, o, t1 and o1; at: the first of the columns to use, 0 or 3."""
+    import pandas as pd
+
+    length = np.array([len(g) for g in nodes], np.int64)
+    parent = pd.Index(nodes).get_indexer([g[:-1] for g in nodes])  # -1: the empty beginning
+    t, o, docs = (counts[:, at + c].astype(np.float64) for c in range(3))
+    k_t, k_o = (kinds[:, at // 3 * 2 + c].astype(np.float64) for c in range(2))
+    first = length == 1
+    all_t, all_o = (np.where(parent < 0, c[first].sum(), c[parent]) for c in (t, o))
+    with np.errstate(divide="ignore", invalid="ignore"):
         shared = (t + o) / (all_t + all_o)
-        p, q = ((max(c - DISCOUNT, 0) + DISCOUNT * k * shared) / n if n else shared for c, k, n in ((t, kinds_t, all_t), (o, kinds_o, all_o)))
-        whole[node] = whole[parent] + (math.log(p / q) if p > 0 and q > 0 else 0.0)
-    error = lambda g: math.sqrt(1 / (nodes[g][at] + 0.5) + 1 / (nodes[g][at + 1] + 0.5))
-    dead = {g: math.copysign(max(abs(d) - DEAD - ERRORS * error(g), 0.0), d) for g, d in whole.items()}
-    return {g: d for g, d in dead.items() if g and d != dead[g[:-1]]}
+        p = np.where(all_t > 0, (np.maximum(t - DISCOUNT, 0) + DISCOUNT * k_t * shared) / all_t, shared)
+        q = np.where(all_o > 0, (np.maximum(o - DISCOUNT, 0) + DISCOUNT * k_o * shared) / all_o, shared)
+        step = np.where((p > 0) & (q > 0), np.log(p / q), 0.0)
+    usual = docs >= LEAST_DOCS
+    whole = np.zeros(len(nodes))
+    for n in range(1, int(length.max(initial=0)) + 1):
+        own = np.flatnonzero((length == n) & usual)
+        own = own[(parent[own] < 0) | usual[parent[own]]]
+        whole[own] = step[own] + np.where(parent[own] < 0, 0.0, whole[parent[own]])
+    dead = np.sign(whole) * np.maximum(np.abs(whole) - DEAD - ERRORS * np.sqrt(1 / (t + 0.5) + 1 / (o + 0.5)), 0.0)
+    above = np.where(parent < 0, 0.0, dead[parent])
+    return {nodes[k]: float(dead[k]) for k in np.flatnonzero(usual & (dead != above)).tolist()}
 
 
 def _tables(learn: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """The models' differences from all learning documents, and from those that the logistic fit leaves."""
     counts = learn.mapInArrow(_counted, "node string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("node").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    counts = cut(counts)
-    parent = F.substring("node", F.lit(1), F.length("node") - 1)
-    kinds = counts.groupBy(parent.alias("node")).agg(*[F.count_if(F.col(c) > 0).alias(f"k_{c}") for c in ("t", "o", "t1", "o1")])
-    common = counts.where(F.col("docs") >= LEAST_DOCS)
-    got = common.collect()
-    nodes = {r[0]: tuple(r[1:]) for r in got}
-    of = {r[0]: tuple(r[1:]) for r in kinds.join(common.select("node").unionByName(counts.sparkSession.createDataFrame([("",)], "node string")), "node", "left_semi").collect()}
-    return _begun(nodes, of, 0), _begun(nodes, of, 3)
+    counts = cut(counts.withColumn("parent", F.substring("node", F.lit(1), F.length("node") - 1)))
+    kinds = counts.groupBy("parent").agg(*[F.count_if(F.col(c) > 0).alias(f"k_{c}") for c in ("t", "o", "t1", "o1")])
+    got = counts.where(F.col("docs") >= LEAST_DOCS).join(kinds, "parent").drop("parent").toArrow()
+    nodes = got.column("node").to_pylist()
+    found, follow = (np.column_stack([got.column(c).to_numpy() for c in names]) for names in (COUNTS, ("k_t", "k_o", "k_t1", "k_o1")))
+    return _begun(nodes, found, follow, 0), _begun(nodes, found, follow, 3)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:

@@ -26,7 +26,8 @@ def test_differences_by_plain_counting():
         k = kinds.setdefault(g[:-1], [0] * 4)
         for i, j in enumerate((0, 1, 3, 4)):
             k[i] += c[j] > 0
-    got = toxicity._begun(nodes, kinds, 0)
+    names = list(nodes)
+    got = toxicity._begun(names, np.array([nodes[g] for g in names]), np.array([kinds[g[:-1]] for g in names]), 0)
     total_t, total_o, d = 10, 36, toxicity.DISCOUNT
     p = (6 - d + d * 3 * 6 / 46) / total_t
     q = d * 2 * 6 / 46 / total_o
