@@ -10,6 +10,14 @@ Buckets of over ``BUCKET`` fingerprints aren't joined: their members go by exact
 differ in two bits or fewer exactly if some word is within one bit of both, and at most 65 are within one bit of a
 word, so linking the members of each midpoint to its smallest finds the same components with 65 rows a member.
 
+Wider distances (``keep_first`` takes ``WIDE`` bits: at 0.8 of shared five-word shingles, fingerprints of three words
+differ in 6 of 64 bits on average) go by keys of two segments. Among three segments with five errors or fewer, two have
+at most two each (pigeonhole), and words at most two bits apart share an index of the words one bit away; so the keys
+are all pairs of such indices, one to 36 for each two segments. Rows are sorted by key, members of a key compared, and
+of the links found in a batch only a spanning forest goes on, so a crowd of copies gives no more rows than it has
+members. At six and seven bits only pairs whose errors crowd in two segments (3 + 3 and more) can be missed. Wide links
+are verified by a second fingerprint, of five-word shingles.
+
 Edge cases: null or empty texts have fingerprint 0 and link like any other; equal fingerprints are one node, so copies
 are never expanded to pairs; repeated rows and ids give repeated rows; a null doc_id counts for a component's smallest
 only if no other id is there; extra columns are ignored by ``link`` and kept by ``keep_first``.
@@ -26,7 +34,12 @@ from pyspark.sql import functions as F
 
 from .common import byte_words, components, cut, small_batches
 
-SHINGLE, SEED, DISTANCE = 3, 42, 2
+SHINGLE, SEED, DISTANCE, WIDE = 3, 42, 2, 7
+#: Of wide links a second fingerprint, of five-word shingles, differs in so many bits at most: at a similarity of 0.8 it
+#: differs in 9.7 on average, with a deviation of 2.9.
+SECOND_SHINGLE, SECOND_SEED, SECOND_DISTANCE = 5, 7, 17
+#: Rows of a batch in which members of a key are compared.
+COMPARED = 50_000
 #: Fingerprints in a bucket up to which its pairs are compared directly.
 BUCKET = 64
 #: (shift, bits) of the segments.
@@ -35,7 +48,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The fingerprint of one text, unsigned."""
     import xxhash
 
@@ -48,23 +61,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(whole[s:e], SEED) for s, e in zip(starts, stops, strict=True)), np.uint64, n)
+    hashes = np.fromiter((digest(whole[s:e], seed) for s, e in zip(starts, stops, strict=True)), np.uint64, n)
     over = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):
         over += np.unpackbits(hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(over * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, second: bool = False) -> DataFrame:
+    """(doc_id, fp long) of every row, with a second fingerprint if asked."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            got = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            texts = batch.column(1).to_pylist()
+            columns = [batch.column(0)]
+            for words, seed in [(shingle, SEED), (SECOND_SHINGLE, SECOND_SEED)][: 1 + second]:
+                columns.append(pa.array(np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "second"][: len(columns)])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long" + ", second long" * second)
 
 
 class Golay:
@@ -125,6 +141,86 @@ def keyed(uniq: DataFrame) -> DataFrame:
     return uniq.select("fp").mapInArrow(run, "fp long, stored array<long>, probed array<long>")
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Of links (a, b) those that join what wasn't joined before."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    out = []
+    for x, y in np.unique(np.column_stack((a, b)), axis=0).tolist():
+        p, q = top(x), top(y)
+        if p != q:
+            above[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
+
+
+def near_in_runs(keys: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between fingerprints that share a key. keys are sorted."""
+    left, right, at, step = [], [], np.arange(len(keys)), 1
+    words = fps.view(np.uint64)
+    while len(at):
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        near = at[np.bitwise_count(words[at] ^ words[at + step]) <= distance]
+        left.append(fps[near])
+        right.append(fps[near + step])
+        step += 1
+    return forest(np.concatenate(left), np.concatenate(right)) if left else []
+
+
+def wide_links(uniq: DataFrame, distance: int) -> DataFrame:
+    """(a, b): links between distinct fingerprints up to so many bits apart, by keys of two segments."""
+    spark = uniq.sparkSession
+
+    def keyed_pairs(batches):
+        code = Golay()
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            parts = [((fps.view(np.uint64) >> np.uint64(s)) & np.uint64((1 << b) - 1)).astype(np.int64) for s, b in SEGMENTS]
+            near = [code.index(p[:, None] ^ np.array([0, *(1 << k for k in range(b))], np.int64)[None, :]) for p, (_, b) in zip(parts, SEGMENTS, strict=True)]
+            keys, sizes = [], []
+            for rows in zip(*near, strict=True):
+                own = [np.unique(r) for r in rows]
+                made = [(n << 24 | own[i][:, None] << 12 | own[j][None, :]).ravel() for n, (i, j) in enumerate(combinations(range(3), 2))]
+                keys += made
+                sizes.append(sum(map(len, made)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(fps, sizes))], ["key", "fp"])
+
+    def compared(batches):
+        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            keys = np.concatenate((keys, batch.column(0).to_numpy()))
+            fps = np.concatenate((fps, batch.column(1).to_numpy()))
+            done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on in the next batch
+            if done >= COMPARED:
+                yield out(near_in_runs(keys[:done], fps[:done], distance))
+                keys, fps = keys[done:], fps[done:]
+        yield out(near_in_runs(keys, fps, distance))
+
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    rows = uniq.select("fp").mapInArrow(keyed_pairs, "key long, fp long")
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(COMPARED))
+    try:
+        return cut(dealt.mapInArrow(compared, "a long, b long").distinct())
+    finally:
+        small_batches(spark)
+
+
+def verified(edges: DataFrame, uniq: DataFrame) -> DataFrame:
+    """Links whose second fingerprints agree as well: chance meetings of wide links go."""
+    of = uniq.select("fp", "second")
+    both = edges.join(of.select(F.col("fp").alias("a"), F.col("second").alias("sa")), "a").join(of.select(F.col("fp").alias("b"), F.col("second").alias("sb")), "b")
+    return both.where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SECOND_DISTANCE).select("a", "b")
+
+
 def links(uniq: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links between distinct fingerprints whose transitive closure holds every pair DISTANCE or fewer bits apart."""
     keys = cut(keyed(uniq))
@@ -139,11 +235,13 @@ def links(uniq: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(star)
 
 
-def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, fingerprint, component_id."""
-    prints = cut(fingerprints(docs, doc_id, text, shingle))
-    uniq = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = cut(components(links(uniq)))
+def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One row per document: doc_id, fingerprint, component_id. Fingerprints link at ``distance`` or fewer differing bits."""
+    wide = distance > DISTANCE
+    prints = cut(fingerprints(docs, doc_id, text, shingle, wide))
+    uniq = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), *[F.min("second").alias("second")] * wide)
+    found = verified(wide_links(uniq, distance), uniq) if wide else links(uniq)
+    roots = cut(components(found))
     classes = roots.join(uniq, roots.node == uniq.fp)
     least = classes.groupBy("root").agg(F.min("first").alias("least"))
     mapped = classes.join(least, "root").select("fp", "least")
@@ -152,9 +250,9 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     return prints.join(full, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = WIDE) -> DataFrame:
     """The documents whose id is their component's smallest; of repeated rows of one id, one row; a null id stays."""
-    linked = cut(link(docs, doc_id, text))
+    linked = cut(link(docs, doc_id, text, distance=distance))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
     kept = linked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     again = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
