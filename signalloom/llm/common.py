@@ -56,6 +56,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def whole_row(docs: DataFrame):
+    """A struct of all columns of docs, so that no name of theirs can clash with ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def held_out(doc_id="doc_id"):
     """True for documents that no model learns from: crc32 of the decimal id, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -152,20 +157,19 @@ REQUEST = "_bucket long, _block long, _keys binary, _facts binary"
 REPLY = "_block long, _bucket long, _answer binary"
 
 
-def requests(block: int, keys: np.ndarray, facts: np.ndarray, buckets: int) -> pa.Table:
-    """Rows for the buckets, from a block's distinct sorted keys and a fact for each."""
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of keys by bucket, the buckets that have any, where each starts in that order, and the end)."""
     where = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(where, kind="stable")
-    ends = np.cumsum(np.bincount(where, minlength=buckets))
-    rows = [[], [], [], []]
-    start = 0
-    for bucket, end in enumerate(ends):
-        if end > start:
-            own = order[start:end]
-            for column, value in zip(rows, (bucket, block, pack(keys[own]), facts[own].tobytes()), strict=True):
-                column.append(value)
-        start = end
-    return pa.table({"_bucket": pa.array(rows[0], pa.int64()), "_block": pa.array(rows[1], pa.int64()), "_keys": pa.array(rows[2], pa.binary()), "_facts": pa.array(rows[3], pa.binary())})
+    there, starts = np.unique(where[order], return_index=True)
+    return order, there, np.append(starts, len(keys))
+
+
+def requests(block: int, keys: np.ndarray, facts: np.ndarray, buckets: int) -> pa.Table:
+    """Rows for the buckets, from a block's distinct sorted keys and a fact for each."""
+    order, there, starts = _dealt(keys, buckets)
+    own = [order[s:e] for s, e in zip(starts[:-1], starts[1:], strict=True)]
+    return pa.table({"_bucket": pa.array(there, pa.int64()), "_block": pa.array(np.full(len(there), block, np.int64)), "_keys": pa.array([pack(keys[o]) for o in own], pa.binary()), "_facts": pa.array([facts[o].tobytes() for o in own], pa.binary())})
 
 
 def merged(rows: pa.Table, dtype) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,12 +189,10 @@ def replies(got: list, sizes: np.ndarray, answer: np.ndarray) -> pa.Table:
 def answers(rows: pa.Table, keys: np.ndarray, buckets: int, dtype) -> np.ndarray:
     """The buckets' answers, in the order of the block's distinct sorted keys."""
     out = np.zeros(len(keys), dtype)
-    where = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(where, kind="stable")
-    ends = np.cumsum(np.bincount(where, minlength=buckets))
+    order, there, starts = _dealt(keys, buckets)
+    at = {bucket: slice(s, e) for bucket, s, e in zip(there.tolist(), starts[:-1], starts[1:], strict=True)}
     for r in rows.select(["_bucket", "_answer"]).to_pylist():
-        b = r["_bucket"]
-        out[order[(ends[b - 1] if b else 0) : ends[b]]] = np.frombuffer(r["_answer"], dtype)
+        out[order[at[r["_bucket"]]]] = np.frombuffer(r["_answer"], dtype)
     return out
 
 

@@ -126,7 +126,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             rows = [(n, i := np.flatnonzero(f).astype(np.uint16), f[i]) for n, f, t in zip(batch.column(0).to_pylist(), found, told, strict=True) if t]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], ["lang", "at", "counts"])
 
-    got = chosen.mapInArrow(run, "lang string, at binary, counts binary").orderBy("lang", "at", "counts").collect()
+    got = chosen.mapInArrow(run, "lang string, at binary, counts binary").collect()
+    got.sort(key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
     if not got:
         return Model([], np.zeros((0, dimensions), np.float32), np.ones(dimensions, np.float32), {})
     dense = np.zeros((len(got), dimensions), np.float32)

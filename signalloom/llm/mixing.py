@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, whole_row
 
 SWEEPS, CUT, ALPHA = 12, 3, 0.7
 NONE = "(none)"
@@ -41,7 +41,7 @@ MARGINALS = ("source", "lang", "topic")
 def with_cells(docs: DataFrame, text: str = "text") -> DataFrame:
     """(row, source, lang, topic, tokens): documents with their cell; row holds all their columns."""
     own = [F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"), topic_of(F.col(text)).alias("topic"), tokens_of(F.col(text)).alias("tokens")]
-    return docs.select(F.struct(*docs.columns).alias("row"), *own)
+    return docs.select(whole_row(docs), *own)
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, sweeps: int = SWEEPS) -> DataFrame:

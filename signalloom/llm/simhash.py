@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_words, components, cut, small_batches
+from .common import byte_words, components, cut, small_batches, whole_row
 
 SHINGLE, SEED, DISTANCE, WIDE = 3, 42, 2, 7
 #: Of wide links a second fingerprint, of five-word shingles, differs in so many bits at most: at a similarity of 0.8 it
@@ -253,7 +253,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = WIDE) -> DataFrame:
     """The documents whose id is their component's smallest; of repeated rows of one id, one row; a null id stays."""
     linked = cut(link(docs, doc_id, text, distance=distance))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
+    rows = docs.select(whole_row(docs), F.col(doc_id).cast("long").alias("doc_id"))
     kept = linked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     again = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     out = rows.join(kept, "doc_id", "left_semi")

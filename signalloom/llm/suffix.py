@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REPLY, REQUEST, answers, bucket_count, hashed_words, in_blocks, merged, n_blocks, replies, requests, small_batches, sorted_block, window_hashes
+from .common import REPLY, REQUEST, answers, bucket_count, hashed_words, in_blocks, merged, n_blocks, replies, requests, small_batches, sorted_block, whole_row, window_hashes
 
 LENGTH, ANCHOR = 50, 8
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -175,7 +175,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, do
     space stays go; documents without repeats stay as they are."""
     small_batches(docs.sparkSession)
     names = docs.columns
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*names).alias("row"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), whole_row(docs))
     blocked, suffixes, windows, buckets = _exchange(rows, length, anchor)
 
     def rewrite(key, rows, back):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, small_batches
+from .common import cut, held_out, small_batches, whole_row
 
 SAMPLE, DISCOUNT, LEAST_DOCS, DEAD, ERRORS, PAD, LONGEST = 12_000, 0.75, 5, 1.0, 2.0, 20.0, 10
 #: Ends a word; no word holds it.
@@ -194,8 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(model.differences(batch.column(0).to_pylist()), pa.float64()), batch.column(1)], ["x", "y"])
 
-    got = learn.where("not kept").select("text", "toxic").mapInArrow(run, "x double, y boolean").orderBy("x", "y").collect()
-    x, y = np.array([r[0] for r in got]), np.array([float(r[1]) for r in got])
+    got = learn.where("not kept").select("text", "toxic").mapInArrow(run, "x double, y boolean").collect()
+    x, y = np.array(sorted((r[0], float(r[1])) for r in got)).reshape(-1, 2).T
     if not len(y) or y.min() == y.max():
         return Model()
     return Model(begun, *_logistic(x, y))
@@ -223,4 +223,4 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs without those predicted toxic."""
     small_batches(docs.sparkSession)
-    return _scored(docs.select(F.struct(*docs.columns).alias("row")), model, text).where("score < 0.5").select("row.*")
+    return _scored(docs.select(whole_row(docs)), model, text).where("score < 0.5").select("row.*")
