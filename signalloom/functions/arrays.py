@@ -118,8 +118,8 @@ def validate(m, rows: int, min_length: int = 1) -> Column:
     ragged = F.exists(m, lambda r: r.isNull() | (F.size(r) != wide))
     message = (
         F.when(m.isNull() | (F.size(m) == 0), "Data is missing")
-        .when(F.coalesce(ragged, F.lit(True)), "Expected a 2D matrix")
-        .when((F.size(m) != rows) & (wide != rows), F.concat(F.lit(f"Expected {rows} rows on either axis, got "), F.size(m).cast("string"), F.lit("x"), wide.cast("string")))
+        .when(F.coalesce(ragged, F.lit(True)), "Expected 2D array")
+        .when((F.size(m) != rows) & (wide != rows), F.concat(F.lit(f"Expected {rows} parcels, got shape ("), F.size(m).cast("string"), F.lit(", "), wide.cast("string"), F.lit(")")))
         .when(wide < min_length, "Series too short")
         .when(missing > 0, F.concat(F.lit("Data contains "), missing.cast("string"), F.lit(" NaN values")))
         .when(F.coalesce(infinite, F.lit(False)), "Data contains infinite values")

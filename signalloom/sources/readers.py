@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 
 #: Words that mark a column as cognitive, and motion columns of a confounds table.
-COGNITIVE_WORDS = ("iq", "cognition", "cognitive", "intelligence", "fluid", "memory", "raven", "score")
+COGNITIVE_WORDS = ("ist_", "neo_", "stai", "bas", "bis", "iq", "memory", "fluid")
 MOTION = ("trans_x", "trans_y", "trans_z", "rot_x", "rot_y", "rot_z")
+#: Fields that a run's metadata must have; one of the groups of subject counts; fields that it should have.
+REQUIRED = ("timestamp", "model", "data_dir")
+COUNTS = (("n_subjects",), ("n_train", "n_test"))
+RECOMMENDED = ("seed", "deterministic", "model_size", "device")
 
 
 def _present(read, what: str) -> DataFrame:
@@ -113,3 +117,19 @@ def confounds(spark: SparkSession, path: str, columns: tuple[str, ...] = MOTION)
 
 def cognitive_columns(frame: DataFrame, words: tuple[str, ...] = COGNITIVE_WORDS) -> list[str]:
     return [c for c in frame.columns if any(w in c.lower() for w in words)]
+
+
+def metadata_issues(spark: SparkSession, root: str, required: tuple[str, ...] = REQUIRED, counts: tuple[tuple[str, ...], ...] = COUNTS, recommended: tuple[str, ...] = RECOMMENDED) -> DataFrame:
+    """(folder, issues, advice): what the metadata of each run folder under root lacks; no issues if it is as it should be."""
+    found = runs(spark, root)
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").text(root)
+    parsed = texts.select(F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1).alias("folder"), F.json_object_keys("value").alias("keys"))
+    names = lambda fields: F.array(*[F.lit(f) for f in fields])
+    lacking = F.array_except(names(required), "keys")
+    counted = F.lit(False)
+    for group in counts:
+        counted = counted | (F.size(F.array_except(names(group), "keys")) == 0)
+    none = F.array().cast("array<string>")
+    issues = F.concat(F.when(F.size(lacking) > 0, F.array(F.concat(F.lit("Missing required fields: "), F.array_join(lacking, ", ")))).otherwise(none), F.when(counted, none).otherwise(F.array(F.lit("Missing subject count"))))
+    issues = F.when(~F.col("has_metadata"), F.array(F.lit("metadata.json not found"))).when(F.col("keys").isNull(), F.array(F.lit("Invalid JSON"))).otherwise(issues)
+    return found.join(parsed, "folder", "left").select("folder", issues.alias("issues"), F.coalesce(F.array_except(names(recommended), "keys"), none).alias("advice"))

@@ -70,7 +70,7 @@ def test_matrix_shapes(spark):
 
 @pytest.mark.parametrize(
     ("m", "message"),
-    [([[1.0, 2.0], [3.0, 4.0]], "Valid"), ([[1.0, 2.0, 3.0]] * 3, "Expected 2 rows on either axis, got 3x3"), ([[1.0, float("nan")], [1.0, float("nan")]], "Data contains 2 NaN values"), ([[1.0, float("inf")], [1.0, 2.0]], "Data contains infinite values"), ([[1.0], [1.0, 2.0]], "Expected a 2D matrix")],
+    [([[1.0, 2.0], [3.0, 4.0]], "Valid"), ([[1.0, 2.0, 3.0]] * 3, "Expected 2 parcels, got shape (3, 3)"), ([[1.0, float("nan")], [1.0, float("nan")]], "Data contains 2 NaN values"), ([[1.0, float("inf")], [1.0, 2.0]], "Data contains infinite values"), ([[1.0], [1.0, 2.0]], "Expected 2D array")],
 )
 def test_validate(spark, m, message):
     got = one(spark, arrays.validate(F.col("m"), 2), m=m)

@@ -117,3 +117,18 @@ def test_stateful_totals_and_duplicates(spark, tmp_path):
         query.awaitTermination()
     assert {tuple(r) for r in spark.table("totals").collect()} == {(1, 2, 4.0), (2, 1, 5.0)}
     assert spark.table("unique").count() == 2
+
+
+def test_metadata_issues(spark, tmp_path):
+    good = {"timestamp": "t", "model": "m", "data_dir": "d", "n_train": 1, "n_test": 2, "seed": 42, "deterministic": True, "model_size": "s", "device": "cpu"}
+    cases = {"good": json.dumps(good), "few": json.dumps({"model": "m", "n_train": 1}), "bad": "{", "none": None}
+    for name, text in cases.items():
+        (tmp_path / name).mkdir()
+        if text is None:
+            (tmp_path / name / "results.csv").write_text("x")
+        else:
+            (tmp_path / name / "metadata.json").write_text(text)
+    got = {r.folder.rsplit("/", 1)[1]: (r.issues, r.advice) for r in readers.metadata_issues(spark, str(tmp_path)).collect()}
+    assert got["good"] == ([], [])
+    assert got["few"] == (["Missing required fields: timestamp, data_dir", "Missing subject count"], ["seed", "deterministic", "model_size", "device"])
+    assert got["bad"][0] == ["Invalid JSON"] and got["none"][0] == ["metadata.json not found"]
