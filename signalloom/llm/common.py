@@ -142,15 +142,23 @@ def bucket_count(spark: SparkSession, keys: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(keys // BUCKET_KEYS) + 1)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Values with their first bytes first, then their second ones and so on: the high bytes of small values are runs of
+    zeros, which the shuffle's codec shortens."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def from_planes(packed: bytes, dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1)
+
+
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as byte planes of their differences, which the shuffle's codec can shorten."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted keys by their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    gaps = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
-    return np.cumsum(gaps, dtype=np.uint64)
+    return np.cumsum(from_planes(packed, np.uint64), dtype=np.uint64)
 
 
 REQUEST = "_bucket long, _block long, _keys binary, _facts binary"
@@ -169,21 +177,21 @@ def requests(block: int, keys: np.ndarray, facts: np.ndarray, buckets: int) -> p
     """Rows for the buckets, from a block's distinct sorted keys and a fact for each."""
     order, there, starts = _dealt(keys, buckets)
     own = [order[s:e] for s, e in zip(starts[:-1], starts[1:], strict=True)]
-    return pa.table({"_bucket": pa.array(there, pa.int64()), "_block": pa.array(np.full(len(there), block, np.int64)), "_keys": pa.array([pack(keys[o]) for o in own], pa.binary()), "_facts": pa.array([facts[o].tobytes() for o in own], pa.binary())})
+    return pa.table({"_bucket": pa.array(there, pa.int64()), "_block": pa.array(np.full(len(there), block, np.int64)), "_keys": pa.array([pack(keys[o]) for o in own], pa.binary()), "_facts": pa.array([planes(facts[o]) for o in own], pa.binary())})
 
 
 def merged(rows: pa.Table, dtype) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A bucket's rows, by block: (rows as dicts, all keys in their order, the facts, the block of each, number of each key)."""
     got = sorted(rows.select(["_block", "_bucket", "_keys", "_facts"]).to_pylist(), key=lambda r: r["_block"])
     keys = [unpack(r["_keys"]) for r in got]
-    facts = np.concatenate([np.frombuffer(r["_facts"], dtype) for r in got])
+    facts = np.concatenate([from_planes(r["_facts"], dtype) for r in got])
     blocks = np.repeat(np.array([r["_block"] for r in got], np.int64), [len(k) for k in keys])
     return got, np.concatenate(keys), facts, blocks, np.array([len(k) for k in keys], np.int64)
 
 
 def replies(got: list, sizes: np.ndarray, answer: np.ndarray) -> pa.Table:
     ends = np.cumsum(sizes)
-    return pa.table({"_block": pa.array([r["_block"] for r in got], pa.int64()), "_bucket": pa.array([r["_bucket"] for r in got], pa.int64()), "_answer": pa.array([answer[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())})
+    return pa.table({"_block": pa.array([r["_block"] for r in got], pa.int64()), "_bucket": pa.array([r["_bucket"] for r in got], pa.int64()), "_answer": pa.array([planes(answer[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.binary())})
 
 
 def answers(rows: pa.Table, keys: np.ndarray, buckets: int, dtype) -> np.ndarray:
@@ -192,7 +200,7 @@ def answers(rows: pa.Table, keys: np.ndarray, buckets: int, dtype) -> np.ndarray
     order, there, starts = _dealt(keys, buckets)
     at = {bucket: slice(s, e) for bucket, s, e in zip(there.tolist(), starts[:-1], starts[1:], strict=True)}
     for r in rows.select(["_bucket", "_answer"]).to_pylist():
-        out[order[at[r["_bucket"]]]] = np.frombuffer(r["_answer"], dtype)
+        out[order[at[r["_bucket"]]]] = from_planes(r["_answer"], dtype)
     return out
 
 
