@@ -14,7 +14,6 @@ ties go to the first language in order; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +24,15 @@ from pyspark.sql import functions as F
 from .common import held_out, small_batches
 
 DIMENSIONS, SAMPLE, CENTROIDS, LEAST_SHARE, REJECTED = 4096, 1200, 4, 0.08, 0.005
-LETTER = re.compile(r"[^\W\d_]")
 _BLANK = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: Bytes of text whose trigrams are in memory at a time.
 PIECE = 1 << 20
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def trigram_counts(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray:
     """len(texts) x dimensions counts of hashed trigrams of whole texts."""
     out = np.zeros((len(texts), dimensions), np.float32)
@@ -99,7 +101,7 @@ class Model:
         return unit(np.log1p(trigram_counts(texts, len(self.idf))) * self.idf)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
-        told = [bool(t and LETTER.search(t)) for t in texts]
+        told = [has_letter(t) for t in texts]
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
         cosine = self.vectors(texts) @ self.matrix.T
@@ -121,7 +123,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            told = [bool(LETTER.search(t)) for t in texts]
+            told = [has_letter(t) for t in texts]
             found = trigram_counts(texts, dimensions)
             rows = [(n, i := np.flatnonzero(f).astype(np.uint16), f[i]) for n, f, t in zip(batch.column(0).to_pylist(), found, told, strict=True) if t]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], ["lang", "at", "counts"])
