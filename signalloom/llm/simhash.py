@@ -141,36 +141,39 @@ def keyed(uniq: DataFrame) -> DataFrame:
     return uniq.select("fp").mapInArrow(run, "fp long, stored array<long>, probed array<long>")
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of links (a, b) those that join what wasn't joined before."""
-    above: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := above.get(x, x)) != x:
-            above[x] = x = above.get(up, up)
-        return x
-
-    out = []
-    for x, y in np.unique(np.column_stack((a, b)), axis=0).tolist():
-        p, q = top(x), top(y)
-        if p != q:
-            above[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
-
-
 def near_in_runs(keys: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between fingerprints that share a key. keys are sorted."""
-    left, right, at, step = [], [], np.arange(len(keys)), 1
-    words = fps.view(np.uint64)
+    """A spanning forest of the links between fingerprints that share a key. keys are sorted. Members of a run are
+    compared at growing steps; pairs that are joined already aren't looked at, so memory stays linear in the rows."""
+    nodes, number = np.unique(fps, return_inverse=True)
+    words, root = nodes.view(np.uint64), np.arange(len(nodes))
+    out, at, step = [], np.arange(len(keys)), 1
     while len(at):
         at = at[at + step < len(keys)]
         at = at[keys[at] == keys[at + step]]
-        near = at[np.bitwise_count(words[at] ^ words[at + step]) <= distance]
-        left.append(fps[near])
-        right.append(fps[near + step])
+        i, j = number[at], number[at + step]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        near = np.bitwise_count(words[i] ^ words[j]) <= distance
+        i, j = i[near], j[near]
+        if len(i):
+            above: dict[int, int] = {}
+
+            def top(x: int, above=above) -> int:
+                while x in above:
+                    x = above[x]
+                return x
+
+            for x, y, r, s in zip(i.tolist(), j.tolist(), root[i].tolist(), root[j].tolist(), strict=True):
+                p, q = top(r), top(s)
+                if p != q:
+                    above[max(p, q)] = min(p, q)
+                    out.append((int(nodes[x]), int(nodes[y])))
+            moved = np.arange(len(nodes))
+            for r in above:
+                moved[r] = top(r)
+            root = moved[root]
         step += 1
-    return forest(np.concatenate(left), np.concatenate(right)) if left else []
+    return out
 
 
 def wide_links(uniq: DataFrame, distance: int) -> DataFrame:
