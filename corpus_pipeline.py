@@ -5,7 +5,7 @@ document keeps, mixing samples documents towards tempered shares of source, lang
 encodes what is left. All stages but the last return the columns of documents, whatever they are.
 
 Edge cases: null and empty texts are never toxic, have equal fingerprints (one of them stays), no repeats and no
-tokens, so mixing leaves them; null ids stay through SimHash and can be sampled; of repeated rows of an id one stays;
+tokens, so mixing doesn't take them; null ids stay through SimHash and can be sampled; of repeated rows of an id one stays;
 an empty table gives an empty result. ``ORACLE_SQL`` is None: trained models, XXH64 and the tokenizer can't be said in SQL.
 """
 
