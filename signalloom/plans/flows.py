@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import connectivity, factor, kernel, krr, metrics, relational, spd
+from ..sources import sinks
 
 
 def prepare_targets(participants: DataFrame, key: str, variables: list[str], scanned: DataFrame | None = None, n_train: int | None = None, n_test: int | None = None, test: float = 0.2, seed: int = 42) -> tuple[DataFrame, factor.Factor]:
@@ -67,3 +68,25 @@ def analyse(results: DataFrame, names: list[str]) -> dict[str, DataFrame]:
     rows = relational.without_summary_rows(results)
     tables = {"summary": metrics.summary(rows, names), "ranking": metrics.cv_ranking(rows, names), "correlations": metrics.starred(metrics.correlation_matrix(rows, names)), "zscores": metrics.zscores(rows, names, ["subject"]), "box": metrics.box(rows, names)}
     return tables | {f"histogram_{n}": metrics.histogram(rows, n) for n in names}
+
+
+def save_comparison(results: DataFrame, folder: str, metadata: dict) -> None:
+    """A comparison's results as CSV, in long form (method, metric, value) too, its metadata as JSON, and a text report."""
+    names = [c for c, kind in results.dtypes if kind in ("double", "bigint", "int") and c != "method"]
+    wide = results.select("method", *[F.col(c).cast("double").alias(c) for c in names]).persist()
+    try:
+        sinks.write_results(results, f"{folder}/results.csv")
+        sinks.write_results(metrics.unpivoted(wide, names, ["method"]), f"{folder}/metrics.csv")
+        sinks.write_metadata(results.sparkSession, metadata, f"{folder}/metadata.json")
+        lines = wide.select(F.concat_ws(": ", F.col("method"), F.concat_ws(", ", *[F.format_string(f"{c}=%.4f", c) for c in names])).alias("value"))
+        lines.coalesce(1).write.mode("overwrite").text(f"{folder}/README.txt")
+    finally:
+        wide.unpersist()
+
+
+def save_reconstruction(pairs: DataFrame, folder: str, metadata: dict) -> None:
+    """The metrics of each subject and their summary as two tables, and the metadata with the number of subjects."""
+    rows, table = reconstruction_report(pairs)
+    sinks.write_results(rows, f"{folder}/results.csv")
+    sinks.write_results(table, f"{folder}/summary.csv")
+    sinks.write_metadata(pairs.sparkSession, {"n_subjects": rows.count(), **metadata}, f"{folder}/metadata.json")

@@ -132,3 +132,17 @@ def test_metadata_issues(spark, tmp_path):
     assert got["good"] == ([], [])
     assert got["few"] == (["Missing required fields: timestamp, data_dir", "Missing subject count"], ["seed", "deterministic", "model_size", "device"])
     assert got["bad"][0] == ["Invalid JSON"] and got["none"][0] == ["metadata.json not found"]
+
+
+def test_saved_comparison_and_reconstruction(spark, tmp_path):
+    from signalloom.plans import flows
+
+    results = spark.createDataFrame([("fc_input", 0.25, 10), ("cls", -0.5, 10)], "method string, pearson_r double, n_test long")
+    flows.save_comparison(results, str(tmp_path / "c"), {"model": "m", "timestamp": "t", "data_dir": "d"})
+    assert spark.read.option("header", True).csv(str(tmp_path / "c/results.csv")).count() == 2
+    assert spark.read.option("header", True).csv(str(tmp_path / "c/metrics.csv")).count() == 4
+    assert {r.value for r in spark.read.text(str(tmp_path / "c/README.txt")).collect()} == {"fc_input: pearson_r=0.2500, n_test=10.0000", "cls: pearson_r=-0.5000, n_test=10.0000"}
+    pairs = spark.createDataFrame([("a", [[1.0, 2.0, 4.0], [3.0, 1.0, 0.0]], [[1.0, 2.0, 4.0], [3.0, 1.0, 0.0]])], "subject string, original array<array<double>>, rebuilt array<array<double>>")
+    flows.save_reconstruction(pairs, str(tmp_path / "r"), {"model": "m"})
+    assert json.loads(spark.read.text(str(tmp_path / "r/metadata.json")).first().value)["n_subjects"] == 1
+    assert float(spark.read.option("header", True).csv(str(tmp_path / "r/results.csv")).first().mse) == 0
