@@ -491,7 +491,7 @@ def metadata_validate(spark, sf_dir):
     return frame.select("event_id", F.when(F.json_object_keys("props").isNull(), "invalid JSON").when(F.size(lacking) > 0, F.concat(F.lit("missing: "), F.array_join(lacking, ", "))).otherwise("valid").alias("message"))
 
 
-@query("select count_if(o_orderstatus = 'F') as success, count_if(o_orderstatus <> 'F') as failed, round(count_if(o_orderstatus = 'F') / count(*), 6) + 0.0 as rate from orders")
+@query("select count_if(o_orderstatus = 'F')::bigint as success, count_if(o_orderstatus <> 'F')::bigint as failed, round(count_if(o_orderstatus = 'F') / count(*), 6) + 0.0 as rate from orders")
 def progress_counters(spark, sf_dir):
     done = views.table(spark, sf_dir, "orders").withColumn("ok", F.col("o_orderstatus") == "F")
     return metrics.progress(done, "ok").withColumn("rate", r6("rate"))
