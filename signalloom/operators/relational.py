@@ -71,7 +71,8 @@ def missing_fields(frame: DataFrame, text: str, required: list[str]) -> F.Column
 
 
 def random_split(frame: DataFrame, order: list, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``split``: the first ceil(test n) places of the seeded legacy permutation are the test set."""
+    """Adds ``split``: the first ceil(test n) places of the seeded legacy permutation are the test set. The permutation is
+    made on the driver: this is for cohorts; ``hash_split`` is for tables of any size."""
     n = frame.count()
     chosen = np.random.RandomState(seed).permutation(n)[: int(np.ceil(test * n))]
     places = frame.sparkSession.createDataFrame([(int(p),) for p in chosen], "pos long")
@@ -96,7 +97,7 @@ def fold_of(n: int, folds: int = 5, seed: int | None = 42) -> np.ndarray:
 
 
 def with_folds(frame: DataFrame, order: list, folds: int = 5, seed: int | None = 42) -> DataFrame:
-    """Adds ``pos`` and ``fold``. The fold table has a small row for each entity."""
+    """Adds ``pos`` and ``fold``. The fold table has a small row for each entity and is made on the driver: for cohorts."""
     table = fold_of(frame.count(), folds, seed)
     rows = frame.sparkSession.createDataFrame([(i, int(f)) for i, f in enumerate(table)], "pos long, fold int")
     return numbered(frame, order).join(rows, "pos")
