@@ -15,8 +15,9 @@ differ in 6 of 64 bits on average) go by keys of two segments. Among three segme
 at most two each (pigeonhole), and words at most two bits apart share an index of the words one bit away; so the keys
 are all pairs of such indices, one to 36 for each two segments. Rows are sorted by key, members of a key compared, and
 of the links found in a batch only a spanning forest goes on, so a crowd of copies gives no more rows than it has
-members. At six and seven bits only pairs whose errors crowd in two segments (3 + 3 and more) can be missed. Wide links
-are verified by a second fingerprint, of five-word shingles.
+members. Beyond five bits only pairs whose errors crowd in two segments (3 + 3 and more) can be missed: of links among
+24,936 documents the keys found 95 % at seven bits, 90 % at eight and 82 % at nine. Wide links are verified by a second
+fingerprint, of five-word shingles.
 
 Edge cases: null or empty texts have fingerprint 0 and link like any other; equal fingerprints are one node, so copies
 are never expanded to pairs; repeated rows and ids give repeated rows; a null doc_id counts for a component's smallest
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_words, components, cut, small_batches, whole_row
 
-SHINGLE, SEED, DISTANCE, WIDE = 3, 42, 2, 7
+SHINGLE, SEED, DISTANCE, WIDE = 3, 42, 2, 9
 #: Of wide links a second fingerprint, of five-word shingles, differs in so many bits at most: at a similarity of 0.8 it
 #: differs in 9.7 on average, with a deviation of 2.9.
 SECOND_SHINGLE, SECOND_SEED, SECOND_DISTANCE = 5, 7, 17
