@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, small_batches, whole_row
+from .common import Vocabulary, cut, held_out, small_batches, whole_row
 
 SAMPLE, DISCOUNT, LEAST_DOCS, DEAD, ERRORS, PAD, LONGEST = 12_000, 0.75, 5, 1.0, 2.0, 20.0, 10
 #: Ends a word; no word holds it.
 END = "\0"
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() or c == 39 else 32 for c in range(256))
 #: Beginnings in a worker's table before it is sent on, and words whose difference a worker remembers.
-HELD, KNOWN = 300_000, 300_000
+HELD, KNOWN = 120_000, 100_000
 
 
 def words(text: str | None) -> list[str]:
@@ -93,11 +93,10 @@ COUNTS = ("t", "o", "docs", "t1", "o1", "docs1")  # of all learning documents, a
 
 def _counted(batches):
     """Beginnings with their counts in toxic and ordinary documents, and the number of documents."""
-    held: dict[str, list] = {}
+    held, table = Vocabulary(), np.zeros((HELD, 6), np.int64)
 
     def rows():
-        got = np.array(list(held.values()), np.int64).reshape(-1, 6)
-        return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), *(pa.array(got[:, c]) for c in range(6))], ["node", *COUNTS])
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), *(pa.array(table[: len(held), c].copy()) for c in range(6))], ["node", *COUNTS])
 
     for batch in batches:
         for text, toxic, kept in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
@@ -107,19 +106,17 @@ def _counted(batches):
                     nodes[w[:k]] += c
                 if len(w) <= LONGEST:
                     nodes[w + END] += c
-            for g, c in nodes.items():
-                r = held.get(g)
-                if r is None:
-                    held[g] = r = [0] * 6
-                at = 0 if toxic else 1
-                r[at] += c
-                r[2] += 1
-                if kept:
-                    r[3 + at] += c
-                    r[5] += 1
-            if len(held) > HELD:
+            own = np.fromiter(map(held.__getitem__, nodes), np.int64, len(nodes))
+            while len(held) > len(table):
+                table = np.concatenate((table, np.zeros_like(table)))
+            counts, at = np.fromiter(nodes.values(), np.int64, len(nodes)), 0 if toxic else 1
+            for first in (0, 3)[: 1 + kept]:
+                table[own, first + at] += counts
+                table[own, first + 2] += 1
+            if len(held) > HELD // 2:
                 yield rows()
                 held.clear()
+                table[:] = 0
     if held:
         yield rows()
 
