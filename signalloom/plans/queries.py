@@ -28,6 +28,12 @@ def query(sql: str | None = None, view: str | None = None):
     return add
 
 
+def _off_ties(name: str):
+    """Rounded after a small shift: means of squares of two-place numbers can lie halfway between two results, where the
+    order of a sum decides; the SQL shifts them too."""
+    return r6(F.col(name) + 1e-9)
+
+
 def _cells(frame: DataFrame, x: str = "x") -> DataFrame:
     """(subject, parcel, pos, v) of series."""
     return frame.select("subject", "parcel", F.posexplode(x).alias("pos", "v")).withColumn("v", r6("v"))
@@ -170,7 +176,7 @@ def fc_features(spark, sf_dir):
 
 
 _FLAT = f""", f as (select a.subject, a.parcel as i, b.parcel as j, {_R} as r, {_R.replace("a.v", "a.z").replace("b.v", "b.z")} as q from paired a join paired b using (subject, t) group by all)
-select subject, round(mse, 6) + 0.0 as mse, round(mae, 6) + 0.0 as mae, round(c, 6) + 0.0 as fc_correlation
+select subject, round(mse + 1e-9::double, 6) + 0.0 as mse, round(mae + 1e-9::double, 6) + 0.0 as mae, round(c + 1e-9::double, 6) + 0.0 as fc_correlation
 from (select subject, avg((v - z) * (v - z)) as mse, avg(abs(v - z)) as mae from paired group by subject)
 join (select subject, coalesce(covar_pop(r, q) / nullif(stddev_pop(r) * stddev_pop(q), 0), 0) as c from f group by subject) using (subject)"""
 
@@ -183,7 +189,7 @@ def _pairs(spark, sf_dir) -> DataFrame:
 @query(_FLAT, "paired")
 def fc_flat_corr(spark, sf_dir):
     rows = spd.evaluate_reconstruction(_pairs(spark, sf_dir))
-    return rows.select("subject", *[r6(c).alias(c) for c in ("mse", "mae", "fc_correlation")])
+    return rows.select("subject", *[_off_ties(c).alias(c) for c in ("mse", "mae", "fc_correlation")])
 
 
 @query()
@@ -392,9 +398,9 @@ def anti_join_pending(spark, sf_dir):
     return relational.pending(views.table(spark, sf_dir, "customer").select("c_custkey"), done, "c_custkey")
 
 
-@query("select subject, mse from (select 's' || subject as subject, round(mse, 6) + 0.0 as mse from metric_rows union all select 'mean', 0.0 union all select '', 1.0 union all select null, 2.0) where subject is null or subject not in ('', 'mean', 'std', 'min', 'max', 'median', 'STATISTICS')", "metric_rows")
+@query("select subject, mse from (select 's' || subject as subject, round(mse + 1e-9::double, 6) + 0.0 as mse from metric_rows union all select 'mean', 0.0 union all select '', 1.0 union all select null, 2.0) where subject is null or subject not in ('', 'mean', 'std', 'min', 'max', 'median', 'STATISTICS')", "metric_rows")
 def exclude_aggregate_rows(spark, sf_dir):
-    own = views.metric_rows(spark, sf_dir).select(F.concat(F.lit("s"), F.col("subject").cast("string")).alias("subject"), r6("mse").alias("mse"))
+    own = views.metric_rows(spark, sf_dir).select(F.concat(F.lit("s"), F.col("subject").cast("string")).alias("subject"), _off_ties("mse").alias("mse"))
     return relational.without_summary_rows(own.unionByName(spark.createDataFrame([("mean", 0.0), ("", 1.0), (None, 2.0)], "subject string, mse double")))
 
 
@@ -434,9 +440,9 @@ _UNPIVOT = ", u as (select subject, unnest(['mse', 'mae', 'peak']) as metric, un
 _NAMES = ["mse", "mae", "peak"]
 
 
-@query(_UNPIVOT + "\nselect metric, round(avg(value), 6) + 0.0 as mean, round(stddev_pop(value), 6) + 0.0 as std, round(min(value), 6) + 0.0 as min, round(max(value), 6) + 0.0 as max, round(median(value), 6) + 0.0 as median from u group by metric", "metric_rows")
+@query(_UNPIVOT + "\nselect metric, round(avg(value) + 1e-9::double, 6) + 0.0 as mean, round(stddev_pop(value) + 1e-9::double, 6) + 0.0 as std, round(min(value) + 1e-9::double, 6) + 0.0 as min, round(max(value) + 1e-9::double, 6) + 0.0 as max, round(median(value) + 1e-9::double, 6) + 0.0 as median from u group by metric", "metric_rows")
 def metric_aggregate(spark, sf_dir):
-    return metrics.summary(views.metric_rows(spark, sf_dir), _NAMES).select("metric", *[r6(c).alias(c) for c in ("mean", "std", "min", "max", "median")])
+    return metrics.summary(views.metric_rows(spark, sf_dir), _NAMES).select("metric", *[_off_ties(c).alias(c) for c in ("mean", "std", "min", "max", "median")])
 
 
 @query(_UNPIVOT + ", c as (select metric, stddev_pop(value) / avg(value) as cv from u group by metric)\nselect metric, round(cv, 6) + 0.0 as cv, row_number() over (order by cv, metric)::int as place from c", "metric_rows")
@@ -464,9 +470,9 @@ def metric_histogram(spark, sf_dir):
     return metrics.histogram(views.table(spark, sf_dir, "orders"), "o_totalprice", 15)
 
 
-@query(_UNPIVOT + ", q as (select metric, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.5) as m, quantile_cont(value, 0.75) as q3 from u group by metric)\nselect metric, round(q1, 6) + 0.0 as q1, round(m, 6) + 0.0 as median, round(q3, 6) + 0.0 as q3, round(min(value), 6) + 0.0 as low, round(max(value), 6) + 0.0 as high from u join q using (metric) where value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) group by metric, q1, m, q3", "metric_rows")
+@query(_UNPIVOT + ", q as (select metric, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.5) as m, quantile_cont(value, 0.75) as q3 from u group by metric)\nselect metric, round(q1 + 1e-9::double, 6) + 0.0 as q1, round(m + 1e-9::double, 6) + 0.0 as median, round(q3 + 1e-9::double, 6) + 0.0 as q3, round(min(value) + 1e-9::double, 6) + 0.0 as low, round(max(value) + 1e-9::double, 6) + 0.0 as high from u join q using (metric) where value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) group by metric, q1, m, q3", "metric_rows")
 def metric_box(spark, sf_dir):
-    return metrics.box(views.metric_rows(spark, sf_dir), _NAMES).select("metric", *[r6(c).alias(c) for c in ("q1", "median", "q3", "low", "high")])
+    return metrics.box(views.metric_rows(spark, sf_dir), _NAMES).select("metric", *[_off_ties(c).alias(c) for c in ("q1", "median", "q3", "low", "high")])
 
 
 _BY = ", m as (select status as method, covar_pop(y_true, y_pred) / (stddev_pop(y_true) * stddev_pop(y_pred)) as r from predictions group by status)"
