@@ -17,7 +17,7 @@ are all pairs of such indices, one to 36 for each two segments. Rows are sorted
 of the links found in a batch only a spanning forest goes on, so a crowd of copies gives no more rows than it has
 members. Beyond five bits only pairs whose errors crowd in two segments (3 + 3 and more) can be missed: of links among
 24,936 documents the keys found 95 % at seven bits, 90 % at eight and 82 % at nine. Wide links are verified by a second
-fingerprint, of five-word shingles.
+fingerprint, of five-word shingles, before their ends count as joined: the forest is of verified links alone.
 
 Edge cases: null or empty texts have fingerprint 0 and link like any other; equal fingerprints are one node, so copies
 are never expanded to pairs; repeated rows and ids give repeated rows; a null doc_id counts for a component's smallest
@@ -142,11 +142,13 @@ def keyed(uniq: DataFrame) -> DataFrame:
     return uniq.select("fp").mapInArrow(run, "fp long, stored array<long>, probed array<long>")
 
 
-def near_in_runs(keys: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between fingerprints that share a key. keys are sorted. Members of a run are
-    compared at growing steps; pairs that are joined already aren't looked at, so memory stays linear in the rows."""
-    nodes, number = np.unique(fps, return_inverse=True)
+def near_in_runs(keys: np.ndarray, fps: np.ndarray, distance: int, seconds: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between fingerprints that share a key. keys are sorted; seconds, if given, are the
+    second fingerprints, which have to agree as well. Members of a run are compared at growing steps; pairs that are
+    joined already aren't looked at, so memory stays linear in the rows."""
+    nodes, first, number = np.unique(fps, return_index=True, return_inverse=True)
     words, root = nodes.view(np.uint64), np.arange(len(nodes))
+    proofs = None if seconds is None else seconds[first].view(np.uint64)
     out, at, step = [], np.arange(len(keys)), 1
     while len(at):
         at = at[at + step < len(keys)]
@@ -156,6 +158,9 @@ def near_in_runs(keys: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple
         i, j = i[apart], j[apart]
         near = np.bitwise_count(words[i] ^ words[j]) <= distance
         i, j = i[near], j[near]
+        if proofs is not None:
+            agree = np.bitwise_count(proofs[i] ^ proofs[j]) <= SECOND_DISTANCE
+            i, j = i[agree], j[agree]
         if len(i):
             above: dict[int, int] = {}
 
@@ -178,8 +183,10 @@ def near_in_runs(keys: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple
 
 
 def wide_links(uniq: DataFrame, distance: int) -> DataFrame:
-    """(a, b): links between distinct fingerprints up to so many bits apart, by keys of two segments."""
-    spark = uniq.sparkSession
+    """(a, b): links between distinct fingerprints up to so many bits apart, by keys of two segments. Where uniq has a
+    column second, those fingerprints have to agree as well: chance meetings of wide links don't join anything."""
+    spark, second = uniq.sparkSession, "second" in uniq.columns
+    names = ["fp", "second"][: 1 + second]
 
     def keyed_pairs(batches):
         code = Golay()
@@ -193,23 +200,24 @@ def wide_links(uniq: DataFrame, distance: int) -> DataFrame:
                 made = [(n << 24 | own[i][:, None] << 12 | own[j][None, :]).ravel() for n, (i, j) in enumerate(combinations(range(3), 2))]
                 keys += made
                 sizes.append(sum(map(len, made)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(fps, sizes))], ["key", "fp"])
+            own = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), *(pa.array(np.repeat(x, sizes)) for x in own)], ["key", *names])
 
     def compared(batches):
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rows = [np.zeros(0, np.int64) for _ in ("key", *names)]
+        found = lambda keys, fps, *seconds: out(near_in_runs(keys, fps, distance, *seconds))
         for batch in batches:
-            keys = np.concatenate((keys, batch.column(0).to_numpy()))
-            fps = np.concatenate((fps, batch.column(1).to_numpy()))
-            done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on in the next batch
+            rows = [np.concatenate((x, batch.column(c).to_numpy())) for c, x in enumerate(rows)]
+            done = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last key may go on in the next batch
             if done >= COMPARED:
-                yield out(near_in_runs(keys[:done], fps[:done], distance))
-                keys, fps = keys[done:], fps[done:]
-        yield out(near_in_runs(keys, fps, distance))
+                yield found(*(x[:done] for x in rows))
+                rows = [x[done:] for x in rows]
+        yield found(*rows)
 
     def out(found):
         return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
-    rows = uniq.select("fp").mapInArrow(keyed_pairs, "key long, fp long")
+    rows = uniq.select(*names).mapInArrow(keyed_pairs, ", ".join(f"{n} long" for n in ("key", *names)))
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(COMPARED))
     try:
@@ -218,13 +226,6 @@ def wide_links(uniq: DataFrame, distance: int) -> DataFrame:
         small_batches(spark)
 
 
-def verified(edges: DataFrame, uniq: DataFrame) -> DataFrame:
-    """Links whose second fingerprints agree as well: chance meetings of wide links go."""
-    of = uniq.select("fp", "second")
-    both = edges.join(of.select(F.col("fp").alias("a"), F.col("second").alias("sa")), "a").join(of.select(F.col("fp").alias("b"), F.col("second").alias("sb")), "b")
-    return both.where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SECOND_DISTANCE).select("a", "b")
-
-
 def links(uniq: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links between distinct fingerprints whose transitive closure holds every pair DISTANCE or fewer bits apart."""
     keys = cut(keyed(uniq))
@@ -244,7 +245,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     wide = distance > DISTANCE
     prints = cut(fingerprints(docs, doc_id, text, shingle, wide))
     uniq = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), *[F.min("second").alias("second")] * wide)
-    found = verified(wide_links(uniq, distance), uniq) if wide else links(uniq)
+    found = wide_links(uniq, distance) if wide else links(uniq)
     roots = cut(components(found))
     classes = roots.join(uniq, roots.node == uniq.fp)
     least = classes.groupBy("root").agg(F.min("first").alias("least"))

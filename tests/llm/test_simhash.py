@@ -134,6 +134,34 @@ def test_wide_links_up_to_five_bits_are_complete(spark, monkeypatch):
         assert {r.node: r.root for r in common.components(edges).collect()} == want
 
 
+def test_chance_links_join_nothing():
+    """A-X and X-B are near by chance; the second fingerprints agree for A and B alone."""
+    a, x, b = 0, 0b1111, 0b11111111
+    seconds = np.array([5, ~5, 5 ^ 0b11])
+    assert simhash.near_in_runs(np.zeros(3, np.int64), np.array([a, x, b]), 9, seconds) == [(a, b)]
+    assert len(simhash.near_in_runs(np.zeros(3, np.int64), np.array([a, x, b]), 9)) == 2
+
+
+def test_wide_links_against_all_verified_pairs(spark, monkeypatch):
+    """A crowd in which most near fingerprints disagree in the second one."""
+    random = np.random.default_rng(8)
+    centres = random.integers(-(1 << 62), 1 << 62, 40)
+    rows = {}
+    for f in random.integers(-(1 << 62), 1 << 62, 10).tolist():
+        for c in centres.tolist():
+            for _ in range(3):
+                near = [sum(1 << int(b) for b in random.choice(62, n, replace=False)) for n in (2, 6)]
+                rows.setdefault(f ^ near[0], c ^ near[1])
+    apart = lambda p, q: ((p ^ q) & (1 << 64) - 1).bit_count()
+    want = {(a, b) for a in rows for b in rows if a < b and apart(a, b) <= 5 and apart(rows[a], rows[b]) <= simhash.SECOND_DISTANCE}
+    parts = lambda edges: {r.node: r.root for r in common.components(edges).collect()}
+    for held in (50_000, 7):
+        monkeypatch.setattr(simhash, "COMPARED", held)
+        edges = simhash.wide_links(spark.createDataFrame(list(rows.items()), "fp long, second long"), 5)
+        assert {tuple(sorted(e)) for e in edges.collect()} <= want
+        assert parts(edges) == parts(spark.createDataFrame(sorted(want), "a long, b long"))
+
+
 def test_near_copies_of_a_passage(spark):
     """Copies with one word in fifty replaced share 0.8 of their five-word shingles or more; most meet at seven bits."""
     random = np.random.default_rng(6)
