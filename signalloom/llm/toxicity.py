@@ -1,7 +1,10 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
 The models predict a word letter by letter from all of it that came before, up to ``LONGEST`` letters, and then its
-end: P_c(u | v) = (max(n_c(u) - D, 0) + D k_c(v) P(u | v)) / n_c(v) for a beginning u = v + letter, k_c(v) being the
+end. A longer word is also read from each later letter on (``pieces``), so that every letter is predicted, the later ones
+from ten or fewer before them: such pieces have counts of their own (behind ``LATER``), and where these tell nothing a
+piece is judged as a word would be, in both cases only by what goes beyond the tenth letter. Text of scripts without
+spaces is read from each of its characters on. For a word or piece: P_c(u | v) = (max(n_c(u) - D, 0) + D k_c(v) P(u | v)) / n_c(v) for a beginning u = v + letter, k_c(v) being the
 number of letters that follow v in class c. The back-off P(u | v) is shared: it has the pooled counts of both classes.
 A beginning in fewer than ``LEAST_DOCS`` learning documents is rare, and from there on both classes use the shared
 counts alone; so a rare inflection of a telling stem is judged by the stem. The difference of the two log-likelihoods
@@ -19,6 +22,7 @@ are scored each; extra columns are ignored by ``score`` and kept by ``drop_toxic
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -32,32 +36,65 @@ from .common import Vocabulary, cut, held_out, small_batches, whole_row
 SAMPLE, DISCOUNT, LEAST_DOCS, DEAD, ERRORS, PAD, LONGEST = 12_000, 0.75, 5, 1.0, 2.0, 20.0, 10
 #: Ends a word; no word holds it.
 END = "\0"
+#: Begins a piece from within a long word.
+LATER = "\1"
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() or c == 39 else 32 for c in range(256))
 #: Beginnings in a worker's table before it is sent on, and words whose difference a worker remembers.
 HELD, KNOWN = 120_000, 100_000
 
 
+#: Punctuation beyond ASCII, without the apostrophe, and runs of scripts that don't part words by spaces.
+_MARKS = re.compile("[\u00a1\u00ab\u00b7\u00bb\u00bf\u2000-\u2018\u201a-\u206f\u3000-\u3004\u3008-\u3020\u3030\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u302f\u3031-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+")
+
+
 def words(text: str | None) -> list[str]:
-    return (text or "").lower().encode("utf-8", "replace").translate(_BLANK).decode().split()
+    """Words; of a run in a script without spaces, what follows from each character on, up to LONGEST characters."""
+    low = (text or "").lower()
+    if not low.isascii():
+        low = _MARKS.sub(" ", low)
+        if _UNSPACED.search(low):
+            low = _UNSPACED.sub(lambda m: " " + " ".join(m[0][s : s + LONGEST] for s in range(len(m[0]))) + " ", low)
+    return low.encode("utf-8", "replace").translate(_BLANK).decode().split()
+
+
+def pieces(word: str) -> list[str]:
+    """What follows from each letter of a word but its first on, if the word is longer than LONGEST. Only a piece of at
+    most LONGEST letters reaches the word's end."""
+    return [word[s : s + LONGEST + 1] for s in range(1, len(word))] if len(word) > LONGEST else []
+
+
+def length(found: list[str]) -> int:
+    """Words, each begun stretch of LONGEST letters of a longer one as one."""
+    return len(found) + sum((len(w) - 1) // LONGEST for w in found)
 
 
 class _Differences(dict):
-    """Word to the difference of its log-likelihoods, by its longest beginning that the models tell apart."""
+    """Word to the difference of its log-likelihoods, by the longest beginning of it and of its pieces that the models
+    tell apart."""
 
     def __init__(self, begun: dict[str, float]):
         super().__init__()
         self.begun = begun
 
     def __missing__(self, word: str) -> float:
-        begun = self.begun
-        found = begun.get(word + END) if len(word) <= LONGEST else None
-        if found is None:
-            found = next((begun[word[:k]] for k in range(min(len(word), LONGEST), 0, -1) if word[:k] in begun), 0.0)
+        found = self._of(word, 1)
+        for at, piece in enumerate(pieces(word), 1):
+            least = max(1, LONGEST + 1 - at)  # letters of the piece that are the word's first ten
+            found += self._of(LATER + piece, least + 1) or self._of(piece, least)
         if len(self) >= KNOWN:
             self.clear()
         self[word] = found
         return found
 
+    def _of(self, piece: str, least: int) -> float:
+        """The difference at the longest beginning of at least so many letters."""
+        begun, longest = self.begun, LONGEST + piece.startswith(LATER)
+        found = begun.get(piece + END) if len(piece) <= longest else None
+        if found is None:
+            found = next((begun[piece[:k]] for k in range(min(len(piece), longest), least - 1, -1) if piece[:k] in begun), 0.0)
+        return found
+
 
 @dataclass
 class Model:
@@ -70,7 +107,7 @@ class Model:
         known, out = _Differences(self.begun), []
         for text in texts:
             found = words(text)
-            out.append(sum(map(known.__getitem__, found)) / (len(found) + PAD))
+            out.append(sum(map(known.__getitem__, found)) / (length(found) + PAD))
         return out
 
     def scorer(self):
@@ -81,7 +118,7 @@ class Model:
             out = []
             for text in texts:
                 found = words(text)
-                x = sum(map(known.__getitem__, found)) / (len(found) + PAD)
+                x = sum(map(known.__getitem__, found)) / (length(found) + PAD)
                 out.append(1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * x + self.offset)))))
             return out
 
@@ -106,6 +143,11 @@ def _counted(batches):
                     nodes[w[:k]] += c
                 if len(w) <= LONGEST:
                     nodes[w + END] += c
+                for piece in pieces(w):
+                    for k in range(min(len(piece), LONGEST) + 1):
+                        nodes[LATER + piece[:k]] += c
+                    if len(piece) <= LONGEST:
+                        nodes[LATER + piece + END] += c
             own = np.fromiter(map(held.__getitem__, nodes), np.int64, len(nodes))
             while len(held) > len(table):
                 table = np.concatenate((table, np.zeros_like(table)))

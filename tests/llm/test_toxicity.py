@@ -72,6 +72,24 @@ def test_edge_cases_and_filter(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, rows in got.items() if not rows[0].predicted}
 
 
+def test_what_follows_the_tenth_letter(spark):
+    """Toxic parts behind the tenth letter of a word and within runs of scripts without spaces."""
+    docs, labels = fixture(spark)
+    random = np.random.default_rng(1)
+    runs = ["".join(chr(0x4E00 + int(c)) for c in random.integers(0, 40, 40)) for _ in range(201)]
+    bad = "\u9f98\u9f99"
+    rows = [(2000 + i, r[:20] + bad * (i % 4 == 0) + r[20:30] + "\uff0c" + r[30:], "x") for i, r in enumerate(runs[:200])]
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    labels = labels.unionByName(spark.createDataFrame([(d, int(d % 4 == 0)) for d, _, _ in rows], labels.schema))
+    model = toxicity.fit(docs, labels)
+    run = runs[-1]
+    for toxic, plain in (("w1 w2 collectivelynasty w3", "w1 w2 collectivelygoody w3"), (run[:30] + bad + run[30:], run)):
+        x, y = model.differences([toxic, plain])
+        assert x > y + 0.01
+        x, y = model.scorer()([toxic, plain])
+        assert x > y
+
+
 def test_nothing_to_learn_from(spark):
     docs, labels = fixture(spark)
     model = toxicity.fit(docs, labels.limit(0))
