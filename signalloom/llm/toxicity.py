@@ -1,11 +1,12 @@
-"""Toxicity by two class-conditional Kneser-Ney models.
+"""Toxicity by two class-conditional letter models with absolute discounting.
 
 The models predict a word letter by letter from all of it that came before, up to ``LONGEST`` letters, and then its
 end. A longer word is also read from each later letter on (``pieces``), so that every letter is predicted, the later ones
 from ten or fewer before them: such pieces have counts of their own (behind ``LATER``), and where these tell nothing a
 piece is judged as a word would be, in both cases only by what goes beyond the tenth letter. Text of scripts without
 spaces is read from each of its characters on. For a word or piece: P_c(u | v) = (max(n_c(u) - D, 0) + D k_c(v) P(u | v)) / n_c(v) for a beginning u = v + letter, k_c(v) being the
-number of letters that follow v in class c. The back-off P(u | v) is shared: it has the pooled counts of both classes.
+number of letters that follow v in class c. The back-off P(u | v) is shared: it has the pooled counts of both classes,
+not Kneser-Ney's counts of contexts.
 A beginning in fewer than ``LEAST_DOCS`` learning documents is rare, and from there on both classes use the shared
 counts alone; so a rare inflection of a telling stem is judged by the stem. The difference of the two log-likelihoods
 is summed over a document, each word's part less a dead zone: ``DEAD`` nats, and ``ERRORS`` standard errors of the
