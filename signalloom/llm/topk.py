@@ -8,7 +8,7 @@ still qualify; the final scores of those are then resolved. The k best of each b
 Every query block meets every candidate block once, as packed rows joined on the pair of block numbers.
 
 Edge cases: vectors that are null or hold a null or non-finite component, and rows without id, take no part; of rows
-that repeat an id the one with the least vector stays; vectors of different lengths are never compared; fewer than k
+that repeat an id every distinct vector is a candidate and a query, but never for its own id; vectors of different lengths are never compared; fewer than k
 candidates give as many rows; ties go to the smaller id; an empty table gives no rows; extra columns are ignored.
 Scores are 64-bit integers.
 """
@@ -31,7 +31,7 @@ def scaled(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     # exists() is null if a comparison with a null element is; isNull comes first, so it is true there
     good = vectors.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).where(~F.coalesce(bad, F.lit(True)))
     one = good.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * SCALE)).alias("v"))
-    return one.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return one.distinct()
 
 
 class Lists:
@@ -70,8 +70,7 @@ class Lists:
         up, down = np.maximum(queries, 0).astype(np.float32), np.minimum(queries, 0).astype(np.float32)
         # float32 sums are off by far less than this
         margin = 2e-5 * (np.abs(queries).astype(np.float64) @ np.abs(self.block).max(axis=0).astype(np.float64)) + 1
-        at = np.searchsorted(self.ids, own)
-        here = (at < n) & (self.ids[np.minimum(at, n - 1)] == own)
+        first, last = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
         active, x, lists = np.arange(len(queries)), self.short, self.lists
         step = -(-n // STEPS)
         for depth in range(step, n, step):
@@ -80,8 +79,9 @@ class Lists:
             upper += down[active] @ np.minimum(x, bottom).T
             lower = up[active] @ np.where(x >= top, x, lists[0]).T
             lower += down[active] @ np.where(x <= bottom, x, lists[-1]).T
-            mine = np.flatnonzero(here[active])
-            upper[mine, at[active[mine]]] = lower[mine, at[active[mine]]] = -np.inf
+            for row in np.flatnonzero(last[active] > first[active]).tolist():
+                mine = slice(first[active[row]], last[active[row]])
+                upper[row, mine] = lower[row, mine] = -np.inf
             kth = np.partition(lower, n - k, axis=1)[:, n - k]
             can = upper >= (kth - 2 * margin[active])[:, None].astype(np.float32)
             stop = can.sum(axis=1) <= max(4 * k, n // 16)
@@ -106,7 +106,7 @@ def search(vectors: DataFrame, queries=None, k: int = 10, vec_id: str = "vec_id"
             flat = table.column("v").combine_chunks()
             return pa.table({"dim": [key[0].as_py()], name: [key[1].as_py()], f"{name}_ids": [table.column("vec_id").to_numpy().astype(np.int64).tobytes()], f"{name}_v": [flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]})
 
-        dealt = rows.withColumn("dim", F.size("v").cast("long")).withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long"))
+        dealt = rows.withColumn("dim", F.size("v").cast("long")).withColumn(name, F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("long"))
         return dealt.groupBy("dim", name).applyInArrow(pack, f"dim long, {name} long, {name}_ids binary, {name}_v binary")
 
     each = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)

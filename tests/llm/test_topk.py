@@ -45,6 +45,19 @@ def test_large_values_are_exact():
     assert got[0].tolist() == [1, 0] and got[1].tolist() == [(1 << 60) + 2, (1 << 60) + 1]
 
 
+@pytest.mark.parametrize("candidates", [16384, 40])
+def test_repeated_ids_with_other_vectors(spark, candidates):
+    random = np.random.default_rng(2)
+    rows = [(i % 150, random.normal(size=6).tolist()) for i in range(400)] + [(100, [9.0 + i] * 6) for i in range(30)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = [(i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)) for i, v in rows]
+    want = []
+    for q in (0, 100):
+        found = sorted((-sum(a * b for a, b in zip(v, w)), i) for n, v in whole if n == q for i, w in whole if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    assert sorted(map(tuple, topk.search(frame, candidates=candidates, query_rows=3).collect())) == want
+
+
 def test_empty(spark):
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
