@@ -9,6 +9,7 @@ documents again in a cogroup. A key occurs once per block however hot it is, so
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: texts may be long, so a batch holds few of them.
 BATCH_ROWS = 256
+#: One over the share of rows from which a key counts as hot.
+HOT = 1024
 #: Bytes of text in a block of the packed key exchange.
 BLOCK_BYTES = 8 << 20
 #: Keys that one bucket of the packed key exchange may hold.
@@ -29,14 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small(batches):
+    """The batches in slices of few rows: Spark's own hold up to 64 MB, and Python objects of a whole one would take far
+    more. No setting of the session has to change for it."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(start, BATCH_ROWS)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, or one of our own where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")).rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir; on one machine, where none is set, one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or tempfile.mkdtemp(prefix="shared-")).rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -51,8 +60,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -66,6 +74,21 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def sampled(rate: float, *columns) -> F.Column:
+    """True for about that share of rows, by a hash of columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1_000_003)) < rate * 1_000_003
+
+
+def hot_or_cold(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined (inner, on key) with facts, which has one row a key and the number of its rows in count; total is
+    their sum. Keys that hold over 1 / HOT of all rows are HOT at most: they are broadcast, so that no task gets the rows
+    of a hot key. The others meet in a shuffle."""
+    least = max(total // HOT, 32)
+    hot = F.broadcast(facts.where(F.col(count) > least).drop(count))
+    cold = facts.where(F.col(count) <= least).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def byte_words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) words between the six ASCII white-space bytes."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -126,16 +149,19 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
 # ---- packed key exchange --------------------------------------------------------------------------------------------
 
 
-def n_blocks(docs: DataFrame, text: str = "text") -> int:
-    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(1, -(-size // BLOCK_BYTES))
-
-
-def in_blocks(docs: DataFrame, blocks: int, doc_id: str = "doc_id") -> DataFrame:
-    """Adds ``_order`` (a hash of the id) and ``_block``: blocks are ranges of the unsigned hash, so that the order of
-    documents by (hash, id) doesn't depend on how many blocks there are."""
-    hashed = F.xxhash64(F.col(doc_id))
-    return docs.withColumn("_order", hashed).withColumn("_block", F.floor(F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53)) * blocks).cast("long"))
+def in_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+    """(docs with ``_order``, a hash of id and text, and ``_block``; number of blocks). Blocks are ranges of the unsigned hash,
+    so that the order of documents doesn't depend on how many blocks there are, and neither null nor repeated ids crowd
+    one. Where rows equal in id and text would fill a block, the table is written with a number for each row, which
+    then goes into the hash."""
+    hashed = F.xxhash64(F.col(doc_id), F.col(text))
+    sizes = docs.groupBy(hashed.alias("_order")).agg(F.sum(F.octet_length(F.col(text))).alias("size"))
+    size, most = sizes.agg(F.sum("size"), F.max("size")).first()
+    if (most or 0) > BLOCK_BYTES and sizes.where(F.col("size") > BLOCK_BYTES).join(docs.groupBy(hashed.alias("_order")).count().where("count > 1"), "_order").first():
+        docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+        hashed = F.xxhash64(F.col(doc_id), F.col(text), F.col("_row"))
+    blocks = max(1, -(-(size or 0) // BLOCK_BYTES))
+    return docs.withColumn("_order", hashed).withColumn("_block", F.floor(F.shiftrightunsigned("_order", 11) / F.lit(float(1 << 53)) * blocks).cast("long")), blocks
 
 
 def bucket_count(spark: SparkSession, keys: float) -> int:
@@ -204,11 +230,9 @@ def answers(rows: pa.Table, keys: np.ndarray, buckets: int, dtype) -> np.ndarray
     return out
 
 
-def sorted_block(rows: pa.Table, doc_id: str = "doc_id") -> pa.Table:
-    """A block's rows by (unsigned hash of the id, id), whatever order they came in; equal ids by text."""
-    frame = rows.select(["_order", doc_id, "text"]).to_pylist()
-    number = lambda r: (r["_order"] % (1 << 64), r[doc_id] is not None, r[doc_id] if r[doc_id] is not None else 0, r["text"] is not None, r["text"] or "")
-    return rows.take(sorted(range(len(frame)), key=lambda k: number(frame[k])))
+def sorted_block(rows: pa.Table) -> pa.Table:
+    """A block's rows by the unsigned ``_order``, whatever order they came in."""
+    return rows.take(np.argsort(rows.column("_order").to_numpy().view(np.uint64), kind="stable"))
 
 
 # ---- connected components -------------------------------------------------------------------------------------------

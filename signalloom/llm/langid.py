@@ -6,9 +6,9 @@ learning documents; clusters with a small share of a language's sample, mostly m
 gets the language of the centroid with the largest cosine. Its distance is 1 - cosine; a text farther than all but a
 small share of the sample from its centroid is marked as rejected.
 
-The sample is bounded by ``SAMPLE`` documents a language (chosen by a hash of the id, texts whole); counts and centroids
-come from it. Edge cases: null texts and texts without a letter are 'und' with score 0 and rejected; learning rows
-without text or lang are left out; with nothing to learn from every row is 'und'; repeated rows are predicted each;
+The sample is bounded by ``SAMPLE`` documents a language and ``ROWS`` in all (chosen by a hash of the row, texts whole); counts and
+centroids come from it. More than ``LANGUAGES`` languages are an error. Edge cases: null texts and texts without a letter are 'und' with score 0 and rejected; learning rows
+without text or lang are left out; null ids are learned from; with nothing to learn from every row is 'und'; repeated rows are predicted each;
 ties go to the first language in order; extra columns are ignored.
 """
 
@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import held_out, sampled, small
 
 DIMENSIONS, SAMPLE, CENTROIDS, LEAST_SHARE, REJECTED = 4096, 1200, 4, 0.08, 0.005
+#: Languages to learn at most, and rows of all their samples (16 KB each on the driver).
+LANGUAGES, ROWS = 256, 12_000
 _BLANK = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: Bytes of text whose trigrams are in memory at a time.
 PIECE = 1 << 20
@@ -114,14 +116,21 @@ class Model:
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, k: int = CENTROIDS, dimensions: int = DIMENSIONS) -> Model:
     """Learns from rows with text and lang that aren't held out, of each language ``sample`` at most (in expectation)."""
-    small_batches(docs.sparkSession)
-    learn = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id))
-    counts = {r[0]: r[1] for r in learn.groupBy(lang).count().collect()}
-    rate = F.coalesce(*[F.when(F.col(lang) == n, F.lit(min(1.0, sample / c))) for n, c in sorted(counts.items())], F.lit(0.0)) if counts else F.lit(0.0)
-    chosen = learn.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1_000_003)) < rate * 1_000_003).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    learn = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id)).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("id"))
+    known = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
+    if len(known) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages to learn: group them first")
+    rates = {r[0]: min(1.0, sample / r[1], ROWS / len(known) / r[1]) for r in known}
+    of = lambda r: F.coalesce(*[F.when(F.col("lang") == n, F.lit(x)) for n, x in r.items()], F.lit(0.0))
+    chosen = learn.where(sampled(of(rates), "id", "text")) if rates else learn.limit(0)
+    # rows that repeat an id and its text are chosen or left together: where they crowd, their place in the table decides too
+    got = {r[0]: r[1] for r in chosen.groupBy("lang").count().collect()}
+    if any(n > 2 * sample for n in got.values()):
+        chosen = chosen.where(sampled(of({n: min(1.0, sample / c) for n, c in got.items()}), "id", "text", F.monotonically_increasing_id()))
+    chosen = chosen.select("lang", "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             told = [has_letter(t) for t in texts]
             found = trigram_counts(texts, dimensions)
@@ -150,10 +159,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (cosine), rejected."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             names, scores, far = model.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 

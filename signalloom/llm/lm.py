@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REPLY, REQUEST, answers, bucket_count, hashed_words, in_blocks, merged, mix, n_blocks, replies, requests, small_batches, sorted_block
+from .common import REPLY, REQUEST, answers, bucket_count, hashed_words, in_blocks, merged, mix, replies, requests, sorted_block
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
 
@@ -43,11 +43,9 @@ def _distinct(grams: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, n
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """One row per row of docs: doc_id, n_words long, log_score double (summed), score double (mean per word)."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = n_blocks(docs)
+    docs, blocks = in_blocks(docs)
     buckets = bucket_count(spark, blocks * 1.2e6 * order)
-    docs = in_blocks(docs, blocks)
 
     def ask(key, rows):
         grams, _, place = _grams(sorted_block(rows).column("text").to_pylist(), order)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small
 
 TABLE, LONGEST = 250_000, 64
 MARK = "▁"
@@ -90,11 +90,10 @@ def _sha(text: str) -> str:
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; with keep also ids array<int> and decoded."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         encoder = Encoder.of(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             got = [x for k in range(0, len(texts), 32) for x in encoder.encode_batch(texts[k : k + 32])] if keep else None
             digest = [(n, _sha(i), _sha(d)) for n, i, d in got] if keep else [(n, _sha(i), _sha(d)) for k in range(0, len(texts), 32) for n, i, d in encoder.encode_batch(texts[k : k + 32])]

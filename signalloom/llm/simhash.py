@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_words, components, cut, small_batches, whole_row
+from .common import byte_words, components, cut, hot_or_cold, small, whole_row
 
 SHINGLE, SEED, DISTANCE, WIDE = 3, 42, 2, 9
 #: Of wide links a second fingerprint, of five-word shingles, differs in so many bits at most: at a similarity of 0.8 it
@@ -71,10 +71,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, second: bool = False) -> DataFrame:
     """(doc_id, fp long) of every row, with a second fingerprint if asked."""
-    small_batches(docs.sparkSession)
-
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             columns = [batch.column(0)]
             for words, seed in [(shingle, SEED), (SECOND_SHINGLE, SECOND_SEED)][: 1 + second]:
@@ -134,7 +132,7 @@ def keyed(uniq: DataFrame) -> DataFrame:
 
     def run(batches):
         code = Golay()
-        for batch in batches:
+        for batch in small(batches):
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             stored, probed = golay_keys(fps.view(np.uint64), code)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stored.tolist(), pa.list_(pa.int64())), pa.array([np.unique(p).tolist() for p in probed], pa.list_(pa.int64()))], ["fp", "stored", "probed"])
@@ -190,7 +188,7 @@ def wide_links(uniq: DataFrame, distance: int) -> DataFrame:
 
     def keyed_pairs(batches):
         code = Golay()
-        for batch in batches:
+        for batch in small(batches):
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             parts = [((fps.view(np.uint64) >> np.uint64(s)) & np.uint64((1 << b) - 1)).astype(np.int64) for s, b in SEGMENTS]
             near = [code.index(p[:, None] ^ np.array([0, *(1 << k for k in range(b))], np.int64)[None, :]) for p, (_, b) in zip(parts, SEGMENTS, strict=True)]
@@ -219,11 +217,7 @@ def wide_links(uniq: DataFrame, distance: int) -> DataFrame:
 
     rows = uniq.select(*names).mapInArrow(keyed_pairs, ", ".join(f"{n} long" for n in ("key", *names)))
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(COMPARED))
-    try:
-        return cut(dealt.mapInArrow(compared, "a long, b long").distinct())
-    finally:
-        small_batches(spark)
+    return cut(dealt.mapInArrow(compared, "a long, b long").distinct())
 
 
 def links(uniq: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -244,15 +238,15 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     """One row per document: doc_id, fingerprint, component_id. Fingerprints link at ``distance`` or fewer differing bits."""
     wide = distance > DISTANCE
     prints = cut(fingerprints(docs, doc_id, text, shingle, wide))
-    uniq = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), *[F.min("second").alias("second")] * wide)
+    uniq = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), *[F.min("second").alias("second")] * wide))
     found = wide_links(uniq, distance) if wide else links(uniq)
     roots = cut(components(found))
     classes = roots.join(uniq, roots.node == uniq.fp)
     least = classes.groupBy("root").agg(F.min("first").alias("least"))
     mapped = classes.join(least, "root").select("fp", "least")
-    # written, so that both sides of the last join are shuffled for it alone and a hot fingerprint can be split
-    full = cut(uniq.join(mapped, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
-    return prints.join(full, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    full = cut(uniq.join(mapped, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")))
+    found = hot_or_cold(prints, full, "fp", "n", prints.count())
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = WIDE) -> DataFrame:

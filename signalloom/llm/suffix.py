@@ -8,7 +8,7 @@ and compared in turn, and windows that repeat join to maximal spans. Both rounds
 ``common``: a block sends each distinct key once, whatever the number of copies.
 
 A word is repeated if it lies in a run of ``length`` words that at least two documents hold (a run repeated in a
-single document alone doesn't count). Of the holders, the first in the order of (hash of the id, id) keeps it;
+single document alone doesn't count). Of the holders, the first in the order of a hash of id and text keeps it;
 the spans of the others are removable. Words are runs between ASCII white space, compared as they are.
 
 Edge cases: null, empty and short texts have no spans; repeated rows are documents of their own; ties have a total
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REPLY, REQUEST, answers, bucket_count, hashed_words, in_blocks, merged, n_blocks, replies, requests, small_batches, sorted_block, whole_row, window_hashes
+from .common import REPLY, REQUEST, answers, bucket_count, hashed_words, in_blocks, merged, replies, requests, sorted_block, whole_row, window_hashes
 
 LENGTH, ANCHOR = 50, 8
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -87,9 +87,8 @@ def _compare(key, rows):
 def _exchange(docs: DataFrame, length: int, anchor: int):
     """(blocked documents, answers for their windows, number of buckets)."""
     spark = docs.sparkSession
-    blocks = n_blocks(docs)
+    docs, blocks = in_blocks(docs)
     buckets = bucket_count(spark, blocks * 1.2e6)
-    docs = in_blocks(docs, blocks)
 
     def ask(key, rows):
         block = Block(rows, length, anchor)
@@ -150,7 +149,6 @@ def _answered(suffixes: DataFrame, windows: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """One row per maximal repeated span: doc_id, start_word, end_word (exclusive), n_words, start_char, end_char,
     n_removable (words of it that an earlier holder keeps)."""
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     docs, suffixes, windows, buckets = _exchange(docs, length, anchor)
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("start_word", "end_word", "n_words", "start_char", "end_char", "n_removable"))])
@@ -173,7 +171,6 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
 def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """docs without removable spans; n_chars follows the text if it is there. Documents of which nothing but white
     space stays go; documents without repeats stay as they are."""
-    small_batches(docs.sparkSession)
     names = docs.columns
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), whole_row(docs))
     blocked, suffixes, windows, buckets = _exchange(rows, length, anchor)

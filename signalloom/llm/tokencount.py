@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small
 
 CHUNK, OVERLAP, LIMIT = 1 << 16, 256, 1024
 STABLE = re.compile(r"(?<=\S) ")
@@ -97,11 +97,10 @@ def counter(path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
 
 def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         count = counter(path, chunk, overlap)
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

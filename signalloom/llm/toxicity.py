@@ -1,23 +1,30 @@
-"""Toxicity by two class-conditional letter models with absolute discounting.
-
-The models predict a word letter by letter from all of it that came before, up to ``LONGEST`` letters, and then its
-end. A longer word is also read from each later letter on (``pieces``), so that every letter is predicted, the later ones
-from ten or fewer before them: such pieces have counts of their own (behind ``LATER``), and where these tell nothing a
-piece is judged as a word would be, in both cases only by what goes beyond the tenth letter. Text of scripts without
-spaces is read from each of its characters on. For a word or piece: P_c(u | v) = (max(n_c(u) - D, 0) + D k_c(v) P(u | v)) / n_c(v) for a beginning u = v + letter, k_c(v) being the
-number of letters that follow v in class c. The back-off P(u | v) is shared: it has the pooled counts of both classes,
-not Kneser-Ney's counts of contexts.
-A beginning in fewer than ``LEAST_DOCS`` learning documents is rare, and from there on both classes use the shared
-counts alone; so a rare inflection of a telling stem is judged by the stem. The difference of the two log-likelihoods
-is summed over a document, each word's part less a dead zone: ``DEAD`` nats, and ``ERRORS`` standard errors of the
-log-ratio of the two counts (what sampling explains). The sum is normalised by length, and turned to a score by a
-logistic fit on learning documents that the counts for it left out. Terms that both models share cancel in the
-difference; only beginnings at which it changes are kept.
-
-The models are fitted on at most ``SAMPLE`` labelled documents in expectation (by a hash of the id, texts whole);
-that bound is the only one. Edge cases: null or empty texts score as length 0; conflicting labels of an id count as
+"""Toxicity by two class-conditional Kneser-Ney letter models with shared lower orders.
+
+Words are read letter by letter between a start and an end mark; the context of a letter is the ``ORDER`` - 1 symbols
+before it, or as many as the word has. c_k(g) counts the gram g in class k (toxic, ordinary), each distinct word of a
+document once; a gram is kept if both classes together have it ``CUTOFF`` times (the usual pruning of such models).
+
+    P_k(w | h) = ([hw kept] max(c_k(hw) - D_k, 0) + rest_k(h) P(w | h')) / c_k(h)    h' is h without its first symbol
+    P(w | h)   = (max(N(hw) - D_m, 0) + D_m T(h) P(w | h')) / sum of N(hw) over w    the shared, lower orders
+
+N(g) is the Kneser-Ney continuation count: the distinct symbols that stand before g in kept grams of both classes
+together; T(h) counts the w that have any; rest_k(h) is what discounting and pruning leave, so that both sum to one; the
+lowest order backs off to equal shares. Each order and each class has the discount n1 / (n1 + 2 n2) of its own. A context
+that a class hasn't seen leaves the letter to the shared order, so a rare expression is judged by what both classes know.
+Where a gram isn't kept, P(w | h') stands on both sides and the log-ratio is that of the shares left.
+
+Every letter of the whole text is scored. An expression is a word, of a word of over ``STRETCH`` symbols each stretch of so
+many (half overlapping, contexts going on across them); of scripts without spaces what follows from each character
+on. Its log-likelihood ratio is normalised by its length; the sum over the ``TOP`` largest among a document's distinct
+words, which is what sets toxic documents apart (they are ordinary but for a few expressions, and the mean over a
+document tells languages apart and not toxicity), becomes a score by a logistic fit on learning documents that the counts
+for it left out.
+
+The models are fitted on at most ``SAMPLE`` labelled documents in expectation (by a hash of the row, texts whole);
+that bound is the only one. Edge cases: null or empty texts have a ratio of 0; conflicting labels of an id count as
 toxic; null labels and ids are left out; without learning documents of both classes every score is 0; repeated rows
-are scored each; extra columns are ignored by ``score`` and kept by ``drop_toxic``.
+learn and are scored each; extra columns are ignored by ``score`` and kept by ``drop_toxic``. There is no context beyond a
+word: an expression of several words, each of them ordinary, gets no evidence.
 """
 
 from __future__ import annotations
@@ -26,180 +33,188 @@ import math
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, cut, held_out, small_batches, whole_row
+from .common import cut, held_out, sampled, small, whole_row
 
-SAMPLE, DISCOUNT, LEAST_DOCS, DEAD, ERRORS, PAD, LONGEST = 12_000, 0.75, 5, 1.0, 2.0, 20.0, 10
-#: Ends a word; no word holds it.
-END = "\0"
-#: Begins a piece from within a long word.
-LATER = "\1"
+SAMPLE, ORDER, CUTOFF, TOP, STRETCH, PAD = 12_000, 8, 3, 3, 24, 4
+#: Begin and end a word; no word holds them.
+START, END = "\2", "\0"
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() or c == 39 else 32 for c in range(256))
-#: Beginnings in a worker's table before it is sent on, and words whose difference a worker remembers.
-HELD, KNOWN = 120_000, 100_000
-
+#: Grams in a worker's table before it is sent on, and words whose ratio a worker remembers.
+HELD, KNOWN = 200_000, 100_000
 
 #: Punctuation beyond ASCII, without the apostrophe, and runs of scripts that don't part words by spaces.
 _MARKS = re.compile("[\u00a1\u00ab\u00b7\u00bb\u00bf\u2000-\u2018\u201a-\u206f\u3000-\u3004\u3008-\u3020\u3030\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 _UNSPACED = re.compile("[\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u302f\u3031-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+")
 
 
-def words(text: str | None) -> list[str]:
-    """Words; of a run in a script without spaces, what follows from each character on, up to LONGEST characters."""
+def words(text: str | None) -> set[str]:
+    """Distinct words; of a run in a script without spaces, what follows from each character on, up to ORDER characters."""
     low = (text or "").lower()
     if not low.isascii():
         low = _MARKS.sub(" ", low)
         if _UNSPACED.search(low):
-            low = _UNSPACED.sub(lambda m: " " + " ".join(m[0][s : s + LONGEST] for s in range(len(m[0]))) + " ", low)
-    return low.encode("utf-8", "replace").translate(_BLANK).decode().split()
-
+            low = _UNSPACED.sub(lambda m: " " + " ".join(m[0][s : s + ORDER] for s in range(len(m[0]))) + " ", low)
+    return set(low.encode("utf-8", "replace").translate(_BLANK).decode().split())
 
-def pieces(word: str) -> list[str]:
-    """What follows from each letter of a word but its first on, if the word is longer than LONGEST. Only a piece of at
-    most LONGEST letters reaches the word's end."""
-    return [word[s : s + LONGEST + 1] for s in range(1, len(word))] if len(word) > LONGEST else []
 
+def grams(word: str, order: int = ORDER) -> list[str]:
+    """All grams of a word with its marks, up to ``order`` symbols."""
+    whole = START + word + END
+    return [whole[k : k + n] for k in range(len(whole)) for n in range(1, min(order, len(whole) - k) + 1)]
 
-def length(found: list[str]) -> int:
-    """Words, each begun stretch of LONGEST letters of a longer one as one."""
-    return len(found) + sum((len(w) - 1) // LONGEST for w in found)
 
+class _Ratios(dict):
+    """Word to its length-normalised log-likelihood ratio."""
 
-class _Differences(dict):
-    """Word to the difference of its log-likelihoods, by the longest beginning of it and of its pieces that the models
-    tell apart."""
-
-    def __init__(self, begun: dict[str, float]):
+    def __init__(self, model: Model):
         super().__init__()
-        self.begun = begun
+        self.of, self.rest, self.order = model.ratios, model.rests, model.order
+
+    def steps(self, word: str) -> list[float]:
+        """Toxic minus ordinary log-probability of each letter of a word and of its end."""
+        whole, out = START + word + END, []
+        for k in range(1, len(whole)):
+            gram = whole[max(0, k - self.order + 1) : k + 1]
+            x = self.of.get(gram)
+            out.append(self.rest.get(gram[:-1], 0.0) if x is None else x)
+        return out
 
     def __missing__(self, word: str) -> float:
-        found = self._of(word, 1)
-        for at, piece in enumerate(pieces(word), 1):
-            least = max(1, LONGEST + 1 - at)  # letters of the piece that are the word's first ten
-            found += self._of(LATER + piece, least + 1) or self._of(piece, least)
+        each = self.steps(word)
+        if len(each) <= STRETCH:
+            found = sum(each) / (len(each) + PAD)
+        else:
+            found = max(sum(part := each[s : s + STRETCH]) / (len(part) + PAD) for s in range(0, len(each), STRETCH // 2))
         if len(self) >= KNOWN:
             self.clear()
         self[word] = found
         return found
 
-    def _of(self, piece: str, least: int) -> float:
-        """The difference at the longest beginning of at least so many letters."""
-        begun, longest = self.begun, LONGEST + piece.startswith(LATER)
-        found = begun.get(piece + END) if len(piece) <= longest else None
-        if found is None:
-            found = next((begun[piece[:k]] for k in range(min(len(piece), longest), least - 1, -1) if piece[:k] in begun), 0.0)
-        return found
-
 
 @dataclass
 class Model:
-    begun: dict[str, float] = field(default_factory=dict)  # beginning of a word: difference of log-likelihoods
+    ratios: dict[str, float] = field(default_factory=dict)  # kept gram: log-ratio of its last symbol
+    rests: dict[str, float] = field(default_factory=dict)  # context: log-ratio of the shares left for other symbols
     slope: float = 0.0
     offset: float = -50.0
+    order: int = ORDER
 
-    def differences(self, texts: list[str | None]) -> list[float]:
-        """Toxic minus ordinary log-likelihood of each text, normalised by length."""
-        known, out = _Differences(self.begun), []
-        for text in texts:
-            found = words(text)
-            out.append(sum(map(known.__getitem__, found)) / (length(found) + PAD))
-        return out
+    def evidence(self):
+        """texts -> the sum of the largest ratios of each, with one memory of words for all calls."""
+        known = _Ratios(self)
+        return lambda texts: [sum(nlargest(TOP, map(known.__getitem__, words(text)))) for text in texts]
 
     def scorer(self):
-        """texts -> scores, with one memory of words for all calls."""
-        known = _Differences(self.begun)
+        """texts -> scores."""
+        evidence = self.evidence()
+        return lambda texts: [1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * x + self.offset)))) for x in evidence(texts)]
 
-        def run(texts: list[str | None]) -> list[float]:
-            out = []
-            for text in texts:
-                found = words(text)
-                x = sum(map(known.__getitem__, found)) / (length(found) + PAD)
-                out.append(1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * x + self.offset)))))
-            return out
 
-        return run
+COUNTS = ("t", "o", "t1", "o1")  # of all learning documents, and of those that the logistic fit leaves
 
 
-COUNTS = ("t", "o", "docs", "t1", "o1", "docs1")  # of all learning documents, and of those that the logistic fit leaves
+def _tables(held: dict[str, list[int]], name: str) -> pa.RecordBatch:
+    table = np.array(list(held.values()), np.int64).reshape(-1, 4)
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array(np.ascontiguousarray(table[:, c])) for c in range(4))], [name, *COUNTS])
 
 
-def _counted(batches):
-    """Beginnings with their counts in toxic and ordinary documents, and the number of documents."""
-    held, table = Vocabulary(), np.zeros((HELD, 6), np.int64)
+def _word_counts(batches):
+    """Distinct words of documents, with the number of documents of each kind that have them."""
+    held = defaultdict(lambda: [0, 0, 0, 0])
+    for batch in small(batches):
+        for text, toxic, kept in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            at = 0 if toxic else 1
+            for w in words(text):
+                row = held[w]
+                row[at] += 1
+                row[at + 2] += kept
+            if len(held) > HELD:
+                yield _tables(held, "word")
+                held.clear()
+    if held:
+        yield _tables(held, "word")
 
-    def rows():
-        return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), *(pa.array(table[: len(held), c].copy()) for c in range(6))], ["node", *COUNTS])
 
+def _gram_counts(batches):
+    """Grams of distinct words, with the words' counts."""
+    held = defaultdict(lambda: [0, 0, 0, 0])
     for batch in batches:
-        for text, toxic, kept in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            nodes: dict[str, int] = defaultdict(int)
-            for w, c in Counter(words(text)).items():
-                for k in range(1, min(len(w), LONGEST) + 1):
-                    nodes[w[:k]] += c
-                if len(w) <= LONGEST:
-                    nodes[w + END] += c
-                for piece in pieces(w):
-                    for k in range(min(len(piece), LONGEST) + 1):
-                        nodes[LATER + piece[:k]] += c
-                    if len(piece) <= LONGEST:
-                        nodes[LATER + piece + END] += c
-            own = np.fromiter(map(held.__getitem__, nodes), np.int64, len(nodes))
-            while len(held) > len(table):
-                table = np.concatenate((table, np.zeros_like(table)))
-            counts, at = np.fromiter(nodes.values(), np.int64, len(nodes)), 0 if toxic else 1
-            for first in (0, 3)[: 1 + kept]:
-                table[own, first + at] += counts
-                table[own, first + 2] += 1
-            if len(held) > HELD // 2:
-                yield rows()
+        for word, *counts in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            for gram, n in Counter(grams(word)).items():
+                row = held[gram]
+                for c in range(4):
+                    row[c] += n * counts[c]
+            if len(held) > HELD:
+                yield _tables(held, "gram")
                 held.clear()
-                table[:] = 0
     if held:
-        yield rows()
+        yield _tables(held, "gram")
+
 
+def discount(once: float, twice: float) -> float:
+    """n1 / (n1 + 2 n2), within (0, 1) where counts say nothing."""
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
-def _begun(nodes: list[str], counts: np.ndarray, kinds: np.ndarray, at: int) -> dict[str, float]:
-    """Differences of the beginnings that aren't rare, where they differ from their own beginning's. counts: COUNTS of each
-    node; kinds: the letters that follow its parent, as t, o, t1 and o1; at: the first of the columns to use, 0 or 3."""
+
+def ratios(names: list[str], toxic: np.ndarray, ordinary: np.ndarray, discounts: tuple[float, float], order: int = ORDER) -> tuple[dict[str, float], dict[str, float]]:
+    """(log-ratio of each kept gram of full context, log-ratio of the shares left in each context), from the kept grams'
+    counts. Every part of a kept gram is kept too."""
     import pandas as pd
 
-    length = np.array([len(g) for g in nodes], np.int64)
-    parent = pd.Index(nodes).get_indexer([g[:-1] for g in nodes])  # -1: the empty beginning
-    t, o, docs = (counts[:, at + c].astype(np.float64) for c in range(3))
-    k_t, k_o = (kinds[:, at // 3 * 2 + c].astype(np.float64) for c in range(2))
-    first = length == 1
-    all_t, all_o = (np.where(parent < 0, c[first].sum(), c[parent]) for c in (t, o))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        shared = (t + o) / (all_t + all_o)
-        p = np.where(all_t > 0, (np.maximum(t - DISCOUNT, 0) + DISCOUNT * k_t * shared) / all_t, shared)
-        q = np.where(all_o > 0, (np.maximum(o - DISCOUNT, 0) + DISCOUNT * k_o * shared) / all_o, shared)
-        step = np.where((p > 0) & (q > 0), np.log(p / q), 0.0)
-    usual = docs >= LEAST_DOCS
-    whole = np.zeros(len(nodes))
-    for n in range(1, int(length.max(initial=0)) + 1):
-        own = np.flatnonzero((length == n) & usual)
-        own = own[(parent[own] < 0) | usual[parent[own]]]
-        whole[own] = step[own] + np.where(parent[own] < 0, 0.0, whole[parent[own]])
-    dead = np.sign(whole) * np.maximum(np.abs(whole) - DEAD - ERRORS * np.sqrt(1 / (t + 0.5) + 1 / (o + 0.5)), 0.0)
-    above = np.where(parent < 0, 0.0, dead[parent])
-    return {nodes[k]: float(dead[k]) for k in np.flatnonzero(usual & (dead != above)).tolist()}
-
-
-def _tables(learn: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """The models' differences from all learning documents, and from those that the logistic fit leaves."""
-    counts = learn.mapInArrow(_counted, "node string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("node").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    counts = cut(counts.withColumn("parent", F.substring("node", F.lit(1), F.length("node") - 1)))
-    kinds = counts.groupBy("parent").agg(*[F.count_if(F.col(c) > 0).alias(f"k_{c}") for c in ("t", "o", "t1", "o1")])
-    got = counts.where(F.col("docs") >= LEAST_DOCS).join(kinds, "parent").drop("parent").toArrow()
-    nodes = got.column("node").to_pylist()
-    found, follow = (np.column_stack([got.column(c).to_numpy() for c in names]) for names in (COUNTS, ("k_t", "k_o", "k_t1", "k_o1")))
-    return _begun(nodes, found, follow, 0), _begun(nodes, found, follow, 3)
+    index = pd.Index(names)
+    length = np.fromiter(map(len, names), np.int64, len(names))
+    begins = np.fromiter((g[0] == START for g in names), bool, len(names))
+    head, tail = (index.get_indexer([g[part] for g in names]) for part in (slice(0, -1), slice(1, None)))  # -1: empty
+    kinds = len(np.unique([g for g in names if len(g) == 1])) or 1
+
+    # shared orders: continuation counts, by the symbols before a gram
+    met = np.bincount(tail[length > 1], minlength=len(names)).astype(np.float64)
+    low = ~begins & (length < order)
+    sums, types = (np.bincount(head[low] + 1, weights=x[low], minlength=len(names) + 1) for x in (met, (met > 0).astype(float)))
+    shared = np.full(len(names), 1 / kinds)
+    for n in range(1, order):
+        at = np.flatnonzero(low & (length == n))
+        d = discount((met[at] == 1).sum(), (met[at] == 2).sum())
+        below = np.where(tail[at] >= 0, shared[tail[at]], 1 / kinds)
+        whole = sums[head[at] + 1]
+        shared[at] = np.where(whole > 0, (np.maximum(met[at] - d, 0) + d * types[head[at] + 1] * below) / np.maximum(whole, 1), below)
+
+    # the classes' own order
+    full = np.flatnonzero((length == order) | (begins & (length > 1)))
+    below, context = shared[tail[full]], head[full]
+    logs, rests = [], []
+    for counts, d in zip((toxic, ordinary), discounts, strict=True):
+        c, n = np.maximum(counts[full] - d, 0), counts.astype(np.float64)
+        rest = n - np.bincount(context, weights=c, minlength=len(names))
+        logs.append(np.log(np.where(n[context] > 0, (c + rest[context] * below) / np.maximum(n[context], 1), below)))
+        rests.append(np.log(np.where(n > 0, rest / np.maximum(n, 1), 1.0)))
+    found = {names[g]: float(x) for g, x in zip(full.tolist(), (logs[0] - logs[1]).tolist(), strict=True)}
+    ends = np.unique(context)
+    return found, {names[h]: float(x) for h, x in zip(ends.tolist(), (rests[0] - rests[1])[ends].tolist(), strict=True)}
+
+
+def _models(learn: DataFrame) -> tuple[tuple, tuple]:
+    """The ratios from all learning documents, and from those that the logistic fit leaves."""
+    summed = lambda df, name: df.groupBy(name).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    schema = ", ".join(f"{c} long" for c in COUNTS)
+    vocabulary = summed(learn.mapInArrow(_word_counts, f"word string, {schema}"), "word")
+    counts = cut(summed(vocabulary.mapInArrow(_gram_counts, f"gram string, {schema}"), "gram"))
+    full = (F.length("gram") == ORDER) | (F.col("gram").startswith(START) & (F.length("gram") > 1))
+    seen = counts.where(full).agg(*[F.count_if(F.col(c) == n).alias(f"{c}_{n}") for c in COUNTS for n in (1, 2)]).first()
+    out = []
+    for t, o in (("t", "o"), ("t1", "o1")):
+        # bounded by the sample: a gram is kept if it is in CUTOFF words of it
+        got = counts.where(F.col(t) + F.col(o) >= CUTOFF).select("gram", t, o).orderBy("gram").toArrow()
+        d = tuple(discount(seen[f"{c}_1"], seen[f"{c}_2"]) for c in (t, o))
+        out.append(ratios(got.column("gram").to_pylist(), got.column(t).to_numpy(), got.column(o).to_numpy(), d))
+    return tuple(out)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -217,28 +232,30 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     """Learns from labelled documents that aren't held out."""
-    small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     rate = min(1.0, sample / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) < rate * 1_000_003)
-    # at most about ``sample`` rows of 12 bytes
+    chosen = known.where(sampled(rate, "_id"))
     kept = F.pmod(F.xxhash64("_id", F.lit("fit")), F.lit(4)) > 0
     slim = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text"))
+    # at most about ``sample`` rows of 12 bytes
     learn = slim.join(F.broadcast(chosen), "_id").select("text", (F.col("_toxic") > 0).alias("toxic"), kept.alias("kept"))
-    begun, partial = _tables(learn)
-    if not partial:
-        return Model()
-    model = Model(partial)
+    rows = learn.count()
+    if rows > 2 * sample:  # ids that repeat: the bound is of rows
+        learn = learn.where(sampled(sample / rows, F.monotonically_increasing_id(), "text"))
+    learn = cut(learn)
+    whole, partial = _models(learn)
+    model = Model(*partial)
 
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(model.differences(batch.column(0).to_pylist()), pa.float64()), batch.column(1)], ["x", "y"])
+        evidence = model.evidence()
+        for batch in small(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(evidence(batch.column(0).to_pylist()), pa.float64()), batch.column(1)], ["x", "y"])
 
     got = learn.where("not kept").select("text", "toxic").mapInArrow(run, "x double, y boolean").collect()
     x, y = np.array(sorted((r[0], float(r[1])) for r in got)).reshape(-1, 2).T
-    if not len(y) or y.min() == y.max():
+    if not partial[0] or not len(y) or y.min() == y.max():
         return Model()
-    return Model(begun, *_logistic(x, y))
+    return Model(*whole, *_logistic(x, y))
 
 
 def _scored(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -247,7 +264,7 @@ def _scored(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         scores = model.scorer()
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(0).field(text).to_pylist()), pa.float64())], ["row", "score"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
@@ -255,12 +272,10 @@ def _scored(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    small_batches(docs.sparkSession)
     slim = docs.select(F.struct(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text")).alias("row"))
     return _scored(slim, model).select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs without those predicted toxic."""
-    small_batches(docs.sparkSession)
     return _scored(docs.select(whole_row(docs)), model, text).where("score < 0.5").select("row.*")

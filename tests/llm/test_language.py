@@ -44,3 +44,16 @@ def test_nothing_to_learn_from(spark):
     got = langid.identify(docs, langid.fit(docs)).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
     assert langid.identify(docs.limit(0), langid.fit(docs.limit(0))).collect() == []
+
+
+def test_sample_is_bounded_for_null_and_repeated_ids(spark):
+    rows = [(None, f"the cat {i} sat", "en") for i in range(20000)] + [(7, "le chat", "fr")] * 20000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    seen = []
+    real = langid.unit
+    langid.unit = lambda x: seen.append(len(x)) or real(x)
+    try:
+        model = langid.fit(docs)
+    finally:
+        langid.unit = real
+    assert set(model.languages) <= {"en", "fr"} and max(seen) < 6000

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -6,33 +7,84 @@ from pyspark.sql import functions as F
 from signalloom.llm import queries, toxicity
 
 
-def test_words_and_longest_beginning():
-    assert toxicity.words("You, IDIOT! it's Ünder") == ["you", "idiot", "it's", "ünder"] and toxicity.words(None) == []
-    known = toxicity._Differences({"idiot": 2.0, "idiot" + toxicity.END: 3.0, "id": -1.0})
-    assert [known[w] for w in ("idiot", "idiots", "idea", "x", "idiotsandmoreandmore")] == [3.0, 2.0, -1.0, 0.0, 2.0]
-
-
-def test_differences_by_plain_counting():
-    texts = [("bad bad cat", True), ("bad dog", True), ("bad", True), ("bad cow", True), ("bad cat", True)] + [("cat dog cow", False)] * 12
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in texts]), pa.array([x for _, x in texts]), pa.array([True] * len(texts))], ["a", "b", "c"])
-    nodes = {}
-    for out in toxicity._counted([batch]):
-        nodes |= {r["node"]: tuple(r[c] for c in toxicity.COUNTS) for r in out.to_pylist()}
-    assert nodes["bad\0"] == nodes["b"] == (6, 0, 5, 6, 0, 5) and nodes["c"][:3] == (3, 24, 15)
-    kinds = {}
-    for g, c in nodes.items():
-        k = kinds.setdefault(g[:-1], [0] * 4)
-        for i, j in enumerate((0, 1, 3, 4)):
-            k[i] += c[j] > 0
-    names = list(nodes)
-    got = toxicity._begun(names, np.array([nodes[g] for g in names]), np.array([kinds[g[:-1]] for g in names]), 0)
-    total_t, total_o, d = 10, 36, toxicity.DISCOUNT
-    p = (6 - d + d * 3 * 6 / 46) / total_t
-    q = d * 2 * 6 / 46 / total_o
-    error = math.sqrt(1 / 6.5 + 1 / 0.5)
-    assert abs(got["b"] - (math.log(p / q) - toxicity.DEAD - toxicity.ERRORS * error)) < 1e-12
+def test_words_and_grams():
+    assert toxicity.words("You, IDIOT! it's Ünder you") == {"you", "idiot", "it's", "ünder"} and toxicity.words(None) == set()
+    s, e = toxicity.START, toxicity.END
+    assert sorted(toxicity.grams("ab", 3)) == sorted([s, s + "a", s + "ab", "a", "ab", "ab" + e, "b", "b" + e, e])
+
+
+def plain(texts, order, cutoff):
+    """word -> log-ratios of its symbols, straight from the definition."""
+    counts = [Counter(), Counter()]
+    for text, toxic in texts:
+        for w in set(text.split()):
+            whole = toxicity.START + w + toxicity.END
+            counts[toxic].update(whole[i : i + n] for n in range(1, order + 1) for i in range(len(whole) - n + 1))
+    kept = {g for g in counts[0] | counts[1] if counts[0][g] + counts[1][g] >= cutoff}
+    kinds = len({g for g in kept if len(g) == 1})
+    before = lambda g: sum(x + g in kept for x in {k[0] for k in kept})
+    low = {g: before(g) for g in kept if g[0] != toxicity.START and len(g) < order}
+    ones = lambda values: toxicity.discount(sum(v == 1 for v in values), sum(v == 2 for v in values))
+    less = {n: ones([v for g, v in low.items() if len(g) == n]) for n in range(1, order)}
+    full = lambda g: len(g) == order or (g[0] == toxicity.START and len(g) > 1)
+    own = [ones([v for g, v in c.items() if full(g)]) for c in counts]
+
+    def shared(g):
+        if not g:
+            return 1 / kinds
+        following = [v for k, v in low.items() if len(k) == len(g) and k[:-1] == g[:-1]]
+        if not sum(following):
+            return shared(g[1:])
+        return (max(low.get(g, 0) - less[len(g)], 0) + less[len(g)] * sum(v > 0 for v in following) * shared(g[1:])) / sum(following)
+
+    def p(k, g):
+        following = {x: v for x, v in counts[k].items() if len(x) == len(g) and x[:-1] == g[:-1] and full(x)}
+        n = sum(following.values())
+        if not n:
+            return shared(g[1:])
+        rest = n - sum(max(v - own[k], 0) for x, v in following.items() if x in kept)
+        return ((max(following.get(g, 0) - own[k], 0) if g in kept else 0) + rest * shared(g[1:])) / n
+
+    def steps(w):
+        whole = toxicity.START + w + toxicity.END
+        at = [whole[max(0, k - order + 1) : k + 1] for k in range(1, len(whole))]
+        return [math.log(p(1, g) / p(0, g)) for g in at]
+
+    return steps, p
+
+
+def model_of(texts, order, cutoff):
+    held = Counter(), Counter()
+    for text, toxic in texts:
+        for w in set(text.split()):
+            held[toxic].update(toxicity.grams(w, order))
+    full = lambda g: len(g) == order or (g[0] == toxicity.START and len(g) > 1)
+    d = [toxicity.discount(sum(v == 1 and full(g) for g, v in c.items()), sum(v == 2 and full(g) for g, v in c.items())) for c in held]
+    names = sorted(g for g in held[0] | held[1] if held[0][g] + held[1][g] >= cutoff)
+    got = toxicity.ratios(names, np.array([held[1][g] for g in names]), np.array([held[0][g] for g in names]), (d[1], d[0]), order)
+    return toxicity.Model(*got, order=order)
+
+
+def test_ratios_by_the_definition():
+    random = np.random.default_rng(0)
+    made = lambda: "".join(random.choice(list("abcde"), int(random.integers(1, 7))))
+    stock = [made() for _ in range(60)]
+    texts = [(" ".join(random.choice(stock, 12).tolist() + ["bad"] * (i % 3 == 0)), int(i % 3 == 0)) for i in range(60)]
+    for order, cutoff in ((3, 1), (4, 3), (6, 2)):
+        steps, p = plain(texts, order, cutoff)
+        known = toxicity._Ratios(model_of(texts, order, cutoff))
+        for w in ["bad", "badly", "abad", "zzz", "a", *stock[:25]]:
+            assert np.allclose(known.steps(w), steps(w), atol=1e-9, rtol=0)
+        for k in (0, 1):  # probabilities of all symbols after a context sum to one
+            assert abs(sum(p(k, toxicity.START + "b" + x) for x in [*"abcde", toxicity.START, toxicity.END]) - 1) < 1e-9
+
+
+def test_every_letter_of_long_words_is_scored():
+    texts = [(f"{a}nasty", 1) for a in ("collective", "wonderful", "beautiful", "plentiful")] + [(f"{a}goody", 0) for a in ("collective", "wonderful", "beautiful", "plentiful")]
+    known = toxicity._Ratios(model_of(texts * 6, 8, 3))
+    assert known["mercifulnasty"] > known["mercifulgoody"] + 0.01
+    long = "x" * 200
+    assert known[long + "wonderfulnasty"] > known[long + "wonderfulgoody"] + 0.01
 
 
 def test_held_out_documents(spark):
@@ -72,8 +124,7 @@ def test_edge_cases_and_filter(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, rows in got.items() if not rows[0].predicted}
 
 
-def test_what_follows_the_tenth_letter(spark):
-    """Toxic parts behind the tenth letter of a word and within runs of scripts without spaces."""
+def test_scripts_without_spaces(spark):
     docs, labels = fixture(spark)
     random = np.random.default_rng(1)
     runs = ["".join(chr(0x4E00 + int(c)) for c in random.integers(0, 40, 40)) for _ in range(201)]
@@ -81,13 +132,27 @@ def test_what_follows_the_tenth_letter(spark):
     rows = [(2000 + i, r[:20] + bad * (i % 4 == 0) + r[20:30] + "\uff0c" + r[30:], "x") for i, r in enumerate(runs[:200])]
     docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
     labels = labels.unionByName(spark.createDataFrame([(d, int(d % 4 == 0)) for d, _, _ in rows], labels.schema))
-    model = toxicity.fit(docs, labels)
-    run = runs[-1]
-    for toxic, plain in (("w1 w2 collectivelynasty w3", "w1 w2 collectivelygoody w3"), (run[:30] + bad + run[30:], run)):
-        x, y = model.differences([toxic, plain])
-        assert x > y + 0.01
-        x, y = model.scorer()([toxic, plain])
-        assert x > y
+    model, run = toxicity.fit(docs, labels), runs[-1]
+    x, y = model.scorer()([run[:30] + bad + run[30:], run])
+    assert x > 0.5 > y
+
+
+def test_sample_is_bounded_for_repeated_ids(spark):
+    docs = spark.range(4000).selectExpr("1L as doc_id", "concat('w', id % 7, ' nasty') as text")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    seen = []
+    real = toxicity._models
+
+    def models(learn):
+        seen.append(learn.count())
+        return real(learn)
+
+    toxicity._models = models
+    try:
+        toxicity.fit(docs, labels, sample=100)
+    finally:
+        toxicity._models = real
+    assert 50 < seen[0] < 200
 
 
 def test_nothing_to_learn_from(spark):
