@@ -47,7 +47,7 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chroma.aligned(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("media_id").alias("doc_id"), F.col("match_id").alias("match_doc_id"), "start", "votes", "bit_error_rate")
+    return chroma.aligned(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("media_id").alias("doc_id"), "class_id", F.col("match_id").alias("match_doc_id"), "start", "votes", "bit_error_rate")
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +93,11 @@ from d left join t on t.r = d.r"""
 
 def _topk_sql() -> str:
     return """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint as score
-      from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 100 = 0),
-r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+s as (select q.r, q.vec_id as query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint as score
+      from v q join v c on q.r <> c.r and len(q.v) = len(c.v) where q.vec_id % 100 = 0),
+r as (select query_id, row_number() over (partition by r order by score desc, vec_id)::int as rank, vec_id, score from s)
 select query_id, rank, vec_id, score from r where rank <= 10"""
 
 

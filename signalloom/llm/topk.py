@@ -1,27 +1,38 @@
 """Exact top-k inner products by sequential reading of sorted lists (no random access).
 
-Vectors are dealt to blocks. Within a block each component has a list sorted by value; for a query a list is read
-from its end of largest contributions, ``STEPS`` equal depths at a time. A candidate's lower bound takes, for lists in
-which it hasn't been read, the least contribution of the list, its upper bound the contribution at the frontier.
-Reading stops when candidates outside the k best lower bounds can't reach them, or when only a few candidates can
-still qualify; the final scores of those are then resolved. The k best of each block are merged by query.
-Every query block meets every candidate block once, as packed rows joined on the pair of block numbers.
-
-Edge cases: vectors that are null or hold a null or non-finite component, and rows without id, take no part; of rows
-that repeat an id every distinct vector is a candidate and a query, but never for its own id; vectors of different lengths are never compared; fewer than k
-candidates give as many rows; ties go to the smaller id; an empty table gives no rows; extra columns are ignored.
-Scores are 64-bit integers.
+Every candidate row gets a number and goes to a block. Within a block each component has a list of (value, candidate) sorted by
+value; for a query it is read from the end of its largest contributions, ``STEPS`` pieces one after another. What a
+list has told so far bounds every candidate's score: the lower bound takes the least contribution of each list that
+hasn't named the candidate, the upper bound that list's frontier. After each piece the k-th best lower bound is
+compared with the upper bounds; candidates that can't reach it drop out, and reading stops when k candidates or a few more are
+left, whose final scores are then resolved from the rest of their lists. The k-th best score that a query has found
+in earlier blocks of a task bounds its reading in later ones, which often end after the first piece.
+
+Blocks are written once. The queries come in groups of ``GROUP`` rows (a bound: the driver and each task hold one group at
+a time), and each group reads the blocks in place; so candidates are shuffled once, into their blocks, however many
+queries there are, and a task sends on k rows a query at most.
+
+Edge cases: vectors that are null or hold a null or non-finite component, and rows without id, take no part; every other row
+is a candidate for all queries but itself, also where it repeats an id; a row that repeats a query's id is a query of
+its own; vectors of different lengths are never compared; fewer than k candidates give as many rows; ties go to the
+smaller id; an empty table gives no rows; extra columns are ignored. Scores are 64-bit integers.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a block of candidates and of queries, depths at which a list's reading pauses, queries that read together.
-CANDIDATES, QUERIES, STEPS, TOGETHER = 16384, 1024, 8, 128
+from .common import shared_folder, stored
+
+#: Components in a block and in a group of queries.
+ENTRIES = 1 << 20
+#: Candidates in a block, queries in a group, pieces of a list, candidates (per k) that are resolved rather than read on.
+CANDIDATES, GROUP, STEPS, FEW = 16384, 16384, 16, 4
 SCALE = 1024
 
 
@@ -30,100 +41,129 @@ def scaled(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     bad = F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     # exists() is null if a comparison with a null element is; isNull comes first, so it is true there
     good = vectors.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).where(~F.coalesce(bad, F.lit(True)))
-    one = good.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * SCALE)).alias("v"))
-    return one.distinct()
+    return good.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * SCALE)).alias("v"))
 
 
 class Lists:
     """The sorted lists of one block of candidates."""
 
-    def __init__(self, ids: np.ndarray, block: np.ndarray):
-        order = np.argsort(ids)
-        self.ids, self.block = ids[order], block[order]
-        self.lists = np.sort(self.block, axis=0).astype(np.float32)
-        self.short = self.block.astype(np.float32)
-        self.depths = []  # at which queries stopped
-
-    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (ids, scores) of its k best candidates, by score and id."""
-        out = []
-        wide = self.block.astype(np.float64)
-        largest = np.abs(self.block).max(initial=0)
-        for query, name, left in zip(queries, own.tolist(), self._survivors(queries, own, k), strict=True):
-            left = left[self.ids[left] != name]
-            if float(largest) * float(np.abs(query).max(initial=0)) * len(query) < 2.0**53:
-                scores = (wide[left] @ query.astype(np.float64)).astype(np.int64)
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, order: np.ndarray, values: np.ndarray):
+        """order and values: lists x candidates, by growing value; rows and ids: number and id of each candidate."""
+        self.rows, self.ids, self.order, self.values = rows, ids, order, values
+        self.read = 0  # entries read, of all queries
+
+    @classmethod
+    def of(cls, rows: np.ndarray, ids: np.ndarray, block: np.ndarray) -> Lists:
+        order = np.argsort(block, axis=0, kind="stable").T.astype(np.int32)
+        return cls(rows, ids, np.ascontiguousarray(order), np.take_along_axis(block.T, order.astype(np.int64), axis=1))
+
+    def best(self, query: np.ndarray, own: int, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best candidates of a query, the row ``own`` left out, by score and id; of candidates that
+        score under ``least`` any number may be missing."""
+        n, used = len(self.ids), np.flatnonzero(query)
+        candidates = np.flatnonzero(self.rows != own)
+        # 64-bit floats hold all sums exactly, or else Python integers' array does
+        kind = np.float64 if float(np.abs(self.values).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, len(query)) < 2.0**52 else object
+        weight = query[used].astype(kind)[:, None]
+        up = query[used] > 0
+        ends = np.where(up, self.values[used, 0], self.values[used, -1]).astype(kind) * weight[:, 0] if n else np.zeros(0)
+        lower = np.zeros(n, kind) + ends.sum()  # nothing read: the least contribution of every list
+        seen = np.zeros((len(used), n), np.float32)
+        step, depth = -(-n // STEPS), 0
+        while len(used) and depth < n and len(candidates) > FEW * k:
+            stop = min(n, depth + step)
+            top, low = slice(n - stop, n - depth), slice(depth, stop)
+            names = np.where(up[:, None], self.order[used, top][:, ::-1], self.order[used, low])
+            gains = np.where(up[:, None], self.values[used, top][:, ::-1], self.values[used, low]).astype(kind) * weight
+            self.read += names.size
+            extra = (gains - ends[:, None]).ravel()
+            if kind is object:
+                np.add.at(lower, names.ravel(), extra)
             else:
-                scores = self.block[left] @ query
-            first = np.lexsort((self.ids[left], -scores))[:k]
-            out.append((self.ids[left[first]], scores[first]))
-        return out
-
-    def _survivors(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
-        """For each query the candidates that can still qualify when its reading stops. All queries read on together:
-        at a depth, the upper ends of the lists (for positive components) and the lower ends (for negative ones) are
-        known to their frontiers, ties included."""
-        n = len(self.ids)
-        found = [np.arange(n)] * len(queries)
-        if n <= 4 * k:
-            return found
-        up, down = np.maximum(queries, 0).astype(np.float32), np.minimum(queries, 0).astype(np.float32)
-        # float32 sums are off by far less than this
-        margin = 2e-5 * (np.abs(queries).astype(np.float64) @ np.abs(self.block).max(axis=0).astype(np.float64)) + 1
-        first, last = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
-        active, x, lists = np.arange(len(queries)), self.short, self.lists
-        step = -(-n // STEPS)
-        for depth in range(step, n, step):
-            top, bottom = lists[n - depth], lists[depth - 1]
-            upper = up[active] @ np.maximum(x, top).T
-            upper += down[active] @ np.minimum(x, bottom).T
-            lower = up[active] @ np.where(x >= top, x, lists[0]).T
-            lower += down[active] @ np.where(x <= bottom, x, lists[-1]).T
-            for row in np.flatnonzero(last[active] > first[active]).tolist():
-                mine = slice(first[active[row]], last[active[row]])
-                upper[row, mine] = lower[row, mine] = -np.inf
-            kth = np.partition(lower, n - k, axis=1)[:, n - k]
-            can = upper >= (kth - 2 * margin[active])[:, None].astype(np.float32)
-            stop = can.sum(axis=1) <= max(4 * k, n // 16)
-            for row in np.flatnonzero(stop).tolist():
-                found[active[row]] = np.flatnonzero(can[row])
-            self.depths += [depth] * int(stop.sum())
-            active = active[~stop]
-            if not len(active):
-                break
-        return found
-
-
-def search(vectors: DataFrame, queries=None, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", candidates: int = CANDIDATES, query_rows: int = QUERIES) -> DataFrame:
+                lower += np.bincount(names.ravel(), weights=extra, minlength=n)
+            np.put_along_axis(seen, names.astype(np.int64), 1, axis=1)
+            depth = stop
+            # a list that hasn't named a candidate gives it what stands at the frontier, at most
+            room = gains[:, -1] - ends
+            slack = float(room.astype(np.float64).sum()) * 1e-5 + 1  # of the float32 product
+            upper = lower[candidates].astype(np.float64) + (room.astype(np.float64).sum() - room.astype(np.float32) @ seen[:, candidates]) + slack
+            kth = np.partition(lower[candidates].astype(np.float64), len(candidates) - k)[len(candidates) - k]
+            candidates = candidates[upper >= (kth if least is None else max(kth, least))]
+        scores = self.resolved(query, candidates)
+        first = np.lexsort((self.ids[candidates], -scores))[:k]
+        return self.ids[candidates[first]], scores[first]
+
+    def resolved(self, query: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        """Final scores: what the lists say of a few candidates, put together."""
+        if not hasattr(self, "block"):
+            self.block = np.zeros(self.order.shape[::-1], np.int64)
+            np.put_along_axis(self.block, self.order.astype(np.int64).T, self.values.T, axis=0)
+        return self.block[candidates] @ query if len(candidates) else np.zeros(0, np.int64)
+
+
+def blocks(points: DataFrame, number: int) -> DataFrame:
+    """One row a block: dim, rows, ids, order and values of its lists; written."""
+
+    def pack(key, table):
+        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, rows = (table.column(c).to_numpy().astype(np.int64) for c in ("vec_id", "row"))
+        lists = Lists.of(rows, ids, flat.reshape(len(ids), -1))
+        return pa.table({"dim": [key[0].as_py()], **{n: [x.tobytes()] for n, x in (("rows", rows), ("ids", ids), ("order", lists.order), ("list", lists.values))}})
+
+    dealt = points.withColumn("dim", F.size("v").cast("long")).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(number)))
+    return stored(dealt.groupBy("dim", "block").applyInArrow(pack, "dim long, rows binary, ids binary, order binary, list binary"))
+
+
+def search(vectors: DataFrame, queries=None, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", candidates: int = CANDIDATES, group: int = GROUP) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best. queries: a condition on vec_id."""
     queries = F.col("vec_id") % 100 == 0 if queries is None else queries
-    points = scaled(vectors, vec_id, vector)
-    count = points.agg(F.count("*"), F.count_if(queries)).first()
-    c_blocks, q_blocks = max(1, -(-count[0] // candidates)), max(1, -(-count[1] // query_rows))
-
-    def packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-        def pack(key, table):
-            flat = table.column("v").combine_chunks()
-            return pa.table({"dim": [key[0].as_py()], name: [key[1].as_py()], f"{name}_ids": [table.column("vec_id").to_numpy().astype(np.int64).tobytes()], f"{name}_v": [flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]})
+    spark = vectors.sparkSession
+    points = stored(scaled(vectors, vec_id, vector).withColumn("row", F.monotonically_increasing_id()))
+    size = F.size("v").cast("long")
+    count, entries, asked, wide = points.agg(F.count("*"), F.sum(size), F.count_if(queries), F.sum(F.when(queries, size))).first()
+    lists = blocks(points, max(1, -(-count // candidates), -(-(entries or 0) // ENTRIES)))
+    groups = max(1, -(-asked // group), -(-(wide or 0) // ENTRIES))
+    path = f"{shared_folder(spark)}/topk-{uuid.uuid4().hex}"
+    parts = []
+    for number in range(groups):
+        own = points.where(queries).where(F.pmod(F.xxhash64("row"), F.lit(groups)) == number)
+        got = own.select("row", "vec_id", "v").toArrow()  # about ``group`` rows
+        found = lists.mapInArrow(_reader(got, k), "query_row long, query_id long, vec_id long, score long")
+        if groups > 1:  # results are written, so that no plan holds more than one group
+            found.write.mode("append").parquet(path)
+        else:
+            parts.append(found)
+    found = spark.read.schema("query_row long, query_id long, vec_id long, score long").parquet(path) if groups > 1 else parts[0]
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-        dealt = rows.withColumn("dim", F.size("v").cast("long")).withColumn(name, F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("long"))
-        return dealt.groupBy("dim", name).applyInArrow(pack, f"dim long, {name} long, {name}_ids binary, {name}_v binary")
 
-    each = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
-    left = packed(points, c_blocks, "c").select("*", each(q_blocks, "q"))
-    right = packed(points.where(queries), q_blocks, "q").select("*", each(c_blocks, "c"))
-    met = left.join(right.hint("shuffle_hash"), ["dim", "c", "q"]).select("dim", "c_ids", "c_v", "q_ids", "q_v")
+def _reader(got: pa.Table, k: int):
+    """A function of batches of blocks that gives the k best of a task's blocks for each query of a group."""
+    rows, ids = (got.column(c).to_numpy().astype(np.int64) for c in ("row", "vec_id"))
+    vectors = [np.array(v, np.int64) for v in got.column("v").to_pylist()]
 
     def run(batches):
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, own = (np.frombuffer(r[x], np.int64) for x in ("c_ids", "q_ids"))
-                lists = Lists(ids, np.frombuffer(r["c_v"], np.int64).reshape(len(ids), r["dim"]))
-                block = np.frombuffer(r["q_v"], np.int64).reshape(len(own), r["dim"])
-                out = [x for s in range(0, len(own), TOGETHER) for x in lists.best(block[s : s + TOGETHER], own[s : s + TOGETHER], k)]
-                names = np.repeat(own, [len(i) for i, _ in out])
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([i for i, _ in out])), pa.array(np.concatenate([s for _, s in out]))], ["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for k_row in range(batch.num_rows):
+                r = {c: batch.column(c)[k_row].as_py() for c in batch.schema.names}
+                names = np.frombuffer(r["ids"], np.int64)
+                shape = (r["dim"], len(names))
+                lists = Lists(np.frombuffer(r["rows"], np.int64), names, np.frombuffer(r["order"], np.int32).reshape(shape), np.frombuffer(r["list"], np.int64).reshape(shape))
+                for q, vector in enumerate(vectors):
+                    if len(vector) != r["dim"]:
+                        continue
+                    had = best.get(q)
+                    new = lists.best(vector, rows[q], k, int(had[1][-1]) if had is not None and len(had[1]) == k else None)
+                    if had is not None:
+                        new = np.concatenate((had[0], new[0])), np.concatenate((had[1], new[1]))
+                        first = np.lexsort((new[0], -new[1]))[:k]
+                        new = new[0][first], new[1][first]
+                    best[q] = new
+        for start in range(0, len(held := list(best)), 1000):
+            part = held[start : start + 1000]
+            sizes = [len(best[q][0]) for q in part]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows[part], sizes)), pa.array(np.repeat(ids[part], sizes)), *(pa.array(np.concatenate([best[q][c] for q in part]).astype(np.int64)) for c in (0, 1))], ["query_row", "query_id", "vec_id", "score"])
+
+    return run
