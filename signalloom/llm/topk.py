@@ -4,8 +4,8 @@ Every candidate row gets a number and goes to a block. Within a block each compo
 value; for a query it is read from the end of its largest contributions, ``STEPS`` pieces one after another. What a
 list has told so far bounds every candidate's score: the lower bound takes the least contribution of each list that
 hasn't named the candidate, the upper bound that list's frontier. After each piece the k-th best lower bound is
-compared with the upper bounds; candidates that can't reach it drop out, and reading stops when k candidates or a few more are
-left, whose final scores are then resolved from the rest of their lists. The k-th best score that a query has found
+compared with the upper bounds; candidates that can't reach it drop out, and reading stops when those that nobody has named can't
+qualify either and few candidates are left (a ``SHARE``-th of the block), whose final scores are then resolved. The k-th best score that a query has found
 in earlier blocks of a task bounds its reading in later ones, which often end after the first piece.
 
 Blocks are written once. The queries come in groups of ``GROUP`` rows (a bound: the driver and each task hold one group at
@@ -31,8 +31,9 @@ from .common import shared_folder, stored
 
 #: Components in a block and in a group of queries.
 ENTRIES = 1 << 20
-#: Candidates in a block, queries in a group, pieces of a list, candidates (per k) that are resolved rather than read on.
-CANDIDATES, GROUP, STEPS, FEW = 16384, 16384, 16, 4
+#: Candidates in a block, queries in a group, pieces of a list; candidates (per k, or one over the share of a block) that
+#: are resolved rather than read on.
+CANDIDATES, GROUP, STEPS, FEW, SHARE = 16384, 16384, 16, 4, 32
 SCALE = 1024
 
 
@@ -49,7 +50,8 @@ class Lists:
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, order: np.ndarray, values: np.ndarray):
         """order and values: lists x candidates, by growing value; rows and ids: number and id of each candidate."""
-        self.rows, self.ids, self.order, self.values = rows, ids, order, values
+        self.rows, self.ids, self.order, self.values = rows, ids, order.astype(np.intp), values
+        self.floats, self.largest = values.astype(np.float64), np.abs(values).max(initial=0)
         self.read = 0  # entries read, of all queries
 
     @classmethod
@@ -60,34 +62,39 @@ class Lists:
     def best(self, query: np.ndarray, own: int, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best candidates of a query, the row ``own`` left out, by score and id; of candidates that
         score under ``least`` any number may be missing."""
-        n, used = len(self.ids), np.flatnonzero(query)
+        n = len(self.ids)
         candidates = np.flatnonzero(self.rows != own)
-        # 64-bit floats hold all sums exactly, or else Python integers' array does
-        kind = np.float64 if float(np.abs(self.values).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, len(query)) < 2.0**52 else object
-        weight = query[used].astype(kind)[:, None]
-        up = query[used] > 0
-        ends = np.where(up, self.values[used, 0], self.values[used, -1]).astype(kind) * weight[:, 0] if n else np.zeros(0)
-        lower = np.zeros(n, kind) + ends.sum()  # nothing read: the least contribution of every list
-        seen = np.zeros((len(used), n), np.float32)
-        step, depth = -(-n // STEPS), 0
-        while len(used) and depth < n and len(candidates) > FEW * k:
+        # 64-bit floats hold all sums exactly, or else Python integers do
+        exact = float(self.largest) * float(np.abs(query).max(initial=0)) * max(1, len(query)) < 2.0**52
+        values = self.floats if exact else self.values.astype(object)
+        top, bottom = np.flatnonzero(query > 0), np.flatnonzero(query < 0)  # lists read from their upper and lower end
+        weight = query[np.concatenate((top, bottom))].astype(values.dtype)
+        ends = np.concatenate((values[top, 0], values[bottom, -1])) * weight if n else weight
+        lower = np.zeros(n, values.dtype) + ends.sum()  # nothing read: the least contribution of every list
+        seen, number = np.zeros((len(weight), n), np.float32), n * np.arange(len(weight))[:, None]
+        step, depth, enough = -(-n // STEPS), 0, max(FEW * k, n // SHARE)
+        while len(weight) and depth < n and len(candidates) > enough:
             stop = min(n, depth + step)
-            top, low = slice(n - stop, n - depth), slice(depth, stop)
-            names = np.where(up[:, None], self.order[used, top][:, ::-1], self.order[used, low])
-            gains = np.where(up[:, None], self.values[used, top][:, ::-1], self.values[used, low]).astype(kind) * weight
+            pieces = (top, slice(n - stop, n - depth)), (bottom, slice(depth, stop))
+            names = np.concatenate([self.order[x] for x in pieces])
+            gains = np.concatenate([values[x] for x in pieces]) * weight[:, None]
+            front = np.concatenate((gains[: len(top), 0], gains[len(top) :, -1]))
             self.read += names.size
             extra = (gains - ends[:, None]).ravel()
-            if kind is object:
-                np.add.at(lower, names.ravel(), extra)
-            else:
+            if exact:
                 lower += np.bincount(names.ravel(), weights=extra, minlength=n)
-            np.put_along_axis(seen, names.astype(np.int64), 1, axis=1)
+            else:
+                np.add.at(lower, names.ravel(), extra)
+            seen.reshape(-1)[names + number] = 1
             depth = stop
+            slack = float(np.abs(front - ends).sum()) * 1e-5 + 1  # of the float32 product
+            if float(front.sum()) - slack > (float(lower.max()) if least is None else least):
+                continue  # even a candidate that no list has named can qualify
             # a list that hasn't named a candidate gives it what stands at the frontier, at most
-            room = gains[:, -1] - ends
-            slack = float(room.astype(np.float64).sum()) * 1e-5 + 1  # of the float32 product
-            upper = lower[candidates].astype(np.float64) + (room.astype(np.float64).sum() - room.astype(np.float32) @ seen[:, candidates]) + slack
-            kth = np.partition(lower[candidates].astype(np.float64), len(candidates) - k)[len(candidates) - k]
+            room = (front - ends).astype(np.float32)
+            held = lower[candidates].astype(np.float64)
+            upper = held + float((front - ends).sum()) - (room @ seen)[candidates] + slack
+            kth = np.partition(held, len(candidates) - k)[len(candidates) - k]
             candidates = candidates[upper >= (kth if least is None else max(kth, least))]
         scores = self.resolved(query, candidates)
         first = np.lexsort((self.ids[candidates], -scores))[:k]
@@ -97,7 +104,7 @@ class Lists:
         """Final scores: what the lists say of a few candidates, put together."""
         if not hasattr(self, "block"):
             self.block = np.zeros(self.order.shape[::-1], np.int64)
-            np.put_along_axis(self.block, self.order.astype(np.int64).T, self.values.T, axis=0)
+            np.put_along_axis(self.block, self.order.T, self.values.T, axis=0)
         return self.block[candidates] @ query if len(candidates) else np.zeros(0, np.int64)
 
 
@@ -108,7 +115,7 @@ def blocks(points: DataFrame, number: int) -> DataFrame:
         flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         ids, rows = (table.column(c).to_numpy().astype(np.int64) for c in ("vec_id", "row"))
         lists = Lists.of(rows, ids, flat.reshape(len(ids), -1))
-        return pa.table({"dim": [key[0].as_py()], **{n: [x.tobytes()] for n, x in (("rows", rows), ("ids", ids), ("order", lists.order), ("list", lists.values))}})
+        return pa.table({"dim": [key[0].as_py()], **{n: [x.tobytes()] for n, x in (("rows", rows), ("ids", ids), ("order", lists.order.astype(np.int32)), ("list", lists.values))}})
 
     dealt = points.withColumn("dim", F.size("v").cast("long")).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(number)))
     return stored(dealt.groupBy("dim", "block").applyInArrow(pack, "dim long, rows binary, ids binary, order binary, list binary"))
