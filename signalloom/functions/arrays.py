@@ -47,6 +47,23 @@ def zscore(x) -> Column:
     return let(F.struct(mean(x).alias("m"), deviation(x).alias("d")), lambda s: F.transform(x, lambda v: (v - s["m"]) / (s["d"] + TINY)))
 
 
+def sample_zscore(x) -> Column:
+    """(x - mean) / sample deviation; 0 where the values are all the same or there is one alone."""
+    scale = lambda s: F.sqrt(s["q"] / (F.size(x) - 1))
+    own = F.struct(mean(x).alias("m"), (deviation(x) * deviation(x) * F.size(x)).alias("q"))
+    return let(own, lambda s: F.transform(x, lambda v: F.when((F.size(x) > 1) & (s["q"] > 0), (v - s["m"]) / scale(s)).otherwise(0.0)))
+
+
+def reconciled(m, like) -> Column:
+    """m cropped to the shape of another matrix."""
+    return F.transform(F.slice(m, 1, F.size(like)), lambda row: F.slice(row, 1, F.size(F.get(like, F.lit(0)))))
+
+
+def first_channel(m) -> Column:
+    """The first of several channels of a matrix."""
+    return F.get(m, F.lit(0))
+
+
 def robust_scaled(x, median=None, iqr=None) -> Column:
     """(x - median) / (interquartile range + 1e-8), by the given statistics if both are there, else by the series' own."""
     own = F.struct(quantile(x, 0.5).alias("m"), (quantile(x, 0.75) - quantile(x, 0.25)).alias("d"))
@@ -135,6 +152,17 @@ def sincos_encoding(position, dimensions: int) -> Column:
     return F.concat(F.transform(half, lambda i: F.sin(angle(i))), F.transform(half, lambda i: F.cos(angle(i))))
 
 
+def sincos_encoding_2d(row, column, dimensions: int) -> Column:
+    """A grid place: the column's encoding in the first half of the dimensions, the row's in the second."""
+    return F.concat(sincos_encoding(column, dimensions // 2), sincos_encoding(row, dimensions // 2))
+
+
+def sincos_grid(height: int, width: int, dimensions: int, class_token: bool = False) -> Column:
+    """Encodings of all places of a grid, row by row; a zero row for a class token before them if asked."""
+    places = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda k: sincos_encoding_2d(F.floor(k / width).cast("double"), (k % width).cast("double"), dimensions))
+    return F.concat(F.array(F.array_repeat(F.lit(0.0), dimensions)), places) if class_token else places
+
+
 def gather(x, places) -> Column:
     """The values of x at zero-based places, null beyond its ends."""
     return F.transform(places, lambda i: F.get(x, i))
@@ -157,6 +185,16 @@ def constant_padded(x, n: int, value: float) -> Column:
     return F.concat(F.array_repeat(F.lit(value), left), x, F.array_repeat(F.lit(value), missing - left))
 
 
+def one_patch(x) -> Column:
+    """A pooled vector as a matrix of one patch."""
+    return F.array(x)
+
+
+def cropped(x, n: int) -> Column:
+    """The middle n values; shorter series stay as they are."""
+    return F.when(F.size(x) >= n, F.slice(x, F.floor((F.size(x) - n) / 2).cast("int") + 1, n)).otherwise(x)
+
+
 def replicated(m, channels: int = 3) -> Column:
     return F.array_repeat(m, channels)
 

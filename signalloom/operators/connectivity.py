@@ -29,6 +29,22 @@ def triangle(square: np.ndarray) -> np.ndarray:
     return square[np.tril_indices(len(square), -1)]
 
 
+def matrices_of(column: pa.Array) -> list[np.ndarray | None]:
+    """The matrices of a column of nested lists, as views of its flat values."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows, values = column.values.offsets.to_numpy(), column.values.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    out = []
+    for k, (a, b) in enumerate(zip(column.offsets[:-1].to_pylist(), column.offsets[1:].to_pylist(), strict=True)):
+        if not column[k].is_valid:
+            out.append(None)
+            continue
+        widths = np.diff(rows[a : b + 1])
+        if len(widths) and (widths != widths[0]).any():
+            raise ValueError("rows of a matrix differ in length")
+        out.append(values[rows[a] : rows[b]].reshape(b - a, -1) if b > a else np.zeros((0, 0)))
+    return out
+
+
 def per_matrix(frame: DataFrame, compute, schema: str = "array<double>", name: str = "features") -> DataFrame:
     """Adds compute(matrix as numpy) of each row's m."""
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -39,7 +55,7 @@ def per_matrix(frame: DataFrame, compute, schema: str = "array<double>", name: s
 
     def run(batches):
         for batch in batches:
-            got = [None if m is None else np.asarray(compute(np.asarray(m, np.float64))).tolist() for m in batch.column(names.index("m")).to_pylist()]
+            got = [None if m is None else np.asarray(compute(m)).tolist() for m in matrices_of(batch.column(names.index("m")))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], [*names, name])
 
     return frame.mapInArrow(run, out)

@@ -126,7 +126,7 @@ def perceptron(x: np.ndarray, y: np.ndarray, hidden=(128, 64), epochs: int = 200
     return lambda z: forward(z)[-1][:, 0]
 
 
-PREDICTOR = "method string, model string, n_components int, train_r2 double, train_r double, r2 double, pearson_r double, spearman_r double, mae double, mape double"
+PREDICTOR = "method string, model string, n_components int, train_r2 double, train_r double, r2 double, pearson_r double, pearson_p double, spearman_r double, spearman_p double, mae double, mape double"
 
 
 def train_predictor(features: DataFrame, model: str = "ridge", components: int | None = None, alpha: float = 1.0) -> DataFrame:
@@ -160,18 +160,44 @@ def train_predictor(features: DataFrame, model: str = "ridge", components: int |
     return slim.groupBy("method").applyInArrow(run, PREDICTOR)
 
 
-def flat_components(features: DataFrame, k: int) -> DataFrame:
-    """(subject, split, components, explained): principal components fitted on the training rows, applied to all."""
+#: Values up to which wide rows (more columns than ``TALL``) are reduced in one task.
+WHOLE, TALL = 200_000_000, 1024
 
-    def run(key, rows):
-        ids = rows.column("subject").to_numpy()
+
+def flat_components(features: DataFrame, k: int) -> DataFrame:
+    """(subject, split, components, explained): principal components fitted on the training rows, applied to all. The sign of a
+    component is free: its largest loading is made positive. Up to TALL columns the covariance is summed in parallel and
+    rows are projected where they are; wider rows, which are few by nature, meet in one task (WHOLE values at most)."""
+    slim = features.where("features is not null").select(F.col("subject").cast("long").alias("subject"), "split", F.transform("features", lambda v: v.cast("double")).alias("features"))
+    rows, train, width = slim.agg(F.count("*"), F.count_if(F.col("split") == "train"), F.max(F.size("features"))).first()
+    if rows and width <= TALL:
+        return _tall_components(slim, min(k, train - 1, width))
+    if rows * (width or 0) > WHOLE:
+        raise ValueError(f"{rows} rows of {width} values: use the kernel blocks")
+
+    def run(key, table):
+        ids = table.column("subject").to_numpy()
         order = np.argsort(ids)
-        x = np.array(rows.column("features").to_pylist(), np.float64)[order]
-        split = np.array(rows.column("split").to_pylist())[order]
+        x = np.array(table.column("features").to_pylist(), np.float64)[order]
+        split = np.array(table.column("split").to_pylist())[order]
         mean, parts, share = gram_components(x[split == "train"], k)
-        # the sign of a component is free: its largest loading is made positive
         sign = np.sign(parts[np.arange(len(parts)), np.abs(parts).argmax(axis=1)])
         return pa.table({"subject": ids[order].astype(np.int64), "split": split.tolist(), "components": pa.array(((x - mean) @ (parts * sign[:, None]).T).tolist(), pa.list_(pa.float64())), "explained": np.full(len(x), share)})
 
-    slim = features.where("features is not null").select(F.lit(1).alias("g"), F.col("subject").cast("long").alias("subject"), "split", F.transform("features", lambda v: v.cast("double")).alias("features"))
-    return slim.groupBy("g").applyInArrow(run, "subject long, split string, components array<double>, explained double")
+    return slim.withColumn("g", F.lit(1)).groupBy("g").applyInArrow(run, "subject long, split string, components array<double>, explained double")
+
+
+def _tall_components(slim: DataFrame, k: int) -> DataFrame:
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    vectors = slim.withColumn("v", array_to_vector("features"))
+    learn = vectors.where("split = 'train'")
+    fitted = PCA(k=k, inputCol="v", outputCol="p").fit(learn)
+    parts = fitted.pc.toArray()
+    sign = np.sign(parts[np.abs(parts).argmax(axis=0), np.arange(k)])
+    mean = learn.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray() @ parts
+    shift = F.array(*[F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")) for m, s in zip(mean, sign, strict=True)])
+    centred = F.zip_with(vector_to_array("p"), shift, lambda p, c: (p - c["m"]) * c["s"])
+    return fitted.transform(vectors).select("subject", "split", centred.alias("components"), F.lit(float(fitted.explainedVariance.toArray().sum())).alias("explained"))

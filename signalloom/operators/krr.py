@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import EPSILON, ranks
+from ..functions.stats import EPSILON, correlation_p, ranks
 from .kernel import exact_kernel
 from .relational import fold_of
 
@@ -48,9 +48,9 @@ def choose(k: np.ndarray, y: np.ndarray, alphas=ALPHAS, folds: int = 5, seed: in
 
 
 def metrics(y: np.ndarray, p: np.ndarray) -> dict[str, float]:
-    """r2, pearson, spearman, mae and mape (a fraction)."""
+    """r2, pearson and spearman with their p-values, mae and mape (a fraction)."""
     tot, res = float(((y - y.mean()) ** 2).sum()), float(((y - p) ** 2).sum())
-    return {"r2": 1 - res / tot if tot > 0 else float(res == 0), "pearson_r": r_of(y, p), "spearman_r": r_of(ranks(y), ranks(p)), "mae": float(np.abs(y - p).mean()), "mape": float((np.abs(y - p) / np.maximum(np.abs(y), EPSILON)).mean())}
+    return {"r2": 1 - res / tot if tot > 0 else float(res == 0), "pearson_r": (r := r_of(y, p)), "pearson_p": correlation_p(r, len(y)), "spearman_r": (rho := r_of(ranks(y), ranks(p))), "spearman_p": correlation_p(rho, len(y)), "mae": float(np.abs(y - p).mean()), "mape": float((np.abs(y - p) / np.maximum(np.abs(y), EPSILON)).mean())}
 
 
 def fit_predict(k: np.ndarray, y: np.ndarray, k_new: np.ndarray, alphas=ALPHAS, folds: int = 5, seed: int = 42) -> tuple[np.ndarray, float, float]:
@@ -58,7 +58,7 @@ def fit_predict(k: np.ndarray, y: np.ndarray, k_new: np.ndarray, alphas=ALPHAS,
     return predict(k, y, k_new, alpha), alpha, r
 
 
-RESULT = "method string, n_train long, n_test long, alpha double, inner_r double, train_r2 double, r2 double, pearson_r double, spearman_r double, mae double, mape double"
+RESULT = "method string, n_train long, n_test long, alpha double, inner_r double, train_r2 double, r2 double, pearson_r double, pearson_p double, spearman_r double, spearman_p double, mae double, mape double"
 
 
 def _sorted(rows: pa.Table, split: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -91,10 +91,16 @@ def box(frame: DataFrame, names: list[str]) -> DataFrame:
     return inside.groupBy("metric", "q1", "median", "q3").agg(F.min("value").alias("low"), F.max("value").alias("high"))
 
 
+def cohort_sizes(features: DataFrame) -> DataFrame:
+    """(split, n, width): entities of each split and the number of their features."""
+    return features.groupBy("split").agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width"))
+
+
 def against_baseline(results: DataFrame, baseline: str, method: str = "method", r: str = "pearson_r") -> DataFrame:
     """Adds delta, the difference to the baseline's value (null without it), and its signed text."""
-    base = results.agg(F.max(F.when(F.col(method) == baseline, F.col(r))).alias("_base"))
-    out = results.crossJoin(F.broadcast(base)).withColumn("delta", F.col(r) - F.col("_base")).drop("_base")
+    # a window over the few rows of results, which are then computed once
+    base = F.max(F.when(F.col(method) == baseline, F.col(r))).over(Window.partitionBy())
+    out = results.withColumn("delta", F.col(r) - base)
     return out.withColumn("delta_text", F.format_string("%+.4f", "delta"))
 
 

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 
 def having(frame: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is among ids."""
@@ -45,6 +47,7 @@ def numbered(frame: DataFrame, order: list, name: str = "pos") -> DataFrame:
     """Adds the zero-based place in a total order. Ranges are sorted in parallel: a range partitioning, a count of
     each range, and a local number; no single task sees all rows."""
     split = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    split = settled(split)  # counts and numbers have to be of the same partitions
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = split.groupBy("_part").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     return split.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_local", "_start")
@@ -70,10 +73,22 @@ def missing_fields(frame: DataFrame, text: str, required: list[str]) -> F.Column
     return F.array_except(F.array(*[F.lit(r) for r in required]), F.coalesce(F.json_object_keys(F.col(text)), F.array().cast("array<string>")))
 
 
+#: Rows up to which a seeded permutation is made on the driver.
+COHORT = 1_000_000
+
+
+def _cohort(frame: DataFrame) -> int:
+    """The number of rows, which has to be a cohort's."""
+    n = frame.count()
+    if n > COHORT:
+        raise ValueError(f"{n} rows: a seeded permutation is for {COHORT} at most; use hash_split")
+    return n
+
+
 def random_split(frame: DataFrame, order: list, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``split``: the first ceil(test n) places of the seeded legacy permutation are the test set. The permutation is
     made on the driver: this is for cohorts; ``hash_split`` is for tables of any size."""
-    n = frame.count()
+    n = _cohort(frame)
     chosen = np.random.RandomState(seed).permutation(n)[: int(np.ceil(test * n))]
     places = frame.sparkSession.createDataFrame([(int(p),) for p in chosen], "pos long")
     return numbered(frame, order).join(places.withColumn("_test", F.lit(True)), "pos", "left").withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test", "pos")
@@ -98,6 +113,6 @@ def fold_of(n: int, folds: int = 5, seed: int | None = 42) -> np.ndarray:
 
 def with_folds(frame: DataFrame, order: list, folds: int = 5, seed: int | None = 42) -> DataFrame:
     """Adds ``pos`` and ``fold``. The fold table has a small row for each entity and is made on the driver: for cohorts."""
-    table = fold_of(frame.count(), folds, seed)
+    table = fold_of(_cohort(frame), folds, seed)
     rows = frame.sparkSession.createDataFrame([(i, int(f)) for i, f in enumerate(table)], "pos long, fold int")
     return numbered(frame, order).join(rows, "pos")

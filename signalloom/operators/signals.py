@@ -11,16 +11,15 @@ from ..functions import arrays
 
 
 def dense_series(events: DataFrame, length: int, parcels: DataFrame) -> DataFrame:
-    """(subject, parcel, t, v) sums to (subject, parcel, x): gaps are 0; every subject gets every parcel.
-    Two pre-aggregated shuffles of sparse cells; the dense grid is built inside the rows, not joined."""
+    """(subject, parcel, t, v) sums to (subject, parcel, x): gaps are 0; every subject gets every parcel. The sparse cells of a
+    series meet in one row and are spread there; parcels that a subject lacks are added as rows of zeros."""
     cells = events.groupBy("subject", "parcel", "t").agg(F.sum("v").alias("v"))
-    whole = cells.groupBy("subject").agg(F.collect_list(F.struct("parcel", "t", "v")).alias("cells"))
-    wide = whole.crossJoin(F.broadcast(parcels.agg(F.array_sort(F.collect_set("parcel")).alias("parcels"))))
-    each = wide.select("subject", F.explode("parcels").alias("parcel"), "cells")
-    own = F.filter("cells", lambda c: c["parcel"] == F.col("parcel"))
-    at = F.map_from_entries(F.transform(own, lambda c: F.struct(c["t"], c["v"])))
-    filled = arrays.let(at, lambda m: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda t: F.coalesce(F.try_element_at(m, t), F.lit(0.0))))
-    return each.select("subject", "parcel", filled.alias("x"))
+    own = cells.groupBy("subject", "parcel").agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("at"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda t: F.coalesce(F.try_element_at("at", t), F.lit(0.0)))
+    every = parcels.agg(F.collect_set("parcel").alias("every"))
+    have = cells.groupBy("subject").agg(F.collect_set("parcel").alias("have"))
+    lacking = have.crossJoin(F.broadcast(every)).select("subject", F.explode(F.array_except("every", "have")).alias("parcel"))
+    return own.select("subject", "parcel", spread.alias("x")).unionByName(lacking.withColumn("x", F.array_repeat(F.lit(0.0), length)))
 
 
 def long(series: DataFrame, x: str = "x") -> DataFrame:
@@ -123,5 +122,20 @@ def bandpassed(series: DataFrame, low: float = 0.01, high: float = 0.1, tr: floa
 
 
 def denoised(series: DataFrame) -> DataFrame:
-    """Detrended, then z-scored."""
-    return zscored(series.withColumn("x", arrays.detrended(F.col("x"))))
+    """Detrended, then z-scored by the sample deviation."""
+    return series.withColumn("x", arrays.sample_zscore(arrays.detrended(F.col("x"))))
+
+
+def subjects_prepared(voxels: DataFrame, labels: DataFrame, length: int, n: int, confounds: DataFrame | None = None, stats: DataFrame | None = None, pad: str = "right") -> DataFrame:
+    """(subject, m) ready for an encoder, from (subject, voxel, t, v) and (voxel, label): parcel means, residuals on the
+    subject's confounds (subject, confounds) if given, scaling by the population's statistics or the series' own, and a
+    window of n values."""
+    cells = parcellate(voxels, labels)
+    parcels = labels.where("label <> 0").select(F.col("label").alias("parcel")).distinct()
+    series = dense_series(cells, length, parcels)
+    if confounds is not None:
+        whole = series.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("parcel", "x"))).alias("s"))
+        whole = whole.join(confounds.select("subject", "confounds"), "subject", "left").select("subject", F.col("s.parcel").alias("parcels"), F.col("s.x").alias("m"), "confounds")
+        cleaned = confounds_removed(whole)
+        series = cleaned.select("subject", F.explode(F.arrays_zip(F.col("parcels").alias("parcel"), F.col("m").alias("x"))).alias("e")).select("subject", "e.parcel", "e.x")
+    return matrices(preprocessed(series, n, stats, pad=pad))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .connectivity import correlation
+from .connectivity import correlation, matrices_of
 from .krr import r_of
 
 
@@ -46,8 +46,7 @@ def evaluate_reconstruction(pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            o, r = batch.column("original").to_pylist(), batch.column("rebuilt").to_pylist()
-            got = [reconstruction(np.asarray(a, np.float64), np.asarray(b, np.float64)) for a, b in zip(o, r, strict=True)]
+            got = [reconstruction(a, b) for a, b in zip(matrices_of(batch.column("original")), matrices_of(batch.column("rebuilt")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("subject"), *[pa.array([g[m] for g in got], pa.float64()) for m in METRICS]], ["subject", *METRICS])
 
     return pairs.select("subject", "original", "rebuilt").where("original is not null and rebuilt is not null").mapInArrow(run, f"subject {kind}, " + ", ".join(f"{m} double" for m in METRICS))

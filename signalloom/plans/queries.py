@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, stats
 from ..functions.stats import rounded as r6
 from ..operators import connectivity, factor, kernel, krr, metrics, relational, signals, spd
+from ..sources.shared import new_folder
 from ..streaming import ingest
 from . import flows, views
 
@@ -132,7 +131,14 @@ def detrend(spark, sf_dir):
     return signals.long(views.series(spark, sf_dir).withColumn("x", arrays.detrended(F.col("x")))).withColumn("v", r6("v"))
 
 
-@query()
+_RESIDUAL = """, w as (select *, case when t % 7 >= 5 then 1.0 else 0.0 end::double as w from signal),
+f as (select subject, parcel, regr_slope(v, t) as sv, regr_intercept(v, t) as bv, regr_slope(w, t) as sw, regr_intercept(w, t) as bw from w group by subject, parcel),
+e as (select subject, parcel, t, v - bv - sv * t as ev, w - bw - sw * t as ew from w join f using (subject, parcel)),
+g as (select subject, parcel, sum(ev * ew) / sum(ew * ew) as b from e group by subject, parcel)
+"""
+
+
+@query(_RESIDUAL + "select subject, parcel, t as pos, round(ev - b * ew, 6) + 0.0 as v from e join g using (subject, parcel)", "signal")
 def confound_regress(spark, sf_dir):
     """Residuals on day number and weekend as confounds."""
     regressors = F.transform(F.sequence(F.lit(0), F.lit(views.DAYS - 1)), lambda t: F.array(t.cast("double"), F.when(t % 7 >= 5, 1.0).otherwise(0.0)))
@@ -192,7 +198,31 @@ def fc_flat_corr(spark, sf_dir):
     return rows.select("subject", *[_off_ties(c).alias(c) for c in ("mse", "mae", "fc_correlation")])
 
 
-@query()
+def _cholesky(prefix: str, n: int = 5) -> str:
+    """Columns l_i_j of the Cholesky factor with logarithms on its diagonal, from columns <prefix>ij; each may use those before."""
+    out = []
+    for i in range(n):
+        for j in range(i + 1):
+            rest = "".join(f" - {prefix}l{i}{k} * {prefix}l{j}{k}" for k in range(j))
+            if i == j:  # a constant series has a row of zeros, its eigenvalue of 0 is raised to 1e-5
+                out.append(f"sqrt((case when {prefix}{i}{i} = 0 then 1e-5 else {prefix}{i}{i} end){rest}) as {prefix}l{i}{i}")
+            else:
+                out.append(f"({prefix}{i}{j}{rest}) / {prefix}l{j}{j} as {prefix}l{i}{j}")
+    return ", ".join(out)
+
+
+def _distance_sql(n: int = 5) -> str:
+    cells = ", ".join(f"max({x}) filter (i = {i} and j = {j}) as {p}{i}{j}" for x, p in (("r", "a"), ("q", "b")) for i in range(n) for j in range(i + 1))
+    logs = lambda p, i, j: f"ln({p}l{i}{i})" if i == j else f"{p}l{i}{j}"
+    squares = " + ".join(f"pow({logs('a', i, j)} - {logs('b', i, j)}, 2)" for i in range(n) for j in range(i + 1))
+    return f""", wide as (select subject, {cells} from f group by subject), low as (select *, {_cholesky("a")}, {_cholesky("b")} from wide),
+distance as (select subject, sqrt({squares}) as riemannian_distance from low)"""
+
+
+_CORRELATED = _FLAT.split("\nselect")[0]
+
+
+@query(_CORRELATED + _distance_sql() + "\nselect subject, round(riemannian_distance, 6) + 0.0 as riemannian_distance from distance", "paired")
 def spd_distance(spark, sf_dir):
     return spd.evaluate_reconstruction(_pairs(spark, sf_dir)).select("subject", r6("riemannian_distance").alias("riemannian_distance"))
 
@@ -344,24 +374,36 @@ def prepare_targets(spark, sf_dir):
     return scores.select("participant_id", "split", r6("cognition_factor").alias("cognition_factor"))
 
 
-@query("select participant_id, split, round(acctbal, 6) + 0.0 as score from (select *, case when participant_id % 5 = 0 then 'test' else 'train' end as split from participants)", "participants")
-def split_union(spark, sf_dir):
-    own = _split(spark, sf_dir)
-    return own.where("split = 'train'").unionByName(own.where("split = 'test'")).select("participant_id", "split", r6("acctbal").alias("score"))
+@query("select vec_id as subject, (case when pos < n % 7 * (n // 7 + 1) then pos // (n // 7 + 1) else (pos - n % 7) // (n // 7) end)::int as fold from (select vec_id, row_number() over (order by vec_id) - 1 as pos, count(*) over () as n from embeddings)")
+def kfold_assign(spark, sf_dir):
+    """Unshuffled folds: runs of the order, the first ones longer by one."""
+    return relational.with_folds(views.features(spark, sf_dir).select("subject"), ["subject"], 7, None).select("subject", "fold")
 
 
-@query("select vec_id as subject, (vec_id % 5)::int as fold from embeddings")
-def kfold_assign(spark, sf_dir):
-    """Unshuffled interleaved folds: the id's remainder."""
-    return views.features(spark, sf_dir).select("subject", (F.col("subject") % 5).cast("int").alias("fold"))
+def _places(sizes: tuple[int, ...], number) -> str:
+    """(n, pos, k) as SQL: number(n) of each place, for tables of these sizes, by numpy's legacy generator with seed 42."""
+    return " union all ".join(f"select {n} as n, unnest(range({n})) as pos, unnest([{', '.join(map(str, number(n).tolist()))}]) as k" for n in sizes)
 
 
-@query()
+def _test_places(n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    out[np.random.RandomState(42).permutation(n)[: int(np.ceil(0.2 * n))]] = 1
+    return out
+
+
+def _folds(n: int) -> np.ndarray:
+    out = np.empty(n, np.int64)
+    for k, part in enumerate(np.array_split(np.random.RandomState(42).permutation(n), 5)):
+        out[part] = k
+    return out
+
+
+@query(f"with p as ({_places((500,), _folds)}), d as (select vec_id as subject, row_number() over (order by vec_id) - 1 as pos, count(*) over () as n from embeddings) select subject, pos, k::int as fold from d join p using (n, pos)")
 def kfold_seeded(spark, sf_dir):
     return relational.with_folds(views.features(spark, sf_dir).select("subject"), ["subject"], 5, 42)
 
 
-@query()
+@query(f"with p as ({_places((150, 1500), _test_places)}), d as (select c_custkey as participant_id, row_number() over (order by c_custkey) - 1 as pos, count(*) over () as n from customer) select participant_id, case when k = 1 then 'test' else 'train' end as split from d join p using (n, pos)")
 def split_seeded(spark, sf_dir):
     return relational.random_split(views.participants(spark, sf_dir).select("participant_id"), ["participant_id"])
 
@@ -455,7 +497,16 @@ def metric_corr_matrix(spark, sf_dir):
     return metrics.correlation_matrix(views.metric_rows(spark, sf_dir), _NAMES).withColumn("r", r6("r"))
 
 
-@query()
+def _p_sql(r: str, n: str, steps: int = 20000) -> str:
+    """Two-sided p-value of a correlation: Simpson's rule over the density (1 - x^2)^((n - 4) / 2) of uncorrelated ones."""
+    area = lambda low: f"(select sum((case when k = 0 or k = {steps} then 1 when k % 2 = 1 then 4 else 2 end) * pow(greatest(1 - pow({low} + (1 - {low}) * k / {steps}.0::double, 2), 0), ({n} - 4) / 2.0::double)) * (1 - {low}) from range({steps + 1}) s(k))"
+    return f"({area(f'abs({r})')} / {area('0.0::double')})"
+
+
+_CORR = _UNPIVOT.split(", u as")[0] + ", c as (select unnest(['mse', 'mse', 'mae']) as metric_a, unnest(['mae', 'peak', 'peak']) as metric_b, unnest([a, b, c]) as r, n from (select corr(mse, mae) as a, corr(mse, peak) as b, corr(mae, peak) as c, count(*) as n from metric_rows))"
+
+
+@query(_CORR + f", p as (select *, {_p_sql('r', 'n')} as p from c)\nselect metric_a, metric_b, round(r, 6) + 0.0 as r, n, round(p, 9) + 0.0 as p_value, case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else '' end as marks from p", "metric_rows")
 def metric_corr_stars(spark, sf_dir):
     return metrics.starred(metrics.correlation_matrix(views.metric_rows(spark, sf_dir), _NAMES)).withColumn("r", r6("r")).withColumn("p_value", r6("p_value", 9))
 
@@ -503,10 +554,14 @@ def progress_counters(spark, sf_dir):
     return metrics.progress(done, "ok").withColumn("rate", r6("rate"))
 
 
-@query()
+_SUMMARY = _FLAT.replace("\nselect subject, round(mse", ", flat as (select subject, round(mse") + ")" + _distance_sql() + """, m as (select subject, unnest(['mse', 'mae', 'fc_correlation', 'riemannian_distance']) as metric, unnest([flat.mse, flat.mae, flat.fc_correlation, riemannian_distance]) as v from flat join distance using (subject))
+select metric, """ + ", ".join(f"round({f}(v) + 1e-5::double, 4) + 0.0 as {n}" for f, n in (("avg", "mean"), ("stddev_pop", "std"), ("min", "min"), ("max", "max"), ("median", "median"))) + " from m group by metric"
+
+
+@query(_SUMMARY, "paired")
 def reconstruction_summary(spark, sf_dir):
     _, table = flows.reconstruction_report(_pairs(spark, sf_dir))
-    return table.select("metric", *[r6(c).alias(c) for c in ("mean", "std", "min", "max", "median")])
+    return table.select("metric", *[r6(F.col(c) + 1e-5, 4).alias(c) for c in ("mean", "std", "min", "max", "median")])
 
 
 # ---- incremental ingestion, and engine additions --------------------------------------------------------------------
@@ -515,8 +570,7 @@ def reconstruction_summary(spark, sf_dir):
 @query("select user_id as subject, event_type, count(*) as n, round(sum(value), 4) + 0.0 as total from events group by user_id, event_type")
 def incremental_ingest(spark, sf_dir):
     """Events ingested as a stream of files, then summed: the same rows as in one batch."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ingest-")).rstrip("/")
-    folder = f"{shared}/ingest-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "ingest")
     events = views.table(spark, sf_dir, "events")
     events.repartition(4, "user_id").write.parquet(f"{folder}/in")
     ingest.ingest(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", events.schema, files_per_batch=2)
@@ -598,6 +652,12 @@ def isolated_errors(spark, sf_dir):
     return got.select("subject", "error", r6(F.get("result", F.lit(0))).alias("first"))
 
 
-@query()
+_BAND = f", d as (select subject, parcel, t, v - b - s * t as e from signal join (select subject, parcel, regr_slope(v, t) as s, regr_intercept(v, t) as b from signal group by subject, parcel) using (subject, parcel)), k as (select a::int as t, b::int as s, (select sum(cos(2 * pi() * f * (a - b) / {views.DAYS})) from range(1, 7) q(f)) * 2 / {views.DAYS} as w from range({views.DAYS}) x(a), range({views.DAYS}) y(b))"
+
+
+@query(_BAND + "\nselect subject, parcel, k.t as pos, round(sum(e * w), 6) + 0.0 as v from d join k on d.t = k.s group by subject, parcel, k.t", "signal")
 def bandpass(spark, sf_dir):
     return _cells(signals.bandpassed(views.series(spark, sf_dir), tr=2.0))
+
+
+from . import more  # noqa: E402, F401  registers the queries of sources, sinks and whole flows

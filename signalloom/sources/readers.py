@@ -119,6 +119,27 @@ def cognitive_columns(frame: DataFrame, words: tuple[str, ...] = COGNITIVE_WORDS
     return [c for c in frame.columns if any(w in c.lower() for w in words)]
 
 
+def load_factor(spark: SparkSession, folder: str):
+    """The factor that ``sinks.write_factor`` saved."""
+    from ..operators.factor import Factor
+
+    rows = _present(lambda: spark.read.parquet(f"{folder}/factor"), f"no factor in {folder}").collect()
+    return Factor([r["col"] for r in rows], [r["median"] for r in rows], [r["mean"] for r in rows], [r["std"] for r in rows], [r["loading"] for r in rows], rows[0]["explained"])
+
+
+def is_timestamp(text) -> F.Column:
+    """True for a day and a time as YYYYMMDD_HHMMSS."""
+    return F.coalesce(text.rlike(r"^\d{8}_\d{6}$") & F.try_to_timestamp(text, F.lit("yyyyMMdd_HHmmss")).isNotNull(), F.lit(False))
+
+
+def ordered_signals(scores: DataFrame, signals: DataFrame, key: str = "participant_id") -> DataFrame:
+    """The score rows that have a signal, with their correlations, in the order of the score file's rows (``pos``)."""
+    from ..operators import connectivity
+
+    found = connectivity.fc_features(signals.select("subject", "m"))
+    return scores.withColumn("pos", F.monotonically_increasing_id()).join(found.withColumnRenamed("subject", key), key).orderBy("pos")
+
+
 def metadata_issues(spark: SparkSession, root: str, required: tuple[str, ...] = REQUIRED, counts: tuple[tuple[str, ...], ...] = COUNTS, recommended: tuple[str, ...] = RECOMMENDED) -> DataFrame:
     """(folder, issues, advice): what the metadata of each run folder under root lacks; no issues if it is as it should be."""
     found = runs(spark, root)

@@ -21,6 +21,28 @@ def write_scores(scores: DataFrame, folder: str, key: str = "participant_id", fi
         own.select(F.col(key).cast("string")).write.mode("overwrite").text(f"{folder}/{split}/subjects.txt")
 
 
+def write_factor(factor, spark: SparkSession, raw: DataFrame, folder: str) -> None:
+    """What was fitted, one row for each variable, and the raw table that it was fitted on."""
+    factor.table(spark).withColumn("explained", F.lit(factor.explained)).coalesce(1).write.mode("overwrite").parquet(f"{folder}/factor")
+    raw.write.mode("overwrite").option("header", True).csv(f"{folder}/raw.csv")
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, through Spark's file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def clean_up(spark: SparkSession, path: str) -> bool:
+    """Removes what a finished run left behind (its checkpoints), through Spark's file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+
+
 def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").option("header", True).csv(path)
 
