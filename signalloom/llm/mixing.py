@@ -1,16 +1,23 @@
 """Mixing sources to target weights: iterative proportional fitting, DataFrame functions only.
 
 Documents are first summed to cells (source, language, topic), a pre-aggregated group-by; all iterations run on the
-cells. A sweep rakes the cells' token weights to the target shares of each marginal in turn, with a window sum over
-that marginal's value. Cells are written to the shared checkpoint folder every ``CUT`` sweeps, so plans stay short.
+cells. A sweep rakes the cells' token weights to the target shares of each marginal in turn: the marginal's sums,
+pre-aggregated, are joined back to the cells, or where there are ``CELLS`` at most taken over windows of one partition. Cells are written to the shared checkpoint folder every ``CUT`` sweeps, so
+plans stay short; after ``SWEEPS`` of them raking goes on until the largest difference of a marginal share from its
+target, the residual, is at most ``TOLERANCE`` (``MOST`` sweeps at most). The residual is a column of the result.
 The raked weight of a cell over its tokens, times the budget, is the rate at which its documents are taken: whole copies
 for its integer part and one more with the rest's probability, by a hash of the id that any engine can repeat.
 
+Without repeats no cell can give more tokens than it has. Targets that ask for more are cut to what there is and the rest
+goes to the other values in proportion, each step of raking keeps cells under that limit, and at the end what is left of
+the budget is spent on cells that have tokens left; the residual then tells what the limits didn't allow.
+
+Topics and token counts are given columns, or else the surface form of the text and a token for every four bytes.
 Targets default to tempered corpus shares: tokens to the power ``alpha``, normalised in each marginal. Edge cases: a null
 source or language is a value of its own, '(none)'; a null or empty text has topic 'empty' and no tokens, and is never
 taken; given targets for values that no document has are left out and the others normalised to 1, values without a
 target get none; ties can't arise in the hash beyond repeated ids, whose rows are taken together; an empty table gives no
-rows; extra columns are kept by ``mix`` and mustn't start with an underscore.
+rows; extra columns are kept by ``mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, whole_row
 
-SWEEPS, CUT, ALPHA = 12, 3, 0.7
+SWEEPS, CUT, ALPHA, MOST, TOLERANCE = 12, 6, 0.7, 60, 1e-6
+#: Cells up to which sums and cells are broadcast.
+CELLS = 100_000
 NONE = "(none)"
 
 
@@ -38,32 +47,82 @@ def tokens_of(text) -> F.Column:
 MARGINALS = ("source", "lang", "topic")
 
 
-def with_cells(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(row, source, lang, topic, tokens): documents with their cell; row holds all their columns."""
-    own = [F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"), topic_of(F.col(text)).alias("topic"), tokens_of(F.col(text)).alias("tokens")]
+def with_cells(docs: DataFrame, text: str = "text", topic: str | None = None, tokens: str | None = None) -> DataFrame:
+    """(row, source, lang, topic, tokens): documents with their cell; row holds all their columns. topic, tokens: columns of
+    docs that have them."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
+    counted = F.coalesce(F.col(tokens).cast("long"), F.lit(0)) if tokens else tokens_of(F.col(text))
+    own = [named("source").alias("source"), named("lang").alias("lang"), (named(topic) if topic else topic_of(F.col(text))).alias("topic"), counted.alias("tokens")]
     return docs.select(whole_row(docs), *own)
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, sweeps: int = SWEEPS) -> DataFrame:
-    """cells (source, lang, topic, tokens) with ``weight``: raked shares of the total. targets: for a marginal a
-    DataFrame (value, share); where one is missing, tempered shares."""
-    cells = cells.where("tokens > 0")
+def _with_sums(frame: DataFrame, keys: list[str], sums: dict, small: bool) -> DataFrame:
+    """Adds sums of expressions over the rows that share keys. A small frame lies in one partition, so that its windows need
+    no shuffle; otherwise the sums are pre-aggregated and joined."""
+    if small:
+        return frame.select("*", *[F.sum(e).over(Window.partitionBy(*keys)).alias(n) for n, e in sums.items()])
+    have = frame.groupBy(*keys).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    return frame.join(have, keys) if keys else frame.join(F.broadcast(have))
+
+
+def _residual(cells: DataFrame) -> float:
+    """The largest difference of a marginal share from its target."""
+    each = [cells.groupBy(name).agg(F.abs(F.sum("weight") - F.max(f"to_{name}")).alias("d")).select("d") for name in MARGINALS]
+    return each[0].unionByName(each[1]).unionByName(each[2]).agg(F.max("d")).first()[0] or 0.0
+
+
+def _within(share: DataFrame, to: str, small: bool, rounds: int = 8) -> DataFrame:
+    """Target shares (to, most) cut to what there is (most), the rest going to the others in proportion."""
+    under = F.col(to) < F.col("most")
+    for _ in range(rounds):
+        share = _with_sums(share, [], {"_free": F.when(under, F.col(to)).otherwise(0.0), "_full": F.when(under, 0.0).otherwise(F.col("most"))}, small)
+        grown = F.col(to) * F.greatest(F.lit(0.0), 1 - F.col("_full")) / F.col("_free")
+        share = share.withColumn(to, F.when(under, F.least(F.col("most"), grown)).otherwise(F.col("most"))).drop("_free", "_full")
+    return share
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, sweeps: int = SWEEPS, limit: float | None = None) -> DataFrame:
+    """cells (source, lang, topic, tokens) with ``weight``, raked shares of the total, and ``residual``. targets: for a marginal
+    a DataFrame (value, share); where one is missing, tempered shares. limit: a cell's weight is at most its share of all
+    tokens over this budget."""
+    cells = cut(cells.where("tokens > 0"))
+    number, everything = cells.agg(F.count("*"), F.sum("tokens")).first()
+    if not number:
+        return cells.select(*MARGINALS, "tokens", F.lit(0.0).alias("weight"), F.lit(0.0).alias("residual"))
+    small = number <= CELLS
+    together = lambda frame: frame.coalesce(1) if small else frame
+    own = F.col("tokens") / F.lit(float(everything))
     for name in MARGINALS:
+        known = together(cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").cast("double").alias("all")))
         given = (targets or {}).get(name)
-        if given is None:
-            given = cells.groupBy(F.col(name).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(alpha)).alias("share"))
-        present = given.join(cells.select(F.col(name).alias("value")).distinct(), "value", "left_semi")
-        total = present.agg(F.sum("share").alias("all"))
-        share = present.join(F.broadcast(total)).select(F.col("value").alias(name), (F.col("share") / F.col("all")).alias(f"to_{name}"))
-        cells = cells.join(share, name, "left").withColumn(f"to_{name}", F.coalesce(f"to_{name}", F.lit(0.0)))
-    cells = cut(cells.withColumn("weight", F.col("tokens").cast("double")))
-    for sweep in range(sweeps):
-        for name in MARGINALS:
-            have = F.sum("weight").over(Window.partitionBy(name))
-            cells = cells.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"to_{name}") / have).otherwise(F.lit(0.0)))
-        if sweep % CUT == CUT - 1 or sweep == sweeps - 1:
-            cells = cut(cells)
-    return cells.select(*MARGINALS, "tokens", "weight")
+        present = known.withColumn("share", F.pow("all", F.lit(alpha))) if given is None else together(known.join(given, "value"))
+        share = _with_sums(present, [], {"shares": F.col("share")}, small).select(F.col("value").alias(name), (F.col("share") / F.col("shares")).alias(f"to_{name}"), (F.col("all") / F.lit(everything * (limit or 1.0))).alias("most"))
+        share = cut(_within(share, f"to_{name}", small) if limit else share).drop("most")
+        cells = cells.join(F.broadcast(share) if small else share, name, "left").withColumn(f"to_{name}", F.coalesce(f"to_{name}", F.lit(0.0)))
+    most = own / F.lit(limit) if limit else None
+    held = lambda w: w if most is None else F.least(w, most)
+    cells = cut(together(cells.withColumn("weight", F.col("tokens").cast("double") if most is None else own)))
+    sweep, residual = 0, float("inf")
+    while sweep < sweeps or (residual > TOLERANCE and sweep < MOST):
+        for _ in range(min(CUT, max(sweeps - sweep, 1) if sweep < sweeps else CUT)):
+            for name in MARGINALS:
+                raked = F.when(F.col("_have") > 0, F.col("weight") * F.col(f"to_{name}") / F.col("_have")).otherwise(F.lit(0.0))
+                cells = _with_sums(cells, [name], {"_have": F.col("weight")}, small).withColumn("weight", held(raked)).drop("_have")
+            sweep += 1
+        cells = cut(cells)
+        if sweep >= sweeps:
+            before, residual = residual, _residual(cells)
+            if most is not None and residual > 0.9 * before:
+                break  # the limits don't allow more
+    if most is not None:  # what is left of the budget
+        for _ in range(6):
+            under = F.col("weight") < most
+            cells = _with_sums(cells, [], {"_all": F.col("weight"), "_free": F.when(under, F.col("weight")).otherwise(0.0)}, small)
+            grown = F.when(under & (F.col("_free") > 0), F.col("weight") * (1 + (1 - F.col("_all")) / F.col("_free"))).otherwise(F.col("weight"))
+            cells = cells.withColumn("weight", F.least(grown, most)).drop("_all", "_free")
+        cells = cut(cells)
+        residual = _residual(cells)
+    return cells.select(*MARGINALS, "tokens", "weight", F.lit(residual).alias("residual"))
 
 
 def uniform(doc_id, salt: str = "mix") -> F.Column:
@@ -71,17 +130,17 @@ def uniform(doc_id, salt: str = "mix") -> F.Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(salt)).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, keep: float = 0.5, repeats: bool = True, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, sweeps: int = SWEEPS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents taken: row (all their columns), source, lang, topic, tokens, weight (raked share of the cell), rate
-    and copies. keep: the budget as a share of all tokens. Without repeats a document is taken once at most."""
-    own = with_cells(docs, text)
-    cells = cut(rake(own.groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")), targets, alpha, sweeps))
+def mix(docs: DataFrame, keep: float = 0.5, repeats: bool = True, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, sweeps: int = SWEEPS, doc_id: str = "doc_id", text: str = "text", topic: str | None = None, tokens: str | None = None) -> DataFrame:
+    """The documents taken: row (all their columns), source, lang, topic, tokens, weight (raked share of the cell), rate,
+    copies and residual. keep: the budget as a share of all tokens. Without repeats a document is taken once at most."""
+    own = with_cells(docs, text, topic, tokens)
+    cells = cut(rake(own.groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")), targets, alpha, sweeps, None if repeats else keep))
     total = cells.agg(F.sum("tokens").alias("all"))
-    rates = cells.join(F.broadcast(total)).select(*MARGINALS, "weight", (F.col("weight") * keep * F.col("all") / F.col("tokens")).alias("rate"))
+    rates = cells.join(F.broadcast(total)).select(*MARGINALS, "weight", "residual", (F.col("weight") * keep * F.col("all") / F.col("tokens")).alias("rate"))
     if not repeats:
         rates = rates.withColumn("rate", F.least("rate", F.lit(1.0)))
     # a shuffle would move the texts: cells go to the documents, after their number is checked
-    joined = own.join(F.broadcast(rates) if cells.count() <= 100_000 else rates, list(MARGINALS))
+    joined = own.join(F.broadcast(rates) if cells.count() <= CELLS else rates, list(MARGINALS))
     whole = F.floor("rate")
     copies = (whole + (uniform(F.col("row")[doc_id]) < F.col("rate") - whole).cast("long")).cast("int")
-    return joined.withColumn("copies", copies).where("copies > 0 and tokens > 0").select("row", *MARGINALS, "tokens", "weight", "rate", "copies")
+    return joined.withColumn("copies", copies).where("copies > 0 and tokens > 0").select("row", *MARGINALS, "tokens", "weight", "rate", "copies", "residual")

@@ -56,6 +56,37 @@ def test_sampling(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_limits_without_repeats(spark):
+    """Targets that ask for more than there is are cut, the rest redistributed; the budget is met."""
+    docs = table(spark)
+    cells = mixing.with_cells(docs).groupBy(*mixing.MARGINALS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0").cache()
+    total = cells.agg(F.sum("tokens")).first()[0]
+    for keep in (0.5, 0.9):
+        raked = mixing.rake(cells, limit=keep).collect()
+        assert abs(sum(r.weight for r in raked) - 1) < 1e-6
+        assert all(r.weight <= r.tokens / total / keep * (1 + 1e-9) for r in raked)
+        for d, name in enumerate(mixing.MARGINALS):
+            tokens, weight = {}, {}
+            for r in raked:
+                tokens[r[d]] = tokens.get(r[d], 0) + r.tokens
+                weight[r[d]] = weight.get(r[d], 0) + r.weight
+            goal, most = {k: v**mixing.ALPHA for k, v in tokens.items()}, {k: v / total / keep for k, v in tokens.items()}
+            goal = {k: v / sum(goal.values()) for k, v in goal.items()}
+            for _ in range(8):
+                full = sum(most[k] for k in goal if goal[k] >= most[k])
+                free = sum(v for k, v in goal.items() if v < most[k])
+                goal = {k: most[k] if v >= most[k] else min(most[k], v * (1 - full) / free) for k, v in goal.items()}
+            assert all(abs(weight[k] - goal[k]) < 0.02 for k in goal), (keep, name, weight, goal)
+    taken = mixing.mix(docs, keep=0.9, repeats=False)
+    assert abs(taken.agg(F.sum("tokens")).first()[0] / total - 0.9) < 0.05
+
+
+def test_given_topics_and_tokens(spark):
+    docs = table(spark).withColumn("kind", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b")).withColumn("size", F.lit(10))
+    got = mixing.mix(docs, topic="kind", tokens="size").select("topic", "tokens", "residual").distinct().collect()
+    assert {(r.topic, r.tokens) for r in got} == {("a", 10), ("b", 10)} and all(r.residual <= mixing.TOLERANCE for r in got)
+
+
 def test_empty(spark):
     assert mixing.mix(table(spark).limit(0)).collect() == []
 
