@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, held_out, sampled, small, whole_row
 
-SAMPLE, ORDER, CUTOFF, TOP, STRETCH, PAD = 12_000, 8, 3, 3, 24, 4
+SAMPLE, ORDER, CUTOFF, TOP, STRETCH, PAD = 8_000, 8, 5, 3, 24, 4
 #: Begin and end a word; no word holds them.
 START, END = "\2", "\0"
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() or c == 39 else 32 for c in range(256))
@@ -200,21 +200,21 @@ def ratios(names: list[str], toxic: np.ndarray, ordinary: np.ndarray, discounts:
     return found, {names[h]: float(x) for h, x in zip(ends.tolist(), (rests[0] - rests[1])[ends].tolist(), strict=True)}
 
 
-def _models(learn: DataFrame) -> tuple[tuple, tuple]:
-    """The ratios from all learning documents, and from those that the logistic fit leaves."""
+def _counts(learn: DataFrame) -> DataFrame:
+    """(gram, COUNTS) of the learning documents, written."""
     summed = lambda df, name: df.groupBy(name).agg(*[F.sum(c).alias(c) for c in COUNTS])
     schema = ", ".join(f"{c} long" for c in COUNTS)
     vocabulary = summed(learn.mapInArrow(_word_counts, f"word string, {schema}"), "word")
-    counts = cut(summed(vocabulary.mapInArrow(_gram_counts, f"gram string, {schema}"), "gram"))
+    return cut(summed(vocabulary.mapInArrow(_gram_counts, f"gram string, {schema}"), "gram"))
+
+
+def _model(counts: DataFrame, t: str, o: str) -> Model:
+    """The model of two of the columns, without its score."""
     full = (F.length("gram") == ORDER) | (F.col("gram").startswith(START) & (F.length("gram") > 1))
-    seen = counts.where(full).agg(*[F.count_if(F.col(c) == n).alias(f"{c}_{n}") for c in COUNTS for n in (1, 2)]).first()
-    out = []
-    for t, o in (("t", "o"), ("t1", "o1")):
-        # bounded by the sample: a gram is kept if it is in CUTOFF words of it
-        got = counts.where(F.col(t) + F.col(o) >= CUTOFF).select("gram", t, o).orderBy("gram").toArrow()
-        d = tuple(discount(seen[f"{c}_1"], seen[f"{c}_2"]) for c in (t, o))
-        out.append(ratios(got.column("gram").to_pylist(), got.column(t).to_numpy(), got.column(o).to_numpy(), d))
-    return tuple(out)
+    once = counts.where(full).agg(*[F.count_if(F.col(c) == n) for c in (t, o) for n in (1, 2)]).first()
+    # bounded by the sample: a gram is kept if it is in CUTOFF words of it
+    got = counts.where(F.col(t) + F.col(o) >= CUTOFF).select("gram", F.col(t).cast("int"), F.col(o).cast("int")).orderBy("gram").toArrow()
+    return Model(*ratios(got.column(0).to_pylist(), got.column(1).to_numpy(), got.column(2).to_numpy(), (discount(*once[:2]), discount(*once[2:]))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -243,19 +243,24 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if rows > 2 * sample:  # ids that repeat: the bound is of rows
         learn = learn.where(sampled(sample / rows, F.monotonically_increasing_id(), "text"))
     learn = cut(learn)
-    whole, partial = _models(learn)
-    model = Model(*partial)
+    counts = _counts(learn)
+    model = _model(counts, "t1", "o1")
+    if not model.ratios:
+        return Model()
 
-    def run(batches):
+    def run(batches, model=model):
         evidence = model.evidence()
         for batch in small(batches):
             yield pa.RecordBatch.from_arrays([pa.array(evidence(batch.column(0).to_pylist()), pa.float64()), batch.column(1)], ["x", "y"])
 
     got = learn.where("not kept").select("text", "toxic").mapInArrow(run, "x double, y boolean").collect()
     x, y = np.array(sorted((r[0], float(r[1])) for r in got)).reshape(-1, 2).T
-    if not partial[0] or not len(y) or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return Model()
-    return Model(*whole, *_logistic(x, y))
+    del model, run  # one model at a time on the driver
+    model = _model(counts, "t", "o")
+    model.slope, model.offset = _logistic(x, y)
+    return model
 
 
 def _scored(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:

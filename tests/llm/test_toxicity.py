@@ -141,17 +141,17 @@ def test_sample_is_bounded_for_repeated_ids(spark):
     docs = spark.range(4000).selectExpr("1L as doc_id", "concat('w', id % 7, ' nasty') as text")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     seen = []
-    real = toxicity._models
+    real = toxicity._counts
 
-    def models(learn):
+    def counts(learn):
         seen.append(learn.count())
         return real(learn)
 
-    toxicity._models = models
+    toxicity._counts = counts
     try:
         toxicity.fit(docs, labels, sample=100)
     finally:
-        toxicity._models = real
+        toxicity._counts = real
     assert 50 < seen[0] < 200
 
 
