@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, whole_row
 
-SWEEPS, CUT, ALPHA, MOST, TOLERANCE = 12, 6, 0.7, 60, 1e-6
+SWEEPS, CUT, ALPHA, MOST, TOLERANCE = 12, 3, 0.7, 36, 1e-6
 #: Cells up to which sums and cells are broadcast.
 CELLS = 100_000
 NONE = "(none)"
@@ -56,13 +56,14 @@ def with_cells(docs: DataFrame, text: str = "text", topic: str | None = None, to
     return docs.select(whole_row(docs), *own)
 
 
-def _with_sums(frame: DataFrame, keys: list[str], sums: dict, small: bool) -> DataFrame:
-    """Adds sums of expressions over the rows that share keys. A small frame lies in one partition, so that its windows need
-    no shuffle; otherwise the sums are pre-aggregated and joined."""
+def _summed(frame: DataFrame, key: str | None, small: bool, **sums) -> tuple[DataFrame, list]:
+    """(frame, sums of expressions over the rows that share key). A small frame lies in one partition, so that windows over it
+    need no shuffle; otherwise the sums are pre-aggregated and joined."""
     if small:
-        return frame.select("*", *[F.sum(e).over(Window.partitionBy(*keys)).alias(n) for n, e in sums.items()])
-    have = frame.groupBy(*keys).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    return frame.join(have, keys) if keys else frame.join(F.broadcast(have))
+        window = Window.partitionBy(*([key] if key else []))
+        return frame, [F.sum(e).over(window) for e in sums.values()]
+    have = frame.groupBy(*([key] if key else [])).agg(*[F.sum(e).alias(f"_{n}") for n, e in sums.items()])
+    return (frame.join(have, key) if key else frame.join(F.broadcast(have))), [F.col(f"_{n}") for n in sums]
 
 
 def _residual(cells: DataFrame) -> float:
@@ -71,13 +72,13 @@ def _residual(cells: DataFrame) -> float:
     return each[0].unionByName(each[1]).unionByName(each[2]).agg(F.max("d")).first()[0] or 0.0
 
 
-def _within(share: DataFrame, to: str, small: bool, rounds: int = 8) -> DataFrame:
-    """Target shares (to, most) cut to what there is (most), the rest going to the others in proportion."""
-    under = F.col(to) < F.col("most")
+def _within(share: DataFrame, small: bool, rounds: int = 6) -> DataFrame:
+    """Target shares (value, share, most) cut to what there is (most), the rest going to the others in proportion."""
+    under = F.col("share") < F.col("most")
     for _ in range(rounds):
-        share = _with_sums(share, [], {"_free": F.when(under, F.col(to)).otherwise(0.0), "_full": F.when(under, 0.0).otherwise(F.col("most"))}, small)
-        grown = F.col(to) * F.greatest(F.lit(0.0), 1 - F.col("_full")) / F.col("_free")
-        share = share.withColumn(to, F.when(under, F.least(F.col("most"), grown)).otherwise(F.col("most"))).drop("_free", "_full")
+        share, (free, full) = _summed(share, None, small, free=F.when(under, F.col("share")).otherwise(0.0), full=F.when(under, 0.0).otherwise(F.col("most")))
+        grown = F.least(F.col("most"), F.col("share") * F.greatest(F.lit(0.0), 1 - full) / free)
+        share = share.select("value", F.when(under, grown).otherwise(F.col("most")).alias("share"), "most")
     return share
 
 
@@ -91,35 +92,37 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: f
         return cells.select(*MARGINALS, "tokens", F.lit(0.0).alias("weight"), F.lit(0.0).alias("residual"))
     small = number <= CELLS
     together = lambda frame: frame.coalesce(1) if small else frame
-    own = F.col("tokens") / F.lit(float(everything))
+    # columns, no constants: the plans of all sweeps are the same, so that their code is compiled once
+    cells = cells.withColumn("most", F.col("tokens") / F.lit(everything * limit) if limit else F.lit(None).cast("double"))
     for name in MARGINALS:
-        known = together(cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").cast("double").alias("all")))
+        known = cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").cast("double").alias("all"), F.sum("most").alias("most"))
         given = (targets or {}).get(name)
-        present = known.withColumn("share", F.pow("all", F.lit(alpha))) if given is None else together(known.join(given, "value"))
-        share = _with_sums(present, [], {"shares": F.col("share")}, small).select(F.col("value").alias(name), (F.col("share") / F.col("shares")).alias(f"to_{name}"), (F.col("all") / F.lit(everything * (limit or 1.0))).alias("most"))
-        share = cut(_within(share, f"to_{name}", small) if limit else share).drop("most")
+        present = together(known.withColumn("share", F.pow("all", F.lit(alpha))) if given is None else known.join(given, "value"))
+        present, (whole,) = _summed(present, None, small, whole=F.col("share"))
+        share = present.select("value", (F.col("share") / whole).alias("share"), "most")
+        share = (cut(_within(share, small)) if limit else share).select(F.col("value").alias(name), F.col("share").alias(f"to_{name}"))
         cells = cells.join(F.broadcast(share) if small else share, name, "left").withColumn(f"to_{name}", F.coalesce(f"to_{name}", F.lit(0.0)))
-    most = own / F.lit(limit) if limit else None
-    held = lambda w: w if most is None else F.least(w, most)
-    cells = cut(together(cells.withColumn("weight", F.col("tokens").cast("double") if most is None else own)))
+    columns = [*MARGINALS, "tokens", "most", *[f"to_{n}" for n in MARGINALS]]
+    cells = cut(together(cells.select(*columns, (F.col("tokens") / F.lit(everything)).alias("weight"))))
     sweep, residual = 0, float("inf")
     while sweep < sweeps or (residual > TOLERANCE and sweep < MOST):
-        for _ in range(min(CUT, max(sweeps - sweep, 1) if sweep < sweeps else CUT)):
+        for _ in range(min(CUT, sweeps - sweep) if sweep < sweeps else CUT):
             for name in MARGINALS:
-                raked = F.when(F.col("_have") > 0, F.col("weight") * F.col(f"to_{name}") / F.col("_have")).otherwise(F.lit(0.0))
-                cells = _with_sums(cells, [name], {"_have": F.col("weight")}, small).withColumn("weight", held(raked)).drop("_have")
+                cells, (have,) = _summed(cells, name, small, have=F.col("weight"))
+                raked = F.when(have > 0, F.col("weight") * F.col(f"to_{name}") / have).otherwise(F.lit(0.0))
+                cells = cells.select(*columns, F.least(raked, "most").alias("weight"))  # least() skips the null of no limit
             sweep += 1
         cells = cut(cells)
         if sweep >= sweeps:
             before, residual = residual, _residual(cells)
-            if most is not None and residual > 0.9 * before:
+            if limit and residual > 0.9 * before:
                 break  # the limits don't allow more
-    if most is not None:  # what is left of the budget
-        for _ in range(6):
-            under = F.col("weight") < most
-            cells = _with_sums(cells, [], {"_all": F.col("weight"), "_free": F.when(under, F.col("weight")).otherwise(0.0)}, small)
-            grown = F.when(under & (F.col("_free") > 0), F.col("weight") * (1 + (1 - F.col("_all")) / F.col("_free"))).otherwise(F.col("weight"))
-            cells = cells.withColumn("weight", F.least(grown, most)).drop("_all", "_free")
+    if limit:  # what is left of the budget
+        for _ in range(4):
+            under = F.col("weight") < F.col("most")
+            cells, (full, free) = _summed(cells, None, small, full=F.col("weight"), free=F.when(under, F.col("weight")).otherwise(0.0))
+            grown = F.when(under & (free > 0), F.col("weight") * (1 + (1 - full) / free)).otherwise(F.col("weight"))
+            cells = cells.select(*columns, F.least(grown, "most").alias("weight"))
         cells = cut(cells)
         residual = _residual(cells)
     return cells.select(*MARGINALS, "tokens", "weight", F.lit(residual).alias("residual"))
