@@ -21,22 +21,27 @@ KEEP = 0.9
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model doesn't reject; null and empty texts stay."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, its smallest id; null ids stay, of repeated rows of an id one does."""
     return simhash.keep_first(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that another document keeps; documents of which nothing stays go."""
     return suffix.drop_repeats(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled towards the targets, each once at most; those without tokens go."""
     return mixing.mix(docs, keep=KEEP, repeats=False).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per document with its tokens; null texts are empty ones."""
     return pieces.round_trip(docs, queries.vocabulary("piece_bpe_32k.model"))
 
 

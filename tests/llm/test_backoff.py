@@ -49,3 +49,15 @@ def test_packing():
 
 def test_same_rows_as_sql(same_rows):
     same_rows(queries.op3_backoff, queries.oracle_sql()["op3_backoff"])
+
+
+def test_null_and_repeated_ids_fill_several_blocks(spark, monkeypatch):
+    from signalloom.llm import common
+
+    monkeypatch.setattr(common, "BLOCK_BYTES", 4000)
+    nulls = spark.range(2000).selectExpr("cast(null as long) as doc_id", "concat('word ', id) as text")
+    same = spark.range(2000).selectExpr("1L as doc_id", "'the same text' as text")
+    for docs in (nulls, same):
+        dealt, blocks = common.in_blocks(docs)
+        got = dealt.groupBy("_block").count().collect()
+        assert blocks > 3 and len(got) > 3 and max(r["count"] for r in got) < 1000

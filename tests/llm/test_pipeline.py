@@ -42,8 +42,21 @@ def test_odd_tables(spark, k):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "one word", "en", None, 8), (3, "one word", "en", None, 8), (None, "no id", None, "s", 5), (4, "long " * 20000, "de", "s", 100000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     name, stage = corpus_pipeline.STAGES[k]
-    for frame in (docs, docs.limit(0)):
-        stage(spark, frame, D).collect()
+    got = stage(spark, docs, D)
+    if k < 4:
+        assert got.columns == docs.columns
+    ids = sorted((r.doc_id is None, r.doc_id) for r in got.collect())
+    every = [(False, 1), (False, 2), (False, 3), (False, 3), (False, 4), (True, None)]
+    if k in (0, 2, 4):
+        assert ids == every
+    elif k == 1:
+        assert ids == [(False, 1), (False, 3), (False, 4), (True, None)]
+    else:
+        assert set(ids) <= set(every) - {(False, 1), (False, 2)}
+    assert stage(spark, docs.limit(0), D).collect() == []
+    clashing = docs.withColumn("weight", docs.doc_id).withColumn("row", docs.text).withColumn("_order", docs.doc_id)
+    kept = stage(spark, clashing, D)
+    assert kept.count() == len(ids) and (k == 4 or kept.columns == clashing.columns)
 
 
 def test_held_out_rule():
