@@ -1,3 +1,6 @@
+import math
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 import xxhash
@@ -162,6 +165,39 @@ def test_wide_links_against_all_verified_pairs(spark, monkeypatch):
         assert parts(edges) == parts(spark.createDataFrame(sorted(want), "a long, b long"))
 
 
+def five_word_pairs(rows, least=0.8):
+    """Pairs of ids whose sets of five-word shingles are so similar: exact, by the rarest shingles of each text."""
+    sets, count = {}, Counter()
+    for doc_id, text in rows:
+        words = common.byte_words(text)
+        sets[doc_id] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        count.update(sets[doc_id])
+    seen, pairs = defaultdict(list), []
+    for doc_id, own in sets.items():
+        rarest = sorted(own, key=lambda s: (count[s], s))[: len(own) - math.ceil(least * len(own)) + 1]
+        for other in {x for s in rarest for x in seen[s]}:
+            both = len(own & sets[other])
+            if both >= least * (len(own) + len(sets[other]) - both):
+                pairs.append((doc_id, other))
+        for s in rarest:
+            seen[s].append(doc_id)
+    return sets, pairs
+
+
+def test_wide_recall_against_all_pairs_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets, pairs = five_word_pairs([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    component = {r.doc_id: r.component_id for r in simhash.link(docs, distance=simhash.WIDE).collect()}
+    assert len(pairs) > 50
+    assert sum(component[a] == component[b] for a, b in pairs) >= 0.9 * len(pairs)
+    members = defaultdict(list)
+    for doc_id, least in component.items():
+        members[least].append(doc_id)
+    gone = [d for d, least in component.items() if d != least]
+    strangers = [d for d in gone if not any(sets[d] & sets[o] for o in members[component[d]] if o != d) and sets[d]]
+    assert not strangers
+
+
 def test_near_copies_of_a_passage(spark):
     """Copies with one word in fifty replaced share 0.8 of their five-word shingles or more; most meet at seven bits."""
     random = np.random.default_rng(6)
