@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, langid, lm, mixing, pieces, simhash, suffix, tokencount, topk, toxicity
+from . import chroma, fim, langid, lm, mixing, pieces, simhash, suffix, tokencount, topk, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _sha(column: str) -> F.Column:
+    return F.sha2(F.col(column).cast("binary"), 256).alias(f"{column}_sha256")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.arranged(table(spark, sf_dir, "documents")).withColumn("restored", fim.restored(F.col("output"), F.col("form")))
+    return made.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", _sha("output"), _sha("restored"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_simhash, op2_language, op3_backoff, op4_tokens, op5_topk, op6_mixing, op7_suffix, op8_chroma, op9_pieces, op10_toxicity, pipeline]
+    named = [op1_simhash, op2_language, op3_backoff, op4_tokens, op5_topk, op6_mixing, op7_suffix, op8_chroma, op9_pieces, op10_toxicity, op13_fim, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -135,5 +144,18 @@ s as (select r, doc_id, i, sum(case when before is null or i > before + {n} then
 select doc_id, min(i)::bigint as start_word, (max(i) + {n})::bigint as end_word, (max(i) + {n} - min(i))::bigint as n_words from s group by r, doc_id, k"""
 
 
+def _fim_sql() -> str:
+    h = [f"('0x' || substr(sha256('{fim.SEED}:' || coalesce(doc_id::varchar, '')), {8 * k + 1}, 8))::bigint as h{k + 1}" for k in range(4)]
+    part = lambda a, b: f"case when form <> 'plain' then array_to_string(list_slice(us, {a}, {b}), '') end"
+    p, s, m = fim.SENTINELS
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{fim.UNIT}') as us, {", ".join(h)} from documents),
+f as (select *, len(us) as n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) as lo, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) as hi,
+  case when t = '' or contains(t, '{p}') or contains(t, '{s}') or contains(t, '{m}') or h3 % 100 >= {fim.RATE} then 'plain' when h4 % 100 < {fim.SPM} then 'spm' else 'psm' end as form from d),
+c as (select *, {part("1", "lo")} as p, {part("lo + 1", "hi")} as m, {part("hi + 1", "n")} as s from f)
+select doc_id, n::bigint as n, form, length(p)::bigint as prefix_chars, length(m)::bigint as middle_chars,
+  sha256(case form when 'psm' then '{p}' || p || '{s}' || s || '{m}' || m when 'spm' then '{s}' || s || '{p}' || p || '{m}' || m else t end) as output_sha256, sha256(t) as restored_sha256 from c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_backoff": _backoff_sql(), "op5_topk": _topk_sql(), "op6_mixing": _mixing_sql(), "op7_suffix": _suffix_sql()}
+    return {"op3_backoff": _backoff_sql(), "op5_topk": _topk_sql(), "op6_mixing": _mixing_sql(), "op7_suffix": _suffix_sql(), "op13_fim": _fim_sql()}
