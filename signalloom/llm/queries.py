@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, fim, langid, lm, mixing, pieces, simhash, suffix, tokencount, topk, toxicity
+from . import align, chroma, fim, langid, lm, mixing, pieces, simhash, suffix, tokencount, topk, toxicity
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.arranged(table(spark, sf_dir, "documents")).withColumn("restored", fim.restored(F.col("output"), F.col("form")))
     return made.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", _sha("output"), _sha("restored"))
@@ -75,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_simhash, op2_language, op3_backoff, op4_tokens, op5_topk, op6_mixing, op7_suffix, op8_chroma, op9_pieces, op10_toxicity, op13_fim, pipeline]
+    named = [op1_simhash, op2_language, op3_backoff, op4_tokens, op5_topk, op6_mixing, op7_suffix, op8_chroma, op9_pieces, op10_toxicity, op12_align, op13_fim, pipeline]
     return {f.__name__: f for f in named}
 
 
