@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chroma, fim, langid, lm, mixing, pieces, simhash, suffix, tokencount, topk, toxicity
+from . import align, chroma, fim, langid, lm, mixing, pieces, rlz, simhash, suffix, tokencount, topk, toxicity
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.parse(table(spark, sf_dir, "documents"))
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_simhash, op2_language, op3_backoff, op4_tokens, op5_topk, op6_mixing, op7_suffix, op8_chroma, op9_pieces, op10_toxicity, op12_align, op13_fim, pipeline]
+    named = [op1_simhash, op2_language, op3_backoff, op4_tokens, op5_topk, op6_mixing, op7_suffix, op8_chroma, op9_pieces, op10_toxicity, op11_rlz, op12_align, op13_fim, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -148,6 +152,19 @@ s as (select r, doc_id, i, sum(case when before is null or i > before + {n} then
 select doc_id, min(i)::bigint as start_word, (max(i) + {n})::bigint as end_word, (max(i) + {n} - min(i))::bigint as n_words from s group by r, doc_id, k"""
 
 
+def _rlz_sql() -> str:
+    n = rlz.LENGTH
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce({_WORDS.format(text="text")}, []) as ws from documents),
+w as (select r, doc_id, i, md5(array_to_string(list_slice(ws, i, i + {n - 1}), ' ')) as h from (select r, doc_id, ws, unnest(range(1, len(ws) - {n - 2})) as i from d)),
+f as (select h, min(doc_id) as first from w group by h),
+a as (select r, i from w join f using (h) where first < doc_id),
+o as (select r, i, w, max(case when a.i is not null then i end) over (partition by r order by i rows between {n - 1} preceding and current row) as near
+      from (select r, unnest(ws) as w, generate_subscripts(ws, 1) as i from d) left join a using (r, i)),
+k as (select r, count(near) as gone, string_agg(w, ' ' order by i) filter (near is null) as kept from o group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(gone, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (r)"""
+
+
 def _fim_sql() -> str:
     h = [f"('0x' || substr(sha256('{fim.SEED}:' || coalesce(doc_id::varchar, '')), {8 * k + 1}, 8))::bigint as h{k + 1}" for k in range(4)]
     part = lambda a, b: f"case when form <> 'plain' then array_to_string(list_slice(us, {a}, {b}), '') end"
@@ -162,4 +179,4 @@ select doc_id, n::bigint as n, form, length(p)::bigint as prefix_chars, length(m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_backoff": _backoff_sql(), "op5_topk": _topk_sql(), "op6_mixing": _mixing_sql(), "op7_suffix": _suffix_sql(), "op13_fim": _fim_sql()}
+    return {"op3_backoff": _backoff_sql(), "op5_topk": _topk_sql(), "op6_mixing": _mixing_sql(), "op7_suffix": _suffix_sql(), "op11_rlz": _rlz_sql(), "op13_fim": _fim_sql()}
