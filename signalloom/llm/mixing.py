@@ -6,7 +6,8 @@ pre-aggregated, are joined back to the cells, or where there are ``CELLS`` at mo
 plans stay short; after ``SWEEPS`` of them raking goes on until the largest difference of a marginal share from its
 target, the residual, is at most ``TOLERANCE`` (``MOST`` sweeps at most). The residual is a column of the result.
 The raked weight of a cell over its tokens, times the budget, is the rate at which its documents are taken: whole copies
-for its integer part and one more with the rest's probability, by a hash of the id that any engine can repeat.
+for its integer part and one more with the rest's probability, by a hash of the id and the text that any engine can
+repeat. Rows that agree in both are told apart by a number of the row, so that each copy is drawn for itself.
 
 Without repeats no cell can give more tokens than it has. Targets that ask for more are cut to what there is and the rest
 goes to the other values in proportion, each step of raking keeps cells under that limit, and at the end what is left of
@@ -16,8 +17,9 @@ Topics and token counts are given columns, or else the surface form of the text
 Targets default to tempered corpus shares: tokens to the power ``alpha``, normalised in each marginal. Edge cases: a null
 source or language is a value of its own, '(none)'; a null or empty text has topic 'empty' and no tokens, and is never
 taken; given targets for values that no document has are left out and the others normalised to 1, values without a
-target get none; ties can't arise in the hash beyond repeated ids, whose rows are taken together; an empty table gives no
-rows; extra columns are kept by ``mix``, whatever their names.
+target get none; rows with a null id are drawn by their text, repeated rows each for itself (which copies are taken then depends
+on the order of the table's files; how many doesn't); an empty table gives no rows; extra columns are kept by ``mix``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, whole_row
+from .common import cut, hot_or_cold, stored, whole_row
 
 SWEEPS, CUT, ALPHA, MOST, TOLERANCE = 12, 3, 0.7, 36, 1e-6
 #: Cells up to which sums and cells are broadcast.
@@ -128,15 +130,34 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: f
     return cells.select(*MARGINALS, "tokens", "weight", F.lit(residual).alias("residual"))
 
 
-def uniform(doc_id, salt: str = "mix") -> F.Column:
-    """A number in [0, 1) from the md5 of the id."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(salt)).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def uniform(doc_id, text, copy=None, salt: str = "mix") -> F.Column:
+    """A number in [0, 1) from the md5 of the id, the text's md5 and a number that tells copies apart (null: there are none)."""
+    parts = [doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.lit(None).cast("string") if copy is None else copy.cast("string"), F.lit(salt)]
+    named = F.concat_ws(":", *[F.coalesce(x, F.lit("")) for x in parts])
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def with_copies(own: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Adds ``copy``: null for rows whose id and text no other row has, a number of the row for the others. Only hashes are
+    shuffled, pre-aggregated; the rows are written once where there are copies, so that their numbers are settled."""
+    key = F.xxhash64(F.col("row")[doc_id], F.col("row")[text])
+    repeated = own.groupBy(key.alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1")
+    number, rows = repeated.agg(F.count("*"), F.sum("_n")).first()
+    if not number:
+        return own.withColumn("copy", F.lit(None).cast("long"))
+    numbered = stored(own.withColumn("_key", key).withColumn("copy", F.monotonically_increasing_id()))
+    if number <= CELLS:
+        found = numbered.join(F.broadcast(repeated.withColumn("_met", F.lit(True)).drop("_n")), "_key", "left")
+        return found.withColumn("copy", F.when(F.col("_met"), F.col("copy"))).drop("_key", "_met")
+    met = hot_or_cold(numbered, repeated, "_key", "_n", rows)
+    alone = numbered.join(repeated, "_key", "left_anti").withColumn("copy", F.lit(None).cast("long"))
+    return met.unionByName(alone).drop("_key")
 
 
 def mix(docs: DataFrame, keep: float = 0.5, repeats: bool = True, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, sweeps: int = SWEEPS, doc_id: str = "doc_id", text: str = "text", topic: str | None = None, tokens: str | None = None) -> DataFrame:
     """The documents taken: row (all their columns), source, lang, topic, tokens, weight (raked share of the cell), rate,
     copies and residual. keep: the budget as a share of all tokens. Without repeats a document is taken once at most."""
-    own = with_cells(docs, text, topic, tokens)
+    own = with_copies(with_cells(docs, text, topic, tokens), doc_id, text)
     cells = cut(rake(own.groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")), targets, alpha, sweeps, None if repeats else keep))
     total = cells.agg(F.sum("tokens").alias("all"))
     rates = cells.join(F.broadcast(total)).select(*MARGINALS, "weight", "residual", (F.col("weight") * keep * F.col("all") / F.col("tokens")).alias("rate"))
@@ -145,5 +166,5 @@ def mix(docs: DataFrame, keep: float = 0.5, repeats: bool = True, targets: dict[
     # a shuffle would move the texts: cells go to the documents, after their number is checked
     joined = own.join(F.broadcast(rates) if cells.count() <= CELLS else rates, list(MARGINALS))
     whole = F.floor("rate")
-    copies = (whole + (uniform(F.col("row")[doc_id]) < F.col("rate") - whole).cast("long")).cast("int")
+    copies = (whole + (uniform(F.col("row")[doc_id], F.col("row")[text], F.col("copy")) < F.col("rate") - whole).cast("long")).cast("int")
     return joined.withColumn("copies", copies).where("copies > 0 and tokens > 0").select("row", *MARGINALS, "tokens", "weight", "rate", "copies", "residual")

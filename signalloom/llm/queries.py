@@ -130,13 +130,13 @@ def _mixing_sql(keep: float = 0.5) -> str:
 with d as (select doc_id, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang,
   case when coalesce(text, '') = '' then 'empty' when contains(text, ' | ') then 'table' when contains(text, '***') or contains(text, '###') then 'symbols'
        when contains(text, 'icense') then 'license' else 'prose' end as topic,
-  ceil(strlen(coalesce(text, '')) / 4)::bigint as n_tokens from documents),
+  ceil(strlen(coalesce(text, '')) / 4)::bigint as n_tokens, md5(coalesce(text, '')) as h from documents),
 c as (select source, lang, topic, sum(n_tokens)::bigint as tokens from d group by all having sum(n_tokens) > 0),
 p as (select *, {share("source")}, {share("lang")}, {share("topic")} from c),
 x0 as materialized (select source, lang, topic, tokens, tokens::double as w, {norm("source")}, {norm("lang")}, {norm("topic")} from p),
 {", ".join(steps)},
 r as (select source, lang, topic, w as weight, w * {keep} * (select sum(tokens) from c) / tokens as rate from {last}),
-u as (select d.*, r.weight, r.rate, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || 'mix'), 1, 8))::bigint / 4294967296.0 as u from d join r using (source, lang, topic)),
+u as (select d.*, r.weight, r.rate, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || h || '::mix'), 1, 8))::bigint / 4294967296.0 as u from d join r using (source, lang, topic)),
 k as (select *, (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end)::int as copies from u)
 select doc_id, source, lang, topic, n_tokens, round(weight, 9) as weight, round(rate, 6) as rate, copies from k where copies > 0 and n_tokens > 0"""
 
