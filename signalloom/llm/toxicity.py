@@ -15,13 +15,16 @@ Where a gram isn't kept, P(w | h') stands on both sides and the log-ratio is tha
 
 Every letter of the whole text is scored. An expression is a word, of a word of over ``STRETCH`` symbols each stretch of so
 many (half overlapping, contexts going on across them); of scripts without spaces what follows from each character
-on. Its log-likelihood ratio is normalised by its length; the sum over the ``TOP`` largest among a document's distinct
-words, which is what sets toxic documents apart (they are ordinary but for a few expressions, and the mean over a
-document tells languages apart and not toxicity), becomes a score by a logistic fit on learning documents that the counts
-for it left out.
+on. Its log-likelihood ratio is normalised by its length. What sets toxic documents apart is a few expressions (the mean over
+a document tells languages apart and not toxicity), but the largest ratio of a document grows with the number of its
+expressions, so each of its ``TOP`` largest is held against how many of that size an ordinary document of so many
+expressions has: with G(x) the share of ordinary expressions whose ratio is over x, n expressions have n G(x) over x by
+chance, and the k-th largest ratio x gives the evidence max(0, log(k / (n G(x)))). G is counted over the ordinary ones of
+the learning documents that the counts of that model left out, and goes on exponentially beyond its last ``LAST`` expressions,
+with their mean excess. The sum becomes a score by a logistic fit on the same documents.
 
 The models are fitted on at most ``SAMPLE`` labelled documents in expectation (by a hash of the row, texts whole);
-that bound is the only one. Edge cases: null or empty texts have a ratio of 0; conflicting labels of an id count as
+that bound is the only one. Edge cases: null or empty texts have no evidence; conflicting labels of an id count as
 toxic; null labels and ids are left out; without learning documents of both classes every score is 0; repeated rows
 learn and are scored each; extra columns are ignored by ``score`` and kept by ``drop_toxic``. There is no context beyond a
 word: an expression of several words, each of them ordinary, gets no evidence.
@@ -43,6 +46,8 @@ from pyspark.sql import functions as F
 from .common import cut, held_out, sampled, small, whole_row
 
 SAMPLE, ORDER, CUTOFF, TOP, STRETCH, PAD = 8_000, 8, 5, 3, 24, 4
+#: Expressions from which the tail of G is taken, and the bounds and number of bins in which ratios are counted.
+LAST, BINS = 200, (-8.0, 8.0, 2048)
 #: Begin and end a word; no word holds them.
 START, END = "\2", "\0"
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() or c == 39 else 32 for c in range(256))
@@ -98,6 +103,34 @@ class _Ratios(dict):
         return found
 
 
+def bin_of(x):
+    low, high, n = BINS
+    return np.clip((np.asarray(x) - low) / (high - low) * n, 0, n - 1).astype(np.int64)
+
+
+class Chance:
+    """G, from the number of ordinary expressions in each bin of ratios."""
+
+    def __init__(self, bins: np.ndarray):
+        low, high, n = BINS
+        over = np.cumsum(bins[::-1])[::-1]  # expressions in a bin or above
+        self.whole = math.log(max(1, over[0]))
+        self.logs = np.log(np.maximum(over, 1)).tolist()
+        tail = int(np.flatnonzero(over >= min(LAST, max(1, over[0])))[-1]) if over[0] else 0
+        self.start = low + tail * (high - low) / n
+        excess = (np.arange(n)[tail:] + 0.5) * (high - low) / n + low - self.start
+        self.scale = max(1e-3, float((bins[tail:] * excess).sum() / max(1, over[tail])))
+        self.at_start = self.logs[tail]
+
+    def log_share(self, x: float) -> float:
+        if x > self.start:
+            return self.at_start - (x - self.start) / self.scale - self.whole
+        return self.logs[int(bin_of(x))] - self.whole
+
+    def evidence(self, largest: list[float], n: int) -> float:
+        return sum(max(0.0, math.log((k + 1) / n) - self.log_share(x)) for k, x in enumerate(largest))
+
+
 @dataclass
 class Model:
     ratios: dict[str, float] = field(default_factory=dict)  # kept gram: log-ratio of its last symbol
@@ -105,14 +138,39 @@ class Model:
     slope: float = 0.0
     offset: float = -50.0
     order: int = ORDER
+    chance: Chance | None = None
 
-    def evidence(self):
-        """texts -> the sum of the largest ratios of each, with one memory of words for all calls."""
+    def largest(self):
+        """texts -> (the largest ratios, number of expressions) of each, with one memory of words for all calls."""
         known = _Ratios(self)
-        return lambda texts: [sum(nlargest(TOP, map(known.__getitem__, words(text)))) for text in texts]
+
+        def run(texts):
+            for text in texts:
+                own = words(text)
+                yield nlargest(TOP, map(known.__getitem__, own)), len(own) + sum(len(w) // (STRETCH // 2) for w in own if len(w) >= STRETCH)
+
+        return run
+
+    def counted(self):
+        """texts -> in how many expressions of all of them a ratio falls into each bin."""
+        known, bins = _Ratios(self), np.zeros(BINS[2], np.int64)
+
+        def run(texts):
+            for text in texts:
+                np.add.at(bins, bin_of(np.fromiter(map(known.__getitem__, words(text)), np.float64)), 1)
+            return bins
+
+        return run
+
+    def evidence(self):
+        """texts -> the evidence of each."""
+        largest, chance = self.largest(), self.chance
+        return lambda texts: [chance.evidence(*x) for x in largest(texts)]
 
     def scorer(self):
         """texts -> scores."""
+        if self.chance is None:
+            return lambda texts: [1 / (1 + math.exp(-self.offset)) for _ in texts]
         evidence = self.evidence()
         return lambda texts: [1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * x + self.offset)))) for x in evidence(texts)]
 
@@ -249,16 +307,28 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return Model()
 
     def run(batches, model=model):
-        evidence = model.evidence()
+        largest, counted, bins = model.largest(), model.counted(), None
         for batch in small(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(evidence(batch.column(0).to_pylist()), pa.float64()), batch.column(1)], ["x", "y"])
-
-    got = learn.where("not kept").select("text", "toxic").mapInArrow(run, "x double, y boolean").collect()
-    x, y = np.array(sorted((r[0], float(r[1])) for r in got)).reshape(-1, 2).T
+            texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found = list(largest(texts))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([n for _, n in found], pa.int64()), batch.column(1), pa.nulls(len(texts), pa.list_(pa.int64()))], ["x", "n", "y", "bins"])
+            bins = counted([t for t, y in zip(texts, toxic, strict=True) if not y])
+        if bins is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.list_(pa.float64())), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([bins.tolist()], pa.list_(pa.int64()))], ["x", "n", "y", "bins"])
+
+    # bounded by the sample: a few numbers a document, and a row of bins a task
+    got = learn.where("not kept").select("text", "toxic").coalesce(8).mapInArrow(run, "x array<double>, n long, y boolean, bins array<long>").collect()
+    rows = [r for r in got if r.bins is None]
+    y = np.array([float(r.y) for r in rows])
     if not len(y) or y.min() == y.max():
         return Model()
+    chance = Chance(sum(np.array(r.bins, np.int64) for r in got if r.bins is not None))
+    x = np.array([chance.evidence(r.x, r.n) for r in rows])
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
     del model, run  # one model at a time on the driver
     model = _model(counts, "t", "o")
+    model.chance = chance
     model.slope, model.offset = _logistic(x, y)
     return model
 

@@ -95,6 +95,30 @@ def test_held_out_documents(spark):
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.8 and n.get((0, 1), 0) / (n[0, 0] + n.get((0, 1), 0)) < 0.02
 
 
+def test_length_alone_is_no_evidence(spark):
+    """Ordinary documents joined to ever longer ones stay ordinary; a toxic one among a hundred of them is found as a rule."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = docs.join(labels, "doc_id").where("toxic is not null and text is not null").orderBy("doc_id").select("text", "toxic").limit(3000).collect()
+    ordinary, toxic = ([r.text for r in rows if r.toxic == k] for k in (0, 1))
+    scores = toxicity.fit(docs, labels).scorer()
+    for k in (1, 10, 100, 400):
+        joined = [" ".join(ordinary[s : s + k]) for s in range(0, len(ordinary) - k, max(k, 100))]
+        assert max(scores(joined)) < 0.5, k
+    assert len(joined[0]) > 500_000
+    assert np.mean(np.array(scores([" ".join(ordinary[s : s + 30] + [toxic[s // 30]]) for s in range(0, 1500, 30)])) >= 0.5) > 0.5
+
+
+def test_chance_goes_on_beyond_the_last_expressions():
+    bins = np.bincount(toxicity.bin_of(np.random.default_rng(0).exponential(0.05, 400_000)), minlength=toxicity.BINS[2])
+    chance = toxicity.Chance(bins)
+    for x in (0.05, 0.2, 0.4, 0.9, 2.0):
+        assert abs(chance.log_share(x) + x / 0.05) < 0.3 + 0.08 * x / 0.05
+    assert chance.evidence([0.3, 0.25, 0.2], 100_000) < 3 < chance.evidence([0.9, 0.9, 0.9], 100_000)
+    empty = toxicity.Chance(np.zeros(toxicity.BINS[2], np.int64))
+    assert empty.evidence([], 0) == 0 and empty.evidence([1.0], 1) >= 0
+
+
 def fixture(spark):
     random = np.random.default_rng(0)
     plain = [f"w{i}" for i in range(50)]
