@@ -7,7 +7,8 @@ emits the groups (cut where both have a token end) and the links (tokens whose b
 
 Merge per distinct chunk. Both tokenizers have a boundary wherever a space follows a character that isn't white space: A's
 pre-tokens don't span it and no piece of B goes from another character to a marker (checked when the model is loaded). The
-stretches between such places are tokenized and merged once, when a worker first sees them, and joined back by position.
+stretches between such places are tokenized and merged once, when a worker first sees them, and joined back by position. Many
+new ones are merged together, which takes numpy's sorted union and intersection of the ends in place of two pointers.
 The worker's table is emptied at ``TABLE`` characters. A document in which some chunk's tokens don't spell the chunk is
 judged, and if need be merged, as a whole.
 
@@ -38,6 +39,8 @@ from .common import from_planes, planes, stored
 
 #: Characters of distinct chunks in a worker's table, and documents handled at a time.
 TABLE, SLICE = 3_000_000, 64
+#: Characters of new chunks that are tokenized at once.
+JOINED = 8_000
 MARK = "▁"
 #: From a space to the next one that follows a character that isn't white space.
 CHUNK = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
@@ -69,6 +72,19 @@ def written(groups: list[tuple[list[int], list[int]]]) -> str:
     return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
 
 
+class _Numbers(dict):
+    """Chunk to number, in order of first sight; new: those not learned yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self)
+        self.new.append(chunk)
+        return number
+
+
 class Aligner:
     """Both tokenizers of a worker and its table of distinct chunks."""
 
@@ -95,11 +111,14 @@ class Aligner:
         names = {k: t for t, k in self.a.get_vocab(with_added_tokens=False).items()}
         self.a_bytes = {k: bytes(letters[c] for c in t) for k, t in names.items() if all(c in letters for c in t)}
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(pieces)]
+        self.a_parts = [self.a_bytes.get(k, b"") for k in range(self.a.get_vocab_size())]
+        self.a_sizes, self.b_sizes = (np.array([*map(len, x)]) for x in (self.a_parts, self.b_bytes))
+        self.decimal = [*map(str, range(max(len(self.a_parts), len(self.b_bytes))))]
         self.marker, self.table = self.b.piece_to_id(MARK), table
         self._empty()
 
     def _empty(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.groups: list[bytes] = []
         self.spelled: dict[int, bytes] = {}  # of chunks whose tokens don't spell them: B's bytes
         self.size, self.facts, self.starts, self.codes = 0, np.zeros((0, 5), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
@@ -118,36 +137,71 @@ class Aligner:
             return None, None, spelled
         return *merge(a, np.cumsum([*map(len, a_parts)]).tolist(), b, np.cumsum([*map(len, b_parts)]).tolist()), spelled
 
-    def _learn(self, chunks: list[str]) -> None:
-        facts, codes, lengths = [], [], []
-        for k in range(0, len(chunks), 4096):
-            part = chunks[k : k + 4096]
-            for chunk, a, b in zip(part, *self.tokens(part), strict=True):
-                groups, links, spelled = self.aligned(chunk, a, b)
-                number = len(self.known)
-                if groups is None:
-                    self.spelled[number] = spelled
-                    groups, links = [], []
-                self.known[chunk] = number
-                self.groups.append(written(groups).encode())
-                facts.append((len(a), len(b), len(groups), len(links), number in self.spelled))
-                codes += [x << 32 | y for x, y in links]
-                lengths.append(len(links))
-                self.size += len(chunk)
-        self.facts = np.concatenate((self.facts, np.array(facts, np.int64)))
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(lengths)))
-        self.codes = np.concatenate((self.codes, np.array(codes, np.int64)))
+    def _learn(self) -> None:
+        """Tokenizes and merges the chunks that were met for the first time: joined to texts of some thousand characters, as no
+        token spans the place between two of them. Those that end in white space are taken one by one."""
+        new, self.known.new = self.known.new, []
+        self.added, at = [], 0
+        while at < len(new):
+            end, most = at, 0
+            while end < len(new) and most < JOINED and not new[end][-1].isspace():
+                most += len(new[end])
+                end += 1
+            if end == at or not self._learn_joined(new[at:end]):
+                end = max(end, at + 1)
+                for chunk in new[at:end]:
+                    self._learn_alone(chunk)
+            at = end
+        if new:
+            facts, codes = (np.concatenate(x) for x in zip(*self.added, strict=True))
+            self.facts, self.codes = np.concatenate((self.facts, facts)), np.concatenate((self.codes, codes))
+            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(facts[:, 3])))
+
+    def _add(self, facts, groups: list[bytes], codes) -> None:
+        self.groups += groups
+        self.added.append((np.asarray(facts, np.int64).reshape(-1, 5), np.asarray(codes, np.int64)))
+
+    def _learn_alone(self, chunk: str) -> None:
+        (a,), (b,) = self.tokens([chunk])
+        groups, links, spelled = self.aligned(chunk, a, b)
+        bad = groups is None
+        if bad:
+            self.spelled[len(self.groups)] = spelled
+            groups, links = [], []
+        self._add([(len(a), len(b), len(groups), len(links), bad)], [written(groups).encode()], [x << 32 | y for x, y in links])
+        self.size += len(chunk)
+
+    def _learn_joined(self, chunks: list[str]) -> bool:
+        """Merges the token ends of all chunks at once; False, and nothing done, if tokens don't spell them."""
+        text = "".join(chunks)
+        whole, ends = text.encode(), np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in chunks])
+        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
+        if b"".join(map(self.a_parts.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+            return False
+        a_ids, b_ids = np.array(a), np.array(b)
+        a_ends, b_ends = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids])
+        either, both = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends, assume_unique=True)
+        if len(np.intersect1d(both, ends)) < len(chunks):
+            return False
+        links = a_ids[np.searchsorted(a_ends, either)] << 32 | b_ids[np.searchsorted(b_ends, either)]
+        to_a, to_b = (np.searchsorted(e, both) + 1 for e in (a_ends, b_ends))
+        a_text, b_text = list(map(self.decimal.__getitem__, a)), list(map(self.decimal.__getitem__, b))
+        groups = [f"{a_text[i]}|{b_text[k]}" if j - i == 1 == m - k else f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}" for i, j, k, m in zip([0, *to_a[:-1].tolist()], to_a.tolist(), [0, *to_b[:-1].tolist()], to_b.tolist(), strict=True)]
+        counts = [np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (a_ends, b_ends, both, either)]
+        bounds = np.cumsum(counts[2]).tolist()
+        self._add(np.column_stack([*counts, np.zeros(len(chunks), np.int64)]), [";".join(groups[s:e]).encode() for s, e in zip([0, *bounds[:-1]], bounds, strict=True)], links)
+        self.size += len(text)
+        return True
 
     def align(self, texts: list[str | None]) -> list[tuple[int, int, int, int, bytes, np.ndarray]]:
         """(n_a, n_b, n_groups, n_links, groups written out, code a << 32 | b of each link) of each text."""
         dealt = [CHUNK.findall(" " + t) if t and MARK not in t else [] for t in texts]
         if self.size > self.table:
             self._empty()
-        if new := list({c for chunks in dealt for c in chunks if c not in self.known}):
-            self._learn(new)
+        numbered = [list(map(self.known.__getitem__, chunks)) for chunks in dealt]
+        self._learn()
         none, out = (0, 0, 0, 0, b"", np.zeros(0, np.int64)), []
-        for text, chunks in zip(texts, dealt, strict=True):
-            numbers = list(map(self.known.__getitem__, chunks))
+        for text, chunks, numbers in zip(texts, dealt, numbered, strict=True):
             if not numbers:
                 out.append(none)
                 continue
@@ -185,7 +239,9 @@ class _Block:
 
     def closed(self, number: int):
         """The rows of the block: those of its documents, and those of its distinct pairs."""
-        every, place = np.unique(np.concatenate(self.codes), return_inverse=True)
+        place, met = pd.factorize(np.concatenate(self.codes))
+        order = np.argsort(met)
+        every, place = met[order], np.argsort(order)[place]
         document = np.repeat(np.arange(len(self.codes)), [len(c) for c in self.codes])
         once, times = np.unique(document * max(1, len(every)) + place, return_counts=True)
         owner, pair = np.divmod(once, max(1, len(every)))

@@ -89,7 +89,7 @@ def test_table_is_bounded():
 
 def test_chunks_not_spelled_alone_are_judged_as_a_whole():
     own = align.Aligner(A, B)
-    own._learn([" ab"])
+    own.align(["ab"])
     own.spelled[0], own.facts[0, 4] = b" ab", 1  # as if its tokens hadn't spelled it, though the document's do
     same(own, "ab cd")
     own.spelled[0] = b" a"
