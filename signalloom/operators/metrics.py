@@ -21,20 +21,21 @@ def spearman(frame: DataFrame, by: list[str], y: str = "y_true", p: str = "y_pre
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), stats.pearson("_ry", "_rp").alias("spearman_r"))
 
 
-def spearman_global(frame: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """Correlation of average ranks of all rows. Ranks come from counts of distinct values: ranges of values are sorted in
-    parallel and each range's start is added, so no task sees all rows."""
+def spearman_global(frame: DataFrame, y: str = "y_true", p: str = "y_pred", by: list[str] | None = None) -> DataFrame:
+    """Correlation of average ranks of all rows, or of those of each group. Ranks come from counts of distinct values: ranges of
+    values are sorted in parallel and each range's start is added, so no task sees all rows."""
+    by = by or []
 
     def rank_table(name: str, out: str) -> DataFrame:
-        counts = frame.groupBy(F.col(name).alias(name)).agg(F.count("*").alias("_c"))
-        split = counts.repartitionByRange(name).withColumn("_part", F.spark_partition_id())
-        sizes = split.groupBy("_part").agg(F.sum("_c").alias("_s"))
-        starts = sizes.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-        upto = F.sum("_c").over(Window.partitionBy("_part").orderBy(name))
-        return split.join(F.broadcast(starts), "_part").select(name, (F.col("_start") + upto - (F.col("_c") - 1) / 2).alias(out))
-
-    ranked = frame.select(y, p).join(rank_table(y, "_ry"), y).join(rank_table(p, "_rp"), p)
-    return ranked.agg(F.count("*").alias("n"), stats.pearson("_ry", "_rp").alias("spearman_r"))
+        counts = frame.groupBy(*by, F.col(name).alias(name)).agg(F.count("*").alias("_c"))
+        split = counts.repartitionByRange(*by, name).withColumn("_part", F.spark_partition_id())
+        sizes = split.groupBy(*by, "_part").agg(F.sum("_c").alias("_s"))
+        starts = sizes.select(*by, "_part", F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+        upto = F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy(name))
+        return split.join(F.broadcast(starts), [*by, "_part"]).select(*by, name, (F.col("_start") + upto - (F.col("_c") - 1) / 2).alias(out))
+
+    ranked = frame.select(*by, y, p).join(rank_table(y, "_ry"), [*by, y]).join(rank_table(p, "_rp"), [*by, p])
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), stats.pearson("_ry", "_rp").alias("spearman_r"))
 
 
 def unpivoted(frame: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:

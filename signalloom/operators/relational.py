@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,3 +118,64 @@ def with_folds(frame: DataFrame, order: list, folds: int = 5, seed: int | None =
     table = fold_of(_cohort(frame), folds, seed)
     rows = frame.sparkSession.createDataFrame([(i, int(f)) for i, f in enumerate(table)], "pos long, fold int")
     return numbered(frame, order).join(rows, "pos")
+
+
+# ---- permutations of any size ---------------------------------------------------------------------------------------
+
+#: Rounds of the keyed bijection, and steps of its walk back into the range beyond which a row is an error.
+ROUNDS, WALK = 4, 64
+
+
+def _side(n: int) -> int:
+    """The least a with a * a >= n."""
+    return math.isqrt(max(n, 1) - 1) + 1
+
+
+def permuted(pos, n: int, seed: int = 42) -> F.Column:
+    """The place of pos (0 to n - 1) in a keyed permutation of n places, an expression without any table: a Feistel network over
+    pairs (left, right) of numbers below the root of n, whose rounds are md5 sums of key, round and right. The square of that
+    root is over n by twice the root at most; a place that falls outside walks on until it is inside again, which keeps it a
+    bijection. WALK steps are more than any place needs for n up to a thousand, and for larger n leave out one with odds of
+    under (2 / sqrt(n)) ** WALK; such a row would be an error, never a wrong place."""
+    a = _side(n)
+    drawn = lambda r, k: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), k.cast("string"), r.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    pair = lambda left, right: F.struct(left.alias("l"), right.alias("r"))
+    whole = lambda x: F.floor(x / F.lit(a)).cast("long")
+    network = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), pair(whole(x), x % a), lambda s, k: pair(s["r"], (s["l"] + drawn(s["r"], k)) % a), lambda s: s["l"] * a + s["r"])
+    walk = F.sequence(F.lit(1), F.lit(max(1, min(a * a - n, WALK))))
+    place = F.aggregate(walk, network(pos.cast("long")), lambda x, _: F.when(x < n, x).otherwise(network(x)))
+    return F.when(place < n, place).otherwise(F.raise_error(F.lit(f"no place among {n} within {WALK} steps")).cast("long"))
+
+
+def fold_at(place, n: int, folds: int) -> F.Column:
+    """The fold of a place of n: the first n mod folds folds are one longer."""
+    base, extra = divmod(n, folds)
+    longer = F.lit(extra * (base + 1))
+    return F.when(place < longer, F.floor(place / F.lit(base + 1))).otherwise(extra + F.floor((place - longer) / F.lit(max(base, 1)))).cast("int")
+
+
+def keyed_split(frame: DataFrame, order: list, test: float = 0.2, seed: int = 42) -> DataFrame:
+    """Adds ``split`` for tables of any size: the first ceil(test n) places of a keyed permutation of the total order are the
+    test set. Sizes are exact and nothing is made on the driver."""
+    placed = settled(numbered(frame, order))
+    n = placed.count()
+    return placed.withColumn("split", F.when(permuted(F.col("pos"), n, seed) < math.ceil(test * n), "test").otherwise("train")).drop("pos")
+
+
+def keyed_folds(frame: DataFrame, order: list, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Adds ``pos`` and ``fold`` for tables of any size, by a keyed permutation of the total order."""
+    placed = settled(numbered(frame, order))
+    n = placed.count()
+    if not 2 <= folds <= n:
+        raise ValueError(f"{folds} folds need 2 to n = {n}")
+    return placed.withColumn("fold", fold_at(permuted(F.col("pos"), n, seed), n, folds))
+
+
+def nested_folds(n: int, outer: int, inner: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(outer fold of each place, its inner fold in the learning rows of every outer fold, -1 where it isn't one of them)."""
+    fold = fold_of(n, outer, seed)
+    within = np.full((n, outer), -1, np.int64)
+    for f in range(outer):
+        learn = np.flatnonzero(fold != f)
+        within[learn, f] = fold_of(len(learn), min(inner, len(learn)), seed)
+    return fold, within

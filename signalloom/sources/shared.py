@@ -28,3 +28,11 @@ def settled(frame: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint(eager=True)
+
+
+def written(frame: DataFrame, what: str = "written") -> tuple[DataFrame, str]:
+    """(frame written to the shared folder as Parquet and read again, its path). For loops: a checkpoint carries the estimated size of
+    its plan along, and the estimate of a join is a product, so that it squares in every round."""
+    path = new_folder(frame.sparkSession, what)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path), path

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from signalloom.plans import views
 from signalloom.plans.queries import QUERIES
@@ -94,8 +95,16 @@ def test_krr_compare_methods(spark, data):
 
 
 def test_methods_are_fitted_once(spark):
-    plan = QUERIES["krr_compare_methods"](spark, D)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FlatMapGroupsInArrow") == 1
+    """One pass over the features for all folds and penalties, one that scores them where they are; no group of a method's rows."""
+    from signalloom.operators import krr
+
+    calls, real = [], krr.grams
+    krr.grams = lambda *a: calls.append(1) or real(*a)
+    try:
+        plan = krr._fitted(views.features(spark, D).withColumn("method", F.lit("m")), krr.ALPHAS, 5, 42)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        krr.grams = real
+    assert len(calls) == 1 and plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan
 
 
 def test_krr_precomputed(spark, data):
@@ -104,6 +113,75 @@ def test_krr_precomputed(spark, data):
     near(got, scores(y[t], fitted(x[~t], y[~t], x[t])[0]))
 
 
+@pytest.fixture
+def wide(spark, monkeypatch):
+    """Features of more columns than rows (products of the embedding's values), whose kernels have no small rank."""
+    from signalloom.operators import blockridge, krr
+
+    monkeypatch.setattr(krr, "RANK", 32)
+    monkeypatch.setattr(blockridge, "BLOCK", 48)
+    monkeypatch.setattr(blockridge, "LANDMARKS", 60)
+    rows = views.features(spark, D).where("subject < 90")
+    own = rows.withColumn("features", F.flatten(F.transform(F.slice("features", 1, 16), lambda a: F.transform("features", lambda b: a * b)))).withColumn("method", F.lit("wide"))
+    held = sorted(own.collect(), key=lambda r: r.subject)
+    return own, np.array([r.features for r in held]), np.array([r.y for r in held]), np.array([r.split == "test" for r in held])
+
+
+def inner_r(k, y, alpha, inner=5):
+    out = np.zeros(len(y))
+    for o in folds(len(y), inner):
+        i = np.setdiff1d(np.arange(len(y)), o)
+        out[o] = solve(k[np.ix_(i, i)], y[i], k[np.ix_(o, i)], alpha)
+    return np.corrcoef(out, y)[0, 1]
+
+
+def test_wide_features_by_kernel_blocks(spark, wide):
+    from signalloom.operators import krr
+
+    frame, x, y, t = wide
+    got = krr.compare(frame, alphas=(1.0, 10.0)).first()
+    alpha = max((1.0, 10.0), key=lambda a: inner_r(pearson_kernel(x[~t], x[~t]), y[~t], a))
+    near(got, scores(y[t], solve(pearson_kernel(x[~t], x[~t]), y[~t], pearson_kernel(x[t], x[~t]), alpha)))
+    near(got, {"train_r2": scores(y[~t], solve(pearson_kernel(x[~t], x[~t]), y[~t], pearson_kernel(x[~t], x[~t]), alpha))["r2"]})
+    assert got.alpha == alpha
+
+
+def test_nested_folds_by_kernel_blocks(spark, wide):
+    from signalloom.operators import krr
+
+    frame, x, y, _ = wide
+    got = {r.fold: r for r in krr.cross_validate(frame, outer=3, inner=2, alphas=(1.0, 10.0)).collect()}
+    place = folds(len(y), 3)
+    for k, o in enumerate(place):
+        o = np.sort(o)
+        i = np.setdiff1d(np.arange(len(y)), o)
+        kernel = pearson_kernel(x[i], x[i])
+        best = (-2.0, None)
+        for alpha in (1.0, 10.0):
+            out = np.zeros(len(i))
+            for h in folds(len(i), 2):
+                own = np.setdiff1d(np.arange(len(i)), h)
+                out[h] = solve(kernel[np.ix_(own, own)], y[i][own], kernel[np.ix_(h, own)], alpha)
+            r = np.corrcoef(out, y[i])[0, 1]
+            best = max(best, (r, alpha), key=lambda z: z[0])
+        want = scores(y[o], solve(kernel, y[i], pearson_kernel(x[o], x[i]), best[1]))
+        near(got[k], {n: want[n] for n in ("r2", "pearson_r", "mae")})
+        assert got[k].alpha == best[1] and got[k].n == len(o)
+
+
+def test_both_ways_agree_and_constant_rows_are_zero(spark, monkeypatch):
+    from signalloom.operators import blockridge, krr
+
+    frame = views.features(spark, D).where("subject < 120").withColumn("method", F.lit("m"))
+    frame = frame.withColumn("features", F.when(F.col("subject") % 40 == 7, F.transform("features", lambda v: F.lit(2.0))).otherwise(F.col("features")))
+    one = krr.compare(frame).first()
+    monkeypatch.setattr(krr, "RANK", 8)
+    monkeypatch.setattr(blockridge, "BLOCK", 50)
+    two = krr.compare(frame).first()
+    far = {c: (one[c], two[c]) for c in one.asDict() if one[c] != two[c] and not (isinstance(one[c], float) and abs(one[c] - two[c]) < 1e-6 * max(1, abs(one[c])))}
+    assert not far
+
+
 def test_krr_cv(spark, data):
     got = {r.fold: r for r in QUERIES["krr_cv"](spark, D).collect()}
     x, y = data["sets"]["fc_input"], data["y"]
