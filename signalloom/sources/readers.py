@@ -59,7 +59,11 @@ def load_features_and_scores(spark: SparkSession, features: str, scores: str) ->
 def load_signals(spark: SparkSession, path: str, rows: int, n: int | None = None, strict: bool = True, pad: str = "right") -> DataFrame:
     """(subject, m): matrices with ``rows`` rows, transposed where only the width fits, of n columns if n is given.
     strict: a matrix that fits neither way is an error, else it is left as it is."""
-    frame = _present(lambda: spark.read.parquet(path), f"signals not found: {path}")
+    return oriented_signals(_present(lambda: spark.read.parquet(path), f"signals not found: {path}"), rows, n, strict, pad)
+
+
+def oriented_signals(frame: DataFrame, rows: int, n: int | None = None, strict: bool = True, pad: str = "right") -> DataFrame:
+    """The same for signals (subject, m) that are read already, of npy files say."""
     m = arrays.oriented(F.col("m"), rows)
     if strict:
         m = F.when(F.size(m) == rows, m).otherwise(F.raise_error(F.concat(F.lit(f"expected {rows} rows, subject "), F.col("subject").cast("string"))).cast("array<array<double>>"))
