@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, stats
 from ..functions.stats import rounded as r6
 from ..operators import connectivity, encoders, factor, kernel, metrics, relational, signals
-from ..sources import readers, sinks
+from ..sources import ledger, npy, readers, sinks
 from ..sources.shared import new_folder
 from ..streaming import ingest
 from . import flows, queries, views
@@ -438,3 +438,48 @@ def split_counts(spark, sf_dir):
 def spearman_p(spark, sf_dir):
     got = metrics.spearman_global(views.metric_rows(spark, sf_dir).select(F.col("mse").alias("y_true"), F.col("peak").alias("y_pred")))
     return got.select("n", r6("spearman_r").alias("spearman_r"), r6(stats.p_value(F.col("spearman_r"), F.col("n")), 9).alias("p_value"))
+
+
+# ---- npy files and runs in batches ----------------------------------------------------------------------------------
+
+
+@query(queries._sql_cells("x[6:25]"), "series")
+def source_npy(spark, sf_dir):
+    """Matrices written as npy files by Spark and read back, cropped to the middle 20 columns."""
+    folder = new_folder(spark, "npy")
+    npy.write(readers.load_signals(spark, _saved_matrices(spark, sf_dir), 5), folder)
+    got = readers.oriented_signals(npy.signals(spark, folder), 5, 20)
+    return queries._cells(got.select(F.col("subject").cast("long").alias("subject"), F.posexplode("m").alias("parcel", "x")))
+
+
+@query(", s as (select distinct subject from series)\nselect subject, 5::bigint as n_rows, 30::bigint as n_columns from s", "series")
+def source_npy_shapes(spark, sf_dir):
+    """Shapes of a folder of npy files, from their headers alone."""
+    folder = new_folder(spark, "npy")
+    npy.write(readers.load_signals(spark, _saved_matrices(spark, sf_dir), 5), folder)
+    return npy.read(spark, folder, values=False).select(F.col("subject").cast("long").alias("subject"), F.col("shape")[0].alias("n_rows"), F.col("shape")[1].alias("n_columns"))
+
+
+@query("select vec_id as subject, round(list_avg(embedding::double[]), 6) + 0.0 as mean, vec_id % 100 = 3 as failed from embeddings where vec_id % 100 <> 3 union all select vec_id, null, true from embeddings where vec_id % 100 = 3")
+def batch_resumed(spark, sf_dir):
+    """A run in batches that is killed half-way and resumed: every entity has its result once, failed ones their error."""
+    folder, started = new_folder(spark, "run"), []
+
+    def compute(values):
+        if any(v[0] is None for v in values):
+            raise ValueError("no first value")
+        return [[sum(v) / len(v)] for v in values]
+
+    def one(part, killed=3):
+        started.append(1)
+        if len(started) == killed:
+            raise KeyboardInterrupt
+        return encoders.applied(part, compute, "features", "array<double>")
+
+    frame = views.features(spark, sf_dir).select("subject", F.when(F.col("subject") % 100 == 3, F.transform("features", lambda v: F.lit(None).cast("double"))).otherwise(F.col("features")).alias("features"))
+    try:
+        ledger.run(frame, "subject", one, folder, batches=5)
+    except KeyboardInterrupt:
+        pass
+    done = ledger.run(frame, "subject", one, folder)
+    return done.select("subject", queries.r6(F.col("result")[0]).alias("mean"), F.col("error").isNotNull().alias("failed"))

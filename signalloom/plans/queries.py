@@ -408,6 +408,33 @@ def split_seeded(spark, sf_dir):
     return relational.random_split(views.participants(spark, sf_dir).select("participant_id"), ["participant_id"])
 
 
+_DRAWN = "('0x' || substr(md5('42:{k}:' || r), 1, 8))::bigint"
+_ROUND = "select subject, pos, n, a, i, r as l, (l + {drawn}) % a as r from ({of})"
+
+
+def _permuted_sql(frame: str) -> str:
+    """(subject, pos, n, x): the keyed permutation of a frame (subject, pos, n) by a recursive walk."""
+    step = "select subject, pos, n, a, i, x // a as l, x % a as r from w where i = 0 or x >= n"
+    for k in range(1, relational.ROUNDS + 1):
+        step = _ROUND.format(drawn=_DRAWN.format(k=k), of=step)
+    return f"""with recursive f as ({frame}),
+w as (select subject, pos, n, ceil(sqrt(n))::bigint as a, 0 as i, pos as x from f union all select subject, pos, n, a, i + 1 as i, l * a + r as x from ({step})),
+p as (select subject, pos, n, x from w where i > 0 and x < n)"""
+
+
+@query(_permuted_sql("select vec_id as subject, row_number() over (order by vec_id) - 1 as pos, count(*) over () as n from embeddings") + """
+select subject, pos, (case when x < n % 5 * (n // 5 + 1) then x // (n // 5 + 1) else n % 5 + (x - n % 5 * (n // 5 + 1)) // (n // 5) end)::int as fold from p""")
+def kfold_keyed(spark, sf_dir):
+    """Shuffled folds of exact sizes for tables of any size: a keyed permutation and no table of places."""
+    return relational.keyed_folds(views.features(spark, sf_dir).select("subject"), ["subject"], 5)
+
+
+@query(_permuted_sql("select c_custkey as subject, row_number() over (order by c_custkey) - 1 as pos, count(*) over () as n from customer") + """
+select subject as participant_id, case when x < ceil(0.2 * n) then 'test' else 'train' end as split from p""")
+def split_keyed(spark, sf_dir):
+    return relational.keyed_split(views.participants(spark, sf_dir).select("participant_id"), ["participant_id"])
+
+
 @query("select vec_id as subject, case when ('0x' || substr(md5(vec_id::varchar), 1, 8))::bigint % 5 = 0 then 'test' else 'train' end as split from embeddings")
 def split_md5(spark, sf_dir):
     return relational.hash_split(views.features(spark, sf_dir).select("subject"), "subject")
