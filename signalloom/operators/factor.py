@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .krr import metrics, r_of
+from ..sources.shared import settled
+from .krr import RANK, flat, grams, matrices, metrics, r_of, tested
 
 
 @dataclass
@@ -131,14 +132,30 @@ PREDICTOR = "method string, model string, n_components int, train_r2 double, tra
 
 def train_predictor(features: DataFrame, model: str = "ridge", components: int | None = None, alpha: float = 1.0) -> DataFrame:
     """(method, subject, split, features, y): standardise, reduce if asked and possible, fit, and report; model is
-    ridge, linear or mlp. One row for each method."""
+    ridge, linear or mlp. One row for each method.
+
+    ridge and linear up to RANK columns: moments, components and normal equations all come from one Gram matrix of the learning
+    rows, summed in parallel and as a tree; rows are scored where they are. mlp, and wider features, take a method in one
+    task: they are for cohorts, WHOLE values at most."""
     if model not in ("ridge", "linear", "mlp"):
         raise ValueError(f"unknown model: {model}")
-
+    slim = features.where("features is not null and y is not null").select("method", F.col("subject").cast("long").alias("subject"), "split", F.transform("features", lambda v: v.cast("double")).alias("features"), F.col("y").cast("double").alias("y"))
+    widths = {r.method: r for r in slim.groupBy("method").agg(F.max(F.size("features")).alias("width"), F.count("*").alias("n"), F.avg(F.when(F.col("split") == "train", F.col("y"))).alias("mean")).collect()}
+    narrow = [m for m, r in widths.items() if r.width <= RANK and model != "mlp" and r.mean is not None]
+    others = [m for m in widths if m not in narrow]
+    if most := [m for m in others if widths[m].width * widths[m].n > WHOLE]:
+        raise ValueError(f"{most[0]}: {widths[most[0]].n} rows of {widths[most[0]].width} values don't fit one task")
+    out = _by_sums(slim.where(F.col("method").isin(narrow)), model, components, alpha, {m: widths[m].mean for m in narrow}) if narrow else None
+    if others or out is None:
+        rest = slim.where(F.col("method").isin(others)).groupBy("method").applyInArrow(_in_a_task(model, components, alpha), PREDICTOR)
+        out = rest if out is None else out.unionByName(rest)
+    return out
+
+
+def _in_a_task(model: str, components: int | None, alpha: float):
     def run(key, rows):
         order = np.argsort(rows.column("subject").to_numpy())
-        x = np.array(rows.column("features").to_pylist(), np.float64)[order]
-        y = rows.column("y").to_numpy()[order]
+        x, y = flat(rows.column("features"))[order], rows.column("y").to_numpy()[order]
         test = (np.array(rows.column("split").to_pylist()) == "test")[order]
         mean, dev = x[~test].mean(axis=0), x[~test].std(axis=0)
         x = (x - mean) / np.where(dev > 0, dev, 1)
@@ -156,8 +173,54 @@ def train_predictor(features: DataFrame, model: str = "ridge", components: int |
         got = {"method": key[0].as_py(), "model": model, "n_components": used, "train_r2": metrics(y[~test], p)["r2"], "train_r": r_of(y[~test], p), **metrics(y[test], q)}
         return pa.Table.from_pylist([got]).cast(pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[k]) for n, k in (c.split() for c in PREDICTOR.split(", "))]))
 
-    slim = features.where("features is not null and y is not null").select("method", F.col("subject").cast("long").alias("subject"), "split", F.transform("features", lambda v: v.cast("double")).alias("features"), F.col("y").cast("double").alias("y"))
-    return slim.groupBy("method").applyInArrow(run, PREDICTOR)
+    return run
+
+
+def linear_weights(gram: np.ndarray, k: int | None, alpha: float) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """(weights of the features, their means less the shift, mean of the targets less theirs, components used), from a Gram matrix of
+    [x - shift, y - shift, 1]: of standardised features, reduced to k components, by ridge or, for alpha 0, least squares of
+    minimum norm."""
+    d, n = len(gram) - 2, gram[-1, -1]
+    mean, middle = gram[:d, -1] / n, gram[d, -1] / n
+    cov = gram[:d, :d] - n * np.outer(mean, mean)
+    dev = np.sqrt(np.maximum(np.diag(cov), 0) / n)
+    scale = np.where(dev > 1e-12 * np.sqrt(np.diag(gram)[:d] / n + 1e-300), dev, 1)
+    inner, target = cov / np.outer(scale, scale), (gram[:d, d] - n * mean * middle) / scale
+    values, vectors = np.linalg.eigh(inner)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    k = min(k, int(n) - 1, d) if k else d
+    use = values[:k] > 1e-12 * max(values[0], 1e-300) if k < d else np.full(d, True)
+    values, vectors = values[:k][use], vectors[:, :k][:, use]
+    whole = values + alpha if alpha else np.where(values > 1e-11 * max(values[0], 1e-300), values, np.inf)
+    return vectors @ ((vectors.T @ target) / whole) / scale, mean, float(middle), len(values)
+
+
+def _by_sums(slim: DataFrame, model: str, components: int | None, alpha: float, means: dict[str, float]) -> DataFrame:
+    learn = slim.where("split = 'train'").withColumn("cells", F.array(F.lit(0)))
+    # a vector near the mean, so that differences of sums keep their digits: of a few rows of each method
+    shifts = {m: flat(learn.where(F.col("method") == m).select("features").limit(64).toArrow().column(0)).mean(axis=0) for m in means}
+    sums = grams(learn, means, shifts)
+    weights = 0.0 if model == "linear" else alpha
+
+    def fit(key, rows):
+        name = key[0].as_py()
+        w, mean, middle, used = linear_weights(matrices(rows)[0], components, weights)
+        return pa.Table.from_pylist([{"method": name, "w": w.tolist(), "offset": float(means[name] + middle - w @ (shifts[name] + mean)), "used": used}], pa.schema([("method", pa.string()), ("w", pa.list_(pa.float64())), ("offset", pa.float64()), ("used", pa.int32())]))
+
+    known = {r.method: (np.array(r.w), r.offset, r.used) for r in sums.groupBy("method").applyInArrow(fit, "method string, w array<double>, offset double, used int").collect()}
+
+    def score(batches):
+        for batch in batches:
+            names, x = np.array(batch.column(0).to_pylist(), object), batch.column(3)
+            p, used = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int32)
+            for name in dict.fromkeys(names.tolist()):
+                at = np.flatnonzero(names == name)
+                w, offset, used[at] = known[name]
+                p[at] = flat(x.take(pa.array(at))) @ w + offset
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(p), pa.array(used)], ["method", "split", "y_true", "y_pred", "used"])
+
+    predicted = settled(slim.select("method", "split", "y", "features").mapInArrow(score, "method string, split string, y_true double, y_pred double, used int"))
+    return tested(predicted, [F.max("used").alias("n_components")]).withColumn("model", F.lit(model)).select(*[c.split()[0] for c in PREDICTOR.split(", ")])
 
 
 #: Values up to which wide rows (more columns than ``TALL``) are reduced in one task.

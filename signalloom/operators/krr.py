@@ -152,8 +152,9 @@ def tree_sum(parts: DataFrame, keys: list[str], tasks: int) -> DataFrame:
 # ---- sums of the folds ----------------------------------------------------------------------------------------------
 
 
-def grams(rows: DataFrame, means: dict[str, float]) -> DataFrame:
-    """(method, cell, strip, data): the Gram matrices of [Z, y - mean, 1] of the rows of each cell, in strips of rows."""
+def grams(rows: DataFrame, means: dict[str, float], shifts: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """(method, cell, strip, data): the Gram matrices of [Z, y - mean, 1] of the rows of each cell, in strips of rows. Z are unit
+    rows, or with shifts the features less a vector of their method."""
 
     def run(batches):
         held: dict[tuple[str, int], np.ndarray] = {}
@@ -163,7 +164,8 @@ def grams(rows: DataFrame, means: dict[str, float]) -> DataFrame:
             cell = cells.flatten().to_numpy()
             for name in dict.fromkeys(names.tolist()):
                 at = np.flatnonzero(names == name)
-                z = unit(flat(batch.column(1).take(pa.array(at))))
+                own = flat(batch.column(1).take(pa.array(at)))
+                z = unit(own) if shifts is None else own - shifts[name]
                 wide = np.column_stack((z, batch.column(2).to_numpy()[at] - means[name], np.ones(len(at))))
                 place = np.full(batch.num_rows, -1)
                 place[at] = np.arange(len(at))
@@ -281,18 +283,23 @@ def _fitted(features: DataFrame, alphas, folds: int, seed: int, inner: int | Non
 RESULT = "method string, n_train long, n_test long, alpha double, inner_r double, train_r2 double, r2 double, pearson_r double, pearson_p double, spearman_r double, spearman_p double, mae double, mape double"
 
 
-def _reported(predicted: DataFrame) -> DataFrame:
-    """One row of RESULT for each method, from PREDICTED rows."""
-    predicted = settled(predicted)
+def tested(predicted: DataFrame, facts: list) -> DataFrame:
+    """Metrics of the test rows and r2 and correlation of the training rows for each method, from settled rows (method, split,
+    y_true, y_pred); facts: further aggregates of the training rows."""
     nan = F.lit(float("nan"))
-    test = predicted.where("split = 'test'")
-    train = predicted.where("split = 'train'").groupBy("method").agg(F.count("*").alias("n_train"), F.max("alpha").alias("alpha"), F.max("inner_r").alias("inner_r"), stats.r2(F.col("y_true"), F.col("y_pred")).alias("train_r2"))
     both = (F.max("y_true") > F.min("y_true")) & (F.max("y_pred") > F.min("y_pred"))
-    own = test.groupBy("method").agg(F.count("*").alias("n_test"), stats.r2(F.col("y_true"), F.col("y_pred")).alias("r2"), F.when(both, stats.pearson("y_true", "y_pred")).otherwise(nan).alias("pearson_r"), both.alias("_defined"), stats.mae(F.col("y_true"), F.col("y_pred")).alias("mae"), stats.mape(F.col("y_true"), F.col("y_pred")).alias("mape"))
+    r2, r = stats.r2(F.col("y_true"), F.col("y_pred")), F.when(both, stats.pearson("y_true", "y_pred")).otherwise(nan)
+    test = predicted.where("split = 'test'")
+    train = predicted.where("split = 'train'").groupBy("method").agg(F.count("*").alias("n_train"), r2.alias("train_r2"), r.alias("train_r"), *facts)
+    own = test.groupBy("method").agg(F.count("*").alias("n_test"), r2.alias("r2"), r.alias("pearson_r"), both.alias("_defined"), stats.mae(F.col("y_true"), F.col("y_pred")).alias("mae"), stats.mape(F.col("y_true"), F.col("y_pred")).alias("mape"))
     rho = tables.spearman_global(test, by=["method"]).drop("n")
     joined = train.join(own, "method").join(rho, "method").withColumn("spearman_r", F.when(F.col("_defined"), F.col("spearman_r")).otherwise(nan))
-    joined = joined.withColumn("pearson_p", stats.p_value(F.col("pearson_r"), F.col("n_test"))).withColumn("spearman_p", stats.p_value(F.col("spearman_r"), F.col("n_test")))
-    return joined.select(*[c.split()[0] for c in RESULT.split(", ")])
+    return joined.withColumn("pearson_p", stats.p_value(F.col("pearson_r"), F.col("n_test"))).withColumn("spearman_p", stats.p_value(F.col("spearman_r"), F.col("n_test")))
+
+
+def _reported(predicted: DataFrame) -> DataFrame:
+    """One row of RESULT for each method, from PREDICTED rows."""
+    return tested(settled(predicted), [F.max("alpha").alias("alpha"), F.max("inner_r").alias("inner_r")]).select(*[c.split()[0] for c in RESULT.split(", ")])
 
 
 def compare(features: DataFrame, alphas=ALPHAS, folds: int = 5, seed: int = 42) -> DataFrame:
