@@ -64,16 +64,21 @@ def of_rows(kernel: DataFrame, rows: DataFrame) -> DataFrame:
     return _spread(dealt.groupBy("p", "q").applyInArrow(pack, "p long, q long, data binary"))
 
 
-def of_features(rows: DataFrame) -> DataFrame:
-    """Blocks of the exact kernel of rows with features: each unordered pair of packed blocks is one product."""
+def packed_rows(rows: DataFrame, turn=unit) -> DataFrame:
+    """(p, x): the features of each block of rows, turned."""
     place, size = _numbered(rows, rows.where("split <> 'train'").count()), BLOCK
 
     def pack(key, part):
         block = np.zeros((size, len(part.column("features")[0])))
-        block[part.column("at").to_numpy() % size] = unit(flat(part.column("features")))
+        block[part.column("at").to_numpy() % size] = turn(flat(part.column("features")))
         return pa.table({"p": [key[0].as_py()], "x": [_pack(block)]})
 
-    packed = settled(place.select("at", "features").withColumn("p", F.floor(F.col("at") / size).cast("long")).groupBy("p").applyInArrow(pack, "p long, x binary"))
+    return settled(place.select("at", "features").withColumn("p", F.floor(F.col("at") / size).cast("long")).groupBy("p").applyInArrow(pack, "p long, x binary"))
+
+
+def of_packed(packed: DataFrame) -> DataFrame:
+    """Blocks of products of packed rows: each unordered pair of blocks of rows is one product."""
+    size = BLOCK
     pairs = packed.select("p").join(packed.select(F.col("p").alias("q")), F.col("p") <= F.col("q"))  # numbers only
 
     def multiply(batches):
@@ -88,6 +93,11 @@ def of_features(rows: DataFrame) -> DataFrame:
     return _spread(joined.mapInArrow(multiply, "p long, q long, data binary"))
 
 
+def of_features(rows: DataFrame) -> DataFrame:
+    """Blocks of the exact kernel of rows with features."""
+    return of_packed(packed_rows(rows))
+
+
 def product(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
     """(p, data): K times the vectors (p, v) of blocks. A task sums what it has for a block before it is shuffled."""
     size = BLOCK

@@ -223,31 +223,21 @@ def _by_sums(slim: DataFrame, model: str, components: int | None, alpha: float,
     return tested(predicted, [F.max("used").alias("n_components")]).withColumn("model", F.lit(model)).select(*[c.split()[0] for c in PREDICTOR.split(", ")])
 
 
-#: Values up to which wide rows (more columns than ``TALL``) are reduced in one task.
+#: Values that a method may hold in one task, and columns up to which the covariance is summed.
 WHOLE, TALL = 200_000_000, 1024
 
 
 def flat_components(features: DataFrame, k: int) -> DataFrame:
     """(subject, split, components, explained): principal components fitted on the training rows, applied to all. The sign of a
     component is free: its largest loading is made positive. Up to TALL columns the covariance is summed in parallel and
-    rows are projected where they are; wider rows, which are few by nature, meet in one task (WHOLE values at most)."""
+    rows are projected where they are; of wider rows the products are taken block by block (``rangefinder``)."""
+    from . import rangefinder
+
     slim = features.where("features is not null").select(F.col("subject").cast("long").alias("subject"), "split", F.transform("features", lambda v: v.cast("double")).alias("features"))
     rows, train, width = slim.agg(F.count("*"), F.count_if(F.col("split") == "train"), F.max(F.size("features"))).first()
-    if rows and width <= TALL:
-        return _tall_components(slim, min(k, train - 1, width))
-    if rows * (width or 0) > WHOLE:
-        raise ValueError(f"{rows} rows of {width} values: use the kernel blocks")
-
-    def run(key, table):
-        ids = table.column("subject").to_numpy()
-        order = np.argsort(ids)
-        x = np.array(table.column("features").to_pylist(), np.float64)[order]
-        split = np.array(table.column("split").to_pylist())[order]
-        mean, parts, share = gram_components(x[split == "train"], k)
-        sign = np.sign(parts[np.arange(len(parts)), np.abs(parts).argmax(axis=1)])
-        return pa.table({"subject": ids[order].astype(np.int64), "split": split.tolist(), "components": pa.array(((x - mean) @ (parts * sign[:, None]).T).tolist(), pa.list_(pa.float64())), "explained": np.full(len(x), share)})
-
-    return slim.withColumn("g", F.lit(1)).groupBy("g").applyInArrow(run, "subject long, split string, components array<double>, explained double")
+    if not rows or not train:
+        return slim.select("subject", "split", F.array().cast("array<double>").alias("components"), F.lit(None).cast("double").alias("explained")).limit(0)
+    return _tall_components(slim, min(k, train - 1, width)) if width <= TALL else rangefinder.components(slim, min(k, train - 1))
 
 
 def _tall_components(slim: DataFrame, k: int) -> DataFrame:

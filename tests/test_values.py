@@ -217,15 +217,30 @@ def test_flat_pca(spark, data):
 
 
 def test_wide_components_agree_with_tall_ones(spark, monkeypatch):
-    from signalloom.operators import factor
+    from signalloom.operators import blockridge, factor
 
-    table = lambda: sorted((r.subject, *np.round(r.components, 6)) for r in factor.flat_components(views.features(spark, D), 4).collect())
+    table = lambda: {r.subject: (r.split, r.components, r.explained) for r in factor.flat_components(views.features(spark, D), 4).collect()}
     tall = table()
     monkeypatch.setattr(factor, "TALL", 8)
-    assert np.abs(np.array(tall) - np.array(table())).max() < 1e-5
-    monkeypatch.setattr(factor, "WHOLE", 100)
-    with pytest.raises(ValueError):
-        factor.flat_components(views.features(spark, D), 4)
+    monkeypatch.setattr(blockridge, "BLOCK", 70)
+    wide = table()
+    assert set(wide) == set(tall)
+    for i, (split, parts, share) in tall.items():
+        assert wide[i][0] == split and abs(wide[i][2] - share) < 1e-8 and np.abs(np.array(wide[i][1]) - np.array(parts)).max() < 1e-7
+
+
+def test_range_finder_converges_below_full_rank(spark, wide, monkeypatch):
+    """More learning rows than columns of the range: subspace iterations until the components stand."""
+    from signalloom.operators import factor, rangefinder
+
+    frame, x, _, t = wide
+    monkeypatch.setattr(factor, "TALL", 8)
+    monkeypatch.setattr(rangefinder, "LEAST", 24)
+    mean, parts, share = components(x[~t], 3)
+    parts = parts * np.sign(parts[np.arange(3), np.abs(parts).argmax(axis=1)])[:, None]
+    got = sorted(factor.flat_components(frame, 3).collect(), key=lambda r: r.subject)
+    assert np.abs(np.array([r.components for r in got]) - (x - mean) @ parts.T).max() < 1e-4
+    assert abs(got[0].explained - share) < 1e-7
 
 
 def test_extended_compare(spark, data):
