@@ -116,3 +116,30 @@ def progress(frame: DataFrame, ok: str, seconds: float | None = None, total: int
         done = F.col("success") + F.col("failed")
         out = out.withColumn("seconds_left", stats.safe_divide(F.lit(seconds), done, None) * (F.lit(total) - done))
     return out
+
+
+# ---- data of plots --------------------------------------------------------------------------------------------------
+
+
+def bins_2d(frame: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
+    """(x_bin, y_bin, n, x_low, y_low) of a scatter plot: counts on a grid of equal cells between the extremes, those that have
+    any. One pass for the extremes, one pre-aggregated count; the result has bins * bins rows at most, whatever the points. Rows
+    with a null or NaN are left out; a constant column has a single bin."""
+    clean = frame.where(~F.isnan(x) & ~F.isnan(y) & F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    ends = clean.agg(F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1"))
+    place = lambda v, a, b: F.when(F.col(b) > F.col(a), F.least(F.lit(bins - 1), F.floor((F.col(v) - F.col(a)) / (F.col(b) - F.col(a)) * bins))).otherwise(0).cast("int")
+    low = lambda k, a, b: F.min(F.col(a) + F.col(k) * (F.col(b) - F.col(a)) / bins)
+    placed = clean.join(F.broadcast(ends)).withColumn("x_bin", place("_x", "x0", "x1")).withColumn("y_bin", place("_y", "y0", "y1"))
+    return placed.groupBy("x_bin", "y_bin").agg(F.count("*").alias("n"), low("x_bin", "x0", "x1").alias("x_low"), low("y_bin", "y0", "y1").alias("y_low"))
+
+
+def min_max(frame: DataFrame, by: list[str], t: str, v: str, buckets: int = 10) -> DataFrame:
+    """(by, bucket, t_low, low, t_high, high): a long line reduced to the least and the largest value of each of so many equal stretches
+    of its time, with their times (the earliest of ties), so that a plot keeps its peaks. Two pre-aggregated passes; series of any
+    length, no sort. Null and NaN values are left out."""
+    clean = frame.where(F.col(v).isNotNull() & ~F.isnan(v) & F.col(t).isNotNull()).select(*by, F.col(t).cast("double").alias("_t"), F.col(v).cast("double").alias("_v"))
+    ends = clean.groupBy(*by).agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"))
+    bucket = F.when(F.col("_b") > F.col("_a"), F.least(F.lit(buckets - 1), F.floor((F.col("_t") - F.col("_a")) / (F.col("_b") - F.col("_a")) * buckets))).otherwise(0).cast("int")
+    low, high = F.min(F.struct("_v", "_t")), F.min(F.struct((-F.col("_v")).alias("_n"), "_t"))
+    found = clean.join(ends, by).withColumn("bucket", bucket).groupBy(*by, "bucket").agg(low.alias("l"), high.alias("h"))
+    return found.select(*by, "bucket", F.col("l._t").alias("t_low"), F.col("l._v").alias("low"), F.col("h._t").alias("t_high"), (-F.col("h._n")).alias("high"))

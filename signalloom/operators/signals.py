@@ -139,3 +139,29 @@ def subjects_prepared(voxels: DataFrame, labels: DataFrame, length: int, n: int,
         cleaned = confounds_removed(whole)
         series = cleaned.select("subject", F.explode(F.arrays_zip(F.col("parcels").alias("parcel"), F.col("m").alias("x"))).alias("e")).select("subject", "e.parcel", "e.x")
     return matrices(preprocessed(series, n, stats, pad=pad))
+
+
+# ---- voxel tables ---------------------------------------------------------------------------------------------------
+
+
+def resampled(voxels: DataFrame, affine: list[list[float]], shape: tuple[int, int, int], by: list[str] | None = None) -> DataFrame:
+    """(by, i, j, k, v) on a new grid of this shape, by trilinear interpolation. voxels: (by, i, j, k, v), absent ones being 0;
+    affine: three rows of four that map a place of the new grid to one of the old.
+
+    Each new place spreads to its eight neighbours on the old grid with their weights, which meet the voxels in one equi-join on
+    the coordinates, and are summed, combined before the shuffle. Places without any voxel near are left out (their value is 0), so
+    work grows with the voxels and not with the box around them. The grid's places are made in parallel from a range."""
+    by, spark = by or [], voxels.sparkSession
+    ni, nj, nk = shape
+    at = spark.range(ni * nj * nk).select(F.floor(F.col("id") / (nj * nk)).cast("int").alias("i"), (F.floor(F.col("id") / nk) % nj).cast("int").alias("j"), (F.col("id") % nk).cast("int").alias("k"))
+    old = at.select("i", "j", "k", *[(F.lit(float(a)) * F.col("i") + F.lit(float(b)) * F.col("j") + F.lit(float(c)) * F.col("k") + F.lit(float(d))).alias(n) for n, (a, b, c, d) in zip("xyz", affine, strict=True)])
+    corner = F.explode(F.array(*[F.struct(*[F.lit(e).alias(n) for n, e in zip("abc", (p, q, r), strict=True)]) for p in (0, 1) for q in (0, 1) for r in (0, 1)])).alias("e")
+    spread = old.select("*", corner)
+    near = {n: F.floor(n) + F.col(f"e.{e}") for n, e in zip("xyz", "abc", strict=True)}
+    weight = F.lit(1.0)
+    for n, e in zip("xyz", "abc", strict=True):
+        part = F.col(n) - F.floor(n)
+        weight = weight * F.when(F.col(f"e.{e}") == 1, part).otherwise(1 - part)
+    eight = spread.select("i", "j", "k", *[near[n].cast("int").alias(f"_{n}") for n in "xyz"], weight.alias("_w")).where("_w > 0")
+    own = voxels.where("v is not null").select(*by, F.col("i").cast("int").alias("_x"), F.col("j").cast("int").alias("_y"), F.col("k").cast("int").alias("_z"), F.col("v").cast("double").alias("v"))
+    return own.join(eight, ["_x", "_y", "_z"]).groupBy(*by, "i", "j", "k").agg(F.sum(F.col("v") * F.col("_w")).alias("v"))

@@ -483,3 +483,80 @@ def batch_resumed(spark, sf_dir):
         pass
     done = ledger.run(frame, "subject", one, folder)
     return done.select("subject", queries.r6(F.col("result")[0]).alias("mean"), F.col("error").isNotNull().alias("failed"))
+
+
+# ---- ingestion with retries, data of plots, voxels, observed strategies ----------------------------------------------
+
+
+@query("select 'sub-' || lpad(n_nationkey::varchar, 2, '0') as entity, case when n_nationkey % 10 = 4 then 'parked' else 'done' end as state, case when n_nationkey % 10 <> 4 then round(length(n_name) * 1.5, 6) end as value, case when n_nationkey % 10 = 4 then 3 else 0 end as attempts from nation")
+def ingest_retried(spark, sf_dir):
+    """Files ingested as a stream over two runs: poisoned ones are tried three times and parked, the others are done once."""
+    folder = new_folder(spark, "retry")
+    rows = views.table(spark, sf_dir, "nation").select(F.format_string("sub-%02d", F.col("n_nationkey").cast("int")).alias("entity"), F.when(F.col("n_nationkey") % 10 == 4, "?").otherwise(F.length("n_name").cast("string")).alias("value"))
+    files = rows.repartition(5, "entity").select("value", "entity")
+
+    def parse(content: bytes) -> list:
+        return [float(content.strip()) * 1.5]
+
+    for even in (0, 1):  # a second run finds the rest
+        part = files.where(F.pmod(F.xxhash64("entity"), F.lit(2)) == even)
+        part.write.mode("append").partitionBy("entity").text(f"{folder}/in")
+        done, parked = ingest.ingest_files(spark, f"{folder}/in/entity=*", f"{folder}/out", f"{folder}/state", parse, attempts=3, files_per_batch=4)
+    entity = F.regexp_extract("path", "entity=([^/]+)", 1).alias("entity")
+    one = done.select(entity, F.lit("done").alias("state"), r6(F.col("result")[0]).alias("value"), F.lit(0).alias("attempts"))
+    return one.unionByName(parked.select(entity, F.lit("parked").alias("state"), F.lit(None).cast("double").alias("value"), "attempts"))
+
+
+@query("""with p as (select l_quantity::double as x, l_discount::double as y from lineitem), e as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from p),
+b as (select least(11, floor((x - x0) / (x1 - x0) * 12))::int as x_bin, least(11, floor((y - y0) / (y1 - y0) * 12))::int as y_bin, x0, x1, y0, y1 from p, e)
+select x_bin, y_bin, count(*) as n, round(min(x0 + x_bin * (x1 - x0) / 12), 6) as x_low, round(min(y0 + y_bin * (y1 - y0) / 12), 6) as y_low from b group by all""")
+def plot_bins(spark, sf_dir):
+    """Counts on a grid, for a scatter plot of any number of points."""
+    got = metrics.bins_2d(views.table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", 12)
+    return got.select("x_bin", "y_bin", "n", r6("x_low").alias("x_low"), r6("y_low").alias("y_low"))
+
+
+@query("""with p as (select event_type, epoch(ts)::double as t, value::double as v from events where value is not null), e as (select event_type, min(t) as a, max(t) as b from p group by event_type),
+c as (select event_type, t, v, least(7, floor((t - a) / (b - a) * 8))::int as bucket from p join e using (event_type)),
+r as (select *, row_number() over (partition by event_type, bucket order by v, t) as l, row_number() over (partition by event_type, bucket order by v desc, t) as h from c)
+select event_type, bucket, max(t) filter (l = 1) as t_low, max(v) filter (l = 1) as low, max(t) filter (h = 1) as t_high, max(v) filter (h = 1) as high from r group by all""")
+def plot_extremes(spark, sf_dir):
+    """Least and largest values of stretches of time, for a line plot that keeps its peaks."""
+    events = views.table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return metrics.min_max(events, ["event_type"], "t", "value", 8)
+
+
+_AFFINE = [[0.7, 0.0, 0.1, 0.25], [0.0, 0.5, 0.0, 0.0], [0.1, 0.0, 0.8, -0.5]]
+
+
+def _neighbours_sql() -> str:
+    place = ", ".join(f"{a} * i + {b} * j + {c} * k + {d} as {n}" for n, (a, b, c, d) in zip("xyz", _AFFINE, strict=True))
+    weight = " * ".join(f"(case when {e} = 1 then {n} - floor({n}) else 1 - ({n} - floor({n})) end)" for n, e in zip("xyz", "abc", strict=True))
+    return f"""with v as (select user_id % 3 as s, (user_id % 5)::int as i, (day(ts) % 6)::int as j, (hour(ts) % 4)::int as k, sum(value)::double as v from events group by all),
+g as (select i, j, k, {place} from (select i::double as i, j::double as j, k::double as k from range(6) a(i), range(8) b(j), range(5) c(k))),
+n as (select i, j, k, floor(x) + a as x, floor(y) + b as y, floor(z) + c as z, {weight} as w from g, range(2) p(a), range(2) q(b), range(2) r(c))
+select s as subject, n.i::int as i, n.j::int as j, n.k::int as k, round(sum(v.v * w) + 1e-9::double, 6) as v from v join n on v.i = n.x and v.j = n.y and v.k = n.z where w > 0 group by all"""
+
+
+@query(_neighbours_sql())
+def resample_voxels(spark, sf_dir):
+    """A grid of events resampled by an affine map and trilinear weights."""
+    voxels = views.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 3).alias("subject"), (F.col("user_id") % 5).cast("int").alias("i"), (F.dayofmonth("ts") % 6).alias("j"), (F.hour("ts") % 4).alias("k")).agg(F.sum("value").cast("double").alias("v"))
+    return signals.resampled(voxels, _AFFINE, (6, 8, 5), ["subject"]).withColumn("v", queries._off_ties("v"))
+
+
+@query("""with f as (select count(*) filter (vec_id % 5 <> 0) as a, count(*) filter (vec_id % 5 = 0) as b, max(len(embedding)) as d from embeddings),
+c as (select *, 4 * d::double * (a + b) + 12 * least(50, greatest(1, a - 1)) * d::double as bytes, unnest([1e9, 1000]) as cap from f)
+select cap::double as cap, a::bigint as n_train, b::bigint as n_test, d::bigint as width, case when bytes <= cap then 'pca' else 'blocks' end as strategy, (case when bytes <= cap then 0 else least(20, greatest(2, floor(greatest(0.3 * cap, cap - 4 * d::double * (a + b)) / (8 * d)))) end)::int as block, true as predicted from c""")
+def strategy_observed(spark, sf_dir):
+    """Rows and width as observed on the table decide between components and blocks; each cap's comparison is run by its branch."""
+    base, out = views.features(spark, sf_dir), None
+    facts = base.agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"), F.max(F.size("features")).cast("long").alias("width"))
+    own = facts.first()
+    for cap in (1e9, 1000.0):
+        name, block = kernel.strategy(own.n_train, own.n_test, 50, own.width, cap)
+        got = flows.extended(base.select(F.lit("fc_input").alias("method"), "subject", "split", "features", "y"), views.patches(spark, sf_dir), base.select("subject", "split", "y"), cap=cap, components=50)
+        done = got.agg((F.count_if((F.col("method") == "flat_patches") & F.col("pearson_r").isNotNull()) == 1).alias("predicted"))
+        one = facts.select(F.lit(cap).alias("cap"), "n_train", "n_test", "width", F.lit(name).alias("strategy"), F.lit(block).alias("block")).join(F.broadcast(done))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -1,4 +1,5 @@
-"""Incremental ingestion: files are processed as they come, once, and a restart goes on where it stopped.
+"""Incremental ingestion: files are processed as they come, once, and a restart goes on where it stopped; files that fail are tried
+again and then parked.
 
 Engine additions, marked so: event-time windows, sessions and de-duplication with watermarks.
 """
@@ -7,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +18,51 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schem
     of batches. Done files are known by the checkpoint; a batch that failed is run again and replaces its own part."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(file_format).load(source)
 
+    written = []
+
     def write(batch: DataFrame, number: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        written.append(number)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return sum(p["numInputRows"] > 0 for p in query.recentProgress)
+    return len(set(written))
+
+
+def ingest_files(spark: SparkSession, source: str, target: str, checkpoint: str, parse: Callable[[bytes], list], result: str = "array<double>", attempts: int = 3, files_per_batch: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(done, parked): (path, result) of the files of source that parse could read, and (path, attempts, error) of those that failed
+    so many times. New files come as a stream, each once. A file that fails doesn't stop the others: it is tried again after the new
+    ones, in each run once and from where the last run stopped, and parked at ``attempts``. Every attempt is a folder of its own
+    that is written whole, so what a killed run left is replaced; a parked file stays parked until its rows are removed."""
+    from ..operators.encoders import applied
+
+    def tried(files: DataFrame, folder: str) -> None:
+        got = applied(files.select("path", "content"), lambda values: [parse(v) for v in values], "content", result)
+        got.select("path", "result", "error").write.mode("overwrite").parquet(folder)
+
+    schema = f"path string, result {result}, error string"
+    stream = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(source)
+    query = stream.writeStream.foreachBatch(lambda batch, number: tried(batch, f"{target}/attempt=1/batch={number}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+    def state(attempt: int) -> DataFrame:
+        try:
+            return spark.read.schema(f"{schema}, batch int").parquet(f"{target}/attempt={attempt}")
+        except AnalysisException:  # there was none
+            return spark.createDataFrame([], f"{schema}, batch int")
+
+    for attempt in range(2, attempts + 1):
+        # those that failed before and were not tried for this time
+        left = state(attempt - 1).where("error is not null").select("path").join(state(attempt).select("path"), "path", "left_anti")
+        names = [r.path for r in left.toLocalIterator()]
+        number = (state(attempt).agg(F.max("batch")).first()[0] or 0) + 1
+        for k in range(0, len(names), files_per_batch):
+            tried(spark.read.format("binaryFile").load(names[k : k + files_per_batch]), f"{target}/attempt={attempt}/batch={number + k // files_per_batch}")
+    every = [state(k).withColumn("attempts", F.lit(k)) for k in range(1, attempts + 1)]
+    whole = every[0]
+    for one in every[1:]:
+        whole = whole.unionByName(one)
+    return whole.where("error is null").select("path", "result"), every[-1].where("error is not null").select("path", "attempts", "error")
 
 
 # ---- engine additions -----------------------------------------------------------------------------------------------
