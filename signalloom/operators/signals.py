@@ -33,6 +33,24 @@ def population_statistics(series: DataFrame) -> DataFrame:
     return own.groupBy("parcel").agg(F.avg("m").alias("med"), F.avg("d").alias("iqr"))
 
 
+#: Size of a quantile sketch, and the rank error that its quantiles stay within (0.4 per cent with odds of 0.99 at this size; twice and
+#: more of it here, so that many quantiles can be asked for).
+SKETCH, RANK_ERROR = 800, 0.01
+
+
+def quantile_sketches(frame: DataFrame, by: list[str], v: str = "v") -> DataFrame:
+    """(by, sketch): mergeable sketches (KLL) of the values' quantiles, of a few KB whatever the rows; combined before the shuffle.
+    Kept for each batch, they stand for it: later statistics read sketches and no rows."""
+    return frame.where(F.col(v).isNotNull() & ~F.isnan(v)).groupBy(*by).agg(F.kll_sketch_agg_double(F.col(v).cast("double"), SKETCH).alias("sketch"))
+
+
+def merged_statistics(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, q25, med, q75, iqr) of all batches together, from their sketches. Ranks are off by RANK_ERROR at most."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", SKETCH).alias("_all"))
+    at = lambda q: F.kll_sketch_get_quantile_double("_all", F.lit(q))
+    return merged.select(*by, F.kll_sketch_get_n_double("_all").alias("n"), at(0.25).alias("q25"), at(0.5).alias("med"), at(0.75).alias("q75")).withColumn("iqr", F.col("q75") - F.col("q25"))
+
+
 def robust_scaled(series: DataFrame, stats: DataFrame | None = None, required: bool = False) -> DataFrame:
     """Median and interquartile scaling: by the population's statistics where a parcel has both, else by the series'
     own. required: statistics must be given. stats has one row for each parcel."""

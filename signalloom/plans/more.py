@@ -560,3 +560,15 @@ def strategy_observed(spark, sf_dir):
         one = facts.select(F.lit(cap).alias("cap"), "n_train", "n_test", "width", F.lit(name).alias("strategy"), F.lit(block).alias("block")).join(F.broadcast(done))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("select l_returnflag as flag, q, count(*) as n, true as within from lineitem, (values (0.25::double), (0.5::double), (0.75::double)) v(q) group by all")
+def sketched_statistics(spark, sf_dir):
+    """Quantiles of all batches from sketches that were kept for each, and whether their exact ranks are within the stated bound."""
+    folder, rows = new_folder(spark, "sketches"), views.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.month("l_shipdate").alias("batch"), F.col("l_extendedprice").alias("v"))
+    signals.quantile_sketches(rows, ["flag", "batch"]).write.partitionBy("batch").parquet(folder)
+    found = signals.merged_statistics(spark.read.parquet(folder), ["flag"])
+    each = found.select("flag", F.inline(F.array(*[F.struct(F.lit(q).alias("q"), F.col(c).alias("estimate")) for q, c in ((0.25, "q25"), (0.5, "med"), (0.75, "q75"))])))
+    ranks = rows.join(F.broadcast(each), "flag").groupBy("flag", "q").agg(F.count("*").alias("n"), F.count_if(F.col("v") < F.col("estimate")).alias("below"), F.count_if(F.col("v") <= F.col("estimate")).alias("upto"))
+    off = signals.RANK_ERROR * F.col("n") + 1
+    return ranks.select("flag", "q", "n", ((F.col("below") <= F.col("q") * F.col("n") + off) & (F.col("upto") >= F.col("q") * F.col("n") - off)).alias("within"))
