@@ -90,41 +90,68 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, float
     return w, float(my - mx @ w)
 
 
-def perceptron(x: np.ndarray, y: np.ndarray, hidden=(128, 64), epochs: int = 200, rate: float = 1e-3, penalty: float = 1e-4, seed: int = 42, batch: int = 200):
-    """A rectified network fitted by Adam on squared errors; returns its prediction function."""
-    random = np.random.RandomState(seed)
-    sizes = [x.shape[1], *hidden, 1]
-    bound = [np.sqrt(6 / (a + b)) for a, b in zip(sizes, sizes[1:])]  # noqa: B905
-    weights = [random.uniform(-s, s, (a, b)) for s, a, b in zip(bound, sizes, sizes[1:])]  # noqa: B905
-    biases = [random.uniform(-s, s, b) for s, b in zip(bound, sizes[1:])]  # noqa: B905
-    params = weights + biases
-    first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-
-    def forward(v):
+class Network:
+    """A rectified network for one number, fitted by Adam on squared errors."""
+
+    def __init__(self, width: int, hidden=(128, 64), rate: float = 1e-3, penalty: float = 1e-4, seed: int = 42):
+        self.random = np.random.RandomState(seed)
+        self.rate, self.penalty, self.t = rate, penalty, 0
+        sizes = [width, *hidden, 1]
+        bound = [np.sqrt(6 / (a + b)) for a, b in zip(sizes, sizes[1:])]  # noqa: B905
+        self.weights = [self.random.uniform(-s, s, (a, b)) for s, a, b in zip(bound, sizes, sizes[1:])]  # noqa: B905
+        self.biases = [self.random.uniform(-s, s, b) for s, b in zip(bound, sizes[1:])]  # noqa: B905
+        self.first, self.second = ([np.zeros_like(p) for p in self.weights + self.biases] for _ in range(2))
+
+    def forward(self, v: np.ndarray) -> list[np.ndarray]:
         acts = [v]
-        for k, (w, b) in enumerate(zip(weights, biases, strict=True)):
+        for k, (w, b) in enumerate(zip(self.weights, self.biases, strict=True)):
             v = v @ w + b
-            v = np.maximum(v, 0) if k < len(weights) - 1 else v
+            v = np.maximum(v, 0) if k < len(self.weights) - 1 else v
             acts.append(v)
         return acts
 
-    for _ in range(epochs):
-        order = random.permutation(len(x))
-        for s in range(0, len(x), batch):
-            at = order[s : s + batch]
-            acts = forward(x[at])
-            delta = (acts[-1] - y[at, None]) / len(at)
-            grads_w, grads_b = [None] * len(weights), [None] * len(weights)
-            for k in range(len(weights) - 1, -1, -1):
-                grads_w[k] = acts[k].T @ delta + penalty * weights[k] / len(at)
-                grads_b[k] = delta.sum(axis=0)
-                delta = (delta @ weights[k].T) * (acts[k] > 0) if k else delta
-            t += 1
-            for p, g, m, v in zip(params, grads_w + grads_b, first, second, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return lambda z: forward(z)[-1][:, 0]
+    def predict(self, z: np.ndarray) -> np.ndarray:
+        return self.forward(z)[-1][:, 0]
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+        """What these rows add to the gradient of a batch of n, in one vector."""
+        acts = self.forward(x)
+        delta = (acts[-1] - y[:, None]) / n
+        weights, biases = [], []
+        for k in range(len(self.weights) - 1, -1, -1):
+            weights.insert(0, acts[k].T @ delta)
+            biases.insert(0, delta.sum(axis=0))
+            delta = (delta @ self.weights[k].T) * (acts[k] > 0) if k else delta
+        return np.concatenate([g.ravel() for g in weights + biases])
+
+    def step(self, gradient: np.ndarray, n: int) -> None:
+        """One step by the gradient of a whole batch of n."""
+        self.t, at = self.t + 1, 0
+        for k, (p, m, v) in enumerate(zip(self.weights + self.biases, self.first, self.second, strict=True)):
+            g = gradient[at : at + p.size].reshape(p.shape)
+            at += p.size
+            if k < len(self.weights):
+                g = g + self.penalty * p / n
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+
+    def batches(self, n: int, epochs: int, batch: int):
+        for _ in range(epochs):
+            order = self.random.permutation(n)
+            for s in range(0, n, batch):
+                yield order[s : s + batch]
+
+
+EPOCHS, BATCH = 200, 200
+
+
+def perceptron(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, **how):
+    """The prediction function of a network fitted in one place."""
+    net = Network(x.shape[1], **how)
+    for at in net.batches(len(x), epochs, batch):
+        net.step(net.gradient(x[at], y[at], len(at)), len(at))
+    return net.predict
 
 
 PREDICTOR = "method string, model string, n_components int, train_r2 double, train_r double, r2 double, pearson_r double, pearson_p double, spearman_r double, spearman_p double, mae double, mape double"
@@ -135,8 +162,8 @@ def train_predictor(features: DataFrame, model: str = "ridge", components: int |
     ridge, linear or mlp. One row for each method.
 
     ridge and linear up to RANK columns: moments, components and normal equations all come from one Gram matrix of the learning
-    rows, summed in parallel and as a tree; rows are scored where they are. mlp, and wider features, take a method in one
-    task: they are for cohorts, WHOLE values at most."""
+    rows, summed in parallel and as a tree, and rows are scored where they are. Wider features and mlp take a method in one
+    task, of WHOLE values at most: reduce features by ``flat_components`` before."""
     if model not in ("ridge", "linear", "mlp"):
         raise ValueError(f"unknown model: {model}")
     slim = features.where("features is not null and y is not null").select("method", F.col("subject").cast("long").alias("subject"), "split", F.transform("features", lambda v: v.cast("double")).alias("features"), F.col("y").cast("double").alias("y"))
