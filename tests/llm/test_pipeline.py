@@ -67,4 +67,4 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {"pipeline"} <= names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
+    assert {"pipeline"} <= names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 14)}
