@@ -2,8 +2,9 @@
 
 Of all suffixes (one per word) only those at content-selected places are retained: the minimisers of ``ANCHOR``-word
 hashes in every window of ``length`` words. Equal passages of that length select equal suffixes, so a passage repeats
-only if a retained suffix does. The retained suffixes are dealt by hash, sorted and compared with their neighbours;
-those whose first ANCHOR words repeat are extended left and right: every ``length``-word window around them is sorted
+only if a retained suffix does. The retained suffixes are dealt by the hash of their first ANCHOR words; hashes are sorted
+and neighbours compared for equality, so suffixes that begin alike meet, but they aren't in the order of their text;
+those that repeat are extended left and right: the hash of every ``length``-word window around them is sorted
 and compared in turn, and windows that repeat join to maximal spans. Both rounds go through the packed key exchange of
 ``common``: a block sends each distinct key once, whatever the number of copies.
 
