@@ -141,8 +141,41 @@ def test_chance_links_join_nothing():
     """A-X and X-B are near by chance; the second fingerprints agree for A and B alone."""
     a, x, b = 0, 0b1111, 0b11111111
     seconds = np.array([5, ~5, 5 ^ 0b11])
-    assert simhash.near_in_runs(np.zeros(3, np.int64), np.array([a, x, b]), 9, seconds) == [(a, b)]
-    assert len(simhash.near_in_runs(np.zeros(3, np.int64), np.array([a, x, b]), 9)) == 2
+    fps = np.array([a, x, b])
+    i, j = simhash.near_in_runs(np.zeros(3, np.int64), fps, 9, seconds)
+    assert list(zip(fps[i], fps[j], strict=True)) == [(a, b)]
+    assert len(simhash.near_in_runs(np.zeros(3, np.int64), fps, 9)[0]) == 2
+
+
+def test_equal_first_fingerprints_are_verified_by_the_second():
+    """Three rows of one fingerprint: the second and third agree, the first is a stranger."""
+    seconds = np.array([5, ~5, ~5 ^ 0b11])
+    i, j = simhash.near_in_runs(np.zeros(3, np.int64), np.array([7, 7, 7]), 9, seconds)
+    assert list(zip(i, j, strict=True)) == [(1, 2)]
+
+
+def test_wide_links_find_nine_bits(spark):
+    """Of random pairs nine bits apart at least nine in ten meet."""
+    random = np.random.default_rng(5)
+    fps = [int(x) for x in random.integers(-(1 << 62), 1 << 62, 300)]
+    pairs = [(f, f ^ sum(1 << int(b) for b in random.choice(62, 9, replace=False))) for f in fps]
+    edges = simhash.wide_links(spark.createDataFrame([(f,) for p in pairs for f in p], "fp long"), 9)
+    got = {frozenset(e) for e in edges.collect()}
+    assert sum(frozenset(p) in got for p in pairs) >= 0.9 * len(pairs)
+
+
+def test_long_runs_are_cut_in_chunks(spark):
+    """Members of crowded keys that stand in different chunks are linked as if one task had compared them all."""
+    random = np.random.default_rng(9)
+    crowd = sorted({int(sum(1 << int(b) for b in random.choice(21, n, replace=False))) for n in random.integers(1, 9, 400)})
+    seconds = [int(x) for x in random.integers(0, 2, len(crowd)) * ((1 << 60) - 1)]
+    frame = spark.createDataFrame(list(zip(crowd, seconds, strict=True)), "fp long, second long")
+    parts = lambda edges: {r.node: r.root for r in common.components(edges).collect()}
+    want = parts(simhash.wide_links(frame, 5))
+    for run in (16, 50):
+        edges = simhash.wide_links(frame, 5, run)
+        assert all(seconds[crowd.index(a)] == seconds[crowd.index(b)] for a, b in edges.collect())
+        assert parts(edges) == want
 
 
 def test_wide_links_against_all_verified_pairs(spark, monkeypatch):
