@@ -80,3 +80,10 @@ def test_validate(spark, m, message):
 def test_sincos(spark):
     got = one(spark, arrays.sincos_encoding(F.col("p"), 4), p=3.0)
     assert np.allclose(got, [np.sin(3), np.sin(3 / 100), np.cos(3), np.cos(3 / 100)])
+
+
+def test_an_array_is_computed_once(spark):
+    """Each function mentions its argument once, as a mention in a lambda is computed for each element."""
+    x = F.col("series")
+    made = [f(x) for f in (arrays.mean, arrays.deviation, arrays.zscore, arrays.sample_zscore, arrays.robust_scaled, arrays.transpose, arrays.moving_average, arrays.detrended)] + [arrays.quantile(x, 0.5), arrays.reshape(x, 2)]
+    assert [str(c).count("series") for c in made] == [1] * len(made)
