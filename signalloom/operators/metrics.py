@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..sources.shared import settled
 
 
 def prediction_metrics(predictions: DataFrame, by: list[str] | None = None, y: str = "y_true", p: str = "y_pred") -> DataFrame:
@@ -23,12 +24,15 @@ def spearman(frame: DataFrame, by: list[str], y: str = "y_true", p: str = "y_pre
 
 def spearman_global(frame: DataFrame, y: str = "y_true", p: str = "y_pred", by: list[str] | None = None) -> DataFrame:
     """Correlation of average ranks of all rows, or of those of each group. Ranks come from counts of distinct values: ranges of
-    values are sorted in parallel and each range's start is added, so no task sees all rows."""
+    values are sorted in parallel and each range's start is added, so no task sees all rows. Rows and ranges are written before they
+    are read twice: a sum that is computed again can differ in its last digit and would meet no rank, and ranges that are dealt
+    again can differ from those that were counted."""
     by = by or []
+    frame = settled(frame.select(*by, F.col(y).alias(y), F.col(p).alias(p)))
 
     def rank_table(name: str, out: str) -> DataFrame:
         counts = frame.groupBy(*by, F.col(name).alias(name)).agg(F.count("*").alias("_c"))
-        split = counts.repartitionByRange(*by, name).withColumn("_part", F.spark_partition_id())
+        split = settled(counts.repartitionByRange(*by, name).withColumn("_part", F.spark_partition_id()))
         sizes = split.groupBy(*by, "_part").agg(F.sum("_c").alias("_s"))
         starts = sizes.select(*by, "_part", F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
         upto = F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy(name))

@@ -94,3 +94,15 @@ def test_baseline_and_histogram_and_box(spark):
     values = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4, 100]], "v double")
     row = metrics.box(values, ["v"]).first()
     assert (row.q1, row["median"], row.q3, row.low, row.high) == (2.0, 3.0, 4.0, 1.0, 4.0)
+
+
+def test_spearman_keeps_rows_whose_values_change_when_computed_again(spark):
+    """As sums of doubles do in their last digits, by the order in which a cluster's parts arrive."""
+    import random
+
+    from signalloom.operators import metrics
+
+    again = F.udf(lambda v: v + random.random(), "double").asNondeterministic()
+    frame = spark.range(200).select((F.col("id") % 2).alias("g"), again(F.col("id").cast("double")).alias("y_true"), again(F.col("id").cast("double")).alias("y_pred"))
+    assert metrics.spearman_global(frame).first().n == 200
+    assert {(r.g, r.n) for r in metrics.spearman_global(frame, by=["g"]).collect()} == {(0, 100), (1, 100)}
