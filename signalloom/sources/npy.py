@@ -5,13 +5,13 @@
     spark.read.format("npy").option("values", "false").load(folder)   the same without values: headers only are read
     frame.select("subject", "m").write.format("npy").mode("append").save(folder)
 
-Reading: a partition for each file of the folder, by its extension; the subject is the file's name without it and without
-``suffix`` (an option). A header is read by itself, so shapes and sizes of a folder cost a few hundred bytes a file; values come
+Reading: the folder's files, by their extension, in partitions of up to ``FILES`` files and ``BYTES`` bytes (a larger file is
+one of its own); the subject is the file's name without it and without ``suffix`` (an option). A header is read by itself, so shapes and sizes of a folder cost a few hundred bytes a file; values come
 in Fortran or C order, of any number type, as doubles in the order of rows. An npz file gives a row for each of its arrays.
 Object arrays (which would need pickle) are an error, and so is a file that isn't one.
 
 Writing: a row (subject, m as array<array<double>>) is a file of float64 (``dtype`` is an option). Tasks write beside the target, in
-a folder of the job; commit moves what the successful attempts wrote and then writes ``_SUCCESS``, abort removes the folder, so a
+a folder of the job; commit moves what the successful attempts wrote, ``MOVES`` files at a time, and then writes ``_SUCCESS``, abort removes the folder, so a
 killed or repeated job leaves no partial file at its target. Subjects that differ only in the task that wrote them are an
 error at commit, before anything is moved.
 
@@ -24,6 +24,7 @@ import io
 import re
 import uuid
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "subject string, name string, dtype string, shape array<long>, values array<double>"
+#: Files and bytes of a partition, partitions that few files are dealt to, bytes of values of a batch, files moved at a time.
+FILES, BYTES, PARTS, BATCH, MOVES = 256, 64 << 20, 64, 4 << 20, 32
 
 
 def _opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -66,40 +69,75 @@ def _array(stream, values: bool) -> tuple[str, list[int], np.ndarray | None]:
 
 
 @dataclass
-class File(InputPartition):
-    path: str
-    subject: str
+class Files(InputPartition):
+    """(path, subject) of some files."""
+
+    files: list[tuple[str, str]]
+
+
+def _dealt(files: list[tuple[str, str, int]]) -> list[Files]:
+    """(path, subject, bytes) in partitions."""
+    most, out, held = max(1, min(FILES, -(-len(files) // PARTS))), [], 0
+    for path, subject, size in files:
+        if not out or held + size > BYTES or len(out[-1].files) >= most:
+            out.append(Files([]))
+            held = 0
+        out[-1].files.append((path, subject))
+        held += size
+    return out
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    subject, name, dtype, shape, values = zip(*rows, strict=True)
+    if values[0] is None:
+        flat = pa.nulls(len(rows), pa.list_(pa.float64()))
+    else:
+        ends = np.cumsum([0, *map(len, values)])
+        flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
+    return pa.RecordBatch.from_arrays([pa.array(subject), pa.array(name, pa.string()), pa.array(dtype), pa.array(shape, pa.list_(pa.int64())), flat], ["subject", "name", "dtype", "shape", "values"])
 
 
 class NpyReader(DataSourceReader):
     def __init__(self, folder: str, suffix: str, values: bool):
         self.folder, self.suffix, self.values = folder, suffix, values
 
-    def partitions(self) -> list[File]:
+    def partitions(self) -> list[Files]:
         own, folder = _opened(self.folder)
         found = own.get_file_info(pafs.FileSelector(folder, recursive=False))
         ends = (self.suffix + ".npy", self.suffix + ".npz")
-        named = sorted((f.path, f.base_name) for f in found if f.type == pafs.FileType.File and f.base_name.endswith(ends) and f.base_name[0] not in "._")
-        return [File(path, unquote(name[: -len(ends[0])])) for path, name in named]
+        named = sorted((f.path, f.base_name, f.size or 0) for f in found if f.type == pafs.FileType.File and f.base_name.endswith(ends) and f.base_name[0] not in "._")
+        # of a file whose header alone is read the size doesn't count
+        return _dealt([(path, unquote(name[: -len(ends[0])]), size if self.values else 0) for path, name, size in named])
 
-    def read(self, partition: File):
+    def read(self, partition: Files):
         if partition is None:
             return
         own, _ = _opened(self.folder)
-        rows = []
-        with own.open_input_file(partition.path) as stream:
+        held, size = [], 0
+        for path, subject in partition.files:
+            for row in self._rows(own, path):
+                own_size = 0 if row[-1] is None else row[-1].nbytes
+                if held and (size + own_size > BATCH or len(held) >= 1024):
+                    yield _batch(held)
+                    held, size = [], 0
+                held.append((subject, *row))
+                size += own_size
+        if held:
+            yield _batch(held)
+
+    def _rows(self, own: pafs.FileSystem, path: str):
+        """(name, dtype, shape, values) of each array of a file."""
+        with own.open_input_file(path) as stream:
             try:
-                if partition.path.endswith(".npz"):
+                if path.endswith(".npz"):
                     with zipfile.ZipFile(stream) as members:
                         for name in sorted(members.namelist()):
                             with members.open(name) as member:
-                                rows.append((name.removesuffix(".npy"), *_array(member, self.values)))
+                                yield name.removesuffix(".npy"), *_array(member, self.values)
                 else:
-                    rows.append((None, *_array(stream, self.values)))
+                    yield None, *_array(stream, self.values)
             except ValueError as error:
-                raise ValueError(f"{partition.path}: {error}") from error
-        for name, dtype, shape, values in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([partition.subject]), pa.array([name], pa.string()), pa.array([dtype]), pa.array([shape], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values)) if values is not None else pa.nulls(1, pa.list_(pa.float64()))], ["subject", "name", "dtype", "shape", "values"])
+                raise ValueError(f"{path}: {error}") from error
 
 
 @dataclass
@@ -140,8 +178,9 @@ class NpyWriter(DataSourceArrowWriter):
             for f in own.get_file_info(pafs.FileSelector(folder)):
                 if f.type == pafs.FileType.File:
                     own.delete_file(f.path)
-        for path, name in zip(files, names, strict=True):
-            own.move(path, f"{folder}/{name}")
+        with ThreadPoolExecutor(MOVES) as pool:
+            for _ in pool.map(lambda path, name: own.move(path, f"{folder}/{name}"), files, names):  # an error is raised here
+                pass
         self.abort(messages)
         with own.open_output_stream(f"{folder}/_SUCCESS"):
             pass

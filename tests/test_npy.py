@@ -63,3 +63,21 @@ def test_wrong_row_count_raises(spark, tmp_path):
     assert np.array(got["0"]).shape == np.array(got["1"]).shape == (4, 5)
     with pytest.raises(Exception, match="expected 4 rows"):
         readers.oriented_signals(frame, 4).collect()
+
+
+@pytest.mark.parametrize("values", [True, False])
+def test_many_small_files_share_partitions(spark, tmp_path, values):
+    for k in range(300):
+        np.save(tmp_path / f"{k}.npy", np.full((2, 3), float(k)))
+    frame = npy.read(spark, str(tmp_path), values=values)
+    got = {r.subject: r for r in frame.collect()}
+    assert set(got) == {str(k) for k in range(300)} and all(r.shape == [2, 3] for r in got.values())
+    assert all(r["values"] == ([float(k)] * 6 if values else None) for k, r in got.items())
+    assert frame.rdd.getNumPartitions() <= npy.PARTS
+
+
+def test_partitions_are_bounded_in_files_and_bytes():
+    dealt = npy._dealt([(f"p{k}", f"{k}", 1000) for k in range(npy.FILES * npy.PARTS * 2)])
+    assert len(dealt) == npy.PARTS * 2 and {len(p.files) for p in dealt} == {npy.FILES}
+    big = npy._dealt([("a", "a", npy.BYTES), ("b", "b", 2 * npy.BYTES), ("c", "c", 1)])
+    assert [p.files for p in big] == [[("a", "a")], [("b", "b")], [("c", "c")]] and npy._dealt([]) == []
