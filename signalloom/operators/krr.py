@@ -152,9 +152,9 @@ def tree_sum(parts: DataFrame, keys: list[str], tasks: int) -> DataFrame:
 # ---- sums of the folds ----------------------------------------------------------------------------------------------
 
 
-def grams(rows: DataFrame, means: dict[str, float], shifts: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """(method, cell, strip, data): the Gram matrices of [Z, y - mean, 1] of the rows of each cell, in strips of rows. Z are unit
-    rows, or with shifts the features less a vector of their method."""
+def grams(rows: DataFrame, means: dict[str, float], shifts: dict[str, np.ndarray] | None = None, turn=unit) -> DataFrame:
+    """(method, cell, strip, data): the Gram matrices of [Z, y - mean, 1] of the rows of each cell, in strips of rows. Z are turned
+    (unit) rows, or with shifts the features less a vector of their method."""
 
     def run(batches):
         held: dict[tuple[str, int], np.ndarray] = {}
@@ -165,7 +165,7 @@ def grams(rows: DataFrame, means: dict[str, float], shifts: dict[str, np.ndarray
             for name in dict.fromkeys(names.tolist()):
                 at = np.flatnonzero(names == name)
                 own = flat(batch.column(1).take(pa.array(at)))
-                z = unit(own) if shifts is None else own - shifts[name]
+                z = turn(own) if shifts is None else own - shifts[name]
                 wide = np.column_stack((z, batch.column(2).to_numpy()[at] - means[name], np.ones(len(at))))
                 place = np.full(batch.num_rows, -1)
                 place[at] = np.arange(len(at))
@@ -242,7 +242,7 @@ def weights(sums: DataFrame, means: dict[str, float], alphas=ALPHAS, inner: int
 PREDICTED = "method string, subject long, split string, fold int, y_true double, y_pred double, alpha double, inner_r double"
 
 
-def _scored(rows: DataFrame, found: list, by_fold: bool = False) -> DataFrame:
+def _scored(rows: DataFrame, found: list, by_fold: bool = False, turn=unit) -> DataFrame:
     """PREDICTED rows by fitted weights, where the rows are."""
     known = {(r.method, r.fold): (np.array(r.w), r.alpha, r.inner_r) for r in found}
 
@@ -253,13 +253,13 @@ def _scored(rows: DataFrame, found: list, by_fold: bool = False) -> DataFrame:
             for key in dict.fromkeys(keys):
                 at = np.array([k for k, x in enumerate(keys) if x == key])
                 w, alpha, r = known[key]
-                out[at, 0], out[at, 1], out[at, 2] = unit(flat(batch.column(5).take(pa.array(at)))) @ w, alpha, r
+                out[at, 0], out[at, 1], out[at, 2] = turn(flat(batch.column(5).take(pa.array(at)))) @ w, alpha, r
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(out[:, k]) for k in range(3))], [c.split()[0] for c in PREDICTED.split(", ")])
 
     return rows.select("method", "subject", "split", "fold", "y", "features").mapInArrow(run, PREDICTED)
 
 
-def _fitted(features: DataFrame, alphas, folds: int, seed: int, inner: int | None = None) -> DataFrame:
+def _fitted(features: DataFrame, alphas, folds: int, seed: int, inner: int | None = None, turn=unit) -> DataFrame:
     """PREDICTED rows of all rows: by the weights of their outer fold with inner folds, else by those of all learning rows."""
     from . import blockridge
 
@@ -270,10 +270,10 @@ def _fitted(features: DataFrame, alphas, folds: int, seed: int, inner: int | Non
     if narrow:
         own = with_cells(rows.where(F.col("method").isin(narrow)), {m: known[m] for m in narrow}, folds, seed, inner)
         means = {m: known[m]["mean_train"] for m in narrow}
-        out = _scored(own, weights(grams(own.where("split = 'train'"), means), means, alphas, inner), inner is not None)
+        out = _scored(own, weights(grams(own.where("split = 'train'"), means, turn=turn), means, alphas, inner), inner is not None, turn)
     for m in [m for m in known if m not in narrow]:
         own = with_cells(rows.where(F.col("method") == m), {m: known[m]}, folds, seed, inner)
-        one = blockridge.fitted(blockridge.of_features(own), own, alphas, min(folds, known[m]["train"]), inner)
+        one = blockridge.fitted(blockridge.of_features(own, turn), own, alphas, min(folds, known[m]["train"]), inner)
         out = one if out is None else out.unionByName(one)
     return rows.sparkSession.createDataFrame([], PREDICTED) if out is None else out
 
@@ -302,9 +302,10 @@ def _reported(predicted: DataFrame) -> DataFrame:
     return tested(settled(predicted), [F.max("alpha").alias("alpha"), F.max("inner_r").alias("inner_r")]).select(*[c.split()[0] for c in RESULT.split(", ")])
 
 
-def compare(features: DataFrame, alphas=ALPHAS, folds: int = 5, seed: int = 42) -> DataFrame:
-    """(method, subject, split, features, y) to one row of test metrics for each method."""
-    return _reported(_fitted(features, alphas, folds, seed))
+def compare(features: DataFrame, alphas=ALPHAS, folds: int = 5, seed: int = 42, turn=unit) -> DataFrame:
+    """(method, subject, split, features, y) to one row of test metrics for each method. The kernel is that of products of turned
+    rows: ``kernel.unit`` for the exact one, ``kernel.shared_scale`` for the block kernel."""
+    return _reported(_fitted(features, alphas, folds, seed, turn=turn))
 
 
 def predictions(features: DataFrame, alphas=ALPHAS, folds: int = 5, seed: int = 42) -> DataFrame:

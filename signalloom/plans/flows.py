@@ -48,12 +48,12 @@ def extended(features: DataFrame, patches: DataFrame, targets: DataFrame, layout
         sets = sets.unionByName(table.join(targets, "subject").select(F.lit(name).alias("method"), "subject", "split", "features", "y"))
     sizes = targets.agg(F.count_if(F.col("split") == "train"), F.count_if(F.col("split") == "test")).first()
     width = flat.select(F.size("features")).first()[0]
+    both = flat.join(targets, "subject")
     if kernel.strategy(sizes[0], sizes[1], components, width, cap)[0] == "pca":
-        both = flat.join(targets, "subject")
         reduced = factor.flat_components(both, components).select("subject", F.col("components").alias("features")).join(targets, "subject")
         return compare(sets.unionByName(reduced.select(F.lit("flat_patches").alias("method"), "subject", "split", "features", "y")))
-    blocks = kernel.kernel(flat.withColumnRenamed("subject", "id"), exact=False).withColumn("method", F.lit("flat_patches"))
-    direct = krr.compare_precomputed(blocks, targets.withColumnRenamed("subject", "id"))
+    # the block kernel's ridge from the rows themselves: summed products, or blocks for wide rows; never a row for each pair
+    direct = krr.compare(both.select(F.lit("flat_patches").alias("method"), "subject", "split", "features", "y"), turn=kernel.shared_scale)
     return metrics.assessed(metrics.against_baseline(krr.compare(sets).unionByName(direct), "fc_input"))
 
 

@@ -298,3 +298,23 @@ def test_prepare_targets(spark):
     assert set(got) == set(want)
     for i, (name, value) in want.items():
         assert got[i].split == name and abs(got[i].cognition_factor - value) < 2e-6
+
+
+@pytest.mark.parametrize("most", [1024, 4])
+def test_ridge_of_the_block_kernel_without_a_row_for_each_pair(spark, monkeypatch, most):
+    from signalloom.operators import blockridge, kernel, krr
+    from signalloom.plans import flows, views
+
+    monkeypatch.setattr(krr, "RANK", most)
+    monkeypatch.setattr(blockridge, "BLOCK", 50)
+    base = views.features(spark, D).where("subject < 60")
+    rows = base.withColumn("method", F.lit("m"))
+    given = krr.compare_precomputed(kernel.kernel(base, key="subject", exact=False).withColumn("method", F.lit("m")), base.withColumnRenamed("subject", "id")).first()
+    got = krr.compare(rows, turn=kernel.shared_scale).first()
+    assert all(getattr(got, c) == pytest.approx(getattr(given, c), rel=1e-6) for c in ("alpha", "inner_r", "r2", "pearson_r", "mae"))
+    if most > 4:
+        made = []
+        monkeypatch.setattr(kernel, "kernel", lambda *a, **k: made.append(1))
+        sets = rows.select("method", "subject", "split", "features", "y")
+        out = flows.extended(sets.withColumn("method", F.lit("fc_input")), views.patches(spark, D), base.select("subject", "split", "y"), cap=1000.0, components=5)
+        assert {r.method: r.pearson_r for r in out.collect()}["flat_patches"] == pytest.approx(given.pearson_r, rel=1e-6) and not made
