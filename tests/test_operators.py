@@ -255,3 +255,12 @@ def test_shape_helpers(spark):
     with pytest.raises(Exception, match="shapes differ"):
         frame.select(arrays.same_shape(F.col("a"), F.array(F.array(F.lit(1.0), F.lit(2.0))))).collect()
     assert frame.select(arrays.constant_padded(F.get("a", F.lit(0)), 4, -1.0)).first()[0] == [-1, 1, -1, -1]
+
+
+def test_blocks_of_a_kernel_are_not_shuffled_for_each_pair(spark):
+    from signalloom.operators import kernel
+
+    frame = spark.range(40).select("id", F.array(*[F.rand(k) for k in range(5)]).alias("features"))
+    made = kernel.kernel(frame, block=4)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and made.count() == 820
