@@ -91,50 +91,75 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, float
 
 
 class Network:
-    """A rectified network for one number, fitted by Adam on squared errors."""
+    """A rectified network for one number, fitted by Adam on squared errors. Its steps follow each other, so a step is kept short: parameters,
+    gradients and moments are one vector each, and what a step computes goes to arrays that were made before."""
 
     def __init__(self, width: int, hidden=(128, 64), rate: float = 1e-3, penalty: float = 1e-4, seed: int = 42):
         self.random = np.random.RandomState(seed)
         self.rate, self.penalty, self.t = rate, penalty, 0
         sizes = [width, *hidden, 1]
         bound = [np.sqrt(6 / (a + b)) for a, b in zip(sizes, sizes[1:])]  # noqa: B905
-        self.weights = [self.random.uniform(-s, s, (a, b)) for s, a, b in zip(bound, sizes, sizes[1:])]  # noqa: B905
-        self.biases = [self.random.uniform(-s, s, b) for s, b in zip(bound, sizes[1:])]  # noqa: B905
-        self.first, self.second = ([np.zeros_like(p) for p in self.weights + self.biases] for _ in range(2))
-
-    def forward(self, v: np.ndarray) -> list[np.ndarray]:
-        acts = [v]
-        for k, (w, b) in enumerate(zip(self.weights, self.biases, strict=True)):
-            v = v @ w + b
-            v = np.maximum(v, 0) if k < len(self.weights) - 1 else v
-            acts.append(v)
-        return acts
+        first = [self.random.uniform(-s, s, (a, b)) for s, a, b in zip(bound, sizes, sizes[1:])]  # noqa: B905
+        first += [self.random.uniform(-s, s, b) for s, b in zip(bound, sizes[1:])]  # noqa: B905
+        self.values = np.concatenate([p.ravel() for p in first])
+        self.slope, self.first, self.second, self.spare, self.other = (np.zeros_like(self.values) for _ in range(5))
+        ends = np.cumsum([p.size for p in first])
+        views = lambda v: [v[e - p.size : e].reshape(p.shape) for p, e in zip(first, ends.tolist(), strict=True)]
+        n = len(sizes) - 1
+        self.weights, self.biases = views(self.values)[:n], views(self.values)[n:]
+        self.weight_slopes, self.bias_slopes = views(self.slope)[:n], views(self.slope)[n:]
+        self.penalised = int(ends[n - 1])
+        self.held: dict[int, tuple[list, list, list]] = {}
 
     def predict(self, z: np.ndarray) -> np.ndarray:
-        return self.forward(z)[-1][:, 0]
-
-    def gradient(self, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-        """What these rows add to the gradient of a batch of n, in one vector."""
-        acts = self.forward(x)
-        delta = (acts[-1] - y[:, None]) / n
-        weights, biases = [], []
-        for k in range(len(self.weights) - 1, -1, -1):
-            weights.insert(0, acts[k].T @ delta)
-            biases.insert(0, delta.sum(axis=0))
-            delta = (delta @ self.weights[k].T) * (acts[k] > 0) if k else delta
-        return np.concatenate([g.ravel() for g in weights + biases])
-
-    def step(self, gradient: np.ndarray, n: int) -> None:
+        for k, (w, b) in enumerate(zip(self.weights, self.biases, strict=True)):
+            z = z @ w + b
+            z = np.maximum(z, 0) if k < len(self.weights) - 1 else z
+        return z[:, 0]
+
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> None:
+        """The mean gradient of a batch, to ``slope``."""
+        n, last = len(x), len(self.weights) - 1
+        if n not in self.held:
+            make = lambda t: [np.empty((n, len(b)), t) for b in self.biases]
+            self.held[n] = make(float), make(float), make(bool)
+        acts, deltas, live = self.held[n]
+        for k, (w, b, a) in enumerate(zip(self.weights, self.biases, acts, strict=True)):
+            np.matmul(acts[k - 1] if k else x, w, out=a)
+            a += b
+            if k < last:
+                np.maximum(a, 0, out=a)
+        np.subtract(acts[-1], y[:, None], out=deltas[-1])
+        deltas[-1] /= n
+        for k in range(last, -1, -1):
+            np.matmul((acts[k - 1] if k else x).T, deltas[k], out=self.weight_slopes[k])
+            deltas[k].sum(axis=0, out=self.bias_slopes[k])
+            if k:
+                (np.multiply if k == last else np.matmul)(deltas[k], self.weights[k].T, out=deltas[k - 1])  # the last has one column
+                np.greater(acts[k - 1], 0, out=live[k - 1])
+                deltas[k - 1] *= live[k - 1]
+
+    def step(self, n: int) -> None:
         """One step by the gradient of a whole batch of n."""
-        self.t, at = self.t + 1, 0
-        for k, (p, m, v) in enumerate(zip(self.weights + self.biases, self.first, self.second, strict=True)):
-            g = gradient[at : at + p.size].reshape(p.shape)
-            at += p.size
-            if k < len(self.weights):
-                g = g + self.penalty * p / n
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+        self.t += 1
+        g, m, v, a, b, own = self.slope, self.first, self.second, self.spare, self.other, slice(self.penalised)
+        np.multiply(self.values[own], self.penalty, out=a[own])
+        a[own] /= n
+        g[own] += a[own]
+        np.subtract(g, m, out=a)
+        a *= 0.1
+        m += a
+        np.multiply(g, g, out=a)
+        a -= v
+        a *= 0.001
+        v += a
+        np.divide(m, 1 - 0.9**self.t, out=a)
+        a *= self.rate
+        np.divide(v, 1 - 0.999**self.t, out=b)
+        np.sqrt(b, out=b)
+        b += 1e-8
+        a /= b
+        self.values -= a
 
     def batches(self, n: int, epochs: int, batch: int):
         for _ in range(epochs):
@@ -150,7 +175,8 @@ def perceptron(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int =
     """The prediction function of a network fitted in one place."""
     net = Network(x.shape[1], **how)
     for at in net.batches(len(x), epochs, batch):
-        net.step(net.gradient(x[at], y[at], len(at)), len(at))
+        net.gradient(x[at], y[at])
+        net.step(len(at))
     return net.predict
 
 

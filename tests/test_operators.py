@@ -177,6 +177,32 @@ def test_perceptron_learns_a_line():
     assert krr.metrics(y, factor.perceptron(x, y, epochs=150)(x))["r2"] > 0.9
 
 
+def test_steps_of_the_perceptron_make_no_new_activations():
+    """Its steps follow each other, as many as there are rows: what they compute goes to arrays that are there."""
+    import tracemalloc
+
+    net, random = factor.Network(8), np.random.RandomState(0)
+    x, y = random.randn(200, 8), random.randn(200)
+    start, bias = [w.copy() for w in net.weights], [b.copy() for b in net.biases]
+
+    def step():
+        net.gradient(x, y)
+        net.step(200)
+
+    step()
+    # the first step of Adam is by the sign of the gradient, where that isn't tiny
+    hidden = [x]
+    for k, w in enumerate(start):
+        hidden.append(np.maximum(hidden[-1] @ w + bias[k], 0) if k < 2 else hidden[-1] @ w + bias[k])
+    slope = hidden[2].T @ (hidden[3] - y[:, None]) / 200 + 1e-4 * start[2] / 200
+    assert np.allclose(net.weights[2], start[2] - 1e-3 * slope / (np.abs(slope) + 1e-8), atol=1e-9)
+    tracemalloc.start()
+    step()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 * 128 * 8
+
+
 def test_population_statistics_are_means_of_subjects(spark):
     series = spark.createDataFrame([("a", 0, [1.0, 2.0, 3.0, 4.0]), ("b", 0, [10.0, 10.0, 10.0, 20.0])], "subject string, parcel int, x array<double>")
     got = signals.population_statistics(series).first()
