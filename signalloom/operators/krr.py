@@ -24,7 +24,7 @@ from ..functions import stats
 from ..functions.stats import EPSILON, correlation_p, ranks
 from ..sources.shared import settled
 from . import metrics as tables
-from .kernel import unit
+from .kernel import Tiles, unit
 from .relational import COHORT, fold_at, fold_of, nested_folds, numbered, permuted
 
 #: Penalties, in the order in which they are tried.
@@ -313,17 +313,20 @@ def predictions(features: DataFrame, alphas=ALPHAS, folds: int = 5, seed: int =
     return _fitted(features, alphas, folds, seed).where("split = 'test'").select("method", "subject", "y_true", "y_pred", "alpha")
 
 
-def compare_precomputed(kernel: DataFrame, targets: DataFrame, alphas=ALPHAS, folds: int = 5, seed: int = 42) -> DataFrame:
-    """One row of test metrics for each method, from kernel rows (method, a, b, k), each pair once or both ways, and targets
-    (id, split, y)."""
+def compare_precomputed(kernel: DataFrame | dict[str, Tiles], targets: DataFrame, alphas=ALPHAS, folds: int = 5, seed: int = 42) -> DataFrame:
+    """One row of test metrics for each method, from kernel rows (method, a, b, k), each pair once or both ways, or the tiles of each
+    method, which aren't stored and have to hold all ids; and targets (id, split, y)."""
     from . import blockridge
 
-    out = None
-    for (method,) in kernel.select("method").distinct().collect():
+    out, given = None, isinstance(kernel, dict)
+    for method in kernel if given else [r.method for r in kernel.select("method").distinct().collect()]:
         rows = targets.where("y is not null").select(F.lit(method).alias("method"), F.col("id").cast("long").alias("subject"), "split", F.col("y").cast("double").alias("y"))
         rows, known = placed(rows)
         own = settled(with_cells(rows, known, folds, seed))
-        one = blockridge.fitted(blockridge.of_rows(kernel.where(F.col("method") == method), own), own, alphas, min(folds, known[method]["train"]))
+        if given and own.join(kernel[method].places, F.col("subject") == F.col("id"), "left_anti").first() is not None:
+            raise ValueError(f"{method}: targets that the kernel doesn't hold")
+        blocks = kernel[method] if given else blockridge.of_rows(kernel.where(F.col("method") == method), own)
+        one = blockridge.fitted(blocks, own, alphas, min(folds, known[method]["train"]))
         out = one if out is None else out.unionByName(one)
     return _reported(out)
 

@@ -113,6 +113,23 @@ def test_krr_precomputed(spark, data):
     near(got, scores(y[t], fitted(x[~t], y[~t], x[t])[0]))
 
 
+def test_a_kernel_in_tiles_is_not_stored(spark, monkeypatch):
+    """The same as by kernel rows, whose blocks are."""
+    from signalloom.operators import blockridge, kernel, krr
+
+    monkeypatch.setattr(blockridge, "LANDMARKS", 64)
+    base = views.features(spark, D)
+    few = base.where("subject < 60").withColumn("features", F.when(F.col("subject") != 7, F.col("features")))
+    targets = few.withColumnRenamed("subject", "id")
+    rows = krr.compare_precomputed(kernel.kernel(few, key="subject").withColumn("method", F.lit("embedding")), targets).first()
+    tiles = krr.compare_precomputed({"embedding": kernel.tiles(few, key="subject", size=16)}, targets).first()
+    assert rows.alpha == tiles.alpha and all(rows[c] == pytest.approx(tiles[c], rel=1e-6) for c in ("inner_r", "train_r2", "r2", "pearson_r", "mae"))
+    real, kept = blockridge._spread, []
+    monkeypatch.setattr(blockridge, "_spread", lambda blocks: kept.append(1) or real(blocks))
+    QUERIES["krr_precomputed"](spark, D).collect()
+    assert not kept
+
+
 @pytest.fixture
 def wide(spark, monkeypatch):
     """Features of more columns than rows (products of the embedding's values), whose kernels have no small rank."""
