@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import REPLY, REQUEST, answers, bucket_count, in_blocks, merged, replies, requests
-from .suffix import Block, _compare, _repeated
+from .suffix import Block, _compare, _held, _repeated
 
 LENGTH, ANCHOR = 13, 7
 #: A place in the reference.
@@ -90,14 +90,14 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
 
     def ask(key, rows):
         block, _ = _block(rows, length, anchor)
-        return requests(key[0].as_py(), *block.held(block.suffix), buckets)
+        return requests(key[0].as_py(), *_held(block.suffix, block.doc[block.run]), buckets)
 
     def look_up(key, rows, back):
         block, ids = _block(rows, length, anchor)
         chosen = _looked_up(block, ids, back, buckets)
-        keys, first = _distinct(block.window[chosen])
+        keys, first = _distinct(block.windows(chosen))
         facts = np.zeros(len(keys), PLACE)
-        facts["doc"], facts["word"] = ids[block.doc[chosen[first]]], block.word[chosen[first]]
+        facts["doc"], facts["word"] = ids[block.doc[chosen[first]]], block.words(chosen[first])
         return requests(key[0].as_py(), keys, facts, buckets)
 
     def report(key, rows, back):
@@ -105,12 +105,13 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
         kinds = back.column("_kind").to_numpy() if back.num_rows else np.zeros(0)
         anchors, places = (back.filter(pa.array(kinds == k)) for k in (0, 1))
         chosen = _looked_up(block, ids, anchors, buckets)
-        keys, _ = _distinct(block.window[chosen])
-        place = answers(places, keys, buckets, PLACE)[np.searchsorted(keys, block.window[chosen])] if len(keys) else np.zeros(0, PLACE)
+        window = block.windows(chosen)
+        keys = np.unique(window)
+        place = answers(places, keys, buckets, PLACE)[np.searchsorted(keys, window)] if len(keys) else np.zeros(0, PLACE)
         earlier = place["doc"] < ids[block.doc[chosen]]
         chosen, place = chosen[earlier], place[earlier]
-        begins, sizes = factors(block.doc[chosen], block.word[chosen], place)
-        owner, start, words = block.doc[chosen[begins]], block.word[chosen[begins]], sizes + length - 1
+        begins, sizes = factors(block.doc[chosen], block.words(chosen), place)
+        owner, start, words = block.doc[chosen[begins]], block.words(chosen[begins]), sizes + length - 1
         change = np.zeros(int(block.lengths.sum()) + 1, np.int64)
         np.add.at(change, block.starts[owner] + start, 1)
         np.add.at(change, block.starts[owner] + start + words, -1)

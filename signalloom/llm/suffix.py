@@ -23,12 +23,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import REPLY, REQUEST, answers, bucket_count, hashed_words, in_blocks, merged, replies, requests, sorted_block, whole_row, window_hashes
 
 LENGTH, ANCHOR = 50, 8
+#: Words of a block whose windows are hashed at once.
+PIECE = 1 << 16
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
@@ -44,32 +47,47 @@ def minimisers(hashes: np.ndarray, length: int, anchor: int) -> np.ndarray:
 
 
 class Block:
-    """The windows of a block's documents: their hashes, their retained suffix, the document and first word of each."""
+    """The windows of a block's documents: the document and the first word of each, and their retained suffixes as runs of
+    windows of one document that retain the same one."""
 
     def __init__(self, rows: pa.Table, length: int, anchor: int):
-        self.rows = sorted_block(rows)
-        hashes, self.lengths = hashed_words(self.rows.column("text").to_pylist(), lower=False)
+        self.rows, self.length = sorted_block(rows), length
+        self.hashes, self.lengths = hashed_words(self.rows.column("text").to_pylist(), lower=False)
         self.starts = np.cumsum(self.lengths) - self.lengths
         count = np.maximum(self.lengths - length + 1, 0)
-        self.doc = np.repeat(np.arange(len(count)), count)
-        self.word = np.arange(len(self.doc)) - np.repeat(np.cumsum(count) - count, count)
-        at = self.starts[self.doc] + self.word
-        self.suffix = minimisers(hashes, length, anchor)[at] if len(at) else np.zeros(0, np.uint64)
-        self.window = window_hashes(hashes, length)[at] if len(at) else np.zeros(0, np.uint64)
-
-    def held(self, keys: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys, and whether two or more documents of the block hold each (1 or 2)."""
-        doc = self.doc
-        if chosen is not None:
-            keys, doc = keys[chosen], doc[chosen]
-        if not len(keys):
-            return keys, np.zeros(0, np.uint8)
-        order = np.argsort(keys, kind="stable")
-        keys, doc = keys[order], doc[order]
-        first = np.concatenate(([True], keys[1:] != keys[:-1]))
-        start = np.flatnonzero(first)
-        last = np.concatenate((start[1:], [len(keys)])) - 1
-        return keys[start], (1 + (doc[start] != doc[last])).astype(np.uint8)
+        self.doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        self.at = np.arange(len(self.doc), dtype=np.int32) + np.repeat((self.starts - np.cumsum(count) + count).astype(np.int32), count)
+        suffixes = self._hashed(self.at, lambda hashes: minimisers(hashes, length, anchor))
+        self.run = np.flatnonzero(np.concatenate(([True], (suffixes[1:] != suffixes[:-1]) | (self.doc[1:] != self.doc[:-1]))) if len(suffixes) else np.zeros(0, bool))
+        self.suffix = suffixes[self.run]
+
+    def _hashed(self, at: np.ndarray, of) -> np.ndarray:
+        """What ``of`` makes of the windows that begin at words, in ascending order; a piece of the block's words at a time."""
+        out = np.empty(len(at), np.uint64)
+        ends = np.searchsorted(at, np.arange(0, len(self.hashes) + PIECE, PIECE))
+        for k, (s, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            if s < e:
+                out[s:e] = of(self.hashes[k * PIECE : (k + 1) * PIECE + self.length - 1])[at[s:e] - k * PIECE]
+        return out
+
+    def windows(self, chosen: np.ndarray) -> np.ndarray:
+        """Hashes of chosen windows, in ascending order."""
+        return self._hashed(self.at[chosen], lambda hashes: window_hashes(hashes, self.length))
+
+    def words(self, chosen: np.ndarray) -> np.ndarray:
+        """The first words of chosen windows, counted in their documents."""
+        return self.at[chosen] - self.starts[self.doc[chosen]]
+
+
+def _held(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and whether two or more documents hold each (1 or 2)."""
+    if not len(keys):
+        return keys, np.zeros(0, np.uint8)
+    order = np.argsort(keys, kind="stable")
+    keys, doc = keys[order], doc[order]
+    start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    last = np.concatenate((start[1:], [len(keys)])) - 1
+    return keys[start], (1 + (doc[start] != doc[last])).astype(np.uint8)
 
 
 def _compare(key, rows):
@@ -93,11 +111,12 @@ def _exchange(docs: DataFrame, length: int, anchor: int):
 
     def ask(key, rows):
         block = Block(rows, length, anchor)
-        return requests(key[0].as_py(), *block.held(block.suffix), buckets)
+        return requests(key[0].as_py(), *_held(block.suffix, block.doc[block.run]), buckets)
 
     def extend(key, rows, back):
         block = Block(rows, length, anchor)
-        return requests(key[0].as_py(), *block.held(block.window, _repeated(block, back, buckets)), buckets)
+        chosen = np.flatnonzero(_repeated(block, back, buckets))
+        return requests(key[0].as_py(), *_held(block.windows(chosen), block.doc[chosen]), buckets)
 
     slim = docs.select("_block", "_order", "doc_id", "text")
     suffixes = slim.groupBy("_block").applyInArrow(ask, REQUEST).groupBy("_bucket").applyInArrow(_compare, REPLY)
@@ -106,9 +125,10 @@ def _exchange(docs: DataFrame, length: int, anchor: int):
 
 
 def _repeated(block: Block, back: pa.Table, buckets: int) -> np.ndarray:
-    keys, _ = block.held(block.suffix)
+    """Of each window, whether its retained suffix repeats."""
+    keys = np.unique(block.suffix)
     flags = answers(back, keys, buckets, np.uint8)
-    return flags[np.searchsorted(keys, block.suffix)] > 0 if len(keys) else np.zeros(0, bool)
+    return np.repeat(flags[np.searchsorted(keys, block.suffix)] > 0, np.diff(block.run, append=len(block.doc))) if len(keys) else np.zeros(0, bool)
 
 
 def _runs(covered: np.ndarray) -> list[tuple[int, int]]:
@@ -118,8 +138,8 @@ def _runs(covered: np.ndarray) -> list[tuple[int, int]]:
 
 def _cover(block: Block, chosen: np.ndarray, length: int) -> np.ndarray:
     """Words of the block that lie in chosen windows."""
-    change = np.zeros(int(block.lengths.sum()) + 1, np.int64)
-    at = block.starts[block.doc[chosen]] + block.word[chosen]
+    change = np.zeros(int(block.lengths.sum()) + 1, np.int32)
+    at = block.at[chosen]
     np.add.at(change, at, 1)
     np.add.at(change, at + length, -1)
     return np.cumsum(change)[:-1] > 0
@@ -130,12 +150,13 @@ def _judged(block: Block, back: pa.Table, buckets: int, length: int) -> tuple[np
     asked = np.array([r.as_py() for r in back.column("_kind")]) if back.num_rows else np.zeros(0)
     split = [back.filter(pa.array(asked == k)) for k in (0, 1)] if back.num_rows else [back, back]
     candidate = np.flatnonzero(_repeated(block, split[0], buckets))
-    keys, _ = block.held(block.window, candidate)
+    window = block.windows(candidate)
+    keys = np.unique(window)
     if not len(keys):
         none = np.zeros(int(block.lengths.sum()), bool)
         return none, none
     flags = answers(split[1], keys, buckets, np.uint8)
-    number = np.searchsorted(keys, block.window[candidate])
+    number = np.searchsorted(keys, window)
     flag = flags[number]
     owner = np.full(len(keys), np.iinfo(np.int64).max)
     np.minimum.at(owner, number, block.doc[candidate])
@@ -177,30 +198,31 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, do
     blocked, suffixes, windows, buckets = _exchange(rows, length, anchor)
 
     def rewrite(key, rows, back):
+        rows = sorted_block(rows).combine_chunks()
         held = rows.column("row").combine_chunks().flatten()
-        whole = pa.table([rows.column("_order"), held[names.index(doc_id)].cast(pa.int64()), held[names.index(text)], pa.array(range(rows.num_rows), pa.int64())], ["_order", "doc_id", "text", "at"])
-        block = Block(whole, length, anchor)
+        text_column = held[names.index(text)]
+        block = Block(pa.table([rows.column("_order"), text_column], ["_order", "text"]), length, anchor)
         _, away = _judged(block, back, buckets, length)
-        before = block.rows.column("text").to_pylist()
-        texts, gone = list(before), []
-        for k in np.unique(np.repeat(np.arange(len(block.lengths)), block.lengths)[away]).tolist():
-            own = away[block.starts[k] : block.starts[k] + block.lengths[k]]
-            places = [m.span() for m in WORD.finditer(texts[k])]
+        changed = np.unique(np.repeat(np.arange(len(block.lengths)), block.lengths)[away]).tolist()
+        texts = []
+        for k in changed:
+            whole = text_column[k].as_py()
+            places = [m.span() for m in WORD.finditer(whole)]
             kept, at = [], 0
-            for s, e in _runs(own):
-                kept.append(texts[k][at : places[s][0]])
+            for s, e in _runs(away[block.starts[k] : block.starts[k] + block.lengths[k]]):
+                kept.append(whole[at : places[s][0]])
                 at = places[e - 1][1]
-            texts[k] = "".join([*kept, texts[k][at:]])
-            if not texts[k].strip():
-                gone.append(k)
-        out = [h.take(block.rows.column("at").combine_chunks()) for h in held]
-        out[names.index(text)] = pa.array(texts, held[names.index(text)].type)
+            texts.append("".join([*kept, whole[at:]]))
+        if not changed:
+            return pa.table(held, names)
+        here = np.zeros(len(text_column), bool)
+        here[changed] = True
+        held[names.index(text)] = pc.replace_with_mask(text_column, pa.array(here), pa.array(texts, text_column.type))
         if n_chars in names:
             at = names.index(n_chars)
-            out[at] = pa.array([len(t) if t is not None and t != was else n for t, was, n in zip(texts, before, out[at].to_pylist(), strict=True)], held[at].type)
-        stay = np.ones(len(texts), bool)
-        stay[gone] = False
-        return pa.table(out, names).filter(pa.array(stay))
+            held[at] = pc.replace_with_mask(held[at], pa.array(here), pa.array([len(t) for t in texts], held[at].type))
+        here[changed] = [not t.strip() for t in texts]
+        return pa.table(held, names).filter(pa.array(~here))
 
     slim = blocked.select("_block", "_order", "row")
     return slim.groupBy("_block").cogroup(_answered(suffixes, windows).groupBy("_block")).applyInArrow(rewrite, docs.schema)

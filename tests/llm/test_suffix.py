@@ -1,7 +1,9 @@
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from signalloom.llm import common, queries, suffix
@@ -102,3 +104,15 @@ def test_empty_and_all_repeated(spark):
 
 def test_same_rows_as_sql(same_rows):
     same_rows(queries.op7_suffix, queries.oracle_sql()["op7_suffix"])
+
+
+def test_a_block_takes_few_bytes_a_word():
+    random = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(random.choice(words, 1000)) for _ in range(400)]
+    rows = pa.table({"_order": pa.array(range(400), pa.int64()), "text": texts})
+    tracemalloc.start()
+    suffix.Block(rows, 50, 8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 * 400_000
