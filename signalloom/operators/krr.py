@@ -270,7 +270,7 @@ def _fitted(features: DataFrame, alphas, folds: int, seed: int, inner: int | Non
     if narrow:
         own = with_cells(rows.where(F.col("method").isin(narrow)), {m: known[m] for m in narrow}, folds, seed, inner)
         means = {m: known[m]["mean_train"] for m in narrow}
-        out = _scored(own, weights(grams(own.where("split = 'train'"), means, turn=turn), means, alphas, inner), inner is not None, turn)
+        out = _scored(own, weights(grams(own.where("split = 'train'"), means, None, turn), means, alphas, inner), inner is not None, turn)
     for m in [m for m in known if m not in narrow]:
         own = with_cells(rows.where(F.col("method") == m), {m: known[m]}, folds, seed, inner)
         one = blockridge.fitted(blockridge.of_features(own, turn), own, alphas, min(folds, known[m]["train"]), inner)
