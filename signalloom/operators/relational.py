@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import settled
+from ..sources.shared import new_folder, settled
 
 
 def having(frame: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -75,25 +77,60 @@ def missing_fields(frame: DataFrame, text: str, required: list[str]) -> F.Column
     return F.array_except(F.array(*[F.lit(r) for r in required]), F.coalesce(F.json_object_keys(F.col(text)), F.array().cast("array<string>")))
 
 
-#: Rows up to which a seeded permutation is made on the driver.
-COHORT = 1_000_000
+#: Rows up to which kernel ridge takes its folds from the seeded permutation, and places in a packed piece of it.
+COHORT, PIECE = 1_000_000, 1 << 16
+#: Pieces that the driver sends at once.
+SENT = 256
 
 
-def _cohort(frame: DataFrame) -> int:
-    """The number of rows, which has to be a cohort's."""
-    n = frame.count()
-    if n > COHORT:
-        raise ValueError(f"{n} rows: a seeded permutation is for {COHORT} at most; use hash_split")
-    return n
+def seeded(n: int, seed: int) -> np.ndarray:
+    """numpy's legacy permutation of n places. Its draws follow each other, so one process makes it, whatever n is; the numbers lie in a
+    mapped file and not in the process's own memory."""
+    if not n:
+        return np.zeros(0, np.int32)
+    order = np.asarray(np.memmap(tempfile.TemporaryFile(), np.int32 if n <= 1 << 31 else np.int64, "w+", shape=(n,)))
+    for k in range(0, n, PIECE):
+        order[k : k + PIECE] = np.arange(k, min(n, k + PIECE))
+    np.random.RandomState(seed).shuffle(order)
+    return order
+
+
+def _groups(n: int, starts: list[int], seed: int) -> np.ndarray:
+    """The group of each place: groups are stretches of the seeded permutation from each start on."""
+    order = seeded(n, seed)
+    group = np.asarray(np.memmap(tempfile.TemporaryFile(), np.int32, "w+", shape=(max(n, 1),)))[:n]
+    for k, (begin, end) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
+        for at in range(begin, end, PIECE):
+            group[order[at : min(end, at + PIECE)]] = k
+    return group
+
+
+def _joined(rows: DataFrame, group: np.ndarray, name: str) -> DataFrame:
+    """rows (pos, ...) with the group of their place. Groups go to the shared folder in packed pieces, some at a time, and become rows in tasks."""
+    spark, n = rows.sparkSession, len(group)
+    path = new_folder(spark, "groups")
+    for first in range(0, max(n, 1), PIECE * SENT):
+        starts = list(range(first, min(n, first + PIECE * SENT), PIECE))
+        pieces = pa.table({"start": pa.array(starts, pa.int64()), "data": pa.array([group[k : k + PIECE].tobytes() for k in starts], pa.binary())})
+        spark.createDataFrame(pieces, "start long, data binary").write.mode("append").parquet(path)
+
+    def unpacked(batches):
+        for batch in batches:
+            for start, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(data.as_py(), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(start + np.arange(len(own))), pa.array(own)], ["pos", name])
+
+    table = spark.read.schema("start long, data binary").parquet(path).mapInArrow(unpacked, f"pos long, {name} int")
+    return rows.join(table.hint("merge"), "pos")
 
 
 def random_split(frame: DataFrame, order: list, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``split``: the first ceil(test n) places of the seeded legacy permutation are the test set. The permutation is
-    made on the driver: this is for cohorts; ``hash_split`` is for tables of any size."""
-    n = _cohort(frame)
-    chosen = np.random.RandomState(seed).permutation(n)[: int(np.ceil(test * n))]
-    places = frame.sparkSession.createDataFrame([(int(p),) for p in chosen], "pos long")
-    return numbered(frame, order).join(places.withColumn("_test", F.lit(True)), "pos", "left").withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test", "pos")
+    """Adds ``split``: the first ceil(test n) places of the seeded legacy permutation are the test set. The driver makes the permutation,
+    one small number a row; ``hash_split`` and ``keyed_split`` need none."""
+    placed = numbered(frame, order)
+    n = placed.count()
+    group = _groups(n, [0, int(np.ceil(test * n))], seed)
+    return _joined(placed, group, "_group").withColumn("split", F.when(F.col("_group") == 0, "test").otherwise("train")).drop("_group", "pos")
 
 
 def hash_split(frame: DataFrame, key: str, parts: int = 5) -> DataFrame:
@@ -114,10 +151,14 @@ def fold_of(n: int, folds: int = 5, seed: int | None = 42) -> np.ndarray:
 
 
 def with_folds(frame: DataFrame, order: list, folds: int = 5, seed: int | None = 42) -> DataFrame:
-    """Adds ``pos`` and ``fold``. The fold table has a small row for each entity and is made on the driver: for cohorts."""
-    table = fold_of(_cohort(frame), folds, seed)
-    rows = frame.sparkSession.createDataFrame([(i, int(f)) for i, f in enumerate(table)], "pos long, fold int")
-    return numbered(frame, order).join(rows, "pos")
+    """Adds ``pos`` and ``fold``, by the seeded legacy permutation, which the driver makes, or without a seed by ranges of places."""
+    placed = numbered(frame, order)
+    n = placed.count()
+    if not 2 <= folds <= n:
+        raise ValueError(f"{folds} folds need 2 to n = {n}")
+    if seed is None:
+        return placed.withColumn("fold", fold_at(F.col("pos"), n, folds))
+    return _joined(placed, _groups(n, [k * (n // folds) + min(k, n % folds) for k in range(folds)], seed), "fold")
 
 
 # ---- permutations of any size ---------------------------------------------------------------------------------------

@@ -138,6 +138,19 @@ def test_random_split_is_the_permutation(spark):
     assert got == set(np.random.RandomState(42).permutation(50)[:10].tolist())
 
 
+def test_seeded_splits_and_folds_have_no_largest_table(spark, monkeypatch):
+    """Beyond a cohort's rows, and in several pieces sent one after the other."""
+    for name, value in (("COHORT", 10), ("PIECE", 8), ("SENT", 2)):
+        monkeypatch.setattr(relational, name, value, raising=False)
+    frame = spark.createDataFrame([(i,) for i in range(50)], "id long")
+    order = np.random.RandomState(42).permutation(50)
+    got = {r.id for r in relational.random_split(frame, ["id"], 0.2, 42).where("split = 'test'").collect()}
+    assert got == set(order[:10].tolist())
+    folds = {r.id: r.fold for r in relational.with_folds(frame, ["id"], 7, 42).collect()}
+    assert folds == {int(i): k for k, part in enumerate(np.array_split(order, 7)) for i in part}
+    assert relational.random_split(frame.limit(0), ["id"]).count() == 0
+
+
 def test_numbered_and_even_sample_and_ties(spark):
     frame = spark.createDataFrame([(float(i % 3), i) for i in range(40)], "s double, id long").repartition(7)
     got = relational.numbered(frame, ["s", "id"]).orderBy("pos").collect()
