@@ -265,3 +265,68 @@ def test_a_recording_that_repeats_itself_meets_others_once(spark):
     """Rows of pairs of landmarks: one a recording and pair, however often it holds the pair."""
     rows = spark.createDataFrame([(2, 1, None, 5, 3, 3), (2, 1, 7, None, 3, 3), (4, 3, 7, None, 3, 3), (6, 5, 9, 4, 3, 3), (6, 5, 9, 4, 3, 3), (8, 7, 1, 1, 3, 3), (8, 7, 2, 2, 3, 3), (8, 7, 5, 5, 3, 3)], "a long, b long, at int, to int, few_a int, few_b int")
     assert sorted(map(tuple, chroma._shared(rows).collect())) == [(2, 1), (8, 7)]
+
+
+def standing(texts):
+    """{(larger id, smaller id): (start, votes, bit errors)} of all pairs, each compared by itself; copies left out."""
+    first = {}
+    for i, t in sorted(texts.items()):
+        own = chroma.packed(chroma.text_chroma(t))
+        if len(own):
+            first.setdefault(own.tobytes(), (i, own))
+    prints, marks, few = dict(first.values()), {}, {}
+    for i, p in prints.items():
+        sets, few[i] = chroma.mark_sets(p)
+        at, keys = (np.concatenate(x) for x in zip(*sets, strict=True))
+        order = np.argsort(keys, kind="stable")
+        marks[i] = at[order], keys[order]
+    out = {}
+    for i in prints:
+        for j in prints:
+            found = chroma.counted(marks[i], marks[j]) if i > j else None
+            if found and found[1] >= min(few[i], few[j]) and chroma.overlap_errors(prints[i], prints[j], found[0], found[2], found[3] + 2) <= chroma.MOST_ERRORS:
+                out[i, j] = found[0], found[1], chroma.overlap_errors(prints[i], prints[j], found[0])
+    return out
+
+
+def crowds():
+    """Near copies, a passage of many recordings, a line that is also a recording, copies, differing rows of an id."""
+    random = np.random.default_rng(12)
+    made = lambda n: ["".join(random.choice(list("abcdefghijklmnop"), 5)) for _ in range(n)]
+    base, passage, line, rows = made(150), made(200), made(14), []
+    for i in range(60):
+        words = list(base)
+        for k in random.choice(150, 2, replace=False):
+            words[k] = made(1)[0]
+        rows.append((i, words))
+    rows += [(100 + i, made(20 + i) + passage + (line if i % 2 else made(14)) + made(30)) for i in range(40)]
+    rows += [(200 + i, made(40) + line + made(60)) for i in range(25)] + [(300, line), (301, line[:13]), (302, passage + base), (303, line * 8)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    return [*rows, (400, rows[3][1]), (401, None), (402, "few words"), (300, " ".join(line + made(200))), (7, None), (8, rows[8][1]), (None, rows[8][1])]
+
+
+def test_every_pair_of_crowds_is_matched(spark, monkeypatch):
+    rows = crowds()
+    want = standing({i: t for i, t in reversed(rows) if t and i is not None})
+    assert len(want) > 1500
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk in (256, 10):
+        monkeypatch.setattr(chroma, "CHUNK", chunk)
+        got = chroma.matched(frame, "doc_id", "text").collect()
+        assert len(got) == len({r.media_id for r in got}) <= len(rows)
+        assert [(r.media_id, [m.match_id for m in r.matches]) for r in got if r.media_id != r.class_id] == [(400, [3])]
+        found = {(r.media_id, m.match_id): (m.start, m.votes, m.bit_error_rate) for r in got for m in r.matches if r.media_id == r.class_id}
+        assert found == want and sum(len(r.matches) for r in got) == len(want) + 1
+        links = {r.media_id: r.n_links for r in got if r.media_id == r.class_id}
+        assert links == {i: sum(i in pair for pair in want) for i in {i for pair in want for i in pair}}
+    assert chroma.matched(frame.limit(0), "doc_id", "text").collect() == []
+
+
+def test_rooms_work_in_parts(monkeypatch):
+    texts = [t for _, t in crowds()[:100]]
+    prints = [chroma.packed(chroma.text_chroma(t)) for t in texts]
+    x, y = np.nonzero(np.tri(100, k=-1))
+    whole = sorted(zip(*(c.tolist() for c in chroma.compared(prints, x, y)), strict=True))
+    monkeypatch.setattr(chroma, "MOST", 500)
+    assert whole == sorted(zip(*(c.tolist() for c in chroma.compared(prints, x, y)), strict=True))
+    assert {(i, j): (o, v, e) for i, j, o, v, e in whole} == standing(dict(enumerate(texts)))
