@@ -121,10 +121,11 @@ def with_cells(rows: DataFrame, known: dict[str, dict], folds: int, seed: int, i
         else:
             if inner:
                 fold, within = nested_folds(n, count, inner, seed)
-                local = [(i, int(fold[i]), [f * inner + int(g) for f, g in enumerate(within[i]) if g >= 0]) for i in range(n)]
+                cells = pa.array([[f * inner + int(g) for f, g in enumerate(places) if g >= 0] for places in within], pa.list_(pa.int32()))
             else:
-                local = [(i, int(f), [int(f)]) for i, f in enumerate(fold_of(n, count, seed))]
-            table = spark.createDataFrame(local, "pos long, fold int, cells array<int>")
+                fold = fold_of(n, count, seed)
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), pa.array(fold, pa.int32()))
+            table = spark.createDataFrame(pa.table({"pos": pa.array(np.arange(n)), "fold": pa.array(fold, pa.int32()), "cells": cells}), "pos long, fold int, cells array<int>")
             learn = learn.join(F.broadcast(table), "pos")  # of COHORT rows at most
         both = learn.unionByName(own.where("split <> 'train'").withColumn("fold", F.lit(-1)).withColumn("cells", F.array().cast("array<int>")))
         out = both if out is None else out.unionByName(both)

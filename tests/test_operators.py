@@ -303,3 +303,36 @@ def test_blocks_of_a_kernel_are_not_shuffled_for_each_pair(spark):
     made = kernel.kernel(frame, block=4)
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan and made.count() == 820
+
+
+def test_a_factor_and_a_product_of_tiles_leave_blocks_where_they_are(spark, monkeypatch):
+    """The driver gets the landmarks' rows, not the blocks that hold them, and nothing is broadcast."""
+    from signalloom.operators import blockridge, kernel
+
+    monkeypatch.setattr(blockridge, "LANDMARKS", 8)
+    random = np.random.default_rng(3)
+    x = random.normal(size=(90, 6))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    held = kernel.tiles(frame, size=16)
+    real, sent = type(frame).collect, []
+
+    def collect(self):
+        rows = real(self)
+        sent.extend(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray)))
+        return rows
+
+    monkeypatch.setattr(type(frame), "collect", collect)
+    found = [blockridge.factor(held, 0, 90)]
+    held.width = 9  # as of wide rows, whose products are taken of blocks
+    found.append(blockridge.factor(held, 0, 90))
+    assert 0 < sum(sent) <= 8 * 6 * 8 + 8 * 8 * 8
+    monkeypatch.undo()
+    k = kernel.exact_kernel(x)
+    whole = [np.vstack([np.frombuffer(r.c).reshape(16, -1) for r in f.orderBy("p").collect()])[:90] for f in found]
+    assert np.allclose(whole[0] @ whole[0].T, k, atol=1e-8) and np.allclose(whole[1] @ whole[1].T, k, atol=1e-8)
+    vectors = random.normal(size=(96, 3))
+    given = spark.createDataFrame([(p, vectors[p * 16 : p * 16 + 16].tobytes()) for p in range(6)], "p long, v binary")
+    made = blockridge.product(held, given)
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    got = np.vstack([np.frombuffer(r.data).reshape(16, -1) for r in made.orderBy("p").collect()])[:90]
+    assert np.allclose(got, k @ vectors[:90])
